@@ -30,6 +30,23 @@ def now_utc() -> Column:
     )
 
 
+def parsed_json(text: Column) -> Column:
+    """The text as a variant, or NULL unless it is exactly one JSON value.
+
+    The parser stops after the first value and would overlook what follows.
+    Whatever follows can continue a list or an object around it, never both.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    keyed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    alone = (
+        listed.isNotNull()
+        & keyed.isNotNull()
+        & F.try_variant_get(listed, "$[0]", "variant").isNotNull()
+        & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    )
+    return F.when(alone, F.try_parse_json(text))
+
+
 def http_payload(entries: Column) -> Column:
     """``[{"path":…,"line":…},…]``"""
     return F.to_json(entries)

@@ -50,10 +50,10 @@ fanned AS (SELECT * FROM lines JOIN routes USING (path)),
 routed AS (SELECT * FROM fanned WHERE ({_ALLOWED}) AND NOT ({_DENIED}))"""
 
 _TICKED = """
-ticked AS (
+ticked AS MATERIALIZED (
   SELECT *, ((arrival_us + freq * 1000 - 1) // (freq * 1000)) * freq AS tick
   FROM routed WHERE arrival_us > 0),
-ticks AS (
+ticks AS MATERIALIZED (
   SELECT route_id, tick, n, row_number() OVER (PARTITION BY route_id ORDER BY tick) AS rn
   FROM (SELECT route_id, tick, count(*) AS n FROM ticked GROUP BY ALL))"""
 
@@ -81,7 +81,7 @@ steps AS (
         s.buf > 0 AND ((s.prev + r.every + r.freq - 1) // r.freq) * r.freq < k.tick AS late
       FROM steps s JOIN routes r USING (route_id)
       JOIN ticks k ON k.route_id = s.route_id AND k.rn = s.rn + 1))),
-fired AS (
+fired AS MATERIALIZED (
   SELECT route_id, due_at AS flush_at, due_n AS n_entries, 'time elapsed' AS reason
   FROM steps WHERE due_at IS NOT NULL
   UNION ALL
@@ -141,7 +141,7 @@ doc_lines AS (
          ELSE piece END AS line
   FROM pieces WHERE line_no < n - 1 OR piece <> '')"""
 
-ORACLES["frame_document_lines"] = f"WITH {_DOC_LINES} SELECT doc_id, line_no, line FROM doc_lines"
+ORACLES["frame_lines"] = f"WITH {_DOC_LINES} SELECT doc_id, line_no, line FROM doc_lines"
 
 _PATH_LINES = _event_query("SELECT path, line FROM lines")
 ORACLES["scan_text_files"] = _PATH_LINES
@@ -185,10 +185,10 @@ ORACLES["scan_plan"] = f"WITH {_FILES} {_plan(chr(39) + 'truncated' + chr(39))}"
 ORACLES["scan_plan_backfill"] = (
     f"WITH {_FILES} " + _plan("'truncated', 'new', 'rotated'")
 )
-ORACLES["advanced_cursor"] = f"""WITH {_FILES}
+ORACLES["advance_cursor"] = f"""WITH {_FILES}
 SELECT path, coalesce(inode, old_inode) AS inode, coalesce(size, old_position) AS position FROM compared"""
 
-ORACLES["resumed_lines"] = f"""
+ORACLES["resume_lines"] = f"""
 WITH {_FILES},
 fresh AS (
   SELECT path, CASE action WHEN 'truncated' THEN text
@@ -229,7 +229,7 @@ WITH {_DOC_LINES} SELECT doc_id, line_no, line FROM doc_lines
 WHERE (regexp_matches(line, '(?P<first>[[:upper:]]{{2,}})\\s+\\d+$')
        OR regexp_matches(line, '(?i)\\b(error|license|password)\\b'))
   AND NOT (regexp_matches(line, '[[:punct:]]{{3}}') OR regexp_matches(line, '^$'))"""
-ORACLES["accounting"] = _event_query(
+ORACLES["ship_accounting"] = _event_query(
     rf"""SELECT path, count(*) FILTER (WHERE keep) AS kept, count(*) FILTER (WHERE NOT keep) AS dropped
 FROM (SELECT path, {_LEVELS} AND NOT regexp_matches(line, '\[test\]') AS keep FROM lines) GROUP BY path"""
 )
@@ -338,7 +338,7 @@ supplied AS (
          WHEN k IN (7, 8) THEN 'elasticsearch' WHEN k IN (9, 10) THEN 'file' ELSE 'unknown' END AS kind
   FROM supplier)"""
 
-ORACLES["normalized_routes"] = f"""
+ORACLES["normalize_routes"] = f"""
 WITH {_SUPPLIED}
 SELECT route_id, '/var/log/' || s_name || '.log' AS path,
   CAST(CASE k WHEN 13 THEN 0 ELSE 500 END AS BIGINT) AS polling_frequency_ms,
@@ -351,7 +351,7 @@ SELECT route_id, '/var/log/' || s_name || '.log' AS path,
   CASE WHEN kind = 'syslog' THEN CASE k WHEN 4 THEN 'icmp' WHEN 6 THEN 'TCP' ELSE 'udp' END END AS protocol
 FROM supplied"""
 
-ORACLES["validated_routes"] = f"""
+ORACLES["validate_routes"] = f"""
 WITH {_SUPPLIED},
 judged AS (
   SELECT route_id, k, CASE k
@@ -409,6 +409,17 @@ FROM entries JOIN dests USING (route_id) GROUP BY route_id, batch_id""",
     _DESTINATIONS,
 )
 
+ORACLES["http_requests"] = _batch_query(
+    f"""SELECT route_id || '-' || batch_id || '-0' AS request_id, any_value(url) AS url,
+  CASE any_value(type) WHEN 'http' THEN 'application/json' ELSE 'application/x-ndjson' END AS content_type,
+  CASE route_id WHEN 0 THEN 'Bearer k-123' WHEN 6 THEN 'Basic '
+    || base64(encode('shop:a rather long password, long enough to be wrapped by base64')) END AS authorization,
+  CASE any_value(type) WHEN 'http' THEN CAST({_PAYLOAD} AS VARCHAR)
+    ELSE string_agg({_BULK.replace("idx", "'logs-errors'")}, '' ORDER BY "offset") END AS body
+FROM entries JOIN dests USING (route_id) WHERE type IN ('http', 'elasticsearch') GROUP BY route_id, batch_id""",
+    _DESTINATIONS,
+)
+
 ORACLES["delivery_outcomes"] = _batch_query(
     """SELECT request_id, n_entries, error IS NULL AS ok,
   CAST(CASE WHEN type = 'syslog' THEN CASE WHEN error IS NULL THEN 200 END

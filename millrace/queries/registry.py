@@ -40,7 +40,8 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    """Register under the function's name; a trailing underscore avoids a clash."""
+    QUERIES[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -48,7 +49,7 @@ def query(fn: Query) -> Query:
 
 
 @query
-def frame_document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frame_lines_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_lines(spark, sf_dir)
 
 
@@ -97,12 +98,12 @@ def scan_plan_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def advanced_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+def advance_cursor_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return advance_cursor(scan_plan(spark, sf_dir))
 
 
 @query
-def resumed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def resume_lines_(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = document_files(spark, sf_dir)
     return resume_lines(files.select("path", "text"), plan_scan(*listing_and_cursor(files)))
 
@@ -157,7 +158,7 @@ def regex_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ship_accounting_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship_accounting(event_lines(spark, sf_dir), ["ERROR", "WARN"], [r"\[test\]"])
 
 
@@ -411,7 +412,7 @@ def decode_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def normalized_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def normalize_routes_(spark: SparkSession, sf_dir: str) -> DataFrame:
     routes = normalize_routes(supplier_routes(spark, sf_dir))
     return routes.select(
         "route_id",
@@ -428,7 +429,7 @@ def normalized_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def validated_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def validate_routes_(spark: SparkSession, sf_dir: str) -> DataFrame:
     routes = validate_routes(normalize_routes(supplier_routes(spark, sf_dir)))
     return routes.select("route_id", "valid", "error", "warning")
 
@@ -464,6 +465,19 @@ def dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def http_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The POST requests of the HTTP and bulk destinations, headers included."""
+    requests = _requests(spark, sf_dir).filter(F.col("type").isin("http", "elasticsearch"))
+    return requests.select(
+        "request_id",
+        "url",
+        F.col("headers")["Content-Type"].alias("content_type"),
+        F.col("headers")["Authorization"].alias("authorization"),
+        F.element_at("payloads", 1).alias("body"),
+    )
+
+
 @query
 def request_header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers of each supplier route's requests, one row per header."""

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.encoding import parsed_json
+
 Transport = Callable[[dict[str, Any], str], tuple[int, str]]
 
 # Failure texts of the two POST destinations.
@@ -70,7 +72,7 @@ def bulk_problem(body: Column) -> Column:
     The body must be JSON, and its ``errors`` member must not be the boolean
     true; a missing member or any other value is no error.
     """
-    parsed = F.try_parse_json(body)
+    parsed = parsed_json(body)
     flag = F.try_variant_get(parsed, "$.errors", "variant")
     flagged = (F.schema_of_variant(flag) == "BOOLEAN") & F.try_variant_get(
         parsed, "$.errors", "boolean"

@@ -109,7 +109,7 @@ def decode_payload(df: DataFrame, body: str, keys: list[str]) -> DataFrame:
     body gives one row with an error.
     """
     text = F.col(body)
-    parsed = F.try_parse_json(text)
+    parsed = E.parsed_json(text)
     kind = F.schema_of_variant(parsed)
     is_array = kind.startswith("ARRAY")
     is_object = kind.startswith("OBJECT")
