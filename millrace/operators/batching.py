@@ -56,7 +56,7 @@ def with_ticks(routed: DataFrame, slice_span: int = SLICE_SPAN) -> DataFrame:
     return (
         routed.filter(F.col("arrival_us") > 0)
         .withColumn("tick", poll * F.col("polling_frequency_ms"))
-        .withColumn("slice", F.floor(F.col("offset") / F.lit(slice_span)).cast("bigint"))
+        .withColumn("slice", F.call_function("div", F.col("offset"), F.lit(slice_span)))
     )
 
 
@@ -75,6 +75,7 @@ def fold_ticks(
     routes: DataFrame,
     horizon_ms: int | None = None,
     chunk_ticks: int = CHUNK_TICKS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Assign every non-empty tick to the flush that carries it.
 
@@ -89,7 +90,7 @@ def fold_ticks(
     """
     if horizon_ms is not None:
         ticks = ticks.filter(F.col("tick") <= horizon_ms)
-    chunks = _chunked(ticks, routes, chunk_ticks)
+    chunks = _chunked(ticks, routes, chunk_ticks, small)
     summaries = chunks.groupBy("route_id", "chunk").applyInPandas(_summarise_group, _SUMMARIES)
     entries = summaries.groupBy("route_id").applyInPandas(
         _follow_group, "route_id bigint, chunk bigint, entry bigint, flushes_before bigint"
@@ -102,7 +103,9 @@ def fold_ticks(
     return _within_horizon(folded, horizon_ms)
 
 
-def _chunked(ticks: DataFrame, routes: DataFrame, chunk_ticks: int) -> DataFrame:
+def _chunked(
+    ticks: DataFrame, routes: DataFrame, chunk_ticks: int, small: bool | None
+) -> DataFrame:
     """Ticks with their fold settings, repeated where the next chunk looks back."""
     period = F.col("polling_frequency_ms")
     settings = routes.select(
@@ -114,7 +117,7 @@ def _chunked(ticks: DataFrame, routes: DataFrame, chunk_ticks: int) -> DataFrame
         ).alias("interval"),
     ).withColumn("width", F.greatest("interval", F.lit(chunk_ticks)))
     placed = (
-        join_checked(ticks, settings, ["route_id"], spread=["tick"])
+        join_checked(ticks, settings, ["route_id"], spread=["tick"], small=small)
         .withColumn("k", F.call_function("div", F.col("tick"), F.col("period")))
         .withColumn("chunk", F.call_function("div", F.col("k") - 1, F.col("width")))
     )
@@ -237,7 +240,10 @@ def assign_batches(
     whether the counts side is small enough to broadcast is left to the run-time
     statistics.
     """
-    batch_of_slice = slices.select("route_id", "tick", "slice").join(
+    # Asking for the count keeps this the same aggregate as the one the fold
+    # reads, so that its shuffle is reused and the lines are not counted twice.
+    counted = slices.filter(F.col("n") > 0).select("route_id", "tick", "slice")
+    batch_of_slice = counted.join(
         folded.select("route_id", "tick", "batch_id", "flush_at", "n_entries", "reason"),
         ["route_id", "tick"],
     )
@@ -250,13 +256,14 @@ def batch_lines(
     horizon_ms: int | None = None,
     slice_span: int = SLICE_SPAN,
     chunk_ticks: int = CHUNK_TICKS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Routed lines with ``tick``, ``slice`` and the columns of their batch."""
     ticked = with_ticks(routed, slice_span)
     if horizon_ms is not None:
         ticked = ticked.filter(F.col("tick") <= horizon_ms)
     slices = tick_slices(ticked)
-    folded = fold_ticks(tick_counts(slices), routes, horizon_ms, chunk_ticks)
+    folded = fold_ticks(tick_counts(slices), routes, horizon_ms, chunk_ticks, small)
     return assign_batches(ticked, slices, folded)
 
 
@@ -266,7 +273,10 @@ def pending_lines(assigned: DataFrame) -> DataFrame:
 
 
 def collect_batches(
-    assigned: DataFrame, routes: DataFrame, max_part_lines: int = MAX_PART_LINES
+    assigned: DataFrame,
+    routes: DataFrame,
+    max_part_lines: int = MAX_PART_LINES,
+    small: bool | None = None,
 ) -> DataFrame:
     """Gather each batch's entries in file order.
 
@@ -294,7 +304,11 @@ def collect_batches(
         )
     )
     with_path = join_checked(
-        gathered, routes.select("route_id", "path"), ["route_id"], spread=["batch_id"]
+        gathered,
+        routes.select("route_id", "path"),
+        ["route_id"],
+        spread=["batch_id"],
+        small=small,
     )
     return with_path.select(
         "route_id",

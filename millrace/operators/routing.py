@@ -66,9 +66,9 @@ def literal_rules(rules: DataFrame) -> Column | None:
     return reduce(lambda a, b: a | b, branches, F.lit(False))
 
 
-def ship_lines(lines: DataFrame, routes: DataFrame) -> DataFrame:
+def ship_lines(lines: DataFrame, routes: DataFrame, small: bool | None = None) -> DataFrame:
     """Fan-out followed by the per-route rules."""
-    small = is_small(routes)
+    small = is_small(routes) if small is None else small
     return apply_rules(route_lines(lines, routes, small), routes, small)
 
 

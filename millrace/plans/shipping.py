@@ -13,6 +13,7 @@ from millrace.operators.batching import (
 )
 from millrace.operators.routing import ship_lines
 from millrace.plans.routes import active_routes, normalize_routes
+from millrace.session import is_small
 from millrace.sinks.delivery import Transport, deliver
 from millrace.sinks.files import prepare_file_routes, write_file_routes
 from millrace.sinks.requests import build_requests
@@ -27,9 +28,10 @@ def plan_batches(
     max_part_lines: int = MAX_PART_LINES,
 ) -> DataFrame:
     """Route, filter and batch ``lines(path, offset, arrival_us, line)``."""
-    routed = ship_lines(lines, routes)
-    assigned = batch_lines(routed, routes, horizon_ms, slice_span, chunk_ticks)
-    return collect_batches(assigned, routes, max_part_lines)
+    small = is_small(routes)
+    routed = ship_lines(lines, routes, small)
+    assigned = batch_lines(routed, routes, horizon_ms, slice_span, chunk_ticks, small)
+    return collect_batches(assigned, routes, max_part_lines, small)
 
 
 def ship_table(

@@ -15,15 +15,19 @@ from pyspark.sql import functions as F
 
 
 def frame_lines(df: DataFrame, content: str, keys: Sequence[str]) -> DataFrame:
-    """Split a text column into ``(keys…, line_no, line)``, counting from 0."""
-    pieces = F.split(F.col(content), "\n")
-    last = F.size(pieces) - 1
-    framed = df.select(*keys, last.alias("_last"), F.posexplode(pieces).alias("line_no", "_piece"))
-    terminated = F.col("line_no") < F.col("_last")
-    return framed.filter(terminated | (F.col("_piece") != "")).select(
-        *keys,
-        F.col("line_no").cast("bigint").alias("line_no"),
-        F.when(terminated, strip_cr(F.col("_piece"))).otherwise(F.col("_piece")).alias("line"),
+    """Split a text column into ``(keys…, line_no, line)``, counting from 0.
+
+    The text is trimmed to its records before it is split, so that nothing but
+    the keys travels along with the exploded lines.
+    """
+    text = F.replace(F.col(content), F.lit("\r\n"), F.lit("\n"))
+    records = F.when(
+        text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)
+    ).otherwise(text)
+    return (
+        df.filter(F.col(content) != "")
+        .select(*keys, F.posexplode(F.split(records, "\n")).alias("_pos", "line"))
+        .select(*keys, F.col("_pos").cast("bigint").alias("line_no"), "line")
     )
 
 
