@@ -45,19 +45,26 @@ _SUMMARIES = (
 )
 
 
-def with_ticks(routed: DataFrame, slice_span: int = SLICE_SPAN) -> DataFrame:
+def with_ticks(
+    routed: DataFrame, slice_span: int = SLICE_SPAN, horizon_ms: int | None = None
+) -> DataFrame:
     """Add ``tick`` (ms of the poll that sees the line) and ``slice``.
 
     Polls run at multiples of the route's period.  Whatever is there at the
-    first one is skipped, so lines at or before time zero drop out.
+    first one is skipped, so lines at or before time zero drop out, as do lines
+    the routes no longer see by ``horizon_ms``.
     """
     period_us = F.col("polling_frequency_ms") * 1000
     poll = F.call_function("div", F.col("arrival_us") + period_us - 1, period_us)
-    return (
+    ticked = (
         routed.filter(F.col("arrival_us") > 0)
         .withColumn("tick", poll * F.col("polling_frequency_ms"))
         .withColumn("slice", F.call_function("div", F.col("offset"), F.lit(slice_span)))
     )
+    # Spelled out so that no later join infers them on one side only, which
+    # would keep equal scans from being shared.
+    seen = F.col("tick").isNotNull() & F.col("slice").isNotNull()
+    return ticked.filter(seen if horizon_ms is None else seen & (F.col("tick") <= horizon_ms))
 
 
 def tick_slices(ticked: DataFrame) -> DataFrame:
@@ -90,6 +97,12 @@ def fold_ticks(
     """
     if horizon_ms is not None:
         ticks = ticks.filter(F.col("tick") <= horizon_ms)
+    return _fold(ticks, routes, horizon_ms, chunk_ticks, small)
+
+
+def _fold(
+    ticks: DataFrame, routes: DataFrame, horizon_ms: int | None, chunk_ticks: int, small: bool | None
+) -> DataFrame:
     chunks = _chunked(ticks, routes, chunk_ticks, small)
     summaries = chunks.groupBy("route_id", "chunk").applyInPandas(_summarise_group, _SUMMARIES)
     entries = summaries.groupBy("route_id").applyInPandas(
@@ -259,11 +272,9 @@ def batch_lines(
     small: bool | None = None,
 ) -> DataFrame:
     """Routed lines with ``tick``, ``slice`` and the columns of their batch."""
-    ticked = with_ticks(routed, slice_span)
-    if horizon_ms is not None:
-        ticked = ticked.filter(F.col("tick") <= horizon_ms)
+    ticked = with_ticks(routed, slice_span, horizon_ms)
     slices = tick_slices(ticked)
-    folded = fold_ticks(tick_counts(slices), routes, horizon_ms, chunk_ticks, small)
+    folded = _fold(tick_counts(slices), routes, horizon_ms, chunk_ticks, small)
     return assign_batches(ticked, slices, folded)
 
 
