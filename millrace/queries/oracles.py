@@ -454,5 +454,10 @@ WHERE {_LEVELS} AND NOT (regexp_matches(line, '\[test\]') OR regexp_matches(line
 
 # -- streams ------------------------------------------------------------------
 
-# stream_dual_trigger flushes by the clock; it also sums a checksum DuckDB has
-# no function for, so only its row count is compared.
+_TOTALS = _route_query(
+    """SELECT route_id, count(*) AS n_lines, count(*) AS n_labelled,
+  count(DISTINCT line) AS n_distinct, CAST(sum(strlen(line)) AS BIGINT) AS n_bytes
+FROM routed GROUP BY route_id"""
+)
+ORACLES["stream_dual_trigger"] = _TOTALS
+ORACLES["stream_table_buffer"] = _TOTALS

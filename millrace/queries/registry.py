@@ -32,8 +32,9 @@ from millrace.sinks.files import write_entries
 from millrace.sinks.requests import build_requests, decode_payload, request_headers
 from millrace.sources.scan import advance_cursor, plan_scan, resume_lines
 from millrace.sources.text import frame_lines, read_lines, split_valid
-from millrace.streaming.buffer import BufferSettings, buffer_stream
-from millrace.streaming.ship import read_tail, start_with_state, tail_lines
+from millrace.streaming.buffer import BATCH_SCHEMA, BufferSettings, buffer_stream
+from millrace.streaming.ship import buffer_settings, read_tail, start_with_state, tail_lines
+from millrace.streaming.table_buffer import TableBuffer
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -569,44 +570,81 @@ def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("path string, line string").parquet(f"{out}/data")
 
 
-@query
-def stream_dual_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Buffer a stream of event lines; entries and order are checked per batch.
+def _line_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Routed event lines, written once and streamed back a few files at a time."""
+    routed = ship_lines(event_lines(spark, sf_dir), event_routes(spark))
+    routed.select("route_id", "offset", "line").write.parquet(f"{folder}/lines")
+    return (
+        spark.readStream.schema("route_id bigint, offset bigint, line string")
+        .option("maxFilesPerTrigger", 8)
+        .parquet(f"{folder}/lines")
+    )
 
-    When flushes happen depends on the clock, so the result is what must hold at
-    any speed: every line of a path in exactly one batch, in order.
+
+def _batch_totals(batches: DataFrame) -> DataFrame:
+    """What must hold at any speed: every line in exactly one batch of its route.
+
+    When a stream flushes depends on the clock, so the batches themselves differ
+    from run to run.
     """
+    entries = batches.select("route_id", "path", F.explode("entries").alias("entry"))
+    return entries.groupBy("route_id").agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count_if(F.col("entry.path") == F.col("path")).alias("n_labelled"),
+        F.countDistinct("entry.line").alias("n_distinct"),
+        F.sum(F.octet_length("entry.line")).cast("bigint").alias("n_bytes"),
+    )
+
+
+@query
+def stream_dual_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stateful buffer over a stream of routed lines."""
     out = scratch_dir(spark, "buffered")
-    event_lines(spark, sf_dir).select("path", "offset", "line").write.parquet(f"{out}/lines")
-    paths = read(spark, sf_dir, "events").select("event_type").distinct()
-    names = [r[0] for r in paths.orderBy("event_type").limit(1000).collect()]
+    lines = _line_stream(spark, sf_dir, out)
     settings = {
-        i: BufferSettings(f"/var/log/app/{name}.log", 50, 500) for i, name in enumerate(names)
+        route_id: BufferSettings(s.path, 50, 500)
+        for route_id, s in buffer_settings(event_routes(spark)).items()
     }
-    ids = F.create_map(*[x for i, s in settings.items() for x in (F.lit(s.path), F.lit(i))])
-    lines = (
-        spark.readStream.schema("path string, offset bigint, line string")
-        .option("maxFilesPerTrigger", 8)
-        .parquet(f"{out}/lines")
-        .select(ids[F.col("path")].cast("bigint").alias("route_id"), "offset", "line")
-    )
-    batches = buffer_stream(lines, settings, started_ms=0)
     stream = start_with_state(
         spark,
-        batches.writeStream.format("parquet")
+        buffer_stream(lines, settings, started_ms=0)
+        .writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", f"{out}/checkpoint")
         .trigger(processingTime="200 milliseconds")
         .option("path", f"{out}/batches"),
     )
     _stop_when_quiet(stream, quiet_s=2)
-    entries = spark.read.parquet(f"{out}/batches").select(
-        "path", F.explode("entries").alias("entry")
-    )
-    return entries.groupBy("path").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.count_if(F.col("entry.path") == F.col("path")).alias("n_labelled"),
-        F.sum(F.crc32(F.encode("entry.line", "UTF-8"))).alias("checksum"),
+    return _batch_totals(spark.read.schema(BATCH_SCHEMA).parquet(f"{out}/batches"))
+
+
+@query
+def stream_table_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The buffer over written tables; a last, much later poll empties it."""
+    out = scratch_dir(spark, "tabled")
+    lines = _line_stream(spark, sf_dir, out)
+    tables = TableBuffer(spark, event_routes(spark), f"{out}/buffer", started_ms=0)
+    epochs = []
+
+    def poll(kept: DataFrame, epoch: int, now_ms: int | None = None) -> None:
+        flushed = tables.poll(kept, epoch, 1000 * epoch if now_ms is None else now_ms)
+        epochs.append(epoch)
+        if flushed is not None:
+            flushed.write.mode("overwrite").parquet(f"{out}/batches/epoch={epoch}")
+
+    stream = (
+        lines.writeStream.foreachBatch(poll)
+        .option("checkpointLocation", f"{out}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    stream.awaitTermination()
+    if stream.exception() is not None:
+        raise stream.exception()
+    nothing = spark.createDataFrame([], "route_id bigint, offset bigint, line string")
+    poll(nothing, max(epochs) + 1, HORIZON_MS)
+    return _batch_totals(
+        spark.read.schema(f"{BATCH_SCHEMA}, epoch bigint").parquet(f"{out}/batches")
     )
 
 

@@ -15,6 +15,8 @@ Options
                         back until its line feed arrives
     maxBytesPerTrigger  bytes taken from one file per micro-batch; 0 = no limit
     partitionBytes      bytes per read task, default 64 MiB
+    heartbeat           ``true`` makes every poll a micro-batch, even without
+                        new lines, so that time triggers run
     cursorPath          file that remembers the planned offsets, so that the
                         byte limit and the cursors of missing files also hold
                         for the first micro-batch after a restart
@@ -51,6 +53,9 @@ DEFAULT_PARTITION_BYTES = 64 * 1024 * 1024
 READ_BYTES = 4 * 1024 * 1024
 BATCH_LINES = 16_384
 
+# Offset entry that moves with every poll when a heartbeat is wanted.
+_HEARTBEAT = ""
+
 _ARROW_SCHEMA = pa.schema(
     [
         ("path", pa.string()),
@@ -243,6 +248,7 @@ class TailStreamReader(DataSourceStreamReader):
         self.hold_partial = _choice(options, "partialLines", "emit", "hold")
         self.max_bytes = int(options.get("maxBytesPerTrigger", 0))
         self.partition_bytes = int(options.get("partitionBytes", DEFAULT_PARTITION_BYTES))
+        self.heartbeat = str(options.get("heartbeat", "false")).lower() == "true"
         self.cursor_path = options.get("cursorPath")
         self.cursor: dict[str, dict] | None = self._load_cursor()
 
@@ -257,7 +263,7 @@ class TailStreamReader(DataSourceStreamReader):
             if stat is not None:
                 position = 0 if self.from_start else self._end_of(path, stat[1])
                 self.cursor[path] = {"inode": stat[0], "position": position}
-        return self.cursor
+        return self._stamped(self.cursor)
 
     def latestOffset(self) -> dict:
         planned = {}
@@ -271,7 +277,12 @@ class TailStreamReader(DataSourceStreamReader):
         if planned != self.cursor:
             self.cursor = planned
             self._save_cursor()
-        return planned
+        return self._stamped(planned)
+
+    def _stamped(self, offsets: dict) -> dict:
+        if not self.heartbeat:
+            return offsets
+        return {**offsets, _HEARTBEAT: {"inode": 0, "position": time.time_ns() // 1000}}
 
     def _end_of(self, path: str, size: int) -> int:
         return complete_size(path, 0, size) if self.hold_partial else size
@@ -297,7 +308,8 @@ class TailStreamReader(DataSourceStreamReader):
         return cut
 
     def partitions(self, start: dict, end: dict) -> Sequence[ByteRange]:
-        self.cursor = dict(end)
+        end = {path: seen for path, seen in end.items() if path != _HEARTBEAT}
+        self.cursor = end
         now = time.time_ns() // 1000
         return [
             part

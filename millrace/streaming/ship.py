@@ -18,6 +18,7 @@ from millrace.sinks.files import prepare_file_routes, write_file_routes
 from millrace.sinks.requests import build_requests
 from millrace.sources.tail import SOURCE_NAME, register, tail_options
 from millrace.streaming.buffer import STATE_PROVIDER, BufferSettings, buffer_stream
+from millrace.streaming.table_buffer import TableBuffer
 
 # Bytes taken from one file per poll: bounds what one route can bring at once.
 DEFAULT_MAX_BYTES = 64 * 1024 * 1024
@@ -62,7 +63,7 @@ def stream_batches(
     max_part_lines: int = MAX_PART_LINES,
 ) -> DataFrame:
     """Route, filter and buffer a stream of lines.  Invalid UTF-8 is left out."""
-    started_ms = time.time_ns() // 1_000_000 if started_ms is None else started_ms
+    started_ms = _now_ms() if started_ms is None else started_ms
     routed = ship_lines(lines.filter(F.is_valid_utf8("line")), routes)
     return buffer_stream(routed, buffer_settings(routes), started_ms, max_part_lines)
 
@@ -77,6 +78,7 @@ def start_shipping(
     routes: DataFrame,
     work_dir: str,
     transport: Transport,
+    buffer: str = "table",
     on_failure: str = "drop",
     ship_ts: Column | None = None,
     max_part_lines: int = MAX_PART_LINES,
@@ -85,20 +87,24 @@ def start_shipping(
 ) -> StreamingQuery:
     """Start one query for all valid routes.
 
-    Flushed batches of a micro-batch are first written to
-    ``work_dir/batches/epoch=N``, so that a repeated micro-batch replaces them
-    and the stateful plan runs once.  The outcomes of the requests follow in
-    ``work_dir/outcomes/epoch=N``; a repeated micro-batch does not send the
-    requests again that have an outcome.
+    ``buffer='table'`` keeps buffered lines in written tables and spreads a busy
+    route over many tasks.  ``buffer='state'`` keeps them in the state store,
+    one task per route: less to write per poll, for many quiet routes.
+
+    Flushed batches of a micro-batch are written to ``work_dir/batches/epoch=N``
+    before anything is sent, so a repeated micro-batch replaces them.  The
+    outcomes of the requests follow in ``work_dir/outcomes/epoch=N``, and a
+    repeated micro-batch does not send requests again that have one.
     """
+    if buffer not in ("table", "state"):
+        raise ValueError("buffer must be 'table' or 'state'")
     ready = active_routes(normalize_routes(routes))
     prepare_file_routes(spark, ready)
     network = ready.filter("destination.type <> 'file'")
     paths = [r["path"] for r in ready.select("path").distinct().limit(BROADCAST_ROWS).collect()]
     source_options.setdefault("cursorPath", f"{work_dir}/cursor.json")
-    batches = stream_batches(
-        tail_lines(spark, paths, **source_options), ready, max_part_lines=max_part_lines
-    )
+    source_options.setdefault("heartbeat", buffer == "table")
+    lines = tail_lines(spark, paths, **source_options)
 
     def ship(flushed: DataFrame, epoch: int) -> None:
         table = f"{work_dir}/batches/epoch={epoch}"
@@ -110,15 +116,30 @@ def start_shipping(
         deliver(spark, requests, transport, f"{work_dir}/outcomes/epoch={epoch}", on_failure)
         write_file_routes(stored, ready)
 
+    if buffer == "state":
+        output, handle = stream_batches(lines, ready, max_part_lines=max_part_lines), ship
+    else:
+        output = ship_lines(lines.filter(F.is_valid_utf8("line")), ready)
+        tables = TableBuffer(spark, ready, f"{work_dir}/buffer", _now_ms(), max_part_lines)
+
+        def handle(kept: DataFrame, epoch: int) -> None:
+            flushed = tables.poll(kept, epoch, _now_ms())
+            if flushed is not None:
+                ship(flushed, epoch)
+
     return start_with_state(
         spark,
-        batches.writeStream.foreachBatch(ship)
+        output.writeStream.foreachBatch(handle)
         .outputMode("append")
         .option("checkpointLocation", f"{work_dir}/checkpoint")
         .trigger(**(trigger or {"processingTime": f"{poll_period_ms(ready)} milliseconds"})),
     )
 
 
+def _now_ms() -> int:
+    return time.time_ns() // 1_000_000
+
+
 def start_with_state(spark: SparkSession, writer) -> StreamingQuery:
     """Start a stateful query with the RocksDB state store it needs."""
     before = spark.conf.get(_PROVIDER_CONF, None)
