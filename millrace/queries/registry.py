@@ -613,6 +613,7 @@ def stream_dual_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
         .option("checkpointLocation", f"{out}/checkpoint")
         .trigger(processingTime="200 milliseconds")
         .option("path", f"{out}/batches"),
+        keys=len(settings),
     )
     _stop_when_quiet(stream, quiet_s=2)
     return _batch_totals(spark.read.schema(BATCH_SCHEMA).parquet(f"{out}/batches"))

@@ -24,6 +24,7 @@ from millrace.streaming.table_buffer import TableBuffer
 DEFAULT_MAX_BYTES = 64 * 1024 * 1024
 
 _PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
+_PARTITIONS_CONF = "spark.sql.shuffle.partitions"
 
 
 def tail_lines(spark: SparkSession, paths: Sequence[str], **options) -> DataFrame:
@@ -127,27 +128,37 @@ def start_shipping(
             if flushed is not None:
                 ship(flushed, epoch)
 
-    return start_with_state(
-        spark,
+    writer = (
         output.writeStream.foreachBatch(handle)
         .outputMode("append")
         .option("checkpointLocation", f"{work_dir}/checkpoint")
-        .trigger(**(trigger or {"processingTime": f"{poll_period_ms(ready)} milliseconds"})),
+        .trigger(**(trigger or {"processingTime": f"{poll_period_ms(ready)} milliseconds"}))
     )
+    if buffer == "state":
+        return start_with_state(spark, writer, ready.count())
+    return writer.start()
 
 
 def _now_ms() -> int:
     return time.time_ns() // 1_000_000
 
 
-def start_with_state(spark: SparkSession, writer) -> StreamingQuery:
-    """Start a stateful query with the RocksDB state store it needs."""
-    before = spark.conf.get(_PROVIDER_CONF, None)
-    spark.conf.set(_PROVIDER_CONF, STATE_PROVIDER)
+def start_with_state(spark: SparkSession, writer, keys: int) -> StreamingQuery:
+    """Start a stateful query with the RocksDB state store it needs.
+
+    ``keys`` is the number of routes: more state partitions than that would
+    only add stores to commit in every micro-batch.
+    """
+    partitions = min(int(spark.conf.get(_PARTITIONS_CONF)), max(1, keys))
+    wanted = {_PROVIDER_CONF: STATE_PROVIDER, _PARTITIONS_CONF: str(partitions)}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         return writer.start()
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER_CONF)
-        else:
-            spark.conf.set(_PROVIDER_CONF, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
