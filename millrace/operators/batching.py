@@ -13,8 +13,7 @@ a batch ever has to bring an unbounded group into one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,26 +188,29 @@ def _follow_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 def _replay_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     chunk, head = _to_chunk(pdf), pdf.iloc[0]
     period = int(head["period"])
-
-    def rows() -> Iterator[tuple]:
-        for number, (at, begin, end, full) in enumerate(
-            flushes(chunk, int(head["entry"])), int(head["flushes_before"]) + 1
-        ):
-            n_entries = sum(chunk.counts[begin:end])
-            for i in range(begin, end):
-                yield (
-                    key[0],
-                    chunk.ticks[i] * period,
-                    chunk.counts[i],
-                    number,
-                    at * period,
-                    n_entries,
-                    full,
-                    i == begin,
-                )
-
-    names = [part.split()[0] for part in _TICK_BATCHES.split(", ")]
-    return pd.DataFrame(list(rows()), columns=names)
+    fired = np.array(list(flushes(chunk, int(head["entry"]))), dtype=np.int64).reshape(-1, 4)
+    at, begin, end, full = fired.T
+    lengths = end - begin
+    # Ticks carried by the flushes of this chunk, in order and without gaps.
+    carried = slice(begin[0], end[-1]) if len(fired) else slice(0, 0)
+    counts = np.asarray(chunk.counts, dtype=np.int64)[carried]
+    starts = np.cumsum(lengths) - lengths
+    opens = np.zeros(len(counts), dtype=bool)
+    opens[starts] = True
+    numbers = int(head["flushes_before"]) + 1 + np.arange(len(fired))
+    sizes = np.add.reduceat(counts, starts) if len(fired) else counts
+    return pd.DataFrame(
+        {
+            "route_id": key[0],
+            "tick": np.asarray(chunk.ticks, dtype=np.int64)[carried] * period,
+            "n": counts,
+            "batch_id": np.repeat(numbers, lengths),
+            "flush_at": np.repeat(at * period, lengths),
+            "n_entries": np.repeat(sizes, lengths),
+            "full": np.repeat(full.astype(bool), lengths),
+            "opens": opens,
+        }
+    )
 
 
 def _within_horizon(folded: DataFrame, horizon_ms: int | None) -> DataFrame:

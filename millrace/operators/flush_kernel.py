@@ -21,6 +21,11 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import accumulate
 
+import numpy as np
+
+# Chunks with at least one line in so many polls are summarised with arrays.
+DENSE_SHARE = 16
+
 
 @dataclass(frozen=True)
 class Chunk:
@@ -82,38 +87,68 @@ def summarise(chunk: Chunk) -> list[tuple[int, int, int, int]]:
     Returns runs ``(low, high, leave, n_flushes)`` over the entries; ``leave``
     is an entry of the following chunk.
     """
+    width = chunk.final - chunk.first + 1
+    dense = len(chunk.ticks) * DENSE_SHARE >= width
+    leaves = _leaves_by_array(chunk) if dense else _leaves_by_walk(chunk)
+    runs: list[tuple[int, int, int, int]] = []
+    for entry, (exit_, n_flushes) in zip(range(chunk.idle, chunk.first), leaves):
+        if runs and runs[-1][2:] == (exit_, n_flushes):
+            runs[-1] = (runs[-1][0], entry, exit_, n_flushes)
+        else:
+            runs.append((entry, entry, exit_, n_flushes))
+    return runs
+
+
+def _leaves_by_walk(chunk: Chunk) -> Iterator[tuple[int, int]]:
+    """``(leave, n_flushes)`` per entry; chains that meet are followed once."""
     ticks, running = chunk.ticks, list(accumulate(chunk.counts))
     step = _stepper(chunk, running)
     next_idle = chunk.final - chunk.interval
     known: dict[int, tuple[int, int]] = {}
-
-    def leave(last: int, begin: int) -> tuple[int, int]:
-        trail = []
+    for entry in range(chunk.idle, chunk.first):
+        idle = entry == chunk.idle
+        begin = bisect_left(ticks, chunk.first) if idle else bisect_right(ticks, entry)
+        last, trail = entry, []
         while last not in known:
-            trail.append(last)
             found = step(last, begin)
             if found is None:
                 known[last] = (max(last, next_idle), 0)
-                trail.pop()
                 break
+            trail.append(last)
             last, begin, _ = found
         exit_, n_flushes = known[last]
         for passed in reversed(trail):
             n_flushes += 1
             known[passed] = (exit_, n_flushes)
-        return exit_, n_flushes
-
-    runs: list[tuple[int, int, int, int]] = []
-    for entry in range(chunk.idle, chunk.first):
-        begin = (
-            bisect_left(ticks, chunk.first) if entry == chunk.idle else bisect_right(ticks, entry)
-        )
-        exit_, n_flushes = leave(entry, begin)
-        if runs and runs[-1][2:] == (exit_, n_flushes):
-            runs[-1] = (runs[-1][0], entry, exit_, n_flushes)
-        else:
-            runs.append((entry, entry, exit_, n_flushes))
-    return runs
+        yield exit_, n_flushes
+
+
+def _leaves_by_array(chunk: Chunk) -> Iterator[tuple[int, int]]:
+    """The same by pointer doubling over every position of the chunk."""
+    ticks = np.asarray(chunk.ticks, dtype=np.int64)
+    running = np.cumsum(np.asarray(chunk.counts, dtype=np.int64))
+    low, never = chunk.idle, chunk.final + 1
+    ticks_or_never = np.append(ticks, never)
+    before_of = np.concatenate(([0], running))
+    last = np.arange(low, never)  # position 0 stands for the idle entry
+    begin = np.searchsorted(ticks, last, side="right")
+    begin[0] = np.searchsorted(ticks, chunk.first)
+    by_time = np.maximum(last + chunk.interval, ticks_or_never[begin])
+    filled = np.searchsorted(running, before_of[begin] + chunk.buffer_size)
+    by_size = ticks_or_never[np.maximum(filled, begin)]
+    following = np.minimum(by_time, by_size)
+    ends = (begin >= len(ticks)) | (following > chunk.final)
+    jump = np.where(ends, np.arange(len(last)), following - low)
+    n_flushes = np.where(ends, 0, 1)
+    while True:
+        further = jump[jump]
+        if np.array_equal(further, jump):
+            break
+        n_flushes = n_flushes + n_flushes[jump]
+        jump = further
+    entries = chunk.first - chunk.idle
+    leave = np.maximum(last[jump[:entries]], chunk.final - chunk.interval)
+    return zip(leave.tolist(), n_flushes[:entries].tolist())
 
 
 def follow(

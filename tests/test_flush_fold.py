@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.operators import batching as B
+from millrace.operators import flush_kernel
 from millrace.operators.flush_kernel import Chunk, flushes, follow, summarise
 
 
@@ -53,7 +54,11 @@ def chunked(counts: dict[int, int], size: int, every: int, freq: int, width: int
     width=st.sampled_from([1, 4, 13, 50, 1000]),
 )
 def test_chunked_fold_equals_the_poll_loop(counts, size, every, freq, width):
-    assert chunked(counts, size, every, freq, width) == poll_by_poll(counts, size, every, freq, 400)
+    want = poll_by_poll(counts, size, every, freq, 400)
+    for share in (0, 10**9):  # walk the chains, or use arrays
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(flush_kernel, "DENSE_SHARE", share)
+            assert chunked(counts, size, every, freq, width) == want
 
 
 def test_buffer_size_zero_flushes_every_non_empty_poll():
