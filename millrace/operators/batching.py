@@ -28,7 +28,7 @@ TIME_ELAPSED = "time elapsed"
 # Offsets per slice: at most this many lines share a join or collection key.
 SLICE_SPAN = 1 << 18
 
-# Poll ticks per fold task; a task holds at most one (tick, count) pair of each.
+# Poll ticks per fold task; a task holds a (tick, count) pair per slice of each.
 CHUNK_TICKS = 1 << 18
 
 # A batch of more lines is delivered in several parts, in order.
@@ -85,6 +85,7 @@ def fold_ticks(
 ) -> DataFrame:
     """Assign every non-empty tick to the flush that carries it.
 
+    ``ticks`` has ``(route_id, tick, n)``, several rows per tick allowed.
     Returns ``(route_id, tick, n, batch_id, flush_at, n_entries, reason,
     opens)`` with one row per tick; ``opens`` marks the first tick of a batch.
     With ``horizon_ms`` the routes stop there: later ticks disappear and ticks
@@ -152,10 +153,12 @@ def _chunked(
 def _to_chunk(pdf: pd.DataFrame) -> Chunk:
     head = pdf.iloc[0]
     width, chunk = int(head["width"]), int(head["chunk"])
-    ordered = pdf.sort_values("k")
+    k, n = pdf["k"].to_numpy(), pdf["n"].to_numpy()
+    order = np.argsort(k, kind="stable")
+    ticks, starts = np.unique(k[order], return_index=True)
     return Chunk(
-        ticks=ordered["k"].tolist(),
-        counts=ordered["n"].tolist(),
+        ticks=ticks.tolist(),
+        counts=np.add.reduceat(n[order], starts).tolist(),
         first=chunk * width + 1,
         final=(chunk + 1) * width,
         buffer_size=int(head["buffer_size"]),
@@ -276,7 +279,8 @@ def batch_lines(
     """Routed lines with ``tick``, ``slice`` and the columns of their batch."""
     ticked = with_ticks(routed, slice_span, horizon_ms)
     slices = tick_slices(ticked)
-    folded = _fold(tick_counts(slices), routes, horizon_ms, chunk_ticks, small)
+    # The fold adds up the slices of a tick itself, which saves a shuffle.
+    folded = _fold(slices, routes, horizon_ms, chunk_ticks, small)
     return assign_batches(ticked, slices, folded)
 
 
