@@ -17,6 +17,7 @@ from millrace.session import is_small
 from millrace.sinks.delivery import Transport, deliver
 from millrace.sinks.files import prepare_file_routes, write_file_routes
 from millrace.sinks.requests import build_requests
+from millrace.sources.tail import is_written
 
 
 def plan_batches(
@@ -47,15 +48,17 @@ def ship_table(
     """Ship a whole line table; returns the outcomes of the network requests.
 
     The batches are written once below ``work_dir``, which both the file routes
-    and the network requests then read.  File routes append only after that
-    table is complete.
+    and the network requests then read.  A job that was interrupted can be
+    repeated with the same ``work_dir``: it finds the finished batches and goes
+    on with what has not been delivered yet.
     """
     ready = active_routes(normalize_routes(routes))
     prepare_file_routes(spark, ready)
     batches_path = f"{work_dir}/batches"
     batches = plan_batches(lines, ready, horizon_ms)
-    batches.write.mode("overwrite").partitionBy("route_id").parquet(batches_path)
+    if not is_written(batches_path):
+        batches.write.mode("overwrite").partitionBy("route_id").parquet(batches_path)
     stored = spark.read.schema(batches.schema).parquet(batches_path)
-    write_file_routes(stored, ready)
+    write_file_routes(stored, ready, f"{work_dir}/files")
     requests = build_requests(stored, ready.filter("destination.type <> 'file'"), ship_ts)
     return deliver(spark, requests, transport, f"{work_dir}/outcomes", on_failure)

@@ -6,10 +6,12 @@ part files and never rewrites earlier ones.
 
 from __future__ import annotations
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.session import BROADCAST_ROWS
+from millrace.sources.tail import open_filesystem
 
 ENTRY_SCHEMA = "path string, line string"
 
@@ -39,14 +41,35 @@ def write_entries(entries: DataFrame, target: str) -> None:
     entries.select("path", "line").write.mode("append").json(target)
 
 
-def write_file_routes(batches: DataFrame, routes: DataFrame) -> None:
+def write_file_routes(
+    batches: DataFrame, routes: DataFrame, done_dir: str | None = None
+) -> None:
     """Append the batches of every file route to its own output.
 
-    ``batches`` should be a written table: it is scanned once per file route,
-    with the route as a pushed-down filter.
+    ``batches`` should be a table written with ``partitionBy("route_id")``: each
+    file route then reads its own partition and nothing else.  ``done_dir``
+    remembers the routes already appended, so that a repeated job does not
+    append them again.
     """
     for route_id, target in file_targets(routes):
+        marker = None if done_dir is None else f"{done_dir}/route={route_id}"
+        if marker is not None and _is_marked(marker):
+            continue
         ordered = batches.filter(F.col("route_id") == route_id).sortWithinPartitions(
             "batch_id", "part"
         )
         write_entries(ordered.select(F.explode("entries").alias("e")).select("e.*"), target)
+        if marker is not None:
+            _mark(marker)
+
+
+def _is_marked(path: str) -> bool:
+    filesystem, local = open_filesystem(path)
+    return filesystem.get_file_info(local).type == pafs.FileType.File
+
+
+def _mark(path: str) -> None:
+    filesystem, local = open_filesystem(path)
+    filesystem.create_dir(local.rpartition("/")[0], recursive=True)
+    with filesystem.open_output_stream(local):
+        pass

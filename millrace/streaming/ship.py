@@ -109,13 +109,13 @@ def start_shipping(
 
     def ship(flushed: DataFrame, epoch: int) -> None:
         table = f"{work_dir}/batches/epoch={epoch}"
-        flushed.write.mode("overwrite").parquet(table)
+        flushed.write.mode("overwrite").partitionBy("route_id").parquet(table)
         stored = spark.read.schema(flushed.schema).parquet(table)
         if stored.isEmpty():
             return
         requests = build_requests(stored, network, ship_ts)
         deliver(spark, requests, transport, f"{work_dir}/outcomes/epoch={epoch}", on_failure)
-        write_file_routes(stored, ready)
+        write_file_routes(stored, ready, f"{work_dir}/files/epoch={epoch}")
 
     if buffer == "state":
         output, handle = stream_batches(lines, ready, max_part_lines=max_part_lines), ship

@@ -25,7 +25,7 @@ from millrace.operators.batching import (
     TIME_ELAPSED,
 )
 from millrace.session import is_small, join_checked
-from millrace.sources.tail import open_filesystem
+from millrace.sources.tail import is_written, open_filesystem
 
 LINE_SCHEMA = "route_id bigint, offset bigint, line string"
 CLOCK_SCHEMA = (
@@ -63,7 +63,7 @@ class TableBuffer:
         Nothing is flushed before all lines of the poll are in the buffer, and a
         flush takes the whole buffer of its route.
         """
-        if not self._is_written(f"clock/epoch={epoch}"):
+        if not is_written(self._path(f"clock/epoch={epoch}")):
             routed.select("route_id", "offset", "line").write.mode("overwrite").parquet(
                 self._path(f"lines/epoch={epoch}")
             )
@@ -156,10 +156,6 @@ class TableBuffer:
     def _path(self, name: str) -> str:
         return f"{self.work_dir}/{name}"
 
-    def _is_written(self, name: str) -> bool:
-        filesystem, local = open_filesystem(self._path(f"{name}/_SUCCESS"))
-        return filesystem.get_file_info(local).type == pafs.FileType.File
-
     def _lines(self, epochs: list[int]) -> DataFrame:
         present = [self._path(f"lines/epoch={e}") for e in epochs]
         return (
@@ -169,7 +165,7 @@ class TableBuffer:
         )
 
     def _clock(self, epoch: int) -> DataFrame:
-        if epoch < 0 or not self._is_written(f"clock/epoch={epoch}"):
+        if epoch < 0 or not is_written(self._path(f"clock/epoch={epoch}")):
             return self.spark.createDataFrame([], CLOCK_SCHEMA)
         return self.spark.read.schema(CLOCK_SCHEMA).parquet(self._path(f"clock/epoch={epoch}"))
 

@@ -145,8 +145,9 @@ def test_shipping_a_table(spark, tmp_path):
         [(f"/log/{r}", n, 1000 * (n + 1), text) for r in range(3) for n, text in enumerate(["a", "drop me", "b"])],
         "path string, offset long, arrival_us long, line string",
     )
-    outcomes = ship_table(spark, lines, routes, answer(204), str(tmp_path / "work")).collect()
-    assert [(r["route_id"], r["n_entries"], r["ok"]) for r in outcomes] == [(0, 2, True)]
+    for _ in range(2):  # the second run finds everything done
+        outcomes = ship_table(spark, lines, routes, answer(204), str(tmp_path / "work")).collect()
+        assert [(r["route_id"], r["n_entries"], r["ok"]) for r in outcomes] == [(0, 2, True)]
     written = spark.read.schema("path string, line string").json(out)
     assert sorted(tuple(r) for r in written.collect()) == [("/log/1", "a"), ("/log/1", "b")]
 
