@@ -13,11 +13,10 @@ from millrace.operators.batching import (
 )
 from millrace.operators.routing import ship_lines
 from millrace.plans.routes import active_routes, normalize_routes
-from millrace.session import is_small
+from millrace.session import is_small, is_written
 from millrace.sinks.delivery import Transport, deliver
 from millrace.sinks.files import prepare_file_routes, write_file_routes
 from millrace.sinks.requests import build_requests
-from millrace.sources.tail import is_written
 
 
 def plan_batches(
@@ -56,7 +55,7 @@ def ship_table(
     prepare_file_routes(spark, ready)
     batches_path = f"{work_dir}/batches"
     batches = plan_batches(lines, ready, horizon_ms)
-    if not is_written(batches_path):
+    if not is_written(spark, batches_path):
         batches.write.mode("overwrite").partitionBy("route_id").parquet(batches_path)
     stored = spark.read.schema(batches.schema).parquet(batches_path)
     write_file_routes(stored, ready, f"{work_dir}/files")

@@ -54,6 +54,41 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """File system and path object, so that every folder Spark can use works."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def is_written(spark: SparkSession, table: str) -> bool:
+    """Whether a table folder holds a completed write."""
+    filesystem, place = _hadoop(spark, f"{table}/_SUCCESS")
+    return filesystem.exists(place)
+
+
+def is_marked(spark: SparkSession, path: str) -> bool:
+    filesystem, place = _hadoop(spark, path)
+    return filesystem.exists(place)
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Leave an empty file."""
+    filesystem, place = _hadoop(spark, path)
+    filesystem.create(place, True).close()
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    filesystem, place = _hadoop(spark, path)
+    if not filesystem.exists(place):
+        return []
+    return [status.getPath().getName() for status in filesystem.listStatus(place)]
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    filesystem, place = _hadoop(spark, path)
+    filesystem.delete(place, True)
+
+
 def is_small(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:

@@ -6,12 +6,10 @@ part files and never rewrites earlier ones.
 
 from __future__ import annotations
 
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import BROADCAST_ROWS
-from millrace.sources.tail import open_filesystem
+from millrace.session import BROADCAST_ROWS, is_marked, mark
 
 ENTRY_SCHEMA = "path string, line string"
 
@@ -51,25 +49,14 @@ def write_file_routes(
     remembers the routes already appended, so that a repeated job does not
     append them again.
     """
+    spark = batches.sparkSession
     for route_id, target in file_targets(routes):
         marker = None if done_dir is None else f"{done_dir}/route={route_id}"
-        if marker is not None and _is_marked(marker):
+        if marker is not None and is_marked(spark, marker):
             continue
         ordered = batches.filter(F.col("route_id") == route_id).sortWithinPartitions(
             "batch_id", "part"
         )
         write_entries(ordered.select(F.explode("entries").alias("e")).select("e.*"), target)
         if marker is not None:
-            _mark(marker)
-
-
-def _is_marked(path: str) -> bool:
-    filesystem, local = open_filesystem(path)
-    return filesystem.get_file_info(local).type == pafs.FileType.File
-
-
-def _mark(path: str) -> None:
-    filesystem, local = open_filesystem(path)
-    filesystem.create_dir(local.rpartition("/")[0], recursive=True)
-    with filesystem.open_output_stream(local):
-        pass
+            mark(spark, marker)

@@ -131,12 +131,6 @@ def stat_file(path: str) -> tuple[int, int] | None:
     return 0, info.size
 
 
-def is_written(table: str) -> bool:
-    """Whether a table folder holds a completed write."""
-    filesystem, local = open_filesystem(f"{table}/_SUCCESS")
-    return filesystem.get_file_info(local).type == pafs.FileType.File
-
-
 def complete_size(path: str, low: int, high: int) -> int:
     """End of the last terminated record of ``[low, high)``, else ``low``."""
     filesystem, local = open_filesystem(path)

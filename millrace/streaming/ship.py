@@ -103,7 +103,8 @@ def start_shipping(
     prepare_file_routes(spark, ready)
     network = ready.filter("destination.type <> 'file'")
     paths = [r["path"] for r in ready.select("path").distinct().limit(BROADCAST_ROWS).collect()]
-    source_options.setdefault("cursorPath", f"{work_dir}/cursor.json")
+    if "://" not in work_dir or work_dir.startswith("file:"):
+        source_options.setdefault("cursorPath", f"{work_dir}/cursor.json")
     source_options.setdefault("heartbeat", buffer == "table")
     lines = tail_lines(spark, paths, **source_options)
 

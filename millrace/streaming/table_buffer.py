@@ -14,7 +14,6 @@ micro-batch finds its decision already written and takes the same one again.
 
 from __future__ import annotations
 
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +23,7 @@ from millrace.operators.batching import (
     SLICE_SPAN,
     TIME_ELAPSED,
 )
-from millrace.session import is_small, join_checked
-from millrace.sources.tail import is_written, open_filesystem
+from millrace.session import drop_folder, folder_names, is_small, is_written, join_checked
 
 LINE_SCHEMA = "route_id bigint, offset bigint, line string"
 CLOCK_SCHEMA = (
@@ -63,7 +61,7 @@ class TableBuffer:
         Nothing is flushed before all lines of the poll are in the buffer, and a
         flush takes the whole buffer of its route.
         """
-        if not is_written(self._path(f"clock/epoch={epoch}")):
+        if not is_written(self.spark, self._path(f"clock/epoch={epoch}")):
             routed.select("route_id", "offset", "line").write.mode("overwrite").parquet(
                 self._path(f"lines/epoch={epoch}")
             )
@@ -165,7 +163,7 @@ class TableBuffer:
         )
 
     def _clock(self, epoch: int) -> DataFrame:
-        if epoch < 0 or not is_written(self._path(f"clock/epoch={epoch}")):
+        if epoch < 0 or not is_written(self.spark, self._path(f"clock/epoch={epoch}")):
             return self.spark.createDataFrame([], CLOCK_SCHEMA)
         return self.spark.read.schema(CLOCK_SCHEMA).parquet(self._path(f"clock/epoch={epoch}"))
 
@@ -179,8 +177,7 @@ class TableBuffer:
         if needed is None:
             return
         for name, keep_from in (("lines", needed), ("clock", epoch - 1)):
-            filesystem, local = open_filesystem(self._path(name))
-            for info in filesystem.get_file_info(pafs.FileSelector(local)):
-                label, _, number = info.base_name.partition("=")
+            for folder in folder_names(self.spark, self._path(name)):
+                label, _, number = folder.partition("=")
                 if label == "epoch" and number.isdigit() and int(number) < keep_from:
-                    filesystem.delete_dir(info.path)
+                    drop_folder(self.spark, self._path(f"{name}/{folder}"))
