@@ -31,7 +31,7 @@ from millrace.sinks.delivery import check_bulk_response, deliver
 from millrace.sinks.files import write_entries
 from millrace.sinks.requests import build_requests, decode_payload, request_headers
 from millrace.sources.scan import advance_cursor, plan_scan, resume_lines
-from millrace.sources.text import frame_lines, read_lines, split_valid
+from millrace.sources.text import flag_invalid, read_lines
 from millrace.streaming.buffer import BATCH_SCHEMA, BufferSettings, buffer_stream
 from millrace.streaming.ship import buffer_settings, read_tail, start_with_state, tail_lines
 from millrace.streaming.table_buffer import TableBuffer
@@ -77,10 +77,7 @@ def utf8_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = document_lines(spark, sf_dir).withColumn(
         "line", F.when(broken, F.concat(data, F.unhex(F.lit("FF")))).otherwise(data).cast("string")
     )
-    good, bad = split_valid(lines)
-    return good.withColumn("quarantined", F.lit(False)).unionByName(
-        bad.withColumn("quarantined", F.lit(True))
-    ).select(
+    return flag_invalid(lines).select(
         "doc_id",
         "line_no",
         "quarantined",

@@ -36,6 +36,7 @@ import time
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
@@ -50,8 +51,8 @@ SOURCE_NAME = "logtail"
 TAIL_SCHEMA = "path string, inode bigint, offset bigint, arrival timestamp_ntz, line binary"
 
 DEFAULT_PARTITION_BYTES = 64 * 1024 * 1024
-READ_BYTES = 4 * 1024 * 1024
-BATCH_LINES = 16_384
+READ_BYTES = 1024 * 1024
+LINE_FEED, CARRIAGE_RETURN = 10, 13
 
 # Offset entry that moves with every poll when a heartbeat is wanted.
 _HEARTBEAT = ""
@@ -158,60 +159,65 @@ def byte_ranges(
 
 
 def read_range(part: ByteRange) -> Iterator[pa.RecordBatch]:
-    """Records of one byte range as Arrow batches."""
+    """Records of one byte range as Arrow batches, framed a block at a time."""
     filesystem, local = open_filesystem(part.path)
-    lines: list[bytes] = []
-    offsets: list[int] = []
-    for offset, record in _records(filesystem, local, part):
-        offsets.append(offset)
-        lines.append(record)
-        if len(lines) >= BATCH_LINES:
-            yield _to_batch(part, offsets, lines)
-            lines, offsets = [], []
-    if lines:
-        yield _to_batch(part, offsets, lines)
-
-
-def _records(filesystem, local: str, part: ByteRange) -> Iterator[tuple[int, bytes]]:
     with filesystem.open_input_file(local) as handle:
         # One byte earlier tells whether a record starts right at the edge.
-        at = part.start if part.first else part.start - 1
-        handle.seek(at)
-        position, read_at, skipping = at, at, not part.first
+        position = read_at = part.start if part.first else part.start - 1
+        handle.seek(position)
+        skipping = not part.first
         tail: list[bytes] = []  # blocks of the record not yet ended
         while position < part.stop:
             block = handle.read(min(READ_BYTES, part.limit - read_at))
             read_at += len(block)
+            cut = block.rfind(b"\n") + 1
             if not block:
                 rest = b"".join(tail)
                 if rest and not skipping:
-                    yield position, rest
+                    yield _to_batch(part, np.array([position]), np.array([0, len(rest)]), rest)
                 return
-            *records, last = block.split(b"\n")
-            if records:
-                records[0] = b"".join(tail) + records[0]
-                tail = []
-            if last:
-                tail.append(last)
-            for record in records:
-                begin, position = position, position + len(record) + 1
-                if skipping:
-                    skipping = False
-                elif begin >= part.stop:
-                    return
-                else:
-                    yield begin, record[:-1] if record.endswith(b"\r") else record
-
-
-def _to_batch(part: ByteRange, offsets: list[int], lines: list[bytes]) -> pa.RecordBatch:
-    n = len(lines)
+            if not cut:
+                tail.append(block)
+                continue
+            records = b"".join([*tail, block[:cut]])
+            tail = [block[cut:]]
+            yield from _frame(part, records, position, skipping)
+            position, skipping = position + len(records), False
+
+
+def _frame(
+    part: ByteRange, records: bytes, position: int, skip_first: bool
+) -> Iterator[pa.RecordBatch]:
+    """Terminated records that start before the range stops, without terminators."""
+    data = np.frombuffer(records, dtype=np.uint8)
+    ends = np.flatnonzero(data == LINE_FEED)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    mine = slice(int(skip_first), int(np.searchsorted(starts, part.stop - position)))
+    starts, ends = starts[mine], ends[mine]
+    if not len(starts):
+        return
+    after_cr = (ends > starts) & (data[ends - 1] == CARRIAGE_RETURN)
+    wanted = np.zeros(len(data), dtype=bool)
+    wanted[starts[0] : ends[-1]] = True
+    wanted[ends] = False
+    wanted[ends[after_cr] - 1] = False
+    bounds = np.concatenate(([0], np.cumsum(ends - starts - after_cr)))
+    yield _to_batch(part, position + starts, bounds, data[wanted])
+
+
+def _to_batch(part: ByteRange, offsets, bounds, values) -> pa.RecordBatch:
+    """Rows of lines that lie back to back in ``values``."""
+    n = len(offsets)
+    lines = pa.Array.from_buffers(
+        pa.binary(), n, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(values)]
+    )
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([part.path] * n, pa.string()),
-            pa.array([part.inode] * n, pa.int64()),
-            pa.array(offsets, pa.int64()),
-            pa.array([part.arrival_us] * n, pa.timestamp("us")),
-            pa.array(lines, pa.binary()),
+            pa.repeat(pa.scalar(part.path), n),
+            pa.repeat(pa.scalar(part.inode, pa.int64()), n),
+            pa.array(offsets.astype(np.int64)),
+            pa.repeat(pa.scalar(part.arrival_us, pa.int64()), n).cast(pa.timestamp("us")),
+            lines,
         ],
         schema=_ARROW_SCHEMA,
     )

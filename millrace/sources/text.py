@@ -55,7 +55,15 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
+def flag_invalid(lines: DataFrame, column: str = "line") -> DataFrame:
+    """Add ``quarantined``: whether the line is not valid UTF-8."""
+    return lines.withColumn("quarantined", ~F.is_valid_utf8(F.col(column)))
+
+
 def split_valid(lines: DataFrame, column: str = "line") -> tuple[DataFrame, DataFrame]:
-    """Separate valid UTF-8 from quarantined rows; no row is lost."""
-    valid = F.is_valid_utf8(F.col(column))
-    return lines.filter(valid), lines.filter(~valid)
+    """Separate valid lines from quarantined ones; no row is lost."""
+    flagged = flag_invalid(lines, column)
+    return (
+        flagged.filter(~F.col("quarantined")).drop("quarantined"),
+        flagged.filter("quarantined").drop("quarantined"),
+    )

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from millrace.sources.scan import advance_cursor, plan_scan, resume_lines
 from millrace.sources.tail import TailStreamReader, read_range, tail_options
@@ -219,9 +218,13 @@ def test_partial_lines_are_emitted_or_held(tmp_path):
     assert hold.lines() == ["two"]
 
 
+@pytest.mark.parametrize("read_bytes", [1, 3, 1 << 20])
 @pytest.mark.parametrize("partition_bytes", [1, 2, 3, 7, 1000])
 @pytest.mark.parametrize("data", [b"a\n\nbb\nccc\r\n\nlong record here\nx", b"\n\n\n", b"abc", b"ab\r\ncd\n"])
-def test_byte_ranges_neither_lose_nor_repeat_records(tmp_path, partition_bytes, data):
+def test_byte_ranges_neither_lose_nor_repeat_records(
+    tmp_path, monkeypatch, partition_bytes, data, read_bytes
+):
+    monkeypatch.setattr("millrace.sources.tail.READ_BYTES", read_bytes)
     path = tmp_path / "a.log"
     append(path, data)
     tail = Poller([str(path)], startingOffsets="earliest", partitionBytes=partition_bytes)
