@@ -233,7 +233,7 @@ ORACLES["ship_accounting"] = _event_query(
     rf"""SELECT path, count(*) FILTER (WHERE keep) AS kept, count(*) FILTER (WHERE NOT keep) AS dropped
 FROM (SELECT path, {_LEVELS} AND NOT regexp_matches(line, '\[test\]') AS keep FROM lines) GROUP BY path"""
 )
-ORACLES["entry_projection"] = _route_query("SELECT path, line FROM routed")
+ORACLES["entry_projection"] = _route_query('SELECT route_id, "offset", path, line FROM routed')
 
 # -- routing ------------------------------------------------------------------
 

@@ -12,7 +12,12 @@ from millrace.functions import encoding as E
 from millrace.functions.predicates import java_patterns
 from millrace.operators import batching as B
 from millrace.operators.routing import allow_lines, deny_lines, route_lines, ship_lines
-from millrace.operators.selection import passthrough_flag, select_lines, ship_accounting
+from millrace.operators.selection import (
+    passthrough_flag,
+    select_lines,
+    ship_accounting,
+    to_entries,
+)
 from millrace.plans.routes import has_auth, normalize_routes, validate_routes
 from millrace.plans.shipping import plan_batches
 from millrace.queries.tables import (
@@ -163,7 +168,7 @@ def ship_accounting_(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def entry_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record that leaves the system, for every kept line of every route."""
-    return ship_lines(event_lines(spark, sf_dir), event_routes(spark)).select("path", "line")
+    return to_entries(ship_lines(event_lines(spark, sf_dir), event_routes(spark)))
 
 
 # -- routing ------------------------------------------------------------------
@@ -646,14 +651,14 @@ def stream_table_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _stop_when_quiet(stream, quiet_s: float, limit_s: int = 3600) -> None:
+def _stop_when_quiet(stream, quiet_s: float) -> None:
     """Stop a stateful stream once no input has come in for ``quiet_s``.
 
     Its micro-batches keep running without input, so that timers fire.
     """
-    deadline, last_input, seen, quiet = time.time() + limit_s, time.time(), -1, 0
+    last_input, seen, quiet = time.time(), -1, 0
     try:
-        while time.time() < deadline and (quiet < 3 or time.time() - last_input < quiet_s):
+        while quiet < 3 or time.time() - last_input < quiet_s:
             time.sleep(0.05)
             if stream.exception() is not None:
                 raise stream.exception()

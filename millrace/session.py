@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only when a bounded probe shows it within both limits.
+# A side is broadcast only when a count shows it within both limits.
 BROADCAST_ROWS = 20_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 
@@ -94,15 +94,12 @@ def is_small(
 ) -> bool:
     """Whether ``df`` is within the broadcast limits.
 
-    Reads at most ``max_rows + 1`` rows and brings two numbers to the driver.
+    Counts rows and bytes where the rows are and brings two numbers to the
+    driver, so that asking about a large table does no harm either.
     """
     width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    probe = (
-        df.limit(max_rows + 1)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes"))
-        .first()
-    )
-    return probe["n"] <= max_rows and (probe["bytes"] or 0) <= max_bytes
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).first()
+    return size["n"] <= max_rows and (size["bytes"] or 0) <= max_bytes
 
 
 def join_checked(
