@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.functions.predicates import first_bad_pattern
+from millrace.session import is_small
 
 # Defaults of a route.
 DEFAULT_BUFFER_SIZE = 100
@@ -292,3 +293,14 @@ def active_routes(routes: DataFrame) -> DataFrame:
     return (
         validate_routes(routes).filter("valid").select(*[f.name for f in ROUTE_SCHEMA.fields])
     )
+
+
+def ready_routes(spark: SparkSession, routes: DataFrame) -> DataFrame:
+    """Normalized valid routes, with the validation done once.
+
+    A table of checked size becomes a local relation; a larger one stays a plan.
+    """
+    ready = active_routes(normalize_routes(routes))
+    if not is_small(ready):
+        return ready
+    return routes_table(spark, [row.asDict(recursive=True) for row in ready.collect()])

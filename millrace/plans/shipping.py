@@ -12,7 +12,7 @@ from millrace.operators.batching import (
     collect_batches,
 )
 from millrace.operators.routing import ship_lines
-from millrace.plans.routes import active_routes, normalize_routes
+from millrace.plans.routes import ready_routes
 from millrace.session import is_small, is_written
 from millrace.sinks.delivery import Transport, deliver
 from millrace.sinks.files import prepare_file_routes, write_file_routes
@@ -51,7 +51,7 @@ def ship_table(
     repeated with the same ``work_dir``: it finds the finished batches and goes
     on with what has not been delivered yet.
     """
-    ready = active_routes(normalize_routes(routes))
+    ready = ready_routes(spark, routes)
     prepare_file_routes(spark, ready)
     batches_path = f"{work_dir}/batches"
     batches = plan_batches(lines, ready, horizon_ms)

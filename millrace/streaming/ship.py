@@ -11,7 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from millrace.operators.batching import MAX_PART_LINES
 from millrace.operators.routing import ship_lines
-from millrace.plans.routes import active_routes, normalize_routes
+from millrace.plans.routes import ready_routes
 from millrace.session import BROADCAST_ROWS
 from millrace.sinks.delivery import Transport, deliver
 from millrace.sinks.files import prepare_file_routes, write_file_routes
@@ -99,7 +99,7 @@ def start_shipping(
     """
     if buffer not in ("table", "state"):
         raise ValueError("buffer must be 'table' or 'state'")
-    ready = active_routes(normalize_routes(routes))
+    ready = ready_routes(spark, routes)
     prepare_file_routes(spark, ready)
     network = ready.filter("destination.type <> 'file'")
     paths = [r["path"] for r in ready.select("path").distinct().limit(BROADCAST_ROWS).collect()]
