@@ -27,8 +27,8 @@ from millrace.session import drop_folder, folder_names, is_small, is_written, jo
 
 LINE_SCHEMA = "route_id bigint, offset bigint, line string"
 CLOCK_SCHEMA = (
-    "route_id bigint, path string, n bigint, last_flush bigint, flushes bigint, first_epoch bigint, "
-    "flushed boolean, reason string, flush_at bigint, n_entries bigint, from_epoch bigint"
+    "route_id bigint, path string, n bigint, last_flush bigint, last_poll bigint, "
+    "flushes bigint, first_epoch bigint, flushed boolean, reason string, flush_at bigint, n_entries bigint, from_epoch bigint"
 )
 
 # Slices per micro-batch in the numbering of parts.
@@ -48,7 +48,9 @@ class TableBuffer:
         slice_span: int = SLICE_SPAN,
     ):
         self.spark = spark
-        self.routes = routes.select("route_id", "path", "buffer_size", "flush_interval_ms")
+        self.routes = routes.select(
+            "route_id", "path", "polling_frequency_ms", "buffer_size", "flush_interval_ms"
+        )
         self.small = is_small(self.routes)
         self.work_dir = work_dir
         self.started_ms = started_ms
@@ -58,6 +60,8 @@ class TableBuffer:
     def poll(self, routed: DataFrame, epoch: int, now_ms: int) -> DataFrame | None:
         """Take in one micro-batch; returns the batches it flushes, if any.
 
+        Micro-batches follow the shortest poll period.  A route with a longer
+        one only collects its lines until its own next poll is due.
         Nothing is flushed before all lines of the poll are in the buffer, and a
         flush takes the whole buffer of its route.
         """
@@ -78,11 +82,16 @@ class TableBuffer:
             self._lines([epoch]).groupBy("route_id").agg(F.count(F.lit(1)).alias("fresh"))
         )
         before = self._clock(epoch - 1).select(
-            "route_id", F.col("n").alias("kept"), "last_flush", "flushes", "first_epoch"
+            "route_id", F.col("n").alias("kept"), "last_flush", "last_poll", "flushes", "first_epoch"
         )
         n = F.coalesce("kept", F.lit(0)) + F.coalesce("fresh", F.lit(0))
         full = F.col("n") >= F.col("buffer_size")
         elapsed = F.lit(now_ms) - F.col("last_flush") >= F.col("flush_interval_ms")
+        polls = [
+            F.call_function("div", moment - self.started_ms, F.col("polling_frequency_ms"))
+            for moment in (F.lit(now_ms), F.col("last_poll"))
+        ]
+        polled = F.coalesce(polls[0] > polls[1], F.lit(True))
         flushed = F.col("flushed")
         emptied = flushed | (F.col("n") == 0)
         state = (
@@ -92,13 +101,15 @@ class TableBuffer:
             .withColumn("last_flush", F.coalesce("last_flush", F.lit(self.started_ms)))
             .withColumn("flushes", F.coalesce("flushes", F.lit(0)))
             .withColumn("first_epoch", F.coalesce("first_epoch", F.lit(epoch)))
-            .withColumn("flushed", (F.col("n") > 0) & (full | elapsed))
+            .withColumn("polled", polled)
+            .withColumn("flushed", F.col("polled") & (F.col("n") > 0) & (full | elapsed))
         )
         columns = {
             "route_id": F.col("route_id"),
             "path": F.col("path"),
             "n": F.when(flushed, 0).otherwise(F.col("n")),
             "last_flush": F.when(flushed, now_ms).otherwise(F.col("last_flush")),
+            "last_poll": F.when(F.col("polled"), now_ms).otherwise(F.col("last_poll")),
             "flushes": F.col("flushes") + flushed.cast("int"),
             "first_epoch": F.when(emptied, epoch + 1).otherwise(F.col("first_epoch")),
             "flushed": flushed,

@@ -165,3 +165,18 @@ def test_table_buffer_cuts_large_batches_into_ordered_parts(spark, tmp_path):
     # Slices of three offsets, kept apart by micro-batch: 0-2, 3 | 4-5, 6-8.
     assert [r["n_entries"] for r in rows] == [3, 1, 2, 3]
     assert {r["batch_id"] for r in rows} == {1}
+
+
+def test_table_buffer_keeps_to_each_route_s_own_polls(spark, tmp_path):
+    routes = routes_for(spark, ["burst"]).withColumn("polling_frequency_ms", F.lit(1000).cast("long"))
+    tables = TableBuffer(spark, routes, str(tmp_path), started_ms=0)
+    sizes = []
+    for epoch, now in enumerate([1000, 1300, 1600, 2050, 2100]):
+        routed = spark.range(6).select(
+            F.lit(0).cast("long").alias("route_id"),
+            (F.col("id") + 6 * epoch).alias("offset"),
+            F.lit("x").alias("line"),
+        )
+        batches = tables.poll(routed, epoch, now)
+        sizes.append(0 if batches is None else batches.first()["n_entries"])
+    assert sizes == [6, 0, 0, 18, 0]
