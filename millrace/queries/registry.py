@@ -604,7 +604,7 @@ def stream_dual_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_dir(spark, "buffered")
     lines = _line_stream(spark, sf_dir, out)
     settings = {
-        route_id: BufferSettings(s.path, 50, 500)
+        route_id: BufferSettings(s.path, 100, 50, 500)
         for route_id, s in buffer_settings(event_routes(spark)).items()
     }
     stream = start_with_state(

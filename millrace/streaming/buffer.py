@@ -42,6 +42,7 @@ STATE_PROVIDER = (
 @dataclass(frozen=True)
 class BufferSettings:
     path: str
+    polling_frequency_ms: int
     buffer_size: int
     flush_interval_ms: int
 
@@ -62,35 +63,64 @@ class FlushProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.buffer = handle.getListState("buffer", "line string")
-        self.clock = handle.getValueState("clock", "n bigint, last_flush bigint, flushes bigint")
+        self.clock = handle.getValueState(
+            "clock", "n bigint, last_flush bigint, last_poll bigint, flushes bigint"
+        )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         route = self.settings[key[0]]
-        n, last_flush, flushes = self._load()
+        n, last_flush, last_poll, flushes = self._load()
         fresh = pd.concat(list(rows), ignore_index=True).sort_values("offset", kind="stable")
-        n += len(fresh)
         lines = fresh["line"].tolist()
+        n += len(lines)
         now = timerValues.getCurrentProcessingTimeInMs()
-        full = n >= route.buffer_size
-        if full or now - last_flush >= route.flush_interval_ms:
-            yield self._flush(key[0], lines, now, BUFFER_FULL if full else TIME_ELAPSED, flushes)
-            return
+        if self._poll_number(route, now) > self._poll_number(route, last_poll):
+            last_poll = now
+            reason = _reason(route, n, now - last_flush)
+            if reason is not None:
+                yield self._flush(key[0], lines, now, reason, flushes)
+                return
         self.buffer.appendList([(line,) for line in lines])
-        self.clock.update((n, last_flush, flushes))
-        if n == len(lines):  # first lines after a flush: arm the time trigger
-            self.handle.registerTimer(last_flush + route.flush_interval_ms)
+        self._wait(route, n, last_flush, last_poll, flushes)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        n, _, flushes = self._load()
-        if n > 0:
-            now = timerValues.getCurrentProcessingTimeInMs()
-            yield self._flush(key[0], [], now, TIME_ELAPSED, flushes)
+        route = self.settings[key[0]]
+        n, last_flush, _, flushes = self._load()
+        if n == 0:
+            return
+        now = timerValues.getCurrentProcessingTimeInMs()
+        reason = _reason(route, n, now - last_flush)
+        if reason is not None:
+            yield self._flush(key[0], [], now, reason, flushes)
+        else:
+            self._wait(route, n, last_flush, now, flushes)
 
     def close(self) -> None:
         pass
 
-    def _load(self) -> tuple[int, int, int]:
-        return self.clock.get() if self.clock.exists() else (0, self.started_ms, 0)
+    def _load(self) -> tuple[int, int, int, int]:
+        if self.clock.exists():
+            return self.clock.get()
+        return 0, self.started_ms, self.started_ms, 0
+
+    def _poll_number(self, route: BufferSettings, at_ms: int) -> int:
+        return (at_ms - self.started_ms) // route.polling_frequency_ms
+
+    def _wait(
+        self, route: BufferSettings, n: int, last_flush: int, last_poll: int, flushes: int
+    ) -> None:
+        """Keep the buffer and come back at the next poll that could flush it."""
+        self.clock.update((n, last_flush, last_poll, flushes))
+        poll = self._poll_number(route, last_poll) + 1
+        if n < route.buffer_size:
+            expires = last_flush + route.flush_interval_ms - self.started_ms
+            poll = max(poll, -(-expires // route.polling_frequency_ms))
+        self._clear_timers()
+        self.handle.registerTimer(self.started_ms + poll * route.polling_frequency_ms)
+
+    def _clear_timers(self) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
 
     def _flush(
         self, route_id: int, fresh: list[str], now: int, reason: str, flushes: int
@@ -98,9 +128,8 @@ class FlushProcessor(StatefulProcessor):
         buffered = [row[0] for row in self.buffer.get()] if self.buffer.exists() else []
         lines = buffered + fresh
         self.buffer.clear()
-        self.clock.update((0, now, flushes + 1))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        self.clock.update((0, now, now, flushes + 1))
+        self._clear_timers()
         path = self.settings[route_id].path
         rows = []
         for part, at in enumerate(range(0, len(lines), self.max_part_lines)):
@@ -112,6 +141,13 @@ class FlushProcessor(StatefulProcessor):
         return pd.DataFrame(rows, columns=_COLUMNS)
 
 
+def _reason(route: BufferSettings, n: int, since_flush_ms: int) -> str | None:
+    """Why a non-empty buffer is flushed at this poll; the size comes first."""
+    if n >= route.buffer_size:
+        return BUFFER_FULL
+    return TIME_ELAPSED if since_flush_ms >= route.flush_interval_ms else None
+
+
 def buffer_stream(
     routed: DataFrame,
     settings: dict[int, BufferSettings],

@@ -48,7 +48,9 @@ def read_tail(spark: SparkSession, paths: Sequence[str], **options) -> DataFrame
 def buffer_settings(routes: DataFrame) -> dict[int, BufferSettings]:
     """Per-route settings for the stateful operator (a checked small table)."""
     rows = (
-        routes.select("route_id", "path", "buffer_size", "flush_interval_ms")
+        routes.select(
+            "route_id", "path", "polling_frequency_ms", "buffer_size", "flush_interval_ms"
+        )
         .limit(BROADCAST_ROWS + 1)
         .collect()
     )

@@ -91,7 +91,6 @@ class TableBuffer:
             F.call_function("div", moment - self.started_ms, F.col("polling_frequency_ms"))
             for moment in (F.lit(now_ms), F.col("last_poll"))
         ]
-        polled = F.coalesce(polls[0] > polls[1], F.lit(True))
         flushed = F.col("flushed")
         emptied = flushed | (F.col("n") == 0)
         state = (
@@ -101,7 +100,8 @@ class TableBuffer:
             .withColumn("last_flush", F.coalesce("last_flush", F.lit(self.started_ms)))
             .withColumn("flushes", F.coalesce("flushes", F.lit(0)))
             .withColumn("first_epoch", F.coalesce("first_epoch", F.lit(epoch)))
-            .withColumn("polled", polled)
+            .withColumn("last_poll", F.coalesce("last_poll", F.lit(self.started_ms)))
+            .withColumn("polled", polls[0] > polls[1])
             .withColumn("flushed", F.col("polled") & (F.col("n") > 0) & (full | elapsed))
         )
         columns = {
