@@ -1,0 +1 @@
+"""Log routing and batching on Spark."""
