@@ -27,7 +27,7 @@ DIMENSION = 1024
 UNKNOWN = "und"
 
 # Codes of n-grams whose vectors a task keeps; others are made when met.
-MAX_KEPT = 1 << 16
+MAX_KEPT = 1 << 15
 
 # Bits per character in the code of an n-gram.
 _CHAR_BITS = 21
@@ -54,8 +54,9 @@ class Profiles:
         self.gram, self.dimension = gram, dimension
         self._letters: dict[int, np.ndarray] = {}
         self._table = _letter_table()
-        self._known = np.zeros(0, dtype=np.int64)
-        self._vectors = np.zeros((0, dimension), dtype=np.int8)
+        self._known = np.zeros(0, dtype=np.int64)  # sorted codes
+        self._place = np.zeros(0, dtype=np.int64)  # of their vectors
+        self._vectors = np.empty((MAX_KEPT, dimension), dtype=np.float32)
 
     def letters(self, text: str) -> np.ndarray:
         codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
@@ -63,7 +64,8 @@ class Profiles:
         blank = codes == 32
         # One blank between words and at both ends.
         kept = codes[~(blank & np.concatenate(([True], blank[:-1])))] if len(codes) else codes
-        return np.concatenate(([32], kept, [32] if len(kept) and kept[-1] != 32 else []))
+        last = [32] if len(kept) and kept[-1] != 32 else kept[:0]
+        return np.concatenate(([32], kept, last))
 
     def grams(self, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct n-gram codes and how often each occurs."""
@@ -93,8 +95,7 @@ class Profiles:
         total = np.zeros(self.dimension, dtype=np.float64)
         for first in range(0, len(codes), MAX_KEPT // 4):
             part = slice(first, first + MAX_KEPT // 4)
-            vectors = self._of(codes[part]).astype(np.float32)
-            total += counts[part].astype(np.float32) @ vectors
+            total += counts[part].astype(np.float32) @ self._of(codes[part])
         return total
 
     def _of(self, codes: np.ndarray) -> np.ndarray:
@@ -104,13 +105,15 @@ class Profiles:
         if not found.all():
             new = codes[~found]
             if len(self._known) + len(new) > MAX_KEPT:
-                self._known, self._vectors, new = self._known[:0], self._vectors[:0], codes
-            made = np.array([self.bind(int(code)) for code in new])
+                self._known, self._place, new = self._known[:0], self._place[:0], codes
+            place = np.arange(len(self._known), len(self._known) + len(new))
+            for row, code in zip(place.tolist(), new.tolist()):
+                self._vectors[row] = self.bind(code)
             at = np.searchsorted(self._known, new)
             self._known = np.insert(self._known, at, new)
-            self._vectors = np.insert(self._vectors, at, made, axis=0)
+            self._place = np.insert(self._place, at, place)
             at = np.searchsorted(self._known, codes)
-        return self._vectors[at]
+        return self._vectors[self._place[at]]
 
     def of_text(self, text: str | None) -> np.ndarray | None:
         """The bundle of a text; None if it has no letter."""
