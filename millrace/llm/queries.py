@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, language, topk
+from millrace.llm import decontamination, html_text, language, topk, toxicity
 from millrace.llm.common import held_out, table
 
 
@@ -17,6 +17,15 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
+    known = labels.filter(~held_out("doc_id", 5, 0))
+    lexicon = toxicity.learn(toxicity.labelled_sample(docs, known, "toxic"))
+    marked = docs.withColumn("held_out", held_out("doc_id", 5, 0))
+    return toxicity.score(marked, lexicon).drop("text")
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
@@ -29,10 +38,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(marked.select("doc_id", "text", "held_out"), *known).drop("text")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return html_text.extract(pages).drop("html")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op3_toxicity": op3_toxicity,
     "op7_exact_topk": op7_exact_topk,
     "op8_language_id": op8_language_id,
+    "op9_html_extraction": op9_html_extraction,
 }
 
 # SQL over the same tables, where SQL can express the result.
