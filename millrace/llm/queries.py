@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, html_text, language, topk, toxicity
-from millrace.llm.common import held_out, table
+from millrace.llm import decontamination, html_text, language, quality, topk, toxicity
+from millrace.llm.common import held_out, table, written
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(marked, lexicon).drop("text")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality").filter(~held_out("doc_id", 3, 1))
+    one_each = labels.groupBy("doc_id").agg(F.max("quality").alias("label"))
+    marked = docs.withColumn("held_out", held_out("doc_id", 3, 1))
+    described = written(quality.describe(marked).drop("text"), "quality")
+    weights = quality.learn(described.join(one_each, "doc_id", "left"))
+    return quality.score(described, weights).drop("measures")
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
@@ -46,6 +56,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_toxicity": op3_toxicity,
+    "op5_quality": op5_quality,
     "op7_exact_topk": op7_exact_topk,
     "op8_language_id": op8_language_id,
     "op9_html_extraction": op9_html_extraction,
