@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, html_text, language, quality, topk, toxicity
+from millrace.llm import (
+    decontamination,
+    html_text,
+    language,
+    pieces,
+    quality,
+    repair,
+    topk,
+    toxicity,
+)
 from millrace.llm.common import held_out, table, written
 
 
@@ -26,6 +36,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(marked, lexicon).drop("text")
 
 
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    stored = repair.write(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return repair.digests(repair.read_documents(stored))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "quality").filter(~held_out("doc_id", 3, 1))
@@ -53,13 +69,29 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages).drop("html")
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    read = pieces.decode(pieces.encode(docs, model), model)
+    as_read = F.translate(F.coalesce("text", F.lit("")), pieces.BLANK, " ")
+    return read.select(
+        "doc_id",
+        "n_tokens",
+        "ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == as_read).alias("round_trip"),
+    )
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_toxicity": op3_toxicity,
+    "op4_token_shards": op4_token_shards,
     "op5_quality": op5_quality,
     "op7_exact_topk": op7_exact_topk,
     "op8_language_id": op8_language_id,
     "op9_html_extraction": op9_html_extraction,
+    "op10_pieces": op10_pieces,
 }
 
 # SQL over the same tables, where SQL can express the result.
