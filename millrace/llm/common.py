@@ -6,7 +6,7 @@ result column takes the place of an input column of the same name.
 
 from __future__ import annotations
 
-import uuid
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -88,6 +88,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, label)
     df.write.parquet(path)
+    # What the finished steps shuffled is deleted once the driver's references
+    # to it are collected; on an idle driver that can take long.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -95,6 +99,3 @@ def held_out(column: str, parts: int, part: int):
     """Whether ``crc32`` of the id as text leaves ``part`` modulo ``parts``."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % parts == part, F.lit(False))
 
-
-def label(name: str) -> str:
-    return f"{name}-{uuid.uuid4().hex[:8]}"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace.llm import (
     decontamination,
     html_text,
+    jaccard,
     language,
     pieces,
     quality,
@@ -52,6 +53,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(described, weights).drop("measures")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
@@ -88,6 +93,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_token_shards": op4_token_shards,
     "op5_quality": op5_quality,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_exact_topk": op7_exact_topk,
     "op8_language_id": op8_language_id,
     "op9_html_extraction": op9_html_extraction,
