@@ -99,3 +99,54 @@ def held_out(column: str, parts: int, part: int):
     """Whether ``crc32`` of the id as text leaves ``part`` modulo ``parts``."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % parts == part, F.lit(False))
 
+
+def shared_rows(rows: DataFrame) -> DataFrame:
+    """Rows whose key another row has too.
+
+    Rows arrive sorted by key and pass by; only the last one is held back.  A
+    key has at most one row per document, a small part of a document's rows.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        held_shared = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column("key").to_numpy()
+            same = np.concatenate(([False], keys[1:] == keys[:-1], [False]))
+            if held is not None:
+                same[0] = held.column("key")[0].as_py() == keys[0]
+                if held_shared or same[0]:
+                    yield held
+            shared = same[:-1] | same[1:]
+            held, held_shared = batch.slice(len(keys) - 1), bool(shared[-1])
+            yield batch.filter(pa.array(np.concatenate((shared[:-1], [False]))))
+        if held is not None and held_shared:
+            yield held
+
+    ordered = rows.repartition("key").sortWithinPartitions("key")
+    return ordered.mapInArrow(run, rows.schema)
+
+
+def groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows with equal keys together; the rows come sorted by them."""
+    parts: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        changed = np.zeros(batch.num_rows, dtype=bool)
+        for column in columns:
+            changed[1:] |= column[1:] != column[:-1]
+        starts = [0, *np.flatnonzero(changed).tolist(), batch.num_rows]
+        for a, b in zip(starts, starts[1:]):
+            key = tuple(int(column[a]) for column in columns)
+            if parts and key != last:
+                yield pa.Table.from_batches(parts)
+                parts = []
+            parts.append(batch.slice(a, b - a))
+            last = key
+    if parts:
+        yield pa.Table.from_batches(parts)

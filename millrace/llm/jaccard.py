@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import add_columns, mix, slices, written
+from millrace.llm.common import add_columns, groups, mix, shared_rows, slices, written
 from millrace.llm.components import components
 from millrace.llm.shingles import shingle_sets
 
@@ -179,35 +179,6 @@ def _key_rows(docs: DataFrame, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "key bigint, doc bigint, need int")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows whose key another row has too.
-
-    Rows arrive sorted by key and pass by; only the last one is held back.  A
-    key has at most one row per document, a small part of a document's rows.
-    """
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None
-        held_shared = False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column("key").to_numpy()
-            same = np.concatenate(([False], keys[1:] == keys[:-1], [False]))
-            if held is not None:
-                same[0] = held.column("key")[0].as_py() == keys[0]
-                if held_shared or same[0]:
-                    yield held
-            shared = same[:-1] | same[1:]
-            held, held_shared = batch.slice(len(keys) - 1), bool(shared[-1])
-            yield batch.filter(pa.array(np.concatenate((shared[:-1], [False]))))
-        if held is not None and held_shared:
-            yield held
-
-    ordered = rows.repartition("key").sortWithinPartitions("key")
-    return ordered.mapInArrow(run, rows.schema)
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose texts are similar enough."""
 
@@ -312,7 +283,7 @@ def _compare(percent: int) -> Callable:
                 yield np.full(len(found), doc[i]), doc[found]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["key", "low", "high"]):
+        for group in groups(batches, ["key", "low", "high"]):
             if group.num_rows < 2:
                 continue
             for one, other in pairs(group):
@@ -324,29 +295,6 @@ def _compare(percent: int) -> Callable:
     return run
 
 
-def _groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Rows with equal keys together; the rows come sorted by them."""
-    parts: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy() for k in keys]
-        changed = np.zeros(batch.num_rows, dtype=bool)
-        for column in columns:
-            changed[1:] |= column[1:] != column[:-1]
-        starts = [0, *np.flatnonzero(changed).tolist(), batch.num_rows]
-        for a, b in zip(starts, starts[1:]):
-            key = tuple(int(column[a]) for column in columns)
-            if parts and key != last:
-                yield pa.Table.from_batches(parts)
-                parts = []
-            parts.append(batch.slice(a, b - a))
-            last = key
-    if parts:
-        yield pa.Table.from_batches(parts)
-
-
 def link(
     docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -364,7 +312,7 @@ def link(
     )
     alone = known.filter("doc = stand").dropDuplicates(["doc", "digest"])
 
-    shared = written(_shared(_key_rows(texts.filter("doc is not null"), percent)), "shared-blocks")
+    shared = written(shared_rows(_key_rows(texts.filter("doc is not null"), percent)), "shared-blocks")
     often = shared.groupBy("doc", "need").agg(F.collect_list("key").alias("keys"))
     members = written(
         often.filter(F.size("keys") >= F.col("need"))

@@ -34,7 +34,7 @@ from sentencepiece import sentencepiece_model_pb2
 from millrace.llm.common import add_columns
 
 BLANK = "▁"
-MAX_CACHED = 1 << 19
+MAX_CACHED = 1 << 18
 
 # Fixed values of the model format: kinds of models and of pieces.
 _UNIGRAM, _BPE = 1, 2

@@ -14,6 +14,7 @@ from millrace.llm import (
     pieces,
     quality,
     repair,
+    repeats,
     topk,
     toxicity,
 )
@@ -28,11 +29,19 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return repeats.remove_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
     known = labels.filter(~held_out("doc_id", 5, 0))
-    lexicon = toxicity.learn(toxicity.labelled_sample(docs, known, "toxic"))
+    sample = written(toxicity.labelled_sample(docs, known, "toxic"), "labelled")
+    lexicon = toxicity.learn(sample)
     marked = docs.withColumn("held_out", held_out("doc_id", 5, 0))
     return toxicity.score(marked, lexicon).drop("text")
 
@@ -90,6 +99,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_token_shards": op4_token_shards,
     "op5_quality": op5_quality,
