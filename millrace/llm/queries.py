@@ -49,7 +49,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     stored = repair.write(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return repair.digests(repair.read_documents(stored))
+    return repair.read_documents(stored, digest=True)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
