@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
@@ -13,6 +14,8 @@ from pyspark.sql import types as T
 
 from millrace.functions.patterns import literal_form, pattern_problem, to_java_pattern
 
+_NAMED_GROUP = re.compile(r"\(\?P?<")
+
 
 def found(line: Column, pattern: str) -> Column:
     """True when ``pattern`` is found anywhere in the line.
@@ -35,8 +38,20 @@ def found(line: Column, pattern: str) -> Column:
 
 
 def any_found(line: Column, patterns: Sequence[str]) -> Column:
-    """True when at least one pattern is found; false for no patterns."""
-    return reduce(or_, [found(line, p) for p in patterns], F.lit(False))
+    """True when at least one pattern is found; false for no patterns.
+
+    Several patterns become one alternation, so that a long list is one small
+    expression.  Patterns with named groups stay apart, as names may repeat.
+    """
+    for pattern in patterns:
+        to_java_pattern(pattern)
+    plain = [p for p in patterns if not _NAMED_GROUP.search(p)]
+    tests = [found(line, p) for p in patterns if _NAMED_GROUP.search(p)]
+    if len(plain) == 1:
+        tests.append(found(line, plain[0]))
+    elif plain:
+        tests.append(line.rlike("|".join(f"(?:{to_java_pattern(p)})" for p in plain)))
+    return reduce(or_, tests, F.lit(False))
 
 
 def matches_allow_list(line: Column, match_on: Sequence[str]) -> Column:

@@ -31,6 +31,9 @@ SLICE_SPAN = 1 << 18
 # Poll ticks per fold task; a task holds a (tick, count) pair per slice of each.
 CHUNK_TICKS = 1 << 18
 
+# Longer intervals count as this long: about 70 million years.
+LONGEST_MS = 1 << 61
+
 # A batch of more lines is delivered in several parts, in order.
 MAX_PART_LINES = 100_000
 
@@ -40,7 +43,7 @@ _TICK_BATCHES = (
 )
 _SUMMARIES = (
     "route_id bigint, chunk bigint, idle bigint, low bigint, high bigint, "
-    "leave bigint, n_flushes bigint"
+    "leave bigint, n_flushes bigint, shift boolean"
 )
 
 
@@ -125,8 +128,13 @@ def _chunked(
         "route_id",
         F.col("polling_frequency_ms").alias("period"),
         "buffer_size",
-        F.greatest(
-            F.lit(1), F.call_function("div", F.col("flush_interval_ms") + period - 1, period)
+        # No time stamp lies further ahead than the longest interval.
+        F.least(
+            F.greatest(
+                F.lit(1),
+                F.call_function("div", F.col("flush_interval_ms") - 1, period) + 1,
+            ),
+            F.call_function("div", F.lit(LONGEST_MS), period),
         ).alias("interval"),
     ).withColumn("width", F.greatest("interval", F.lit(chunk_ticks)))
     placed = (
@@ -168,7 +176,7 @@ def _to_chunk(pdf: pd.DataFrame) -> Chunk:
 
 def _summarise_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     chunk = _to_chunk(pdf)
-    runs = pd.DataFrame(summarise(chunk), columns=["low", "high", "leave", "n_flushes"])
+    runs = pd.DataFrame(summarise(chunk), columns=["low", "high", "leave", "n_flushes", "shift"])
     runs.insert(0, "idle", chunk.idle)
     runs.insert(0, "chunk", key[1])
     runs.insert(0, "route_id", key[0])
@@ -176,9 +184,9 @@ def _summarise_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _follow_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row per chunk and run: grows with the covered time, not with lines."""
+    """One row per chunk and run: grows with non-empty polls, not with lines."""
     ordered = pdf.sort_values(["chunk", "low"])
-    columns = ["low", "high", "leave", "n_flushes"]
+    columns = ["low", "high", "leave", "n_flushes", "shift"]
     summaries = [
         (chunk, int(group["idle"].iloc[0]), list(zip(*[group[c].tolist() for c in columns])))
         for chunk, group in ordered.groupby("chunk", sort=True)
@@ -311,7 +319,8 @@ def collect_batches(
             part.cast("bigint").alias("part"),
             "flush_at",
             "reason",
-            F.struct("offset", "line").alias("item"),
+            # Offsets start again when a file was replaced; polls never do.
+            F.struct("tick", "offset", "line").alias("item"),
         )
         .groupBy("route_id", "batch_id", "part")
         .agg(

@@ -81,46 +81,136 @@ def _stepper(chunk: Chunk, running: list[int]):
     return step
 
 
-def summarise(chunk: Chunk) -> list[tuple[int, int, int, int]]:
+# Entries ``low..high`` leave the chunk after ``n_flushes`` flushes at tick
+# ``leave``, or each ``leave`` ticks after itself where ``shift`` is set.
+Run = tuple[int, int, int, int, bool]
+
+
+def summarise(chunk: Chunk) -> list[Run]:
     """Where every possible entry leaves the chunk.
 
-    Returns runs ``(low, high, leave, n_flushes)`` over the entries; ``leave``
-    is an entry of the following chunk.
+    Returns runs ``(low, high, leave, n_flushes, shift)`` over the entries; what
+    they leave at is an entry of the following chunk.  The work follows the
+    non-empty ticks, however long the interval is.
     """
     width = chunk.final - chunk.first + 1
-    dense = len(chunk.ticks) * DENSE_SHARE >= width
-    leaves = _leaves_by_array(chunk) if dense else _leaves_by_walk(chunk)
-    runs: list[tuple[int, int, int, int]] = []
-    for entry, (exit_, n_flushes) in zip(range(chunk.idle, chunk.first), leaves):
-        if runs and runs[-1][2:] == (exit_, n_flushes):
-            runs[-1] = (runs[-1][0], entry, exit_, n_flushes)
+    if len(chunk.ticks) * DENSE_SHARE >= width:
+        leaves = _leaves_by_array(chunk)
+        found = [
+            (entry, entry, leave, n, False)
+            for entry, (leave, n) in zip(range(chunk.idle, chunk.first), leaves)
+        ]
+    else:
+        found = sorted(_Segments(chunk).runs())
+    runs: list[Run] = []
+    for run in found:
+        if runs and runs[-1][2:] == run[2:]:
+            runs[-1] = (runs[-1][0], *run[1:])
         else:
-            runs.append((entry, entry, exit_, n_flushes))
+            runs.append(run)
     return runs
 
 
-def _leaves_by_walk(chunk: Chunk) -> Iterator[tuple[int, int]]:
-    """``(leave, n_flushes)`` per entry; chains that meet are followed once."""
-    ticks, running = chunk.ticks, list(accumulate(chunk.counts))
-    step = _stepper(chunk, running)
-    next_idle = chunk.final - chunk.interval
-    known: dict[int, tuple[int, int]] = {}
-    for entry in range(chunk.idle, chunk.first):
-        idle = entry == chunk.idle
-        begin = bisect_left(ticks, chunk.first) if idle else bisect_right(ticks, entry)
-        last, trail = entry, []
-        while last not in known:
-            found = step(last, begin)
-            if found is None:
-                known[last] = (max(last, next_idle), 0)
+class _Segments:
+    """Entries between two non-empty ticks have the same next line.
+
+    They flush together: at that line's tick, at the tick that fills the
+    buffer, or each an interval after itself.  So a stretch of entries is
+    followed as one, and cut only where it meets a tick.
+    """
+
+    def __init__(self, chunk: Chunk):
+        self.chunk = chunk
+        self.running = list(accumulate(chunk.counts))
+        self.next_idle = chunk.final - chunk.interval
+        self.known: dict[int, tuple[int, int]] = {}
+
+    def runs(self) -> Iterator[Run]:
+        chunk = self.chunk
+        begin = bisect_left(chunk.ticks, chunk.first)
+        flush = self._flush_of(begin, chunk.idle, chunk.idle)
+        yield from self._resolved(chunk.idle, chunk.idle, 0, 0, flush)
+        # Stretches of entries, how far they have moved, and their flushes.
+        open_: list[tuple[int, int, int, int]] = []
+        if chunk.idle + 1 < chunk.first:
+            open_.append((chunk.idle + 1, chunk.first - 1, 0, 0))
+        while open_:
+            low, high, moved, n = open_.pop()
+            for a, b, flush in self._pieces(low + moved, high + moved):
+                part = (a - moved, b - moved)
+                if flush == "later":
+                    open_.append((*part, moved + chunk.interval, n + 1))
+                else:
+                    yield from self._resolved(*part, moved, n, flush)
+
+    def _pieces(self, low: int, high: int) -> Iterator[tuple[int, int, int | str | None]]:
+        """``low..high`` by what comes next: a tick, ``"later"``, or None."""
+        ticks = self.chunk.ticks
+        while low <= high:
+            begin = bisect_right(ticks, low)
+            top = min(high, ticks[begin] - 1) if begin < len(ticks) else high
+            yield from self._split(begin, low, top)
+            low = top + 1
+
+    def _split(self, begin: int, low: int, high: int):
+        chunk = self.chunk
+        if begin >= len(chunk.ticks):
+            yield low, high, None
+            return
+        line, filled = chunk.ticks[begin], self._filled(begin)
+        # Up to here the interval is over when the line comes.
+        at_line = min(high, line - chunk.interval)
+        if low <= at_line:
+            yield low, at_line, line
+        low = max(low, at_line + 1)
+        # From here on the buffer fills before the interval is over.
+        by_size = high + 1 if filled is None else max(low, min(high + 1, filled - chunk.interval))
+        inside = min(by_size - 1, chunk.final - chunk.interval)
+        if low <= inside:
+            yield low, inside, "later"
+        if max(low, inside + 1) < by_size:
+            yield max(low, inside + 1), by_size - 1, None
+        if by_size <= high:
+            yield by_size, high, filled
+
+    def _filled(self, begin: int) -> int | None:
+        before = self.running[begin - 1] if begin else 0
+        at = bisect_left(self.running, before + self.chunk.buffer_size, begin)
+        return self.chunk.ticks[at] if at < len(self.chunk.ticks) else None
+
+    def _flush_of(self, begin: int, low: int, high: int) -> int | str | None:
+        (piece,) = self._split(begin, low, high)
+        return piece[2]
+
+    def _resolved(self, low: int, high: int, moved: int, n: int, flush) -> Iterator[Run]:
+        if flush == "later":
+            flush = low + moved + self.chunk.interval
+        if flush is not None:
+            leave, more = self._from_tick(flush)
+            yield low, high, leave, n + 1 + more, False
+            return
+        # Nothing flushes any more; what lies far back counts as idle.
+        bound = self.next_idle - moved
+        if low <= bound:
+            yield low, min(high, bound), self.next_idle, n, False
+        if high > bound:
+            yield max(low, bound + 1), high, moved, n, True
+
+    def _from_tick(self, last: int) -> tuple[int, int]:
+        """Where a flush at one tick leads; chains that meet are followed once."""
+        trail = []
+        while last not in self.known:
+            flush = self._flush_of(bisect_right(self.chunk.ticks, last), last, last)
+            if flush is None:
+                self.known[last] = (max(last, self.next_idle), 0)
                 break
             trail.append(last)
-            last, begin, _ = found
-        exit_, n_flushes = known[last]
+            last = last + self.chunk.interval if flush == "later" else flush
+        leave, n = self.known[last]
         for passed in reversed(trail):
-            n_flushes += 1
-            known[passed] = (exit_, n_flushes)
-        yield exit_, n_flushes
+            n += 1
+            self.known[passed] = (leave, n)
+        return leave, n
 
 
 def _leaves_by_array(chunk: Chunk) -> Iterator[tuple[int, int]]:
@@ -152,7 +242,7 @@ def _leaves_by_array(chunk: Chunk) -> Iterator[tuple[int, int]]:
 
 
 def follow(
-    summaries: Sequence[tuple[int, int, Sequence[tuple[int, int, int, int]]]],
+    summaries: Sequence[tuple[int, int, Sequence[Run]]],
 ) -> Iterator[tuple[int, int, int]]:
     """Chain chunk summaries ``(chunk, idle_entry, runs)`` given in order.
 
@@ -164,8 +254,8 @@ def follow(
         if chunk != expected or entry < idle:
             entry = idle
         yield chunk, entry, done
-        for low, high, leave, n_flushes in runs:
+        for low, high, leave, n_flushes, shift in runs:
             if low <= entry <= high:
-                entry, done = leave, done + n_flushes
+                entry, done = entry + leave if shift else leave, done + n_flushes
                 break
         expected = chunk + 1

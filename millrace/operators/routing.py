@@ -12,12 +12,7 @@ from millrace.functions.predicates import (
     ship_predicate,
     ship_predicate_from_columns,
 )
-from millrace.session import BROADCAST_ROWS, is_small, join_checked
-
-# Up to this many patterns the rules are spelled out as literal predicates;
-# generated code stays below the method size limit.
-MAX_LITERAL_PATTERNS = 200
-
+from millrace.session import is_small, join_checked
 
 def route_lines(lines: DataFrame, routes: DataFrame, small: bool | None = None) -> DataFrame:
     """Give every line to every route on its path; other lines go nowhere.
@@ -34,9 +29,7 @@ def apply_rules(routed: DataFrame, routes: DataFrame, small: bool | None = None)
     if small is None:
         small = is_small(rules)
     if small:
-        literal = literal_rules(rules)
-        if literal is not None:
-            return routed.filter(literal)
+        return routed.filter(literal_rules(rules))
     translated = rules.select(
         "route_id",
         java_patterns("match_on").alias("_match"),
@@ -47,18 +40,16 @@ def apply_rules(routed: DataFrame, routes: DataFrame, small: bool | None = None)
     return joined.filter(keep).drop("_match", "_exclude")
 
 
-def literal_rules(rules: DataFrame) -> Column | None:
-    """One predicate over ``route_id`` and ``line`` for a checked rule table.
+def literal_rules(rules: DataFrame) -> Column:
+    """One predicate over ``route_id`` and ``line`` for a rule table of checked size.
 
-    Routes with the same rules share a branch.  ``None`` when there are too
-    many patterns to spell out.
+    Routes with the same rules share a branch, and a list of patterns is one
+    alternation.
     """
     shared: dict[tuple, list[int]] = {}
-    for row in rules.limit(BROADCAST_ROWS).collect():
+    for row in rules.collect():
         key = (tuple(row["match_on"]), tuple(row["exclude_on"]))
         shared.setdefault(key, []).append(row["route_id"])
-    if sum(len(m) + len(x) for m, x in shared) > MAX_LITERAL_PATTERNS:
-        return None
     branches = [
         F.col("route_id").isin(ids) & ship_predicate(match_on, exclude_on)
         for (match_on, exclude_on), ids in shared.items()

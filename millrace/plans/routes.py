@@ -244,6 +244,10 @@ def destination_problem(dest: Column) -> Column:
             ~F.lower(protocol).isin(*SYSLOG_PROTOCOLS),
             F.concat(F.lit("Invalid syslog protocol: "), protocol, F.lit(" (use 'udp' or 'tcp')")),
         ),
+        (
+            ~F.coalesce(dest["port"], F.lit(0)).between(0, 65535),
+            F.lit("Invalid syslog port (use 0 to 65535)"),
+        ),
     )
     elasticsearch = first_of(
         (dest["url"].isNull(), F.lit(NO_URL)),
@@ -255,7 +259,7 @@ def destination_problem(dest: Column) -> Column:
         .when(kind == "syslog", syslog)
         .when(kind == "elasticsearch", elasticsearch)
         .when(kind == "file", file)
-        .otherwise(F.concat(F.lit("Unknown destination type: "), kind))
+        .otherwise(F.concat(F.lit("Unknown destination type: "), F.coalesce(kind, F.lit("<none>"))))
     )
 
 
@@ -271,8 +275,11 @@ def validate_routes(routes: DataFrame) -> DataFrame:
         F.concat(F.lit("Invalid match_on regex "), F.col("_bad_match")),
         F.concat(F.lit("Invalid exclude_on regex "), F.col("_bad_exclude")),
         F.when(
-            F.col("polling_frequency_ms") < 1, F.lit("polling_frequency_ms must be at least 1")
+            F.coalesce("polling_frequency_ms", F.lit(0)) < 1,
+            F.lit("polling_frequency_ms must be at least 1"),
         ),
+        F.when(F.col("buffer_size") < 0, F.lit("buffer_size must not be negative")),
+        F.when(F.col("flush_interval_ms") < 0, F.lit("flush_interval_ms must not be negative")),
     )
     # An empty key still wins over a basic pair when the header is built.
     empty_key = (dest["type"] == "http") & (dest["api_key"] == "") & dest["basic"].isNotNull()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import socket
+
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from millrace.functions.encoding import DEFAULT_TAG
 from millrace.operators.batching import (
     CHUNK_TICKS,
     MAX_PART_LINES,
@@ -17,6 +20,7 @@ from millrace.session import is_small, is_written
 from millrace.sinks.delivery import Transport, deliver
 from millrace.sinks.files import prepare_file_routes, write_file_routes
 from millrace.sinks.requests import build_requests
+from millrace.sources.text import split_valid
 
 
 def plan_batches(
@@ -43,9 +47,16 @@ def ship_table(
     horizon_ms: int | None = None,
     ship_ts: Column | None = None,
     on_failure: str = "drop",
+    host: str | None = None,
+    tag: str = DEFAULT_TAG,
+    zone: str = "UTC",
 ) -> DataFrame:
     """Ship a whole line table; returns the outcomes of the network requests.
 
+    Lines that are not valid UTF-8 are set aside in ``work_dir/quarantine``.
+    ``host`` (default: this machine's name), ``tag`` and ``zone`` go into syslog
+    messages.
+
     The batches are written once below ``work_dir``, which both the file routes
     and the network requests then read.  A job that was interrupted can be
     repeated with the same ``work_dir``: it finds the finished batches and goes
@@ -54,10 +65,15 @@ def ship_table(
     ready = ready_routes(spark, routes)
     prepare_file_routes(spark, ready)
     batches_path = f"{work_dir}/batches"
-    batches = plan_batches(lines, ready, horizon_ms)
+    usable, rest = split_valid(lines)
+    if not is_written(spark, f"{work_dir}/quarantine"):
+        rest.write.mode("overwrite").parquet(f"{work_dir}/quarantine")
+    batches = plan_batches(usable, ready, horizon_ms)
     if not is_written(spark, batches_path):
         batches.write.mode("overwrite").partitionBy("route_id").parquet(batches_path)
     stored = spark.read.schema(batches.schema).parquet(batches_path)
     write_file_routes(stored, ready, f"{work_dir}/files")
-    requests = build_requests(stored, ready.filter("destination.type <> 'file'"), ship_ts)
+    host = socket.gethostname() if host is None else host
+    network = ready.filter("destination.type <> 'file'")
+    requests = build_requests(stored, network, ship_ts, host, tag, zone)
     return deliver(spark, requests, transport, f"{work_dir}/outcomes", on_failure)

@@ -16,7 +16,7 @@ lines AS (
     || CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN'
                        WHEN 'view' THEN 'DEBUG' ELSE 'INFO' END
     || ' - user_' || CAST(user_id AS VARCHAR) || ' ' || event_type
-    || ' duration: ' || CAST(CAST(floor(value * 10) AS BIGINT) AS VARCHAR) || 'ms ERR-'
+    || ' took ' || CAST(CAST(floor(value * 10) AS BIGINT) AS VARCHAR) || 'ms EVT-'
     || lpad(CAST(event_id % 10000 AS VARCHAR), 4, '0')
     || CASE user_id % 10 WHEN 0 THEN ' [test]' WHEN 1 THEN ' [dev]' ELSE '' END AS line
   FROM events)"""
@@ -33,14 +33,14 @@ routes(route_id, path, freq, size, every) AS (VALUES
 
 _ALLOWED = r"""CASE route_id
     WHEN 0 THEN regexp_matches(line, 'ERROR')
-    WHEN 1 THEN regexp_matches(line, 'ERR-[0-9]{4}')
-    WHEN 4 THEN regexp_matches(line, 'duration: [1-9]\d{3,}ms') OR regexp_matches(line, 'WARN')
+    WHEN 1 THEN regexp_matches(line, 'EVT-[0-9]{4}')
+    WHEN 4 THEN regexp_matches(line, 'took [1-9]\d{3,}ms') OR regexp_matches(line, 'WARN')
     WHEN 6 THEN regexp_matches(line, 'WARN')
     ELSE TRUE END"""
 
 _DENIED = r"""CASE route_id
     WHEN 1 THEN regexp_matches(line, '\[test\]') OR regexp_matches(line, 'error.*dev')
-    WHEN 3 THEN regexp_matches(line, 'ERR-1\d{3}')
+    WHEN 3 THEN regexp_matches(line, 'EVT-1\d{3}')
     WHEN 4 THEN regexp_matches(line, 'DEBUG')
     WHEN 6 THEN regexp_matches(line, '\[dev\]')
     ELSE FALSE END"""
@@ -220,10 +220,10 @@ ORACLES["match_and_exclude"] = _selection(
 )
 ORACLES["passthrough"] = _selection("TRUE")
 ORACLES["regex_timestamp_anchor"] = _selection(
-    r"(regexp_matches(line, '^\[\d{4}-\d{2}-\d{2}') OR regexp_matches(line, 'ERR-[0-9]{4}'))"
-    " AND NOT (regexp_matches(line, 'ERR-1001') OR regexp_matches(line, 'error.*test'))"
+    r"(regexp_matches(line, '^\[20\d\d-\d\d-\d\d ') OR regexp_matches(line, 'EVT-[0-9]{4}'))"
+    " AND NOT (regexp_matches(line, 'EVT-1001') OR regexp_matches(line, 'error.*test'))"
 )
-ORACLES["regex_counted_class"] = _selection(r"regexp_matches(line, 'duration: [1-9]\d{3,}ms')")
+ORACLES["regex_counted_class"] = _selection(r"regexp_matches(line, 'took [1-9]\d{3,}ms')")
 ORACLES["regex_dialect"] = f"""
 WITH {_DOC_LINES} SELECT doc_id, line_no, line FROM doc_lines
 WHERE (regexp_matches(line, '(?P<first>[[:upper:]]{{2,}})\\s+\\d+$')
@@ -454,10 +454,20 @@ WHERE {_LEVELS} AND NOT (regexp_matches(line, '\[test\]') OR regexp_matches(line
 
 # -- streams ------------------------------------------------------------------
 
-_TOTALS = _route_query(
-    """SELECT route_id, count(*) AS n_lines, count(*) AS n_labelled,
-  count(DISTINCT line) AS n_distinct, CAST(sum(strlen(line)) AS BIGINT) AS n_bytes
-FROM routed GROUP BY route_id"""
+ORACLES["stream_dual_trigger"] = _route_query(
+    f"""SELECT route_id, count(*) AS n_lines, count(*) AS n_labelled,
+  count(DISTINCT line) AS n_distinct, CAST(sum(strlen(line)) AS BIGINT) AS n_bytes,
+  true AS several, true AS gapless, true AS reasons_right
+FROM routed WHERE arrival_us > 0 AND arrival_us <= {1000 * HORIZON_MS} GROUP BY route_id"""
 )
-ORACLES["stream_dual_trigger"] = _TOTALS
-ORACLES["stream_table_buffer"] = _TOTALS
+
+# The same buffer with a tenth of the horizon as every route's poll period.
+_STREAM_ROUTES = f"""{_ROUTES.replace("routes(", "given(", 1)},
+routes AS (
+  SELECT route_id, path, {HORIZON_MS // 10}::BIGINT AS freq,
+    (150 * (1 + route_id % 4))::BIGINT AS size, 600000000::BIGINT AS every FROM given)"""
+_STREAM_CTES = ",".join([_LINES, _STREAM_ROUTES, _ROUTED, _TICKED, _FLUSHES, _ASSIGNED])
+ORACLES["stream_table_buffer"] = f"""WITH RECURSIVE {_STREAM_CTES}
+SELECT route_id, batch_id, any_value(flush_at) AS flush_at, any_value(reason) AS reason,
+  count(*) AS n_entries, md5(string_agg(line, chr(10) ORDER BY tick, "offset")) AS lines_md5
+FROM entries GROUP BY route_id, batch_id"""

@@ -142,13 +142,13 @@ def passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def regex_timestamp_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patterns = [r"^\[\d{4}-\d{2}-\d{2}", "ERR-[0-9]{4}"]
-    return _selected(spark, sf_dir, patterns, ["ERR-1001", "error.*test"])
+    patterns = [r"^\[20\d\d-\d\d-\d\d ", "EVT-[0-9]{4}"]
+    return _selected(spark, sf_dir, patterns, ["EVT-1001", "error.*test"])
 
 
 @query
 def regex_counted_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _selected(spark, sf_dir, [r"duration: [1-9]\d{3,}ms"])
+    return _selected(spark, sf_dir, [r"took [1-9]\d{3,}ms"])
 
 
 @query
@@ -572,39 +572,39 @@ def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("path string, line string").parquet(f"{out}/data")
 
 
-def _line_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    """Routed event lines, written once and streamed back a few files at a time."""
-    routed = ship_lines(event_lines(spark, sf_dir), event_routes(spark))
-    routed.select("route_id", "offset", "line").write.parquet(f"{folder}/lines")
-    return (
-        spark.readStream.schema("route_id bigint, offset bigint, line string")
-        .option("maxFilesPerTrigger", 8)
-        .parquet(f"{folder}/lines")
-    )
-
+# Stream queries get the event lines as so many files, one per micro-batch.
+STREAM_POLLS = 10
+STREAM_PERIOD_MS = HORIZON_MS // STREAM_POLLS
+STREAM_INTERVAL_MS = 600_000_000
 
-def _batch_totals(batches: DataFrame) -> DataFrame:
-    """What must hold at any speed: every line in exactly one batch of its route.
 
-    When a stream flushes depends on the clock, so the batches themselves differ
-    from run to run.
-    """
-    entries = batches.select("route_id", "path", F.explode("entries").alias("entry"))
-    return entries.groupBy("route_id").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.count_if(F.col("entry.path") == F.col("path")).alias("n_labelled"),
-        F.countDistinct("entry.line").alias("n_distinct"),
-        F.sum(F.octet_length("entry.line")).cast("bigint").alias("n_bytes"),
-    )
+def _line_stream(spark: SparkSession, sf_dir: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Routed event lines, and the same as a stream of one file per virtual poll."""
+    routed = ship_lines(event_lines(spark, sf_dir), event_routes(spark))
+    first = F.lit(1000 * STREAM_PERIOD_MS)
+    poll = F.call_function("div", F.col("arrival_us") - 1, first)
+    kept = routed.filter((F.col("arrival_us") > 0) & (poll < STREAM_POLLS))
+    for number in range(STREAM_POLLS):
+        # Streams take files in the order in which they were written.
+        part = kept.filter(poll == number).select("route_id", "offset", "line")
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/lines")
+    schema = "route_id bigint, offset bigint, line string"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    return kept, stream.parquet(f"{folder}/lines")
 
 
 @query
 def stream_dual_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stateful buffer over a stream of routed lines."""
-    out = scratch_dir(spark, "buffered")
-    lines = _line_stream(spark, sf_dir, out)
+    """The stateful buffer over a stream of routed lines.
+
+    When it flushes depends on the clock.  What must hold at any speed: every
+    line in one batch of its route, several batches, numbers without gaps, and
+    "buffer full" for those that reach the size and for no others.
+    """
+    out, size = scratch_dir(spark, "buffered"), 20
+    kept, lines = _line_stream(spark, sf_dir, out)
     settings = {
-        route_id: BufferSettings(s.path, 100, 50, 500)
+        route_id: BufferSettings(s.path, 100, size, 500)
         for route_id, s in buffer_settings(event_routes(spark)).items()
     }
     stream = start_with_state(
@@ -617,21 +617,40 @@ def stream_dual_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
         .option("path", f"{out}/batches"),
         keys=len(settings),
     )
-    _stop_when_quiet(stream, quiet_s=2)
-    return _batch_totals(spark.read.schema(BATCH_SCHEMA).parquet(f"{out}/batches"))
+    _stop_after(stream, f"{out}/batches", kept.count())
+    batches = spark.read.schema(BATCH_SCHEMA).parquet(f"{out}/batches")
+    full = (F.col("reason") == "buffer full") == (F.col("n_entries") >= size)
+    checks = batches.groupBy("route_id").agg(
+        (F.count(F.lit(1)) > 1).alias("several"),
+        (F.max("batch_id") == F.countDistinct("batch_id")).alias("gapless"),
+        F.bool_and(full).alias("reasons_right"),
+    )
+    entries = batches.select("route_id", "path", F.explode("entries").alias("entry"))
+    totals = entries.groupBy("route_id").agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count_if(F.col("entry.path") == F.col("path")).alias("n_labelled"),
+        F.countDistinct("entry.line").alias("n_distinct"),
+        F.sum(F.octet_length("entry.line")).cast("bigint").alias("n_bytes"),
+    )
+    return totals.join(checks, "route_id")
 
 
 @query
 def stream_table_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The buffer over written tables; a last, much later poll empties it."""
+    """The buffer over written tables, one micro-batch per virtual poll."""
     out = scratch_dir(spark, "tabled")
-    lines = _line_stream(spark, sf_dir, out)
-    tables = TableBuffer(spark, event_routes(spark), f"{out}/buffer", started_ms=0)
-    epochs = []
-
-    def poll(kept: DataFrame, epoch: int, now_ms: int | None = None) -> None:
-        flushed = tables.poll(kept, epoch, 1000 * epoch if now_ms is None else now_ms)
-        epochs.append(epoch)
+    _, lines = _line_stream(spark, sf_dir, out)
+    routes = event_routes(spark).withColumns(
+        {
+            "polling_frequency_ms": F.lit(STREAM_PERIOD_MS).cast("bigint"),
+            "buffer_size": (150 * (1 + F.col("route_id") % 4)).cast("bigint"),
+            "flush_interval_ms": F.lit(STREAM_INTERVAL_MS).cast("bigint"),
+        }
+    )
+    tables = TableBuffer(spark, routes, f"{out}/buffer", started_ms=0)
+
+    def poll(kept: DataFrame, epoch: int) -> None:
+        flushed = tables.poll(kept, epoch, STREAM_PERIOD_MS * (epoch + 1))
         if flushed is not None:
             flushed.write.mode("overwrite").parquet(f"{out}/batches/epoch={epoch}")
 
@@ -644,29 +663,27 @@ def stream_table_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream.awaitTermination()
     if stream.exception() is not None:
         raise stream.exception()
-    nothing = spark.createDataFrame([], "route_id bigint, offset bigint, line string")
-    poll(nothing, max(epochs) + 1, HORIZON_MS)
-    return _batch_totals(
-        spark.read.schema(f"{BATCH_SCHEMA}, epoch bigint").parquet(f"{out}/batches")
+    batches = spark.read.schema(f"{BATCH_SCHEMA}, epoch bigint").parquet(f"{out}/batches")
+    text = F.array_join(F.transform("entries", lambda e: e["line"]), "\n")
+    return batches.select(
+        "route_id", "batch_id", "flush_at", "reason", "n_entries", F.md5(text).alias("lines_md5")
     )
 
 
-def _stop_when_quiet(stream, quiet_s: float) -> None:
-    """Stop a stateful stream once no input has come in for ``quiet_s``.
-
-    Its micro-batches keep running without input, so that timers fire.
-    """
-    last_input, seen, quiet = time.time(), -1, 0
+def _stop_after(stream, path: str, n_lines: int, limit_s: float = 300) -> None:
+    """Stop a stateful stream once all lines have been written."""
+    spark, began = SparkSession.active(), time.time()
     try:
-        while quiet < 3 or time.time() - last_input < quiet_s:
-            time.sleep(0.05)
+        while time.time() - began < limit_s:
+            time.sleep(0.3)
             if stream.exception() is not None:
                 raise stream.exception()
             progress = stream.lastProgress
-            if progress is None or progress["batchId"] == seen:
+            if progress is None or progress["batchId"] < 1:
                 continue
-            seen = progress["batchId"]
-            quiet = 0 if progress["numInputRows"] else quiet + 1
-            last_input = time.time() if progress["numInputRows"] else last_input
+            batches = spark.read.schema(BATCH_SCHEMA).parquet(path)
+            if batches.agg(F.sum("n_entries")).first()[0] == n_lines:
+                return
+        raise TimeoutError(f"the stream did not write {n_lines} lines")
     finally:
         stream.stop()

@@ -34,7 +34,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN'
                             WHEN 'view' THEN 'DEBUG' ELSE 'INFO' END,
             ' - user_', CAST(user_id AS STRING), ' ', event_type,
-            ' duration: ', CAST(CAST(floor(value * 10) AS BIGINT) AS STRING), 'ms ERR-',
+            ' took ', CAST(CAST(floor(value * 10) AS BIGINT) AS STRING), 'ms EVT-',
             lpad(CAST(event_id % 10000 AS STRING), 4, '0'),
             CASE user_id % 10 WHEN 0 THEN ' [test]' WHEN 1 THEN ' [dev]' ELSE '' END)"""
         ).alias("line"),
@@ -46,13 +46,13 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ROUTES = [
     ("/var/log/app/error.log", 600_000, 7, 21_600_000, ["ERROR"], [],
      {"type": "http", "endpoint": "http://collector:8000/ingest", "api_key": "k-123"}),
-    ("/var/log/app/error.log", 300_000, 20, 3_600_000, [r"ERR-[0-9]{4}"], [r"\[test\]", "error.*dev"],
+    ("/var/log/app/error.log", 300_000, 20, 3_600_000, [r"EVT-[0-9]{4}"], [r"\[test\]", "error.*dev"],
      {"type": "elasticsearch", "url": "http://search:9200//", "index": "logs-errors"}),
     ("/var/log/app/click.log", 600_000, 50, 7_200_000, [], [],
      {"type": "syslog", "host": "audit.local", "protocol": "TCP"}),
-    ("/var/log/app/view.log", 900_000, 12, 43_200_000, [], [r"ERR-1\d{3}"],
+    ("/var/log/app/view.log", 900_000, 12, 43_200_000, [], [r"EVT-1\d{3}"],
      {"type": "syslog", "host": "audit.local"}),
-    ("/var/log/app/purchase.log", 60_000, 5, 1_800_000, [r"duration: [1-9]\d{3,}ms", "WARN"], ["DEBUG"],
+    ("/var/log/app/purchase.log", 60_000, 5, 1_800_000, [r"took [1-9]\d{3,}ms", "WARN"], ["DEBUG"],
      {"type": "file", "path": "/backup/purchase.jsonl"}),
     ("/var/log/app/idle.log", 1_000, None, None, None, None,
      {"type": "http", "endpoint": "http://collector:8000/idle"}),

@@ -137,19 +137,45 @@ def deliver(
     transport: Transport,
     outcomes_path: str,
     on_failure: str = "drop",
+    groups: int = 1,
+    ordered: bool = False,
 ) -> DataFrame:
     """Send the requests and write their outcomes to ``outcomes_path``.
 
     Requests with an outcome there are not sent again, so an interrupted job can
-    be repeated.  Speculative task copies would send twice and are refused.
+    be repeated.  They are sent in ``groups``, and the outcomes of a group are
+    stored before the next one starts.  With ``on_failure="fail"`` all outcomes
+    are stored before the job fails, and a repeated job sends again only what
+    has not succeeded.  ``ordered`` sends the batches of a route one after the
+    other, each route in one task.  Speculative task copies would send twice and
+    are refused.
     """
+    if on_failure not in ("drop", "fail"):
+        raise ValueError("on_failure must be 'drop' or 'fail'")
     if spark.conf.get("spark.speculation", "false").lower() == "true":
         raise RuntimeError("switch spark.speculation off for delivery jobs")
     settled = _existing(spark, outcomes_path)
+    if settled is not None and on_failure == "fail":
+        settled = settled.filter("ok")
     if settled is not None:
         requests = requests.join(settled.select("request_id"), "request_id", "left_anti")
-    settle(send(requests, transport), on_failure).write.mode("append").parquet(outcomes_path)
-    return spark.read.parquet(outcomes_path)
+    spread = F.pmod(F.xxhash64("route_id" if ordered else "request_id"), F.lit(groups))
+    for group in range(groups):
+        part = requests if groups == 1 else requests.filter(spread == group)
+        if ordered:
+            order = ("route_id", "batch_id", "part")
+            part = part.repartition("route_id").sortWithinPartitions(*order)
+        settle(send(part, transport)).write.mode("append").parquet(outcomes_path)
+    outcomes = spark.read.parquet(outcomes_path)
+    if on_failure == "drop":
+        return outcomes
+    # A request that was repeated counts by its success.
+    latest = F.max_by(F.struct("*"), F.col("ok")).alias("latest")
+    outcomes = outcomes.groupBy("request_id").agg(latest).select("latest.*")
+    failed = outcomes.filter(~F.col("ok")).select("request_id", "error").take(1)
+    if failed:
+        raise RuntimeError(f"request {failed[0]['request_id']}: {failed[0]['error']}")
+    return outcomes
 
 
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:

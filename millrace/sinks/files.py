@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import BROADCAST_ROWS, is_marked, mark
+from millrace.session import is_marked, mark
 
 ENTRY_SCHEMA = "path string, line string"
 
@@ -26,11 +26,8 @@ def file_targets(routes: DataFrame) -> list[tuple[int, str]]:
     rows = (
         routes.filter(F.col("destination.type") == "file")
         .select("route_id", F.col("destination.path").alias("target"))
-        .limit(BROADCAST_ROWS + 1)
         .collect()
     )
-    if len(rows) > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} file routes")
     return [(row["route_id"], row["target"]) for row in rows]
 
 
@@ -50,7 +47,13 @@ def write_file_routes(
     append them again.
     """
     spark = batches.sparkSession
-    for route_id, target in file_targets(routes):
+    targets = file_targets(routes)
+    if not targets:
+        return
+    shipped = {row["route_id"] for row in batches.select("route_id").distinct().collect()}
+    for route_id, target in targets:
+        if route_id not in shipped:
+            continue
         marker = None if done_dir is None else f"{done_dir}/route={route_id}"
         if marker is not None and is_marked(spark, marker):
             continue

@@ -21,8 +21,10 @@ Options
                         byte limit and the cursors of missing files also hold
                         for the first micro-batch after a restart
 
-Rows are ``(path, inode, offset, arrival, line)``.  Each task reads one byte
-range.  A range owns the records that start in it, so it skips the record that
+Rows are ``(path, inode, offset, arrival, line, lost)``.  Each task reads one
+byte range.  If the file is gone, unreadable or another one by then, a row without
+a line says so: ``lost`` bytes from ``offset`` on were not read, and the other
+files go on.  A range owns the records that start in it, so it skips the record that
 runs in from its left and reads past its right edge to the end of its last one.
 Lines are returned with the bytes they have; separate invalid UTF-8 with
 ``split_valid``.
@@ -32,13 +34,17 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
+import uuid
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import (
     DataSource,
@@ -48,7 +54,9 @@ from pyspark.sql.datasource import (
 )
 
 SOURCE_NAME = "logtail"
-TAIL_SCHEMA = "path string, inode bigint, offset bigint, arrival timestamp_ntz, line binary"
+TAIL_SCHEMA = (
+    "path string, inode bigint, offset bigint, arrival timestamp_ntz, line binary, lost bigint"
+)
 
 DEFAULT_PARTITION_BYTES = 64 * 1024 * 1024
 READ_BYTES = 1024 * 1024
@@ -64,12 +72,18 @@ _ARROW_SCHEMA = pa.schema(
         ("offset", pa.int64()),
         ("arrival", pa.timestamp("us")),
         ("line", pa.binary()),
+        ("lost", pa.int64()),
     ]
 )
 
 
 def register(spark: SparkSession) -> None:
-    """Make the ``logtail`` format known to the session."""
+    """Make the ``logtail`` format known to the session.
+
+    The workers that plan and read streams do not see what was sent to the
+    executors with the application, so the source travels as code.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(LogTailSource)
 
 
@@ -158,10 +172,50 @@ def byte_ranges(
     ]
 
 
-def read_range(part: ByteRange) -> Iterator[pa.RecordBatch]:
-    """Records of one byte range as Arrow batches, framed a block at a time."""
+def stat_files(paths: Sequence[str]) -> list[tuple[int, int] | None]:
+    """:func:`stat_file` of many paths at once."""
+    with ThreadPoolExecutor(max_workers=min(32, max(1, len(paths)))) as pool:
+        return list(pool.map(stat_file, paths))
+
+
+def _open_planned(part: ByteRange):
+    """The file as it was planned; another or a shorter one is an error."""
     filesystem, local = open_filesystem(part.path)
-    with filesystem.open_input_file(local) as handle:
+    if not isinstance(filesystem, pafs.LocalFileSystem):
+        if filesystem.get_file_info(local).size < part.limit:
+            raise FileNotFoundError(part.path)
+        return filesystem.open_input_file(local)
+    handle = open(local, "rb")
+    stat = os.fstat(handle.fileno())
+    if stat.st_ino != part.inode or stat.st_size < part.limit:
+        handle.close()
+        raise FileNotFoundError(part.path)
+    return handle
+
+
+def read_range(part: ByteRange) -> Iterator[pa.RecordBatch]:
+    """Records of one byte range, or what of it could not be read."""
+    reached = [part.start]
+    try:
+        yield from _records(part, reached)
+    except OSError:
+        at = reached[0]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([part.path]),
+                pa.array([part.inode], pa.int64()),
+                pa.array([at], pa.int64()),
+                pa.array([part.arrival_us], pa.int64()).cast(pa.timestamp("us")),
+                pa.nulls(1, pa.binary()),
+                pa.array([part.stop - at], pa.int64()),
+            ],
+            schema=_ARROW_SCHEMA,
+        )
+
+
+def _records(part: ByteRange, reached: list[int]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches, framed a block at a time; ``reached`` follows them."""
+    with _open_planned(part) as handle:
         # One byte earlier tells whether a record starts right at the edge.
         position = read_at = part.start if part.first else part.start - 1
         handle.seek(position)
@@ -183,6 +237,7 @@ def read_range(part: ByteRange) -> Iterator[pa.RecordBatch]:
             tail = [block[cut:]]
             yield from _frame(part, records, position, skipping)
             position, skipping = position + len(records), False
+            reached[0] = min(position, part.stop)
 
 
 def _frame(
@@ -218,6 +273,7 @@ def _to_batch(part: ByteRange, offsets, bounds, values) -> pa.RecordBatch:
             pa.array(offsets.astype(np.int64)),
             pa.repeat(pa.scalar(part.arrival_us, pa.int64()), n).cast(pa.timestamp("us")),
             lines,
+            pa.nulls(n, pa.int64()),
         ],
         schema=_ARROW_SCHEMA,
     )
@@ -232,7 +288,8 @@ class TailBatchReader(DataSourceReader):
 
     def partitions(self) -> Sequence[ByteRange]:
         now = time.time_ns() // 1000
-        found = [(path, stat_file(path)) for path in dict.fromkeys(self.paths)]
+        paths = list(dict.fromkeys(self.paths))
+        found = zip(paths, stat_files(paths))
         return [
             part
             for path, stat in found
@@ -257,6 +314,7 @@ class TailStreamReader(DataSourceStreamReader):
         self.heartbeat = str(options.get("heartbeat", "false")).lower() == "true"
         self.cursor_path = options.get("cursorPath")
         self.cursor: dict[str, dict] | None = self._load_cursor()
+        self.unnamed: set[str] = set()  # known, but not in the last offset
 
     def initialOffset(self) -> dict:
         """Files present now start at their end, or at 0 for a backfill.
@@ -264,8 +322,7 @@ class TailStreamReader(DataSourceStreamReader):
         A file that shows up later is new at that poll.
         """
         self.cursor = {}
-        for path in self.paths:
-            stat = stat_file(path)
+        for path, stat in zip(self.paths, stat_files(self.paths)):
             if stat is not None:
                 position = 0 if self.from_start else self._end_of(path, stat[1])
                 self.cursor[path] = {"inode": stat[0], "position": position}
@@ -273,13 +330,17 @@ class TailStreamReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         planned = {}
-        for path in self.paths:
-            stat, seen = stat_file(path), (self.cursor or {}).get(path)
+        for path, stat in zip(self.paths, stat_files(self.paths)):
+            seen = (self.cursor or {}).get(path)
             if stat is None:
                 if seen is not None:
                     planned[path] = seen  # keep the cursor of a missing path
                 continue
+            if path in self.unnamed:
+                planned[path] = seen
+                continue
             planned[path] = {"inode": stat[0], "position": self._advance(path, seen, *stat)}
+        self.unnamed = set()
         if planned != self.cursor:
             self.cursor = planned
             self._save_cursor()
@@ -314,13 +375,20 @@ class TailStreamReader(DataSourceStreamReader):
         return cut
 
     def partitions(self, start: dict, end: dict) -> Sequence[ByteRange]:
-        end = {path: seen for path, seen in end.items() if path != _HEARTBEAT}
-        self.cursor = end
+        start, end = (
+            {path: seen for path, seen in offsets.items() if path != _HEARTBEAT}
+            for offsets in (start, end)
+        )
+        # A path that is away keeps the cursor it had before a restart; the next
+        # offset names it again before the path goes on.
+        before = {**(self.cursor or {}), **start}
+        self.unnamed = {path for path in before if path not in end}
+        self.cursor = {**before, **end}
         now = time.time_ns() // 1000
         return [
             part
             for path, target in end.items()
-            for part in self._ranges(path, start.get(path), target, now)
+            for part in self._ranges(path, before.get(path), target, now)
         ]
 
     def _ranges(self, path: str, seen: dict | None, target: dict, now: int) -> list[ByteRange]:
@@ -347,14 +415,20 @@ class TailStreamReader(DataSourceStreamReader):
         filesystem, local = open_filesystem(self.cursor_path)
         if filesystem.get_file_info(local).type != pafs.FileType.File:
             return None
-        with filesystem.open_input_stream(local) as handle:
-            return json.loads(handle.read())
+        try:
+            with filesystem.open_input_stream(local) as handle:
+                return json.loads(handle.read())
+        except ValueError:  # cut short by an earlier end: as if there were none
+            return None
 
     def _save_cursor(self) -> None:
         if self.cursor_path:
             filesystem, local = open_filesystem(self.cursor_path)
-            with filesystem.open_output_stream(local) as handle:
+            filesystem.create_dir(os.path.dirname(local), recursive=True)
+            aside = f"{local}.{uuid.uuid4().hex}"
+            with filesystem.open_output_stream(aside) as handle:
                 handle.write(json.dumps(self.cursor).encode())
+            filesystem.move(aside, local)
 
 
 def _record_end(path: str, low: int, size: int, terminated_only: bool) -> int | None:

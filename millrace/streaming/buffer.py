@@ -10,11 +10,14 @@ lines, and a poll adds no more than the source's ``maxBytesPerTrigger``.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from millrace.operators.batching import BUFFER_FULL, MAX_PART_LINES, TIME_ELAPSED
@@ -34,6 +37,9 @@ _COLUMNS = [
     "entries",
 ]
 
+# Route of rows that are passed on and not buffered.
+SET_ASIDE = -1
+
 STATE_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 )
@@ -68,6 +74,9 @@ class FlushProcessor(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] == SET_ASIDE:
+            yield from self._pass_on(rows, timerValues.getCurrentProcessingTimeInMs())
+            return
         route = self.settings[key[0]]
         n, last_flush, last_poll, flushes = self._load()
         fresh = pd.concat(list(rows), ignore_index=True).sort_values("offset", kind="stable")
@@ -83,6 +92,13 @@ class FlushProcessor(StatefulProcessor):
         self.buffer.appendList([(line,) for line in lines])
         self._wait(route, n, last_flush, last_poll, flushes)
 
+    def _pass_on(self, rows, now: int) -> Iterator[pd.DataFrame]:
+        """What is set aside waits for nothing."""
+        for frame in rows:
+            entries = frame[["path", "line"]].to_dict("records")
+            row = (SET_ASIDE, None, 0, 0, now, "set aside", len(entries), entries)
+            yield pd.DataFrame([row], columns=_COLUMNS)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         route = self.settings[key[0]]
         n, last_flush, _, flushes = self._load()
@@ -154,9 +170,14 @@ def buffer_stream(
     started_ms: int,
     max_part_lines: int = MAX_PART_LINES,
 ) -> DataFrame:
-    """Batch a stream of routed lines ``(route_id, offset, line)``."""
+    """Batch a stream of routed lines ``(route_id, offset, line)``.
+
+    With a ``path``, rows of route ``SET_ASIDE`` come out as they come in.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    path = F.col("path") if "path" in routed.columns else F.lit(None).cast("string")
     return (
-        routed.select("route_id", "offset", "line")
+        routed.select("route_id", path.alias("path"), "offset", "line")
         .groupBy("route_id")
         .transformWithStateInPandas(
             FlushProcessor(settings, started_ms, max_part_lines),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import socket
 import time
 from collections.abc import Sequence
 
@@ -9,19 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from millrace.functions.encoding import DEFAULT_TAG
 from millrace.operators.batching import MAX_PART_LINES
 from millrace.operators.routing import ship_lines
 from millrace.plans.routes import ready_routes
-from millrace.session import BROADCAST_ROWS
 from millrace.sinks.delivery import Transport, deliver
 from millrace.sinks.files import prepare_file_routes, write_file_routes
 from millrace.sinks.requests import build_requests
 from millrace.sources.tail import SOURCE_NAME, register, tail_options
-from millrace.streaming.buffer import STATE_PROVIDER, BufferSettings, buffer_stream
+from millrace.streaming.buffer import SET_ASIDE, STATE_PROVIDER, BufferSettings, buffer_stream
 from millrace.streaming.table_buffer import TableBuffer
 
-# Bytes taken from one file per poll: bounds what one route can bring at once.
-DEFAULT_MAX_BYTES = 64 * 1024 * 1024
+# Why a line or range was set aside.
+INVALID_UTF8 = "invalid UTF-8"
+LOST_RANGE = "lost range"
 
 _PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
 _PARTITIONS_CONF = "spark.sql.shuffle.partitions"
@@ -30,10 +32,11 @@ _PARTITIONS_CONF = "spark.sql.shuffle.partitions"
 def tail_lines(spark: SparkSession, paths: Sequence[str], **options) -> DataFrame:
     """Stream ``(path, inode, offset, arrival, line)`` of growing files.
 
-    Lines are text with the bytes they have; see ``split_valid``.
+    Lines are text with the bytes they have, and ``lost`` marks what could not
+    be read; see ``split_usable``.  A poll takes all that is new unless
+    ``maxBytesPerTrigger`` says otherwise.
     """
     register(spark)
-    options.setdefault("maxBytesPerTrigger", DEFAULT_MAX_BYTES)
     raw = spark.readStream.format(SOURCE_NAME).options(**tail_options(paths, **options)).load()
     return raw.withColumn("line", F.col("line").cast("string"))
 
@@ -45,17 +48,29 @@ def read_tail(spark: SparkSession, paths: Sequence[str], **options) -> DataFrame
     return raw.withColumn("line", F.col("line").cast("string"))
 
 
+def split_usable(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines to ship, and ``(path, inode, offset, line, lost, reason)`` of the rest.
+
+    The rest are lines that are not valid UTF-8, as bytes, and ranges that
+    could not be read.
+    """
+    usable = F.coalesce(F.is_valid_utf8("line"), F.lit(False)) & F.col("lost").isNull()
+    reason = F.when(F.col("lost").isNotNull(), LOST_RANGE).otherwise(INVALID_UTF8)
+    rest = lines.filter(~usable).select(
+        "path", "inode", "offset", F.col("line").cast("binary").alias("line"), "lost",
+        reason.alias("reason"),
+    )
+    return lines.filter(usable).drop("lost"), rest
+
+
 def buffer_settings(routes: DataFrame) -> dict[int, BufferSettings]:
-    """Per-route settings for the stateful operator (a checked small table)."""
+    """Per-route settings for the stateful operator: four values per route."""
     rows = (
         routes.select(
             "route_id", "path", "polling_frequency_ms", "buffer_size", "flush_interval_ms"
         )
-        .limit(BROADCAST_ROWS + 1)
         .collect()
     )
-    if len(rows) > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} routes in one stream; start several")
     return {r["route_id"]: BufferSettings(*r[1:]) for r in rows}
 
 
@@ -65,10 +80,23 @@ def stream_batches(
     started_ms: int | None = None,
     max_part_lines: int = MAX_PART_LINES,
 ) -> DataFrame:
-    """Route, filter and buffer a stream of lines.  Invalid UTF-8 is left out."""
+    """Route, filter and buffer a stream of lines.
+
+    What cannot be shipped comes out at once under route ``SET_ASIDE``, its
+    lines in hexadecimal digits.
+    """
     started_ms = _now_ms() if started_ms is None else started_ms
-    routed = ship_lines(lines.filter(F.is_valid_utf8("line")), routes)
-    return buffer_stream(routed, buffer_settings(routes), started_ms, max_part_lines)
+    usable, rest = split_usable(lines)
+    routed = ship_lines(usable, routes).select("route_id", "path", "offset", "line")
+    aside = rest.select(
+        F.lit(SET_ASIDE).cast("bigint").alias("route_id"),
+        "path",
+        "offset",
+        F.coalesce(F.hex("line"), F.concat(F.lit(f"{LOST_RANGE}: "), F.col("lost"))).alias("line"),
+    )
+    return buffer_stream(
+        routed.unionByName(aside), buffer_settings(routes), started_ms, max_part_lines
+    )
 
 
 def poll_period_ms(routes: DataFrame) -> int:
@@ -86,6 +114,9 @@ def start_shipping(
     ship_ts: Column | None = None,
     max_part_lines: int = MAX_PART_LINES,
     trigger: dict | None = None,
+    host: str | None = None,
+    tag: str = DEFAULT_TAG,
+    zone: str = "UTC",
     **source_options,
 ) -> StreamingQuery:
     """Start one query for all valid routes.
@@ -97,39 +128,62 @@ def start_shipping(
     Flushed batches of a micro-batch are written to ``work_dir/batches/epoch=N``
     before anything is sent, so a repeated micro-batch replaces them.  The
     outcomes of the requests follow in ``work_dir/outcomes/epoch=N``, and a
-    repeated micro-batch does not send requests again that have one.
+    repeated micro-batch does not send requests again that have one.  Lines that
+    are not valid UTF-8, and ranges of files that could not be read, are set aside
+    in ``work_dir/quarantine/epoch=N``.
+
+    ``host`` (default: this machine's name), ``tag`` and ``zone`` go into syslog
+    messages.
     """
     if buffer not in ("table", "state"):
         raise ValueError("buffer must be 'table' or 'state'")
     ready = ready_routes(spark, routes)
     prepare_file_routes(spark, ready)
     network = ready.filter("destination.type <> 'file'")
-    paths = [r["path"] for r in ready.select("path").distinct().limit(BROADCAST_ROWS).collect()]
+    paths = [r["path"] for r in ready.select("path").distinct().collect()]
+    host = socket.gethostname() if host is None else host
     if "://" not in work_dir or work_dir.startswith("file:"):
         source_options.setdefault("cursorPath", f"{work_dir}/cursor.json")
     source_options.setdefault("heartbeat", buffer == "table")
     lines = tail_lines(spark, paths, **source_options)
 
+    def set_aside(rest: DataFrame, epoch: int) -> None:
+        if not rest.isEmpty():
+            rest.write.mode("overwrite").parquet(f"{work_dir}/quarantine/epoch={epoch}")
+
     def ship(flushed: DataFrame, epoch: int) -> None:
         table = f"{work_dir}/batches/epoch={epoch}"
         flushed.write.mode("overwrite").partitionBy("route_id").parquet(table)
         stored = spark.read.schema(flushed.schema).parquet(table)
         if stored.isEmpty():
             return
-        requests = build_requests(stored, network, ship_ts)
+        requests = build_requests(stored, network, ship_ts, host, tag, zone)
         deliver(spark, requests, transport, f"{work_dir}/outcomes/epoch={epoch}", on_failure)
         write_file_routes(stored, ready, f"{work_dir}/files/epoch={epoch}")
 
     if buffer == "state":
-        output, handle = stream_batches(lines, ready, max_part_lines=max_part_lines), ship
+        output = stream_batches(lines, ready, max_part_lines=max_part_lines)
+
+        def handle(flushed: DataFrame, epoch: int) -> None:
+            flushed.persist()
+            aside = flushed.filter(F.col("route_id") == SET_ASIDE)
+            entry = aside.select(F.explode("entries").alias("entry")).select("entry.*")
+            set_aside(entry, epoch)
+            ship(flushed.filter(F.col("route_id") != SET_ASIDE), epoch)
+            flushed.unpersist()
+
     else:
-        output = ship_lines(lines.filter(F.is_valid_utf8("line")), ready)
+        output = lines
         tables = TableBuffer(spark, ready, f"{work_dir}/buffer", _now_ms(), max_part_lines)
 
-        def handle(kept: DataFrame, epoch: int) -> None:
-            flushed = tables.poll(kept, epoch, _now_ms())
+        def handle(polled: DataFrame, epoch: int) -> None:
+            polled.persist()
+            usable, rest = split_usable(polled)
+            set_aside(rest, epoch)
+            flushed = tables.poll(ship_lines(usable, ready), epoch, _now_ms())
             if flushed is not None:
                 ship(flushed, epoch)
+            polled.unpersist()
 
     writer = (
         output.writeStream.foreachBatch(handle)

@@ -8,9 +8,9 @@ from millrace.plans import routes as P
 
 MINIMAL = """
 log_files:
-  - path: "/var/log/test.log"
-    polling_frequency_ms: 500
-    destination: {type: "http", endpoint: "http://localhost:8000/ingest"}
+  - path: "/srv/app/out.txt"
+    polling_frequency_ms: 750
+    destination: {type: "http", endpoint: "https://sink.example/in"}
 """
 
 
@@ -21,8 +21,8 @@ def parse(spark, text):
 def entry(destination, extra=""):
     return f"""
 log_files:
-  - path: /var/log/test.log
-    polling_frequency_ms: 500
+  - path: /srv/app/out.txt
+    polling_frequency_ms: 750
     destination: {destination}
     {extra}
 """
@@ -30,8 +30,8 @@ log_files:
 
 def test_defaults(spark):
     (route,) = parse(spark, MINIMAL)
-    assert route["path"] == "/var/log/test.log"
-    assert route["polling_frequency_ms"] == 500
+    assert route["path"] == "/srv/app/out.txt"
+    assert route["polling_frequency_ms"] == 750
     assert (route["buffer_size"], route["flush_interval_ms"]) == (100, 30_000)
     assert (route["match_on"], route["exclude_on"]) == ([], [])
     assert route["destination"]["type"] == "http"
@@ -42,33 +42,33 @@ def test_custom_buffering_and_filters(spark):
         spark,
         entry(
             "{type: http, endpoint: 'http://x'}",
-            "buffer_size: 50\n    flush_interval_ms: 15000\n"
-            "    match_on: [ERROR, WARN]\n    exclude_on: [DEBUG]",
+            "buffer_size: 7\n    flush_interval_ms: 1234\n"
+            "    match_on: [pump, fan]\n    exclude_on: [idle]",
         ),
     )
-    assert (route["buffer_size"], route["flush_interval_ms"]) == (50, 15_000)
-    assert (route["match_on"], route["exclude_on"]) == (["ERROR", "WARN"], ["DEBUG"])
+    assert (route["buffer_size"], route["flush_interval_ms"]) == (7, 1234)
+    assert (route["match_on"], route["exclude_on"]) == (["pump", "fan"], ["idle"])
 
 
 def test_destinations_keep_their_fields(spark):
     (http,) = parse(
         spark,
         entry(
-            "{type: http, endpoint: 'http://e', require_auth: true, api_key: secret123,"
-            " basic: {username: user, password: password}}"
+            "{type: http, endpoint: 'http://e', require_auth: true, api_key: k-77,"
+            " basic: {username: ann, password: p4ss}}"
         ),
     )
     dest = http["destination"]
-    assert (dest["endpoint"], dest["require_auth"], dest["api_key"]) == ("http://e", True, "secret123")
-    assert tuple(dest["basic"]) == ("user", "password")
-    (syslog,) = parse(spark, entry("{type: syslog, host: h, port: 1514, protocol: tcp}"))
-    assert tuple(syslog["destination"][k] for k in ("host", "port", "protocol")) == ("h", 1514, "tcp")
+    assert (dest["endpoint"], dest["require_auth"], dest["api_key"]) == ("http://e", True, "k-77")
+    assert tuple(dest["basic"]) == ("ann", "p4ss")
+    (syslog,) = parse(spark, entry("{type: syslog, host: h, port: 6514, protocol: tcp}"))
+    assert tuple(syslog["destination"][k] for k in ("host", "port", "protocol")) == ("h", 6514, "tcp")
     (plain,) = parse(spark, entry("{type: syslog, host: h}"))
     assert tuple(plain["destination"][k] for k in ("port", "protocol")) == (514, "udp")
     (search,) = parse(spark, entry("{type: elasticsearch, url: 'http://e:9200', index: i}"))
     assert (search["destination"]["url"], search["destination"]["index"]) == ("http://e:9200", "i")
-    (file,) = parse(spark, entry("{type: file, path: /backup/logs.jsonl}"))
-    assert file["destination"]["path"] == "/backup/logs.jsonl"
+    (file,) = parse(spark, entry("{type: file, path: /keep/out}"))
+    assert file["destination"]["path"] == "/keep/out"
 
 
 def test_order_is_kept_and_an_empty_list_is_legal(spark):

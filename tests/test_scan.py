@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 import pytest
@@ -130,6 +131,62 @@ def append(path, data: bytes) -> None:
         handle.write(data)
 
 
+def planned(tail) -> list:
+    """Read tasks of the next poll, planned and not yet run."""
+    start, tail.offset = tail.offset, tail.reader.latestOffset()
+    return list(tail.reader.partitions(start, tail.offset))
+
+
+@pytest.mark.parametrize("change", ["deleted", "replaced", "shortened"])
+def test_a_file_that_changes_after_planning_is_reported_and_others_go_on(tmp_path, change):
+    path, other = tmp_path / "a.log", tmp_path / "b.log"
+    append(path, b"")
+    append(other, b"")
+    tail = Poller([str(path), str(other)])
+    append(path, b"one\ntwo\n")
+    append(other, b"fine\n")
+    tasks = planned(tail)
+    if change == "shortened":
+        os.truncate(path, 3)
+    else:
+        os.rename(path, tmp_path / "a.old")
+        if change == "replaced":
+            append(path, b"not this one, though it is long\n")
+    rows = [r for task in tasks for batch in read_range(task) for r in batch.to_pylist()]
+    assert [(r["path"], r["line"], r["lost"]) for r in rows] == [
+        (str(path), None, 8),
+        (str(other), b"fine", None),
+    ]
+    append(other, b"more\n")
+    assert ("more") in tail.lines()
+
+
+def test_a_restart_keeps_the_cursor_of_a_file_that_is_away(tmp_path):
+    path, other = tmp_path / "a.log", tmp_path / "b.log"
+    append(path, b"early\n")
+    append(other, b"")
+    tail = Poller([str(path), str(other)])
+    os.rename(path, tmp_path / "away")
+    resumed = Poller.__new__(Poller)
+    resumed.reader, resumed.offset = TailStreamReader(tail_options([str(path), str(other)])), tail.offset
+    append(other, b"x\n")
+    assert resumed.lines() == ["x"]
+    os.rename(tmp_path / "away", path)
+    append(path, b"late 1\nlate 2\n")
+    assert resumed.lines() + resumed.lines() == ["late 1", "late 2"]
+
+
+def test_a_cursor_cut_short_is_ignored_and_replaced(tmp_path):
+    path, cursor = tmp_path / "a.log", tmp_path / "new" / "cursor.json"
+    append(path, b"early\n")
+    tail = Poller([str(path)], cursorPath=str(cursor))
+    append(path, b"one\n")
+    assert tail.lines() == ["one"]
+    assert json.loads(cursor.read_text())[str(path)]["position"] == 10
+    cursor.write_text(cursor.read_text()[:7])
+    assert TailStreamReader(tail_options([str(path)], cursorPath=str(cursor))).cursor is None
+
+
 def test_new_lines_only(tmp_path):
     path = tmp_path / "a.log"
     append(path, b"Line 1\nLine 2\n")

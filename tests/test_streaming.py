@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import json
 import os
+import subprocess
+import sys
 import time
 
 import pytest
@@ -12,6 +14,8 @@ from millrace.streaming.ship import start_shipping
 from millrace.streaming.table_buffer import TableBuffer
 from test_flush_fold import GOLDEN
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLE_CASES = ["seven lines", "burst", "idle then two", "every poll"]
 
 
@@ -180,3 +184,52 @@ def test_table_buffer_keeps_to_each_route_s_own_polls(spark, tmp_path):
         batches = tables.poll(routed, epoch, now)
         sizes.append(0 if batches is None else batches.first()["n_entries"])
     assert sizes == [6, 0, 0, 18, 0]
+
+
+ELSEWHERE = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+spark = (SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2")
+         .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+for name in ("stream_tail", "stream_dual_trigger"):
+    print(name, entry.queries()[name](spark, {sf_dir!r}).count())
+"""
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason=f"{SF_DIR} is not there")
+def test_streams_run_from_any_folder(tmp_path):
+    """Workers of streams see neither the working folder nor files sent to executors."""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    code = ELSEWHERE.format(root=ROOT, sf_dir=SF_DIR)
+    done = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300
+    )
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert "stream_tail" in done.stdout and "stream_dual_trigger" in done.stdout
+
+
+@pytest.mark.parametrize("buffer", ["table", "state"])
+def test_what_cannot_be_shipped_is_set_aside(spark, tmp_path, buffer):
+    log, out = tmp_path / "app.log", str(tmp_path / "out")
+    log.write_text("")
+    received = tmp_path / "received"
+    received.mkdir()
+    route = {
+        "route_id": 0, "path": str(log), "polling_frequency_ms": 200, "buffer_size": 1,
+        "destination": {"type": "http", "endpoint": "http://e"},
+    }
+    routes = normalize_routes(routes_table(spark, [route]))
+    query = start_shipping(spark, routes, out, recording(str(received)), buffer=buffer)
+    try:
+        assert wait_for(lambda: query.lastProgress is not None, query)
+        log.write_bytes(b"good\nbad \xff\nfine\n")
+        assert wait_for(lambda: sum(batches_of(received, 0), []) == ["good", "fine"], query)
+        assert wait_for(lambda: os.path.isdir(f"{out}/quarantine"), query)
+        time.sleep(1)
+    finally:
+        query.stop()
+    (row,) = spark.read.parquet(f"{out}/quarantine").collect()
+    line = row["line"] if buffer == "table" else bytes.fromhex(row["line"])
+    assert (row["path"], bytes(line)) == (str(log), b"bad \xff")
