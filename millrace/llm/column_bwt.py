@@ -62,6 +62,7 @@ def rounds(
     ``most``, of what suffixes ``i - 1`` and ``i`` have in common.
     """
     n, width = symbols.shape
+    symbols = np.asfortranarray(symbols)  # a round takes one column
     with _File() as file:
         file.write(np.arange(n, dtype=np.int32), np.zeros(n, dtype=np.uint8))
         for column in range(width - 1, -1, -1):

@@ -85,14 +85,15 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: short lineage, computed once."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = scratch_dir(spark, label)
     df.write.parquet(path)
+    del df
     # What the finished steps shuffled is deleted once the driver's references
     # to it are collected; on an idle driver that can take long.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def held_out(column: str, parts: int, part: int):

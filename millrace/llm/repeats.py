@@ -33,13 +33,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm.anchors import GRAM, anchors
 from millrace.llm.column_bwt import ABSENT, repeated
-from millrace.llm.common import add_columns, groups, shared_rows, slices, text_bytes, written
+from millrace.llm.common import add_columns, shared_rows, slices, text_bytes, written
 
 SPAN = 50
 # Anchors of more texts than this are spread by their windows.
 HOT = 50_000
-# Strings of one collection, about; a group of one anchor is never divided.
-COLLECTION = 1 << 16
 # Strings that a task keeps before it hands them on.
 MAX_KEPT = 1 << 18
 
@@ -102,7 +100,7 @@ class _Kept:
                 raw = np.array(starts, dtype="<i8").tobytes()
                 rows.append((key, doc, text_key, left, string, raw, None))
         for (doc, text_key), spans in self._spans.items():
-            rows.append((None, doc, text_key, None, None, None, _packed(spans)))
+            rows.append((text_key, doc, text_key, None, None, None, _packed(spans)))
         self._of, self._spans = {}, {}
         kinds = [*[pa.int64()] * 3, pa.int32(), *[pa.binary()] * 3]
         names = ["key", "doc", "text_key", "left", "string", "starts", "spans"]
@@ -164,7 +162,10 @@ def _strings(candidates: DataFrame, span: int, gram: int) -> DataFrame:
 
 
 def _collections(strings: DataFrame, span: int, gram: int) -> DataFrame:
-    """Spans of the strings that stand in a smaller document too."""
+    """Spans of the strings that stand in a smaller document too.
+
+    What tasks have settled passes through.
+    """
     columns = span - gram + 1
     width = columns + span - 1
 
@@ -193,22 +194,35 @@ def _collections(strings: DataFrame, span: int, gram: int) -> DataFrame:
             arrays = [pa.array(column, kind) for column, kind in zip(zip(*out), kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc", "text_key", "spans"])
 
+    def whole(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Groups that are complete; single strings have nothing to repeat."""
+        keys = batch.column("key").to_numpy()
+        new = np.concatenate(([True], keys[1:] != keys[:-1], [True]))
+        shared = np.flatnonzero(~(new[:-1] & new[1:]))
+        if len(shared):
+            yield from collection(pa.Table.from_batches([batch.take(pa.array(shared))]))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[pa.Table] = []
-        size = 0
-        for group in groups(batches, ["key"]):
-            if group.num_rows < 2:
+        last: pa.RecordBatch | None = None
+        for batch in batches:
+            settled = batch.filter(batch.column("spans").is_valid())
+            if settled.num_rows:
+                yield settled.select(["doc", "text_key", "spans"])
+            held, batch = last, batch.filter(batch.column("string").is_valid())
+            if not batch.num_rows:
                 continue
-            parts.append(group)
-            size += group.num_rows
-            if size >= COLLECTION:
-                yield from collection(pa.concat_tables(parts))
-                parts, size = [], 0
-        if parts:
-            yield from collection(pa.concat_tables(parts))
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            # The last group may go on in the next batch.
+            keys = batch.column("key").to_numpy()
+            start = int(np.searchsorted(keys, keys[-1]))
+            last = batch.slice(start)
+            if start:
+                yield from whole(batch.slice(0, start))
+        if last is not None:
+            yield from whole(last)
 
-    rows = strings.filter("key is not null").select("key", "doc", "text_key", "left", "string", "starts")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, _SPANS)
+    return strings.repartition("key").sortWithinPartitions("key").mapInArrow(run, _SPANS)
 
 
 def repeated_spans(texts: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -224,9 +238,7 @@ def repeated_spans(texts: DataFrame, span: int = SPAN, gram: int = GRAM) -> Data
         .agg(F.collect_set(F.struct("key", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("_of"))
         .select("doc", F.col("_of.key").alias("keys"), F.col("_of.hot").alias("hot"))
     )
-    strings = written(_strings(texts.join(wanted, "doc"), span, gram), "strings")
-    settled = strings.filter("spans is not null").select("doc", "text_key", "spans")
-    return settled.unionByName(_collections(strings, span, gram))
+    return _collections(_strings(texts.join(wanted, "doc"), span, gram), span, gram)
 
 
 def remove_repeats(
