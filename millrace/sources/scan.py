@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import join_checked
+
 from millrace.sources.text import frame_lines
 
 # Outcome of comparing a listing with a cursor.
@@ -67,7 +69,8 @@ def resume_lines(content: DataFrame, plan: DataFrame) -> DataFrame:
     Positions count bytes, not characters.  Returns ``(path, line_no, line)``.
     """
     ranges = plan.filter(F.col("start_pos").isNotNull()).select("path", "start_pos", "end_pos")
-    sliced = content.join(ranges, "path").select(
+    # The ranges come to the content, which stays where it is.
+    sliced = join_checked(content, ranges, ["path"]).select(
         "path",
         F.substring(
             F.encode("text", "UTF-8"),

@@ -3,12 +3,14 @@
 Buffered lines are kept as files, one folder per micro-batch, and the buffer's
 state is a small table of counts and clocks, one row per route and micro-batch:
 
-    lines/epoch=N    the kept lines of micro-batch N
-    clock/epoch=N    per route: lines buffered, last flush, decision taken
+    lines/epoch=N/route_id=R    the kept lines of micro-batch N by route
+    clock/epoch=N               per route: lines buffered, last flush, decision taken
 
 Only the counts decide when to flush.  They are aggregated before the shuffle,
 and a batch is gathered by as many tasks as it has parts, so a route that
-brings a third of all lines is spread like any other data.  A repeated
+brings a third of all lines is spread like any other data.  Only the lines of
+routes that flush are read, each from its own first micro-batch on, and what a
+route has flushed is dropped whatever the others still hold.  A repeated
 micro-batch finds its decision already written and takes the same one again.
 """
 
@@ -66,16 +68,15 @@ class TableBuffer:
         flush takes the whole buffer of its route.
         """
         if not is_written(self.spark, self._path(f"clock/epoch={epoch}")):
-            routed.select("route_id", "offset", "line").write.mode("overwrite").parquet(
-                self._path(f"lines/epoch={epoch}")
-            )
+            kept = routed.select("route_id", "offset", "line").write.mode("overwrite")
+            kept.partitionBy("route_id").parquet(self._path(f"lines/epoch={epoch}"))
             self._decide(epoch, now_ms).coalesce(1).write.mode("overwrite").parquet(
                 self._path(f"clock/epoch={epoch}")
             )
         self._prune(epoch)
         due = self._clock(epoch).filter("flushed")
-        lowest = due.agg(F.min("from_epoch")).first()[0]
-        return None if lowest is None else self._gather(due, lowest, epoch)
+        span = due.select("route_id", "from_epoch").collect()  # one row per route
+        return self._gather(due, {r[0]: r[1] for r in span}, epoch) if span else None
 
     def _decide(self, epoch: int, now_ms: int) -> DataFrame:
         fresh = (
@@ -121,14 +122,14 @@ class TableBuffer:
         types = dict(part.split() for part in CLOCK_SCHEMA.split(", "))
         return state.select(*[c.cast(types[name]).alias(name) for name, c in columns.items()])
 
-    def _gather(self, due: DataFrame, lowest: int, epoch: int) -> DataFrame:
+    def _gather(self, due: DataFrame, first: dict[int, int], epoch: int) -> DataFrame:
         whole = F.col("n_entries") <= self.max_part_lines
         slice_no = F.call_function("div", F.col("offset"), F.lit(self.slice_span))
         part = F.when(whole, 0).otherwise(
             (F.col("epoch") - F.col("from_epoch")) * _PART_STRIDE + slice_no
         )
         buffered = join_checked(
-            self._lines(list(range(lowest, epoch + 1))),
+            self._lines(list(range(min(first.values()), epoch + 1)), list(first)),
             due.select(
                 "route_id", "path", F.col("flushes").alias("batch_id"), "flush_at", "reason",
                 "n_entries", "from_epoch",
@@ -165,13 +166,16 @@ class TableBuffer:
     def _path(self, name: str) -> str:
         return f"{self.work_dir}/{name}"
 
-    def _lines(self, epochs: list[int]) -> DataFrame:
-        present = [self._path(f"lines/epoch={e}") for e in epochs]
-        return (
+    def _lines(self, epochs: list[int], routes: list[int] | None = None) -> DataFrame:
+        """Lines of some micro-batches; of some routes only their folders are read."""
+        there = set(folder_names(self.spark, self._path("lines")))
+        present = [self._path(f"lines/epoch={e}") for e in epochs if f"epoch={e}" in there]
+        lines = (
             self.spark.read.schema(f"{LINE_SCHEMA}, epoch bigint")
             .option("basePath", self._path("lines"))
             .parquet(*present)
         )
+        return lines if routes is None else lines.filter(F.col("route_id").isin(routes))
 
     def _clock(self, epoch: int) -> DataFrame:
         if epoch < 0 or not is_written(self.spark, self._path(f"clock/epoch={epoch}")):
@@ -184,11 +188,21 @@ class TableBuffer:
         What a repetition of this micro-batch needs stays: the previous clock
         and every line it still counts.
         """
-        needed = self._clock(epoch - 1).agg(F.min("first_epoch")).first()[0]
-        if needed is None:
+        rows = self._clock(epoch - 1).select("route_id", "first_epoch").collect()
+        if not rows:
             return
-        for name, keep_from in (("lines", needed), ("clock", epoch - 1)):
-            for folder in folder_names(self.spark, self._path(name)):
-                label, _, number = folder.partition("=")
-                if label == "epoch" and number.isdigit() and int(number) < keep_from:
-                    drop_folder(self.spark, self._path(f"{name}/{folder}"))
+        needed = {f"route_id={r['route_id']}": r["first_epoch"] for r in rows}
+        for folder, number in self._numbered("lines"):
+            if number < min(needed.values()):
+                drop_folder(self.spark, self._path(f"lines/{folder}"))
+            elif number < max(needed.values()):
+                for route in folder_names(self.spark, self._path(f"lines/{folder}")):
+                    if number < needed.get(route, 0):
+                        drop_folder(self.spark, self._path(f"lines/{folder}/{route}"))
+        for folder, number in self._numbered("clock"):
+            if number < epoch - 1:
+                drop_folder(self.spark, self._path(f"clock/{folder}"))
+
+    def _numbered(self, name: str) -> list[tuple[str, int]]:
+        parts = [(f, *f.split("=", 1)) for f in folder_names(self.spark, self._path(name)) if "=" in f]
+        return [(f, int(number)) for f, label, number in parts if label == "epoch" and number.isdigit()]
