@@ -25,7 +25,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     benchmark = table(spark, sf_dir, "benchmark", "item_id", "text")
     return decontamination.decontaminate(docs, benchmark).select(
-        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
     )
 
 
@@ -110,5 +110,48 @@ QUERIES = {
     "op10_pieces": op10_pieces,
 }
 
-# SQL over the same tables, where SQL can express the result.
-ORACLES: dict[str, str] = {}
+# SQL over the same tables, where SQL can express the result on whole tables.
+ORACLES: dict[str, str] = {
+    "op1_decontamination": r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark WHERE text IS NOT NULL),
+sized AS (SELECT item_id, words, least(10, len(words)) AS k FROM items WHERE len(words) > 0),
+windows AS (
+  SELECT DISTINCT item_id, k, array_to_string(words[i + 1 : i + k], ' ') AS w
+  FROM (SELECT item_id, words, k, unnest(range(len(words) - k + 1)) AS i FROM sized)),
+places AS (
+  SELECT doc_id, i, k, array_to_string(words[i + 1 : i + k], ' ') AS w
+  FROM (
+    SELECT doc_id, words, k, unnest(range(greatest(len(words) - k + 1, 0))) AS i
+    FROM docs, (SELECT DISTINCT k FROM windows))),
+hits AS (SELECT doc_id, i, k, item_id FROM places JOIN windows USING (k, w)),
+words_hit AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + k)) AS place FROM hits) GROUP BY doc_id),
+items_hit AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+  coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc_id)""",
+    "op7_exact_topk": """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS parts
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.parts, v.parts) AS BIGINT) AS score
+  FROM whole q JOIN whole v ON q.vec_id <> v.vec_id AND len(q.parts) = len(v.parts)
+  WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 10""",
+}
