@@ -420,7 +420,7 @@ FROM entries JOIN dests USING (route_id) WHERE type IN ('http', 'elasticsearch')
     _DESTINATIONS,
 )
 
-ORACLES["delivery_outcomes"] = _batch_query(
+_OUTCOMES = (
     """SELECT request_id, n_entries, error IS NULL AS ok,
   CAST(CASE WHEN type = 'syslog' THEN CASE WHEN error IS NULL THEN 200 END
             WHEN batch_id % 5 = 0 THEN 500
@@ -432,9 +432,9 @@ FROM (
          WHEN batch_id % 5 = 0 THEN 'Elasticsearch HTTP 500: down'
          WHEN type = 'elasticsearch' AND batch_id % 7 = 0
            THEN 'Elasticsearch bulk request contained errors' END AS error
-  FROM flushes JOIN dests USING (route_id) WHERE type <> 'file')""",
-    _DESTINATIONS,
+  FROM flushes JOIN dests USING (route_id) WHERE type <> 'file')"""
 )
+ORACLES["delivery_outcomes"] = _batch_query(_OUTCOMES, _DESTINATIONS)
 
 ORACLES["bulk_response_check"] = """
 SELECT event_id, error IS NULL AS ok, error
@@ -452,6 +452,23 @@ ORACLES["file_sink"] = _event_query(
 WHERE {_LEVELS} AND NOT (regexp_matches(line, '\[test\]') OR regexp_matches(line, '\[dev\]'))"""
 )
 
+# -- whole jobs ---------------------------------------------------------------
+
+
+def _job_query(select: str, *parts: str) -> str:
+    """Batches of the lines that are valid UTF-8."""
+    lines = _LINES.rstrip().removesuffix(")") + " WHERE event_id % 11 <> 3)"
+    ctes = [lines, _ROUTES, _ROUTED, _TICKED, _FLUSHES, _ASSIGNED, *parts]
+    return f"WITH RECURSIVE {','.join(ctes)} {select}"
+
+
+ORACLES["ship_table_outcomes"] = _job_query(_OUTCOMES, _DESTINATIONS)
+ORACLES["ship_table_files"] = _job_query("SELECT path, line FROM entries WHERE route_id = 4")
+ORACLES["ship_table_quarantine"] = _event_query(
+    """SELECT path, "offset", CAST(strlen(line) + 1 AS BIGINT) AS n_bytes FROM lines
+WHERE "offset" % 11 = 3"""
+)
+
 # -- streams ------------------------------------------------------------------
 
 ORACLES["stream_dual_trigger"] = _route_query(

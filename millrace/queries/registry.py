@@ -19,7 +19,7 @@ from millrace.operators.selection import (
     to_entries,
 )
 from millrace.plans.routes import has_auth, normalize_routes, validate_routes
-from millrace.plans.shipping import plan_batches
+from millrace.plans.shipping import plan_batches, ship_table
 from millrace.queries.tables import (
     HORIZON_MS,
     ORIGIN,
@@ -537,6 +537,47 @@ def file_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("path string, line string").json(target)
 
 
+# -- whole jobs ---------------------------------------------------------------
+
+
+def _shipped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The batch job over all event lines: its outcomes and its work folder.
+
+    One line in eleven has a byte that is not UTF-8 put behind it first.
+    """
+    work = scratch_dir(spark, "shipped")
+    target = F.when(F.col("destination.type") == "file", F.lit(f"{work}/target"))
+    routes = event_routes(spark).withColumn(
+        "destination", F.col("destination").withField("path", target)
+    )
+    broken = F.concat(F.encode("line", "UTF-8"), F.unhex(F.lit("FF"))).cast("string")
+    lines = event_lines(spark, sf_dir).withColumn(
+        "line", F.when(F.col("offset") % 11 == 3, broken).otherwise(F.col("line"))
+    )
+    return ship_table(spark, lines, routes, fake_transport, work, HORIZON_MS, _ship_ts()), work
+
+
+@query
+def ship_table_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes, _ = _shipped(spark, sf_dir)
+    return outcomes.select("request_id", "n_entries", "ok", "status", "error")
+
+
+@query
+def ship_table_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the file routes of the job wrote."""
+    _, work = _shipped(spark, sf_dir)
+    return spark.read.schema("path string, line string").json(f"{work}/target")
+
+
+@query
+def ship_table_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the job set aside."""
+    _, work = _shipped(spark, sf_dir)
+    rest = spark.read.parquet(f"{work}/quarantine")
+    return rest.select("path", "offset", F.octet_length("line").cast("bigint").alias("n_bytes"))
+
+
 # -- streams ------------------------------------------------------------------
 
 

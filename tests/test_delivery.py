@@ -208,3 +208,30 @@ def test_syslog_transport(monkeypatch):
     assert ship({"type": "syslog", "url": "tcp://x:514"}, "m\n") == (200, "")
     assert ship({"type": "syslog", "url": "udp://x:1514"}, "m") == (200, "")
     assert sent == [("tcp", b"m\n"), ("udp", b"m", ("x", 1514))]
+
+
+def test_a_job_that_fails_has_stored_every_outcome_and_repeats_only_failures(spark, tmp_path):
+    sent = tmp_path / "sent"
+    sent.mkdir()
+
+    def transport(down):
+        def post(request, payload):
+            with open(f"{sent}/{request['request_id']}", "a") as handle:
+                handle.write("x")
+            return (500, "down") if down and request["batch_id"] == 3 else (200, "{}")
+
+        return post
+
+    one = requests_for(spark, HTTP)
+    many = one.limit(1).drop("batch_id", "request_id").crossJoin(
+        spark.range(1, 9).selectExpr("id as batch_id", "concat('r-', id) as request_id")
+    ).select(one.columns)
+    path = str(tmp_path / "outcomes")
+    with pytest.raises(RuntimeError, match="r-3: HTTP 500"):
+        deliver(spark, many, transport(True), path, on_failure="fail", groups=3)
+    assert spark.read.parquet(path).count() == 8
+    outcomes = deliver(spark, many, transport(False), path, on_failure="fail", ordered=True)
+    assert outcomes.filter("ok").count() == outcomes.count() == 8
+    assert {f.name: len(f.read_text()) for f in sent.iterdir()} == {
+        f"r-{i}": 2 if i == 3 else 1 for i in range(1, 9)
+    }

@@ -11,6 +11,8 @@ from compare import connect, differences
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+# Queries of the training-data operators may have none.
+WITHOUT_SQL = set(entry.LLM_QUERIES) - set(ORACLES)
 
 needs_data = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason=f"{SF_DIR} is not there")
 
@@ -21,13 +23,13 @@ def duck():
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WITHOUT_SQL))
 def test_query_equals_its_sql(spark, duck, name):
     assert differences(QUERIES[name](spark, SF_DIR), duck, ORACLES[name]) == []
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - WITHOUT_SQL == set(ORACLES)
 
 
 @needs_data
