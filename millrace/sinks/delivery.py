@@ -37,7 +37,7 @@ def send(requests: DataFrame, transport: Transport) -> DataFrame:
     """Send every request; returns the raw response per request.
 
     The payloads of a request go out in order and the first I/O error abandons
-    the rest of them.
+    the rest of them.  A transport that has ``close`` is closed with its task.
     """
 
     def send_one(request: dict[str, Any]) -> tuple:
@@ -58,6 +58,7 @@ def send(requests: DataFrame, transport: Transport) -> DataFrame:
                 [send_one(row) for row in rows], columns=["status", "body", "io_error"]
             ).astype({"status": "Int32"})
             yield pd.concat([pdf[_KEYS].reset_index(drop=True), answers], axis=1)
+        getattr(transport, "close", lambda: None)()
 
     return requests.mapInPandas(send_all, _SENT)
 

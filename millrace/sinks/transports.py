@@ -35,7 +35,16 @@ class HttpTransport:
 
 
 class SyslogTransport:
-    """One datagram per UDP payload, one connection per TCP payload."""
+    """One datagram per UDP payload, one connection per TCP payload.
+
+    A task looks a UDP target up once and keeps one socket for it.
+    """
+
+    def __init__(self):
+        self._targets: dict[str, tuple] = {}
+
+    def __getstate__(self) -> dict:
+        return {"_targets": {}}
 
     def __call__(self, request: dict[str, Any], payload: str) -> tuple[int, str]:
         target = urlsplit(request["url"])
@@ -44,13 +53,21 @@ class SyslogTransport:
             with socket.create_connection((target.hostname, target.port)) as stream:
                 stream.sendall(data)
         else:
-            family, kind, _, _, address = socket.getaddrinfo(
-                target.hostname, target.port, type=socket.SOCK_DGRAM
-            )[0]
-            with socket.socket(family, kind) as datagram:
-                datagram.sendto(data, address)
+            datagram, address = self._target(request["url"], target.hostname, target.port)
+            datagram.sendto(data, address)
         return 200, ""
 
+    def _target(self, url: str, host: str, port: int) -> tuple:
+        if url not in self._targets:
+            found = socket.getaddrinfo(host, port, type=socket.SOCK_DGRAM)[0]
+            self._targets[url] = (socket.socket(found[0], found[1]), found[4])
+        return self._targets[url]
+
+    def close(self) -> None:
+        for datagram, _ in self._targets.values():
+            datagram.close()
+        self._targets = {}
+
 
 class DefaultTransport:
     """Choose the transport by destination type."""
@@ -62,3 +79,7 @@ class DefaultTransport:
     def __call__(self, request: dict[str, Any], payload: str) -> tuple[int, str]:
         chosen = self.syslog if request["type"] == "syslog" else self.http
         return chosen(request, payload)
+
+    def close(self) -> None:
+        for transport in (self.http, self.syslog):
+            getattr(transport, "close", lambda: None)()
