@@ -278,8 +278,10 @@ def compiled(model_file: str) -> Transducer:
     return _compiled[model_file]
 
 
-def encode(docs: DataFrame, model_file: str, text_col: str = "text") -> DataFrame:
-    """Add ``ids`` and ``n_tokens``.
+def encode(
+    docs: DataFrame, model_file: str, text_col: str = "text", decoded: str | None = None
+) -> DataFrame:
+    """Add ``ids`` and ``n_tokens``, and as column ``decoded`` the text of the ids.
 
     ``model_file`` is a place that every executor can open, as for any other
     installed resource.
@@ -292,14 +294,18 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text") -> DataFram
             rows = [transducer.encode(text) for text in batch.column(text_col).to_pylist()]
             ends = [0, *accumulate(len(row) // 4 for row in rows)]
             ids = pa.array(np.frombuffer(b"".join(rows), dtype="<i4"))
-            return [
+            columns = [
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids),
                 pa.array(np.diff(ends), pa.int64()),
             ]
+            if decoded is not None:
+                columns.append(pa.array([transducer.decode(row) for row in rows], pa.string()))
+            return columns
 
         return work
 
-    return add_columns(docs, "ids array<int>, n_tokens bigint", task)
+    added = "ids array<int>, n_tokens bigint"
+    return add_columns(docs, added if decoded is None else f"{added}, {decoded} string", task)
 
 
 def decode(docs: DataFrame, model_file: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:

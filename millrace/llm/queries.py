@@ -86,7 +86,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = public_tokenizers.path("piece_bpe_32k.model")
-    read = pieces.decode(pieces.encode(docs, model), model)
+    read = pieces.encode(docs, model, decoded="decoded")
     as_read = F.translate(F.coalesce("text", F.lit("")), pieces.BLANK, " ")
     return read.select(
         "doc_id",

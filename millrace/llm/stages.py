@@ -53,7 +53,7 @@ def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the remaining documents, decoded once to prove them."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    read = pieces.decode(pieces.encode(docs.select("doc_id", "text"), model), model)
+    read = pieces.encode(docs.select("doc_id", "text"), model, decoded="decoded")
     as_read = F.translate(F.coalesce("text", F.lit("")), pieces.BLANK, " ")
     return read.select(
         "doc_id", "n_tokens", "ids", (F.col("decoded") == as_read).alias("round_trip")

@@ -56,7 +56,7 @@ _SUBSTITUTES = {ord(a): b for a, b in _STANDS_FOR.items()}
 # A sign is a letter only where a letter follows; at a word's end it is a sign.
 _RUN = re.compile(r"(?:[^\W_]|[@$!|+€](?=[^\W_]))+")
 _LETTER = re.compile(r"[^\W\d_]")
-_MAX_CACHED = 1 << 18
+_MAX_CACHED = 1 << 17
 
 
 def fold_token(token: str) -> str:

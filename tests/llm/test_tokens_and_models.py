@@ -40,6 +40,8 @@ def test_pieces_equal_the_library():
 def test_pieces_of_edges(edge_docs, no_docs):
     read = pieces.decode(pieces.encode(edge_docs, MODEL), MODEL)
     found = {r["doc_id"]: (r["n_tokens"], r["decoded"]) for r in read.collect()}
+    at_once = pieces.encode(edge_docs, MODEL, decoded="decoded")
+    assert {r["doc_id"]: (r["n_tokens"], r["decoded"]) for r in at_once.collect()} == found
     assert found[1] == (0, "") and found[2] == (0, "") and found[6][1] == "a short text"
     assert found[7][1] == "\x00 \U0001f600 ßé   x  y" and found[3][1] == "wort " * 40_000 + "ende"
     assert pieces.encode(no_docs, MODEL).count() == 0
