@@ -7,6 +7,7 @@ result column takes the place of an input column of the same name.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -90,9 +91,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     del df
     # What the finished steps shuffled is deleted once the driver's references
-    # to it are collected; on an idle driver that can take long.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    # to it are collected; on an idle driver that can take long.  Listeners hold
+    # the last query for a moment.
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -101,8 +105,10 @@ def held_out(column: str, parts: int, part: int):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % parts == part, F.lit(False))
 
 
-def shared_rows(rows: DataFrame) -> DataFrame:
-    """Rows whose key another row has too.
+def shared_rows(rows: DataFrame, hot: int | None = None) -> DataFrame:
+    """Rows ``(key, doc, …)`` whose key another row has too.
+
+    With ``hot``, a key of more rows than that also gets a row without ``doc``.
 
     Rows arrive sorted by key and pass by; only the last one is held back.  A
     key has at most one row per document, a small part of a document's rows.
@@ -110,11 +116,21 @@ def shared_rows(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
-        held_shared = False
+        held_shared, length = False, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = batch.column("key").to_numpy()
+            if hot is not None:
+                at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+                lengths = np.diff(np.append(at, len(keys)))
+                if held is not None and held.column("key")[0].as_py() == keys[0]:
+                    lengths[0] += length
+                elif length > hot:
+                    yield mark(held)
+                for i in np.flatnonzero(lengths[:-1] > hot).tolist():
+                    yield mark(batch.slice(int(at[i]), 1))
+                length = int(lengths[-1])
             same = np.concatenate(([False], keys[1:] == keys[:-1], [False]))
             if held is not None:
                 same[0] = held.column("key")[0].as_py() == keys[0]
@@ -125,6 +141,12 @@ def shared_rows(rows: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(np.concatenate((shared[:-1], [False]))))
         if held is not None and held_shared:
             yield held
+        if hot is not None and length > hot:
+            yield mark(held)
+
+    def mark(row: pa.RecordBatch) -> pa.RecordBatch:
+        at = row.schema.get_field_index("doc")
+        return row.set_column(at, row.schema.field(at), pa.nulls(1, row.schema.field(at).type))
 
     ordered = rows.repartition("key").sortWithinPartitions("key")
     return ordered.mapInArrow(run, rows.schema)

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from millrace.llm.anchors import GRAM, anchors
 from millrace.llm.column_bwt import ABSENT, repeated
 from millrace.llm.common import add_columns, shared_rows, slices, text_bytes, written
+from millrace.session import is_small
 
 SPAN = 50
 # Anchors of more texts than this are spread by their windows.
@@ -143,12 +144,16 @@ def _strings(candidates: DataFrame, span: int, gram: int) -> DataFrame:
                 key, place, first, last = anchors(np.frombuffer(text, np.uint8), span, gram)
                 at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
                 chosen = np.flatnonzero(wanted[at] == key)
-                for i in chosen.tolist():
-                    a, b = int(first[i]), int(last[i])
-                    left = column - int(place[i]) + a
-                    if not hot[at[i]]:
-                        string = (int(key[i].view(np.int64)), left, text[a : b + span])
-                        kept.add(string, doc, text_key, a)
+                found = (
+                    key[chosen].view(np.int64),
+                    column - place[chosen] + first[chosen],
+                    first[chosen],
+                    last[chosen],
+                    hot[at[chosen]],
+                )
+                for of, left, a, b, spread in zip(*(values.tolist() for values in found)):
+                    if not spread:
+                        kept.add((of, left, text[a : b + span]), doc, text_key, a)
                         continue
                     for start in range(a, b + 1):
                         window = text[start : start + span]
@@ -230,10 +235,11 @@ def repeated_spans(texts: DataFrame, span: int = SPAN, gram: int = GRAM) -> Data
 
     ``texts(doc, text_key, text)``; ``text_key`` tells rows of one id apart.
     """
-    shared = written(shared_rows(_anchor_rows(texts, span, gram)), "shared-anchors")
-    hot = shared.groupBy("key").count().filter(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
+    shared = written(shared_rows(_anchor_rows(texts, span, gram), HOT), "shared-anchors")
+    hot = shared.filter("doc is null").select("key", F.lit(True).alias("hot"))
     wanted = (
-        shared.join(hot, "key", "left")
+        shared.filter("doc is not null")
+        .join(F.broadcast(hot) if is_small(hot) else hot, "key", "left")
         .groupBy("doc")
         .agg(F.collect_set(F.struct("key", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("_of"))
         .select("doc", F.col("_of.key").alias("keys"), F.col("_of.hot").alias("hot"))
