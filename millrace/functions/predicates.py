@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,7 +12,8 @@ from pyspark.sql import types as T
 
 from millrace.functions.patterns import literal_form, pattern_problem, to_java_pattern
 
-_NAMED_GROUP = re.compile(r"\(\?P?<")
+# Names of groups are of no use here, and may not repeat in an alternation.
+GROUP_NAME = r"\(\?<[A-Za-z][A-Za-z0-9]*>"
 
 
 def found(line: Column, pattern: str) -> Column:
@@ -41,17 +40,14 @@ def any_found(line: Column, patterns: Sequence[str]) -> Column:
     """True when at least one pattern is found; false for no patterns.
 
     Several patterns become one alternation, so that a long list is one small
-    expression.  Patterns with named groups stay apart, as names may repeat.
+    expression.
     """
-    for pattern in patterns:
-        to_java_pattern(pattern)
-    plain = [p for p in patterns if not _NAMED_GROUP.search(p)]
-    tests = [found(line, p) for p in patterns if _NAMED_GROUP.search(p)]
-    if len(plain) == 1:
-        tests.append(found(line, plain[0]))
-    elif plain:
-        tests.append(line.rlike("|".join(f"(?:{to_java_pattern(p)})" for p in plain)))
-    return reduce(or_, tests, F.lit(False))
+    if not patterns:
+        return F.lit(False)
+    if len(patterns) == 1:
+        return found(line, patterns[0])
+    plain = [re.sub(GROUP_NAME, "(", to_java_pattern(p)) for p in patterns]
+    return line.rlike("|".join(f"(?:{p})" for p in plain))
 
 
 def matches_allow_list(line: Column, match_on: Sequence[str]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.predicates import (
+    GROUP_NAME,
     java_patterns,
     ship_predicate,
     ship_predicate_from_columns,
@@ -63,33 +64,32 @@ def ship_lines(lines: DataFrame, routes: DataFrame, small: bool | None = None) -
     return apply_rules(route_lines(lines, routes, small), routes, small)
 
 
+def _alternations(patterns: DataFrame) -> DataFrame:
+    """One pattern per route that finds what any of its patterns finds."""
+    plain = F.regexp_replace("pattern", GROUP_NAME, "(")
+    wrapped = F.concat(F.lit("(?:"), plain, F.lit(")"))
+    return patterns.groupBy("route_id").agg(
+        F.concat_ws("|", F.collect_list(wrapped)).alias("_pattern")
+    )
+
+
 def allow_lines(routed: DataFrame, patterns: DataFrame, routes: DataFrame) -> DataFrame:
     """Allow-list held in a table ``(route_id, pattern)`` of translated patterns.
 
-    A line stays when one pattern of its route is found.  A route without any
-    pattern gets the empty one, which is found in every line, so one semi join
-    over the lines covers both kinds of route.
+    A line stays when a pattern of its route is found, which is one test per
+    line.  A route without any pattern gets the empty one, found in every line.
     """
     wanted = (
         routes.select("route_id")
-        .join(patterns.select("route_id", "pattern"), "route_id", "left")
-        .select("route_id", F.coalesce("pattern", F.lit("")).alias("pattern"))
-    )
-    return join_checked(
-        routed,
-        wanted,
-        ["route_id"],
-        "left_semi",
-        condition=F.expr("l.line rlike r.pattern"),
+        .join(_alternations(patterns), "route_id", "left")
+        .select("route_id", F.coalesce("_pattern", F.lit("")).alias("_pattern"))
     )
+    joined = join_checked(routed, wanted, ["route_id"])
+    return joined.filter(F.rlike("line", F.col("_pattern"))).drop("_pattern")
 
 
 def deny_lines(routed: DataFrame, patterns: DataFrame) -> DataFrame:
     """Deny-list held in a table ``(route_id, pattern)`` of translated patterns."""
-    return join_checked(
-        routed,
-        patterns.select("route_id", "pattern"),
-        ["route_id"],
-        "left_anti",
-        condition=F.expr("l.line rlike r.pattern"),
-    )
+    joined = join_checked(routed, _alternations(patterns), ["route_id"], "left")
+    kept = ~F.coalesce(F.rlike("line", F.col("_pattern")), F.lit(False))
+    return joined.filter(kept).drop("_pattern")
