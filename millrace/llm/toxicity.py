@@ -4,7 +4,9 @@ Texts are folded first: compatibility forms, case and invisible characters go, l
 look Latin become Latin, and digits and signs that stand in for letters become
 those letters (``i`` and ``l`` are one letter, since 1 stands for both).  The
 lexicon holds words and word beginnings with weights; a match inside an
-exception phrase does not count.  The weights found, alone and per word of the
+exception phrase does not count.  Phrases are learned with the weights: a
+lexicon word and the words next to it, where clean documents have them in
+several surroundings and toxic ones never.  The weights found, alone and per word of the
 text, go through a logistic curve to a score between 0 and 1.
 
 NULL and empty texts have no matches and get the score of a text without any.
@@ -16,9 +18,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -120,9 +124,9 @@ class Matcher:
                 excused.append((begin, end))
             elif weight > at.get(begin, -math.inf):
                 at[begin] = weight
-        counted = [
-            w for begin, w in at.items() if not any(a <= begin < b for a, b in excused)
-        ]
+        excused.sort()
+        starts, reach = [a for a, _ in excused], [-1, *accumulate((b for _, b in excused), max)]
+        counted = [w for begin, w in at.items() if begin >= reach[bisect_right(starts, begin)]]
         return math.fsum(sorted(counted)), len(counted)
 
     def measures(self, folded: str) -> tuple[float, float]:
@@ -231,16 +235,90 @@ def learn(sample: DataFrame, exceptions: Iterable[str] = ()) -> Lexicon:
     names = [row["term"] for row in counted]
     counts = np.array([[*row][1:] for row in counted], dtype=np.float64).reshape(-1, 2, 2)
     folder = Folder()
-    phrases = tuple(folder(phrase) for phrase in exceptions)
+    given = tuple(folder(phrase) for phrase in exceptions)
 
-    def lexicon(of: np.ndarray, n_docs: np.ndarray, least: int) -> Lexicon:
-        weights = _weights(of, tuple(n_docs.tolist()))
-        kept = np.flatnonzero((weights >= MIN_WEIGHT) & (of[:, 0] >= least))
-        return Lexicon({names[i]: float(weights[i]) for i in kept}, phrases)
+    def weights(of: np.ndarray, n_docs: np.ndarray, least: int) -> dict[str, float]:
+        found = _weights(of, tuple(n_docs.tolist()))
+        kept = np.flatnonzero((found >= MIN_WEIGHT) & (of[:, 0] >= least))
+        return {names[i]: float(found[i]) for i in kept}
 
-    by_half = [lexicon(counts[:, half], sizes[half], MIN_CONTEXTS // 2) for half in (0, 1)]
-    whole = lexicon(counts.sum(axis=1), sizes.sum(axis=0), MIN_CONTEXTS)
-    return Lexicon(whole.weights, phrases, _curve(halves, by_half[::-1]))
+    by_half = [weights(counts[:, half], sizes[half], MIN_CONTEXTS // 2) for half in (0, 1)]
+    whole = weights(counts.sum(axis=1), sizes.sum(axis=0), MIN_CONTEXTS)
+    learned = _exceptions(halves, {*whole, *by_half[0], *by_half[1]})
+    of_halves = [
+        Lexicon(of_half, (*given, *phrases)) for of_half, phrases in zip(by_half, learned[:2])
+    ]
+    return Lexicon(whole, (*given, *learned[2]), _curve(halves, of_halves[::-1]))
+
+
+def phrases(folded: str, patterns: set[str]) -> Iterator[tuple[str, str]]:
+    """Each word that matches with the words next to it, and the words around these."""
+    words = folded.split()
+    for i, word in enumerate(words):
+        if f" {word} " in patterns or any(f" {word[:size]}" in patterns for size in STEMS if len(word) > size):
+            for first, end in ((i - 1, i + 1), (i, i + 2), (i - 1, i + 2)):
+                if first >= 0 and end <= len(words):
+                    around = " ".join((words[first - 1] if first else "", *words[end : end + 1]))
+                    yield f" {' '.join(words[first:end])} ", around
+
+
+def _exceptions(halves: DataFrame, patterns: set[str]) -> tuple[list[str], list[str], list[str]]:
+    """Exception phrases of each half of the sample, and of the whole.
+
+    As with terms, different surroundings count, one per document, so that a
+    clean text that was copied often excuses nothing.
+    """
+    if not patterns:
+        return [], [], []
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder, found = Folder(), set()
+        for batch in slices(batches):
+            columns = (batch.column(name).to_pylist() for name in ("text", "label", "half"))
+            for text, label, half in zip(*columns):
+                in_text = dict(phrases(folder(text), patterns))
+                if label == 1:
+                    found.update((phrase, half, None) for phrase in in_text)
+                else:
+                    found.update((phrase, half, around) for phrase, around in in_text.items())
+        rows = list(found)
+        for start in range(0, len(rows), 20_000):
+            columns = zip(*rows[start : start + 20_000])
+            kinds = (pa.string(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(column, kind) for column, kind in zip(columns, kinds)],
+                names=["phrase", "half", "around"],
+            )
+
+    # Toxic documents have no surroundings here.
+    toxic = F.max(F.col("around").isNull().cast("int"))
+    rows = (
+        halves.mapInArrow(run, "phrase string, half int, around string")
+        .groupBy("phrase", "half")
+        .agg(F.countDistinct("around").alias("clean"), toxic.alias("toxic"))
+        .groupBy("phrase")
+        .agg(
+            *[
+                F.sum(F.when(F.col("half") == half, F.col(c)).otherwise(0)).alias(f"{c}{half}")
+                for half in (0, 1)
+                for c in ("clean", "toxic")
+            ]
+        )
+        .filter(
+            F.greatest(
+                F.when(F.col("toxic0") == 0, F.col("clean0")),
+                F.when(F.col("toxic1") == 0, F.col("clean1")),
+            )
+            >= MIN_CONTEXTS // 2
+        )
+        .orderBy("phrase")
+        .collect()
+    )
+    return (
+        [r["phrase"] for r in rows if not r["toxic0"] and r["clean0"] >= MIN_CONTEXTS // 2],
+        [r["phrase"] for r in rows if not r["toxic1"] and r["clean1"] >= MIN_CONTEXTS // 2],
+        [r["phrase"] for r in rows if not r["toxic0"] + r["toxic1"] and r["clean0"] + r["clean1"] >= MIN_CONTEXTS],
+    )
 
 
 def _curve(halves: DataFrame, lexicons: list[Lexicon]) -> tuple[float, float, float]:

@@ -175,6 +175,26 @@ def test_lexicon_and_exceptions():
     assert matcher.score(folder("you idiot")) > matcher.score(folder("you idiot " + "word " * 500))
 
 
+def test_exceptions_are_learned(spark):
+    rng = random.Random(11)
+    other = ["".join(rng.choices("bcdfghmnpr", k=6)) for _ in range(300)]
+    around = lambda said: " ".join((*rng.choices(other, k=8), said, *rng.choices(other, k=8)))
+    texts = [(around("you idiot"), 1) for _ in range(120)] + [(around("plain"), 0) for _ in range(400)]
+    texts += [(around("village idiot fair"), 0) for _ in range(8)]
+    copied = around("copied idiot")
+    texts += [(copied, 0) for _ in range(8)]
+    sample = spark.createDataFrame([(i, *row) for i, row in enumerate(texts)], "doc_id bigint, text string, label int")
+    lexicon = toxicity.learn(sample)
+    folder = toxicity.Folder()
+    word, phrase = folder("idiot"), folder("village idiot")
+    assert word in lexicon.weights and phrase in lexicon.exceptions
+    assert folder("copied idiot") not in lexicon.exceptions and folder("you idiot") not in lexicon.exceptions
+    said = [(1, "the village idiot fair"), (2, "you idiot"), (3, "the village idiot, you idiot")]
+    found = toxicity.score(spark.createDataFrame(said, "doc_id bigint, text string"), lexicon)
+    got = {r["doc_id"]: (r["n_matches"], r["predicted"]) for r in found.collect()}
+    assert got[1] == (0, 0) and got[2] == got[3] and got[2][1] == 1
+
+
 def test_toxicity_of_edges(edge_docs, no_docs):
     scored = toxicity.score(edge_docs, toxicity.Lexicon({" wort ": 3.0}))
     assert scored.count() == 9 and scored.filter("score < 0 or score > 1 or score is null").count() == 0
