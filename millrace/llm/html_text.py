@@ -5,8 +5,10 @@ the lines are summed over a sliding window; where the sum rises from nothing
 the text surges, where it falls to nothing it dives, and the stretch between
 the two that holds most text is the article.  Lines of menus, headers, footers,
 sidebars, notices, adverts, forms, comments and hidden parts, and lines that
-are mostly links, are known by their markup; they weigh nothing and are left
-out.  If the page marks its article, other lines weigh nothing either.
+are mostly links, are known by their markup; they are taken out before the
+sums.  If the page marks articles, other lines are taken out too, and every
+line that remains is kept.  On other pages, so many short lines in a row as the
+window has end a stretch, but not in lists, tables, code, paragraphs and headings.
 
 NULL, empty and text-free pages give an empty text.  Tags that are never closed
 end with the element around them, and with the page at the latest.
@@ -26,7 +28,7 @@ from millrace.llm.common import add_columns
 
 # Lines that are summed; so many lines without text end an article.
 WINDOW = 5
-# On pages that mark no article, shorter lines do not start or end one.
+# On pages that mark no article, shorter lines outside text elements do not start or end one.
 LEAST_LINE = 15
 # Share of a line's text in links above which it counts as a menu.
 LINK_SHARE = 0.6
@@ -44,6 +46,8 @@ _DROPPED = frozenset(
     "nav footer aside form menu dialog head title button select textarea option label fieldset "
     "iframe object canvas svg math noscript noframes template audio video map datalist".split()
 )
+# Short lines in these are text too.
+_CONTENT = frozenset("blockquote caption code dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre table td th tr".split())
 _RAW = "script|style|xmp|noembed"
 _ARTICLE = frozenset(("article", "main"))
 # Where these begin, an unclosed paragraph or entry of the same kind ends.
@@ -80,10 +84,10 @@ class _Open:
 
 
 class _Lines:
-    """Lines of a page: text, characters in links, whether it may count."""
+    """Lines of a page: text, whether it may count, what it stands in."""
 
     def __init__(self):
-        self.lines: list[tuple[str, bool, bool]] = []
+        self.lines: list[tuple[str, bool, bool, bool]] = []
         self._parts: list[str] = []
         self._linked = 0
         self._open: list[_Open] = []
@@ -104,7 +108,8 @@ class _Lines:
         line = " ".join(html.unescape("".join(self._parts)).split())
         if line:
             menu = self._linked > LINK_SHARE * len(line)
-            self.lines.append((line, self._dropped > 0 or menu, self._articles > 0))
+            content = any(element.name in _CONTENT for element in self._open)
+            self.lines.append((line, self._dropped > 0 or menu, self._articles > 0, content))
         self._parts, self._linked = [], 0
 
     def open(self, name: str, attributes: str) -> None:
@@ -155,8 +160,8 @@ class _Lines:
         return element
 
 
-def page_lines(page: str) -> tuple[list[tuple[str, bool, bool]], bool]:
-    """Lines ``(text, left out, in an article)`` and whether an article is marked."""
+def page_lines(page: str) -> tuple[list[tuple[str, bool, bool, bool]], bool]:
+    """Lines ``(text, left out, in an article, in a text element)``, whether an article is marked."""
     lines, at = _Lines(), 0
     for part in _PART.finditer(page):
         lines.text(page[at : part.start()])
@@ -193,19 +198,14 @@ def stretch(lengths: list[int], window: int = WINDOW) -> tuple[int, int]:
 def main_text(page: str | None) -> str:
     """The article of a page, one line per block."""
     lines, marked = page_lines(page or "")
-    if marked and not any(inside and not out for _, out, inside in lines):
-        marked = False
-    least = 0 if marked else LEAST_LINE
-    if not marked and not any(len(line) >= least for line, out, _ in lines if not out):
-        least = 0
-    lengths = [
-        0 if out or len(line) < least or (marked and not inside) else len(line)
-        for line, out, inside in lines
-    ]
+    found = [(line, content) for line, out, inside, content in lines if inside and not out]
+    if marked and found:
+        return "\n".join(line for line, _ in found)
+    found = [(line, content) for line, out, _, content in lines if not out]
+    least = LEAST_LINE if any(len(line) >= LEAST_LINE for line, _ in found) else 0
+    lengths = [len(line) if content or len(line) >= least else 0 for line, content in found]
     first, end = stretch(lengths)
-    return "\n".join(
-        line for line, out, inside in lines[first:end] if not out and (inside or not marked)
-    )
+    return "\n".join(line for line, _ in found[first:end])
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -197,6 +197,26 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+ITEMS = "".join(f"<li>item {i}" for i in range(7))
+CUT = [
+    f"<article><p>Before the list.</p><aside><ul>{ITEMS}</ul></aside><p>After it, some more.</p></article>",
+    f"<article><p>Before the list.</p></article><nav><ul>{ITEMS}</ul></nav><article><p>After it, some more.</p></article>",
+    f"<div><p>Before the list.</p><form><ul>{ITEMS}</ul></form><p>After it, some more.</p></div>",
+]
+
+
+@pytest.mark.parametrize("page", CUT)
+def test_left_out_blocks_do_not_cut(page):
+    assert html_text.main_text(page) == "Before the list.\nAfter it, some more."
+
+
+@pytest.mark.parametrize("name", ["li", "td", "p"])
+def test_short_lines_do_not_cut(name):
+    short = "".join(f"<{name}>item {i}</{name}>" for i in range(7))
+    page = f"<div><p>Before the list.</p>{short}<p>After it, some more.</p></div>"
+    assert html_text.main_text(page).split("\n") == ["Before the list.", *(f"item {i}" for i in range(7)), "After it, some more."]
+
+
 def test_pages_table(spark):
     pages = spark.createDataFrame([(i, page, "mine") for i, (page, _) in enumerate(PAGES)], "page_id int, html string, text string")
     found = html_text.extract(pages).orderBy("page_id").collect()
