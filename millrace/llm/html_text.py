@@ -6,9 +6,12 @@ the text surges, where it falls to nothing it dives, and the stretch between
 the two that holds most text is the article.  Lines of menus, headers, footers,
 sidebars, notices, adverts, forms, comments and hidden parts, and lines that
 are mostly links, are known by their markup; they are taken out before the
-sums.  If the page marks articles, other lines are taken out too, and every
+sums.  Links count as text inside a marked article.  A class or id leaves out
+no element that holds the only headline, most of the text (comments apart) or
+all of it.  If the page marks articles, other lines are taken out too, and every
 line that remains is kept.  On other pages, so many short lines in a row as the
-window has end a stretch, but not in lists, tables, code, paragraphs and headings.
+window has end a stretch, but not in lists, tables, code, paragraphs and headings,
+and short lines next to the stretch belong to it.
 
 NULL, empty and text-free pages give an empty text.  Tags that are never closed
 end with the element around them, and with the page at the latest.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,6 +78,11 @@ _SIDE = re.compile(
     re.I,
 )
 
+# Of these, most of the text may well be under one.
+_COMMENTS = re.compile(
+    r"(?:^|[-_\s])(?:comments?|commentlist|disqus|replies|reply|respond)(?:$|[-_\s])", re.I
+)
+
 
 @dataclass
 class _Open:
@@ -81,20 +90,34 @@ class _Open:
     dropped: bool
     article: bool
     by_class: bool
+    # Number of an element that only its class or id leaves out.
+    side: int = 0
+
+
+@dataclass
+class _Line:
+    text: str
+    dropped: bool
+    menu: bool
+    inside: bool
+    content: bool
+    headline: bool
+    sides: tuple[int, ...]
 
 
 class _Lines:
     """Lines of a page: text, whether it may count, what it stands in."""
 
     def __init__(self):
-        self.lines: list[tuple[str, bool, bool, bool]] = []
+        self.lines: list[_Line] = []
         self._parts: list[str] = []
         self._linked = 0
         self._open: list[_Open] = []
         self._links = 0
         self._dropped = 0
         self._articles = 0
-        self.marked = False
+        self._sides = 0
+        self.comments: set[int] = set()
 
     def text(self, part: str) -> None:
         if part:
@@ -107,9 +130,19 @@ class _Lines:
             return
         line = " ".join(html.unescape("".join(self._parts)).split())
         if line:
-            menu = self._linked > LINK_SHARE * len(line)
-            content = any(element.name in _CONTENT for element in self._open)
-            self.lines.append((line, self._dropped > 0 or menu, self._articles > 0, content))
+            names = {element.name for element in self._open}
+            sides = tuple(element.side for element in self._open if element.side)
+            self.lines.append(
+                _Line(
+                    line,
+                    self._dropped > len(sides),
+                    self._linked > LINK_SHARE * len(line),
+                    self._articles > 0,
+                    not names.isdisjoint(_CONTENT),
+                    "h1" in names,
+                    sides,
+                )
+            )
         self._parts, self._linked = [], 0
 
     def open(self, name: str, attributes: str) -> None:
@@ -120,10 +153,12 @@ class _Lines:
         if name in _SELF_CLOSING and self._open and self._open[-1].name == name:
             self._pop()
         article = name in _ARTICLE
-        by_class = False
+        by_class = hidden = False
+        names = ""
         if attributes and name not in ("html", "body"):
             names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes))
-            by_class = bool(names and _SIDE.search(names)) or bool(_HIDDEN.search(attributes))
+            hidden = bool(_HIDDEN.search(attributes))
+            by_class = hidden or bool(names and _SIDE.search(names))
         if article and not by_class and self._dropped:
             # A container that merely names a sidebar, or was never closed.
             while self._dropped and self._open and self._open[-1].by_class:
@@ -133,7 +168,14 @@ class _Lines:
                     self._pop()
         header = name == "header" and not self._articles
         dropped = by_class or header or name in _DROPPED
-        self._push(_Open(name, dropped, article and not by_class and not self._dropped, by_class))
+        side = 0
+        if by_class and not (hidden or header or name in _DROPPED):
+            side = self._sides = self._sides + 1
+            if _COMMENTS.search(names):
+                self.comments.add(side)
+        self._push(
+            _Open(name, dropped, article and not by_class and not self._dropped, by_class, side)
+        )
 
     def close(self, name: str) -> None:
         if name in _BLOCKS:
@@ -147,7 +189,6 @@ class _Lines:
         self._dropped += element.dropped
         self._articles += element.article
         self._links += element.name == "a"
-        self.marked |= element.article
 
     def _pop(self) -> _Open:
         element = self._open[-1]
@@ -160,8 +201,8 @@ class _Lines:
         return element
 
 
-def page_lines(page: str) -> tuple[list[tuple[str, bool, bool, bool]], bool]:
-    """Lines ``(text, left out, in an article, in a text element)``, whether an article is marked."""
+def page_lines(page: str) -> tuple[list[_Line], set[int]]:
+    """Lines of a page, and the numbers of its elements for comments."""
     lines, at = _Lines(), 0
     for part in _PART.finditer(page):
         lines.text(page[at : part.start()])
@@ -174,7 +215,23 @@ def page_lines(page: str) -> tuple[list[tuple[str, bool, bool, bool]], bool]:
                 lines.open(name, part[4])
     lines.text(page[at:])
     lines.end_line()
-    return lines.lines, lines.marked
+    return lines.lines, lines.comments
+
+
+def _kept(lines: list[_Line], comments: set[int]) -> list[_Line]:
+    """Lines that no class or id leaves out."""
+    total, headline = sum(len(line.text) for line in lines), any(
+        line.headline and not line.sides for line in lines
+    )
+    held: Counter[int] = Counter()
+    spared: set[int] = set()
+    for line in lines:
+        for side in line.sides:
+            held[side] += len(line.text)
+        if line.headline and not headline:
+            spared.update(line.sides)
+    spared.update(side for side, n in held.items() if 2 * n > total and side not in comments)
+    return [line for line in lines if spared.issuperset(line.sides)] or lines
 
 
 def stretch(lengths: list[int], window: int = WINDOW) -> tuple[int, int]:
@@ -197,15 +254,20 @@ def stretch(lengths: list[int], window: int = WINDOW) -> tuple[int, int]:
 
 def main_text(page: str | None) -> str:
     """The article of a page, one line per block."""
-    lines, marked = page_lines(page or "")
-    found = [(line, content) for line, out, inside, content in lines if inside and not out]
-    if marked and found:
-        return "\n".join(line for line, _ in found)
-    found = [(line, content) for line, out, _, content in lines if not out]
-    least = LEAST_LINE if any(len(line) >= LEAST_LINE for line, _ in found) else 0
-    lengths = [len(line) if content or len(line) >= least else 0 for line, content in found]
-    first, end = stretch(lengths)
-    return "\n".join(line for line, _ in found[first:end])
+    lines, comments = page_lines(page or "")
+    lines = [line for line in lines if not line.dropped]
+    found = [line for line in lines if line.inside]
+    if found:
+        return "\n".join(line.text for line in _kept(found, comments))
+    found = _kept([line for line in lines if not line.menu], comments)
+    sizes = [len(line.text) for line in found]
+    least = LEAST_LINE if max(sizes, default=0) >= LEAST_LINE else 0
+    first, end = stretch([n if line.content or n >= least else 0 for n, line in zip(sizes, found)])
+    while 0 < first and sizes[first - 1] < least:
+        first -= 1
+    while end < len(sizes) and sizes[end] < least:
+        end += 1
+    return "\n".join(line.text for line in found[first:end])
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -217,6 +217,22 @@ def test_short_lines_do_not_cut(name):
     assert html_text.main_text(page).split("\n") == ["Before the list.", *(f"item {i}" for i in range(7)), "After it, some more."]
 
 
+LONG = "A paragraph that is long enough."
+WHOLE = [
+    (f"<div>News</div><p>{LONG}</p><div>The end.</div>", f"News\n{LONG}\nThe end."),
+    (f"<article><p>{LONG}</p><p><a href=x>A long source title</a></p></article>", f"{LONG}\nA long source title"),
+    (f"<article><div class='post-header'><h1>Title</h1></div><p>{LONG}</p></article>", f"Title\n{LONG}"),
+    (f"<div class='has-sidebar'><p>{LONG}</p><div class=sidebar>Other texts</div></div>", LONG),
+    (f"<div class=site-header>My site</div><h1>Title</h1><p>{LONG}</p><div class=comments>{LONG * 5}</div>", f"Title\n{LONG}"),
+    (f"<article><p>{LONG}</p><div hidden><p>{LONG * 5}</p></div></article>", LONG),
+]
+
+
+@pytest.mark.parametrize("page, text", WHOLE)
+def test_thresholds_drop_no_article_text(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_pages_table(spark):
     pages = spark.createDataFrame([(i, page, "mine") for i, (page, _) in enumerate(PAGES)], "page_id int, html string, text string")
     found = html_text.extract(pages).orderBy("page_id").collect()
