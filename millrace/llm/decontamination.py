@@ -7,6 +7,8 @@ pattern of one automaton, which reads a text once and finds all of them.
 
 NULL and empty texts have no words and match nothing.  Rows and items that
 occur twice are treated as they come; an item id counts once per document.
+Items without an id are matched like others and count as one item together;
+the list of items leaves them out.  Items without text hold no passage.
 """
 
 from __future__ import annotations
@@ -46,9 +48,11 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_NORMAL).split()
 
 
-def patterns(items: list[tuple[str, bytes]], window: int) -> dict[str, tuple[int, set[str]]]:
+def patterns(
+    items: list[tuple[str | None, bytes]], window: int
+) -> dict[str, tuple[int, set[str | None]]]:
     """Normalised windows with their number of words and the items that hold them."""
-    found: dict[str, tuple[int, set[str]]] = {}
+    found: dict[str, tuple[int, set[str | None]]] = {}
     for item, text in items:
         of_item = words(text)
         if not of_item:
@@ -60,18 +64,22 @@ def patterns(items: list[tuple[str, bytes]], window: int) -> dict[str, tuple[int
     return found
 
 
+def _in_order(ids: set[str | None]) -> list[str | None]:
+    return sorted(ids, key=lambda item: (item is not None, item or ""))
+
+
 def _line(of_text: list[bytes]) -> str:
     # One character per byte, so that offsets are byte offsets.
     return (b" " + b" ".join(of_text) + b" ").decode("latin-1")
 
 
-def _automaton(key: str, items: list[tuple[str, bytes]], window: int):
+def _automaton(key: str, items: list[tuple[str | None, bytes]], window: int):
     """Built once per Python worker."""
     if key not in _automata:
         found = patterns(items, window)
         automaton = ahocorasick.Automaton()
         for line, (size, ids) in found.items():
-            automaton.add_word(line, (size, sorted(ids)))
+            automaton.add_word(line, (size, _in_order(ids)))
         if found:
             automaton.make_automaton()
         _automata.clear()
@@ -79,7 +87,7 @@ def _automaton(key: str, items: list[tuple[str, bytes]], window: int):
     return _automata[key]
 
 
-def scan(text: bytes, automaton) -> tuple[int, list[tuple[int, int]], set[str]]:
+def scan(text: bytes, automaton) -> tuple[int, list[tuple[int, int]], set[str | None]]:
     """Words of the text, hit word ranges ``[begin, end)``, items found."""
     of_text = words(text)
     if automaton is None or not of_text:
@@ -90,7 +98,7 @@ def scan(text: bytes, automaton) -> tuple[int, list[tuple[int, int]], set[str]]:
         return len(of_text), [], set()
     spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), dtype=np.uint8) == 32)
     lasts = np.searchsorted(spaces, [end for end, _ in hits]).tolist()
-    items: set[str] = set()
+    items: set[str | None] = set()
     ranges = []
     for last, (_, (size, ids)) in zip(lasts, hits):
         items.update(ids)
@@ -137,7 +145,7 @@ def decontaminate(
     """
     items = benchmark.select(
         F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")
-    ).filter("item is not null and text is not null")
+    ).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     parts = max(1, -(-int(size) // max_automaton_bytes))
     out = docs
@@ -154,7 +162,7 @@ def _scan_part(
 ) -> DataFrame:
     rows = [(row["item"], row["text"].encode()) for row in items.collect()]
     shared = docs.sparkSession.sparkContext.broadcast(rows)
-    key = hashlib.sha256(repr((window, sorted(rows))).encode()).hexdigest()
+    key = hashlib.sha256(repr((window, sorted(rows, key=repr))).encode()).hexdigest()
 
     def task():
         automaton, any_pattern = _automaton(key, shared.value, window)
@@ -170,7 +178,7 @@ def _scan_part(
                     found |= set(batch.column(names.index("_items"))[row].as_py())
                 counts.append(n)
                 ranges.append([x for pair in hit for x in pair])
-                items.append(sorted(found))
+                items.append(_in_order(found))
             return [
                 pa.array(counts, pa.int64()),
                 pa.array(ranges, pa.list_(pa.int64())),
@@ -188,7 +196,8 @@ def _summary(scanned: DataFrame, text_col: str) -> DataFrame:
             names = batch.schema.names
             texts = text_bytes(batch.column(names.index(text_col)))
             flat = batch.column(names.index("_ranges")).to_pylist()
-            items = batch.column(names.index("_items")).to_pylist()
+            found = batch.column(names.index("_items")).to_pylist()
+            items = [[item for item in row if item is not None] for row in found]
             ranges = [list(zip(row[::2], row[1::2])) for row in flat]
             spans = [
                 [{"begin": a, "end": b} for a, b in original_spans(text, hit)]
@@ -198,7 +207,7 @@ def _summary(scanned: DataFrame, text_col: str) -> DataFrame:
             hit = [sum(b - a for a, b in row) for row in ranges]
             return [
                 pa.array(hit, pa.int64()),
-                pa.array([len(row) for row in items], pa.int64()),
+                pa.array([len(row) for row in found], pa.int64()),
                 pa.array(items, pa.list_(pa.string())),
                 pa.array(digests, pa.string()),
                 pa.array([n > 0 for n in hit], pa.bool_()),

@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 
 import brute
+import duckdb
 import numpy as np
 import pytest
-from millrace.llm import column_bwt, decontamination, jaccard, repeats, toxicity
+from millrace.llm import column_bwt, decontamination, jaccard, queries, repeats, toxicity
 from millrace.llm.anchors import anchors, gram_hashes
 from millrace.llm.components import components
 
@@ -53,6 +54,21 @@ def test_decontamination(spark, suspects, max_bytes):
     assert [text[a:b].lower() for a, b in spans[1]] == ["two three four five six seven eight nine ten eleven"]
 
 
+@pytest.mark.parametrize("max_bytes", [1 << 20, 40])
+def test_decontamination_by_items_without_id(spark, suspects, max_bytes):
+    items = [*ITEMS, (None, ITEMS[0][1]), (None, "wörter zwölf"), (None, None)]
+    docs = spark.createDataFrame([*suspects, (9, "90 Wörter, zwölf Käse")], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontamination.decontaminate(docs, benchmark, max_automaton_bytes=max_bytes)
+    with duckdb.connect() as db:
+        db.register("documents", docs.toArrow())
+        db.register("benchmark", benchmark.toArrow())
+        expected = db.sql(queries.ORACLES["op1_decontamination"]).select(", ".join(CONTAMINATION)).fetchall()
+    assert rows(found, *CONTAMINATION) == sorted(expected, key=repr)
+    by_id = {r["doc_id"]: (r["n_items"], r["items"], r["contaminated"]) for r in found.collect()}
+    assert by_id[9] == (1, [], True) and by_id[1] == (2, ["1"], True)
+
+
 def test_decontamination_of_edges(spark, edge_docs, no_docs):
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     found = decontamination.decontaminate(edge_docs, items)
