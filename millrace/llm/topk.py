@@ -8,7 +8,8 @@ Components become ``floor(scale * x)``, so that scores are integers.  Vectors
 that are NULL, or hold a NULL or non-finite component, take no part; vectors
 are compared with those of the same length only.  Ties go to the smaller id.
 Repeated ids are separate candidates, and a query never meets rows of its own
-id.  Scores beyond 64 bits are set to the nearest 64-bit value.
+id.  Every row of a repeated query id is searched, exact repeats too, and the
+best rows of all of them are the list of that id.  Scores beyond 64 bits are set to the nearest 64-bit value.
 """
 
 from __future__ import annotations
@@ -99,12 +100,14 @@ def _tiles(queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int, scale: int
                     top = tile(*queries[size], ids[rows].astype(np.int64), shard)
                     tops[size] = top if size not in tops else joined(tops[size], top)
         for size, (at, vec_id, score) in tops.items():
+            own = queries[size][0][at]
+            own, vec_id, score = first(own, vec_id, score)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(queries[size][0][at]),
+                    pa.array(own),
                     pa.array(vec_id),
                     pa.array(score),
-                    pa.array(np.full(len(at), leaf)),
+                    pa.array(np.full(len(own), leaf)),
                 ],
                 names=["query_id", "vec_id", "score", "leaf"],
             )
@@ -119,7 +122,9 @@ def _tiles(queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int, scale: int
         return tuple(np.concatenate(column) for column in zip(*parts))
 
     def joined(one, other):
-        at, vec_id, score = (np.concatenate(pair) for pair in zip(one, other))
+        return first(*(np.concatenate(pair) for pair in zip(one, other)))
+
+    def first(at, vec_id, score):
         order = np.lexsort((vec_id, -score, at))
         at = at[order]
         chosen = np.arange(len(at)) - np.searchsorted(at, at, side="left") < k
@@ -161,7 +166,7 @@ def top_k(
         F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>")
     ).filter("vec_id is not null and embedding is not null")
     blocks = max(1, -(-queries.count() // max(1, query_block // 2)))
-    placed = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    placed = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)))
     if blocks > 1:
         placed = written(placed.repartition(blocks, "block"), "query-blocks")
     found = None
@@ -173,7 +178,8 @@ def top_k(
         if blocks > 1:
             merged = written(merged, "top-lists")
         found = merged if found is None else found.unionByName(merged)
-    return found
+    # Rows of one query id may lie in several blocks.
+    return _ranked(found, k) if blocks > 1 else found
 
 
 def _block(rows: DataFrame, scale: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -187,12 +193,7 @@ def _block(rows: DataFrame, scale: int) -> dict[int, tuple[np.ndarray, np.ndarra
                 np.concatenate((earlier[0], ids[kept])),
                 np.concatenate((earlier[1], vectors)),
             )
-    # Of a repeated query id, the smallest vector is the query.
-    for size, (ids, vectors) in found.items():
-        order = np.lexsort((*vectors.T[::-1], ids))
-        first = order[np.flatnonzero(np.diff(ids[order], prepend=ids[order][:1] - 1))]
-        found[size] = (ids[first].astype(np.int64), vectors[first])
-    return found
+    return {size: (ids.astype(np.int64), vectors) for size, (ids, vectors) in found.items()}
 
 
 def _merge(tiles: DataFrame, k: int) -> DataFrame:
@@ -200,6 +201,10 @@ def _merge(tiles: DataFrame, k: int) -> DataFrame:
     node = F.pmod(F.xxhash64("leaf"), F.lit(FAN_IN * FAN_IN))
     level = _first(tiles.withColumn("node", node), k, "node")
     level = _first(level.withColumn("node", F.col("node") % FAN_IN), k, "node")
-    return _first(level, k).select(
+    return _ranked(level, k)
+
+
+def _ranked(lists: DataFrame, k: int) -> DataFrame:
+    return _first(lists, k).select(
         "query_id", (F.col("place") + 1).cast("int").alias("rank"), "vec_id", "score"
     )

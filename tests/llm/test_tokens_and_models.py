@@ -8,6 +8,7 @@ import struct
 import zlib
 
 import brute
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -103,6 +104,20 @@ def test_top_k(spark, block):
     assert topk.top_k(none, none).count() == 0
 
 
+@pytest.mark.parametrize("block", [2048, 4])
+def test_every_row_of_a_query_id_is_searched(spark, block):
+    rng = random.Random(10)
+    vectors = [(i, [rng.randint(-512, 512) / 1024 for _ in range(3)]) for i in range(1, 600)]
+    vectors += [(100, [0.5, -0.25, 0.125]), (100, [-0.5, 0.5, 0.5]), (200, vectors[199][1]), (300, [0.5, 0.5])]
+    vectors += [(7, [0.25, 0.5]), (8, [0.5, 0.25])]
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").repartition(3)
+    found = topk.top_k(df, df.filter("vec_id % 100 = 0"), query_block=block)
+    with duckdb.connect() as db:
+        db.register("embeddings", df.toArrow())
+        expected = db.sql(queries.ORACLES["op7_exact_topk"]).fetchall()
+    assert sorted(map(tuple, found.select("query_id", "rank", "vec_id", "score").collect())) == sorted(expected)
+
+
 def test_language(spark, edge_docs, no_docs):
     rows = [("the cat sat with the other cat", "en"), ("der hund und die katze sind hier", "de")] * 4
     rows += [(None, "en"), ("lost", None)]
