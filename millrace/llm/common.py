@@ -20,6 +20,8 @@ from millrace.session import scratch_dir
 
 # Rows a task works on at a time, so that memory follows the text in a few rows.
 ROWS_AT_ONCE = 512
+# The same in bytes of text, for operators whose memory is a multiple of them.
+BYTES_AT_ONCE = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -29,12 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def add_columns(
-    df: DataFrame, ddl: str, task: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]
+    df: DataFrame,
+    ddl: str,
+    task: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]],
+    bounded: str | None = None,
 ) -> DataFrame:
     """Add the columns ``ddl`` to every row.
 
     ``task()`` is called once per task and gives the function that computes
-    the new columns of a slice of rows.
+    the new columns of a slice of rows.  With ``bounded``, the name of a text
+    column, slices are cut by its bytes instead of by rows.
     """
     added = StructType.fromDDL(ddl)
     taken = {field.name.lower() for field in added}
@@ -44,13 +50,29 @@ def add_columns(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = task()
-        for batch in slices(batches):
+        cut = slices_by_size(batches, bounded, BYTES_AT_ONCE) if bounded else slices(batches)
+        for batch in cut:
             columns = [batch.column(i) for i in kept] + work(batch)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return df.mapInArrow(run, schema)
 
 
+def slices_by_size(
+    batches: Iterable[pa.RecordBatch], column: str, size: int, rows: int = 4096
+) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut where a text column comes to ``size`` bytes; at least one row each."""
+    for batch in batches:
+        at = batch.schema.get_field_index(column)
+        lengths = np.diff(flat_bytes(batch.column(at))[1])
+        start = 0
+        while start < batch.num_rows:
+            ends = np.cumsum(lengths[start : start + rows])
+            n = max(1, int(np.searchsorted(ends, size, side="right")))
+            yield batch.slice(start, n)
+            start += n
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into short ones."""
     for batch in batches:
@@ -84,11 +106,17 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(32))
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: short lineage, computed once."""
     spark, schema = df.sparkSession, df.schema
     path = scratch_dir(spark, label)
     df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """:func:`stored`, and what was shuffled for it goes at once."""
+    spark, out = df.sparkSession, stored(df, label)
     del df
     # What the finished steps shuffled is deleted once the driver's references
     # to it are collected; on an idle driver that can take long.  Listeners hold
@@ -97,7 +125,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2)
-    return spark.read.schema(schema).parquet(path)
+    return out
 
 
 def held_out(column: str, parts: int, part: int):

@@ -11,6 +11,7 @@ from millrace.llm import (
     html_text,
     jaccard,
     language,
+    merkle,
     pieces,
     quality,
     repair,
@@ -97,6 +98,24 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = table(spark, sf_dir, "documents", *columns)
+    changed = [F.col("n_chars") + 1 if c == "n_chars" else F.col(c) for c in columns]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, merkle.leaf(*changed))
+    leaves = docs.select("doc_id", "lang", merkle.leaf(*columns).alias("leaf"), tampered.alias("tampered"))
+    proved = merkle.manifest(leaves, carried=["tampered"])
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof"))
+    return proved.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -108,6 +127,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_html_extraction": op9_html_extraction,
     "op10_pieces": op10_pieces,
+    "op11_merkle": op11_merkle,
 }
 
 # SQL over the same tables, where SQL can express the result on whole tables.
@@ -154,4 +174,62 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 WHERE rank <= 10""",
+    "op11_merkle": """
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang,
+    sha256(concat(DOC, SRC, LNG, N, TXT)) AS leaf,
+    CASE WHEN crc % 7 = 0 THEN sha256(concat(DOC, SRC, LNG, N1, TXT))
+      ELSE sha256(concat(DOC, SRC, LNG, N, TXT)) END AS folded
+  FROM (
+    SELECT doc_id, lang,
+      coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') AS DOC,
+      coalesce(strlen(source) || ':' || source, '-') AS SRC,
+      coalesce(strlen(lang) || ':' || lang, '-') AS LNG,
+      coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS N,
+      coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') AS N1,
+      coalesce(strlen(text) || ':' || text, '-') AS TXT,
+      xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT)),
+        lambda c, d: list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(c, d)),
+        4294967295), 4294967295) AS crc
+    FROM documents)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY lang) AS n
+  FROM leaves),
+up AS (
+  SELECT 0 AS level, lang, pos, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT level + 1, lang, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+  FROM up WHERE n > 1 GROUP BY level, lang, pos // 2, n),
+subroots AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos,
+    count(*) OVER () AS n
+  FROM up WHERE n = 1),
+over AS (
+  SELECT 0 AS level, pos, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+  FROM over WHERE n > 1 GROUP BY level, pos // 2, n),
+nodes AS (
+  SELECT '=' || lang AS tree, level, pos, n, h FROM up WHERE lang IS NOT NULL
+  UNION ALL SELECT '', level, pos, n, h FROM up WHERE lang IS NULL
+  UNION ALL SELECT 'over', level, pos, n, h FROM over),
+walk AS (
+  SELECT p.doc_id, p.lang, p.leaf, p.pos AS leaf_pos, s.subroot, s.pos AS sub_pos,
+    coalesce('=' || p.lang, '') AS tree, 0 AS level, p.pos, p.n, p.folded AS h, '' AS proof
+  FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.leaf, w.leaf_pos, w.subroot, w.sub_pos,
+    CASE WHEN w.n = 1 THEN 'over' ELSE w.tree END,
+    CASE WHEN w.n = 1 THEN 0 ELSE w.level + 1 END,
+    CASE WHEN w.n = 1 THEN w.sub_pos ELSE w.pos // 2 END,
+    CASE WHEN w.n = 1 THEN (SELECT max(n) FROM subroots) ELSE (w.n + 1) // 2 END,
+    CASE WHEN w.n = 1 THEN w.h
+      WHEN w.pos % 2 = 0 THEN sha256(concat(w.h, b.h)) ELSE sha256(concat(b.h, w.h)) END,
+    CASE WHEN w.n = 1 THEN w.proof ELSE concat(w.proof, b.h) END
+  FROM walk w LEFT JOIN nodes b
+    ON b.tree = w.tree AND b.level = w.level AND b.pos = xor(w.pos, 1) AND w.n > 1
+  WHERE w.n > 1 OR w.tree <> 'over')
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM walk, (SELECT h AS root FROM over WHERE n = 1) WHERE tree = 'over' AND n = 1""",
 }
