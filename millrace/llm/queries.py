@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import (
+    bands,
     decontamination,
     html_text,
     jaccard,
@@ -116,6 +117,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bands.judge(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -128,6 +133,7 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_pieces": op10_pieces,
     "op11_merkle": op11_merkle,
+    "op12_quality_rules": op12_quality_rules,
 }
 
 # SQL over the same tables, where SQL can express the result on whole tables.
