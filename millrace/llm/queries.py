@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import (
+    alignment,
     bands,
     decontamination,
     html_text,
@@ -20,7 +21,7 @@ from millrace.llm import (
     topk,
     toxicity,
 )
-from millrace.llm.common import held_out, table, written
+from millrace.llm.common import held_out, stored, table, written
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +122,16 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bands.judge(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    aligned = alignment.align(docs, *files).select(
+        "doc_id", "n_a", "n_b", "n_groups", "links", digest.alias("groups_sha256")
+    )
+    return alignment.score(stored(aligned, "aligned"), *files).drop("links")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -134,6 +145,7 @@ QUERIES = {
     "op10_pieces": op10_pieces,
     "op11_merkle": op11_merkle,
     "op12_quality_rules": op12_quality_rules,
+    "op13_alignment": op13_alignment,
 }
 
 # SQL over the same tables, where SQL can express the result on whole tables.
