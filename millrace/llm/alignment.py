@@ -43,8 +43,10 @@ from pyspark.sql import functions as F
 from millrace.llm.common import add_columns
 
 LANE_TOKENS = 192
+# Text that goes in lockstep at a time; tokens and pointers are a multiple of it.
+BATCH_BYTES = 1 << 20
 # Text and ids remembered by a worker, about.
-MEMORY_BYTES = 96 << 20
+MEMORY_BYTES = 40 << 20
 # What a remembered word takes besides its letters.
 WORD_BYTES = 190
 # A pair of ids as one number.
@@ -108,8 +110,28 @@ class Tokenizers:
         self._ids = (array("i"), array("i"))
         self._ends = (array("q", [0]), array("q", [0]))
         self._same = bytearray()
+        self._uses = np.zeros(0, dtype=np.int64)
         self._held = 0
 
+    def _forget(self) -> None:
+        """Keep the words that came up again, most used first, within half the memory."""
+        uses, words = self._uses, list(self._place)
+        order = np.argsort(-uses, kind="stable")
+        held = np.cumsum([len(word) + WORD_BYTES for word in words])[-1] / max(1, len(words))
+        order = np.sort(order[: min(int((uses > 1).sum()), int(MEMORY_BYTES / 2 / held))])
+        old = [np.frombuffer(ids, dtype=np.int32) for ids in self._ids]
+        ends = [np.frombuffer(e, dtype=np.int64) for e in self._ends]
+        same, kept = self._same, [words[i] for i in order.tolist()]
+        self.reset()
+        for side in (0, 1):
+            n = (ends[side][1:] - ends[side][:-1])[order]
+            self._ids[side].frombytes(old[side][_runs(ends[side][order], n)].tobytes())
+            self._ends[side].frombytes(np.cumsum(n).tobytes())
+        self._place = dict(zip(kept, range(len(kept))))
+        self._same = bytearray(map(same.__getitem__, order.tolist()))
+        self._uses = uses[order] // 2
+        self._held = sum(map(len, kept)) + WORD_BYTES * len(kept)
+
     def _encoded(self, texts: list[str]) -> Iterator[tuple[list[int], list[int], bool]]:
         """Ids of a blank and each text, and whether both give its bytes back."""
         spaced = [" " + text for text in texts]
@@ -158,7 +180,7 @@ class Tokenizers:
         """Ids of all texts behind each other for A and B, the number of ids in each text for A
         and B, and whether a text has tokens; without, it has no ids."""
         if self._held > MEMORY_BYTES:
-            self.reset()
+            self._forget()
         known = self._place
         words = [text.split(" ") if text and self.by_words else [] for text in texts]
         places = [list(map(known.get, w)) for w in words]
@@ -180,6 +202,9 @@ class Tokenizers:
         counts = np.array(list(map(len, places)), dtype=np.int64)
         at = np.fromiter(chain.from_iterable(places), dtype=np.int64, count=int(counts.sum()))
         doc = np.repeat(np.arange(len(texts)), counts)
+        uses = np.bincount(at, minlength=len(self._same))
+        uses[: len(self._uses)] += self._uses
+        self._uses = uses
         same = np.frombuffer(bytes(self._same), dtype=np.uint8)
         good = np.array([bool(text) for text in texts], dtype=bool)
         good[doc[same[at] == 0]] = False
@@ -356,7 +381,7 @@ def align(docs: DataFrame, merges_file: str, pieces_file: str, text_col: str = "
 
         return work
 
-    return add_columns(docs, _ADDED, task, bounded=text_col)
+    return add_columns(docs, _ADDED, task, bounded=text_col, size=BATCH_BYTES)
 
 
 def most_pairs(merges_file: str, pieces_file: str) -> int:

@@ -35,12 +35,13 @@ def add_columns(
     ddl: str,
     task: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]],
     bounded: str | None = None,
+    size: int = BYTES_AT_ONCE,
 ) -> DataFrame:
     """Add the columns ``ddl`` to every row.
 
     ``task()`` is called once per task and gives the function that computes
     the new columns of a slice of rows.  With ``bounded``, the name of a text
-    column, slices are cut by its bytes instead of by rows.
+    column, slices are cut at ``size`` bytes of it instead of by rows.
     """
     added = StructType.fromDDL(ddl)
     taken = {field.name.lower() for field in added}
@@ -50,10 +51,13 @@ def add_columns(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = task()
-        cut = slices_by_size(batches, bounded, BYTES_AT_ONCE) if bounded else slices(batches)
+        cut = slices_by_size(batches, bounded, size) if bounded else slices(batches)
         for batch in cut:
             columns = [batch.column(i) for i in kept] + work(batch)
             yield pa.RecordBatch.from_arrays(columns, names=names)
+            del columns
+        # The worker lives on; what the allocator keeps for it counts as used.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
