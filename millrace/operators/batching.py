@@ -13,13 +13,15 @@ a batch ever has to bring an unbounded group into one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.flush_kernel import Chunk, flushes, follow, summarise
-from millrace.session import join_checked
+from millrace.operators.flush_kernel import Chunk, Map, compose, flushes, follow, summarise
+from millrace.session import join_checked, materialised
 
 # Why a batch was flushed.
 BUFFER_FULL = "buffer full"
@@ -28,8 +30,13 @@ TIME_ELAPSED = "time elapsed"
 # Offsets per slice: at most this many lines share a join or collection key.
 SLICE_SPAN = 1 << 18
 
-# Poll ticks per fold task; a task holds a (tick, count) pair per slice of each.
-CHUNK_TICKS = 1 << 18
+# Poll ticks per fold task, with up to as many of the chunk before; a task holds
+# a (tick, count) pair per slice of each.
+CHUNK_TICKS = 1 << 17
+
+# Rows of chunk summaries that one task chains.
+MAP_ROWS = 1 << 18
+MOST_MAPS = 1 << 12
 
 # Longer intervals count as this long: about 70 million years.
 LONGEST_MS = 1 << 61
@@ -41,10 +48,11 @@ _TICK_BATCHES = (
     "route_id bigint, tick bigint, n bigint, batch_id bigint, flush_at bigint, "
     "n_entries bigint, full boolean, opens boolean"
 )
-_SUMMARIES = (
-    "route_id bigint, chunk bigint, idle bigint, low bigint, high bigint, "
+_MAPS = (
+    "route_id bigint, node bigint, fan bigint, idle bigint, low bigint, high bigint, "
     "leave bigint, n_flushes bigint, shift boolean"
 )
+_ENTRIES = "route_id bigint, node bigint, entry bigint, flushes_before bigint"
 
 
 def with_ticks(
@@ -94,9 +102,12 @@ def fold_ticks(
     With ``horizon_ms`` the routes stop there: later ticks disappear and ticks
     still buffered have no batch.
 
-    The fold runs in three steps over chunks of ``chunk_ticks`` polls, so that
-    one busy route is spread over many tasks: summarise each chunk for every
-    way of entering it, chain the summaries of a route, replay each chunk.
+    The fold runs in steps over chunks of about ``chunk_ticks`` polls, so that one
+    busy route is spread over many tasks: summarise each chunk for every way of
+    entering it, compose the summaries to a tree of maps, go down the tree to find the
+    one true entry of each chunk, and replay the chunks.  No task sees more than
+    two chunks of ticks and ``MAP_ROWS`` rows of maps, however long the history
+    and the flush interval are, as long as a buffer holds no more than a chunk.
     """
     if horizon_ms is not None:
         ticks = ticks.filter(F.col("tick") <= horizon_ms)
@@ -106,92 +117,204 @@ def fold_ticks(
 def _fold(
     ticks: DataFrame, routes: DataFrame, horizon_ms: int | None, chunk_ticks: int, small: bool | None
 ) -> DataFrame:
-    chunks = _chunked(ticks, routes, chunk_ticks, small)
-    summaries = chunks.groupBy("route_id", "chunk").applyInPandas(_summarise_group, _SUMMARIES)
-    entries = summaries.groupBy("route_id").applyInPandas(
-        _follow_group, "route_id bigint, chunk bigint, entry bigint, flushes_before bigint"
+    settings = _settings(routes, chunk_ticks)
+    if horizon_ms is None:
+        horizon = ticks.agg(F.max("tick")).first()[0] or 0
+    else:
+        horizon = horizon_ms
+    chunk_count = F.expr(f"{int(horizon)}L div period div {chunk_ticks} + 2").cast("double")
+    asked = settings.agg(
+        F.max(F.col("interval") > chunk_ticks).alias("long"),
+        F.max(F.ceil(F.log(chunk_count) / F.log("fan") - 1e-9)).alias("levels"),
+    ).first()
+    placed = join_checked(ticks, settings, ["route_id"], spread=["tick"], small=small).withColumn(
+        "k", F.call_function("div", F.col("tick"), F.col("period"))
     )
+    chunks = _short_chunks(placed.filter(F.col("interval") <= chunk_ticks), chunk_ticks)
+    if asked["long"]:
+        long = placed.filter(F.col("interval") > chunk_ticks)
+        chunks = chunks.unionByName(_long_chunks(long, chunk_ticks))
+    maps = chunks.groupBy("route_id", "chunk").applyInPandas(_summarise_group, _MAPS)
+    entries = _entries(maps, int(asked["levels"] or 1))
     folded = (
-        chunks.join(entries, ["route_id", "chunk"])
+        chunks.join(entries.withColumnRenamed("node", "chunk"), ["route_id", "chunk"])
         .groupBy("route_id", "chunk")
         .applyInPandas(_replay_group, _TICK_BATCHES)
     )
     return _within_horizon(folded, horizon_ms)
 
 
-def _chunked(
-    ticks: DataFrame, routes: DataFrame, chunk_ticks: int, small: bool | None
-) -> DataFrame:
-    """Ticks with their fold settings, repeated where the next chunk looks back."""
+def _settings(routes: DataFrame, chunk_ticks: int) -> DataFrame:
+    """Routes in units of polls; ``fan`` is how many chunk maps a task chains."""
     period = F.col("polling_frequency_ms")
-    settings = routes.select(
+    # No time stamp lies further ahead than the longest interval.
+    interval = F.least(
+        F.greatest(
+            F.lit(1), F.call_function("div", F.col("flush_interval_ms") - 1, period) + 1
+        ),
+        F.call_function("div", F.lit(LONGEST_MS), period),
+    )
+    # Entries older than the interval, or than the lines a buffer holds, are one.
+    map_rows = 2 * F.least(F.col("interval"), F.greatest("buffer_size", F.lit(0))) + 16
+    fan = F.call_function("div", F.lit(MAP_ROWS), map_rows)
+    return routes.select(
         "route_id",
-        F.col("polling_frequency_ms").alias("period"),
+        period.alias("period"),
         "buffer_size",
-        # No time stamp lies further ahead than the longest interval.
-        F.least(
-            F.greatest(
-                F.lit(1),
-                F.call_function("div", F.col("flush_interval_ms") - 1, period) + 1,
-            ),
-            F.call_function("div", F.lit(LONGEST_MS), period),
-        ).alias("interval"),
-    ).withColumn("width", F.greatest("interval", F.lit(chunk_ticks)))
-    placed = (
-        join_checked(ticks, settings, ["route_id"], spread=["tick"], small=small)
-        .withColumn("k", F.call_function("div", F.col("tick"), F.col("period")))
-        .withColumn("chunk", F.call_function("div", F.col("k") - 1, F.col("width")))
-    )
-    looked_back_at = F.col("k") > (F.col("chunk") + 1) * F.col("width") - F.col("interval") + 1
+        interval.alias("interval"),
+    ).withColumn("fan", F.least(F.lit(MOST_MAPS), F.greatest(F.lit(2), fan)).cast("bigint"))
+
+
+_TICK = ["period", "buffer_size", "interval", "fan"]
+
+
+def _short_chunks(placed: DataFrame, chunk_ticks: int) -> DataFrame:
+    """Chunks of equal time; ticks an interval before the next chunk are in it too."""
+    width = F.lit(chunk_ticks).cast("bigint")
+    chunk = F.call_function("div", F.col("k") - 1, width)
+    looked_back_at = F.col("k") > (F.col("chunk") + 1) * width - F.col("interval") + 1
     chunk_ids = F.when(looked_back_at, F.array("chunk", F.col("chunk") + 1)).otherwise(
         F.array("chunk")
     )
-    return placed.select(
+    return placed.withColumn("chunk", chunk).select(
         "route_id",
         F.explode(chunk_ids).alias("chunk"),
         "k",
         F.col("n").cast("bigint").alias("n"),
-        "period",
-        "buffer_size",
-        "interval",
-        "width",
+        *_TICK,
+    ).select(
+        "*",
+        (F.col("chunk") * width + 1).alias("first"),
+        ((F.col("chunk") + 1) * width).alias("final"),
     )
 
 
+def _long_chunks(placed: DataFrame, chunk_ticks: int) -> DataFrame:
+    """Chunks of routes whose interval is longer than a chunk.
+
+    Polls are counted by blocks of ``chunk_ticks``, and neighbouring blocks with
+    few non-empty ones are one chunk.  A flush leaves an empty buffer, and a buffer
+    never holds more than its size: only blocks that fewer than ``buffer_size`` lines
+    follow are looked back at, however long the interval is.
+    """
+    width = F.lit(chunk_ticks).cast("bigint")
+    in_blocks = placed.withColumn("block", F.call_function("div", F.col("k") - 1, width))
+    before = Window.partitionBy("route_id").orderBy("block")
+    # A row per block, then one per chunk: history divided by the chunk size.
+    blocks = (
+        in_blocks.groupBy("route_id", "block", *_TICK)
+        .agg(F.count(F.lit(1)).alias("ticks"), F.sum("n").alias("lines"))
+        .withColumn("chunk", F.call_function("div", F.sum("ticks").over(before) - F.col("ticks"), width))
+        .withColumn("lines", F.sum("lines").over(before))
+    )
+    ordered = Window.partitionBy("route_id").orderBy("chunk")
+    ends = blocks.groupBy("route_id", "chunk", "period").agg(
+        F.max("block").alias("block"), F.max("lines").alias("lines")
+    )
+    end_of_block = (F.col("block") + 1) * width
+    # Time goes on after the last tick, for what is still in the buffer.
+    final = F.when(F.lead("chunk").over(ordered).isNull(), F.expr(f"{2 * LONGEST_MS}L div period"))
+    bounds = ends.select(
+        "route_id",
+        F.struct(
+            "chunk",
+            (F.coalesce(F.lag(end_of_block).over(ordered), F.lit(0)) + 1).alias("first"),
+            F.coalesce(final, end_of_block).alias("final"),
+            F.coalesce(F.lag("lines").over(ordered), F.lit(0)).alias("lines"),
+        ).alias("bound"),
+    )
+    of_route = bounds.groupBy("route_id").agg(F.collect_list("bound").alias("bounds"))
+
+    def reaches(bound: Column) -> Column:
+        later = bound["chunk"] > F.col("chunk")
+        held = bound["lines"] - F.col("lines") < F.col("buffer_size")
+        in_time = end_of_block >= bound["first"] - F.col("interval") - 1
+        return (bound["chunk"] == F.col("chunk")) | (later & held & in_time)
+
+    reached = blocks.join(of_route, "route_id").select(
+        "route_id", "block", F.inline(F.filter("bounds", reaches))
+    )
+    return in_blocks.join(reached.drop("lines"), ["route_id", "block"]).select(
+        "route_id",
+        "chunk",
+        "k",
+        F.col("n").cast("bigint").alias("n"),
+        *_TICK,
+        "first",
+        "final",
+    )
+
+
+def _entries(maps: DataFrame, levels: int) -> DataFrame:
+    """The entry of every chunk, and the flushes before it.
+
+    Up the tree, the maps of ``fan`` neighbours compose to one.  Down again, a node's
+    entry is known and its children are gone through in order.
+    """
+    tree = [maps if levels == 1 else materialised(maps, "fold-maps")]
+    parent = F.call_function("div", F.col("node"), F.col("fan")).alias("parent")
+    while len(tree) < levels:
+        tree.append(tree[-1].groupBy("route_id", parent).applyInPandas(_compose_group, _MAPS))
+    # The history starts with an empty buffer and a clock at tick 0.
+    begun = tree[-1].withColumns({"entry": F.lit(0), "flushes_before": F.lit(0)})
+    found = begun.groupBy("route_id", parent).applyInPandas(_enter_group, _ENTRIES)
+    for children in tree[-2::-1]:
+        of_parent = found.withColumnRenamed("node", "parent")
+        begun = children.select("*", parent).join(of_parent, ["route_id", "parent"])
+        found = begun.groupBy("route_id", "parent").applyInPandas(_enter_group, _ENTRIES)
+    return found
+
+
 def _to_chunk(pdf: pd.DataFrame) -> Chunk:
     head = pdf.iloc[0]
-    width, chunk = int(head["width"]), int(head["chunk"])
     k, n = pdf["k"].to_numpy(), pdf["n"].to_numpy()
     order = np.argsort(k, kind="stable")
     ticks, starts = np.unique(k[order], return_index=True)
+    counts = np.add.reduceat(n[order], starts)
+    first, buffer_size = int(head["first"]), int(head["buffer_size"])
+    # No flush lies before lines that would have filled the buffer by now.
+    back = int(np.searchsorted(ticks, first))
+    since = np.cumsum(counts[:back][::-1])
+    kept = back - int(np.searchsorted(since, buffer_size))
     return Chunk(
-        ticks=ticks.tolist(),
-        counts=np.add.reduceat(n[order], starts).tolist(),
-        first=chunk * width + 1,
-        final=(chunk + 1) * width,
-        buffer_size=int(head["buffer_size"]),
+        ticks=ticks[kept:].tolist(),
+        counts=counts[kept:].tolist(),
+        first=first,
+        final=int(head["final"]),
+        buffer_size=buffer_size,
         interval=int(head["interval"]),
     )
 
 
-def _summarise_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    chunk = _to_chunk(pdf)
-    runs = pd.DataFrame(summarise(chunk), columns=["low", "high", "leave", "n_flushes", "shift"])
-    runs.insert(0, "idle", chunk.idle)
-    runs.insert(0, "chunk", key[1])
-    runs.insert(0, "route_id", key[0])
+def _rows_of(key: int, node: int, fan: int, one: Map) -> pd.DataFrame:
+    runs = pd.DataFrame(one.runs, columns=["low", "high", "leave", "n_flushes", "shift"])
+    for name, value in (("idle", one.idle), ("fan", fan), ("node", node), ("route_id", key)):
+        runs.insert(0, name, value)
     return runs
 
 
-def _follow_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row per chunk and run: grows with non-empty polls, not with lines."""
-    ordered = pdf.sort_values(["chunk", "low"])
+def _maps_of(pdf: pd.DataFrame) -> list[tuple[int, Map]]:
+    """Numbered maps in order."""
     columns = ["low", "high", "leave", "n_flushes", "shift"]
-    summaries = [
-        (chunk, int(group["idle"].iloc[0]), list(zip(*[group[c].tolist() for c in columns])))
-        for chunk, group in ordered.groupby("chunk", sort=True)
+    return [
+        (int(node), Map(int(rows["idle"].iloc[0]), list(zip(*[rows[c].tolist() for c in columns]))))
+        for node, rows in pdf.sort_values(["node", "low"]).groupby("node", sort=True)
     ]
-    out = pd.DataFrame(list(follow(summaries)), columns=["chunk", "entry", "flushes_before"])
+
+
+def _summarise_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    chunk = _to_chunk(pdf)
+    return _rows_of(*key, int(pdf["fan"].iloc[0]), Map(chunk.idle, summarise(chunk)))
+
+
+def _compose_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    whole = reduce(compose, [one for _, one in _maps_of(pdf)])
+    return _rows_of(*key, int(pdf["fan"].iloc[0]), whole)
+
+
+def _enter_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    start = int(pdf["entry"].iloc[0]), int(pdf["flushes_before"].iloc[0])
+    out = pd.DataFrame(list(follow(_maps_of(pdf), *start)), columns=["node", "entry", "flushes_before"])
     out.insert(0, "route_id", key[0])
     return out
 

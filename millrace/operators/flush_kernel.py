@@ -10,14 +10,16 @@ That makes long histories divisible.  A chunk of ticks can be summarised
 without knowing what came before it: ``last`` is one of the ``interval`` ticks
 before the chunk, or it is older, in which case the buffer is empty and the
 first line flushes at its own tick.  :func:`summarise` records where each of
-these entries leaves the chunk, :func:`follow` chains the summaries, and
-:func:`walk` replays a chunk from its one true entry.
+these entries leaves the chunk.  A summary is a map from entries to entries of
+the next chunk, so neighbours compose to the map of both (:func:`compose`);
+:func:`follow` goes along a few maps from a known entry, and :func:`flushes`
+replays a chunk from its one true entry.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -93,8 +95,7 @@ def summarise(chunk: Chunk) -> list[Run]:
     they leave at is an entry of the following chunk.  The work follows the
     non-empty ticks, however long the interval is.
     """
-    width = chunk.final - chunk.first + 1
-    if len(chunk.ticks) * DENSE_SHARE >= width:
+    if len(chunk.ticks) * DENSE_SHARE >= chunk.final - chunk.idle:
         leaves = _leaves_by_array(chunk)
         found = [
             (entry, entry, leave, n, False)
@@ -102,6 +103,11 @@ def summarise(chunk: Chunk) -> list[Run]:
         ]
     else:
         found = sorted(_Segments(chunk).runs())
+    return _merged(found)
+
+
+def _merged(found: Iterable[Run]) -> list[Run]:
+    """Neighbouring runs with the same outcome as one."""
     runs: list[Run] = []
     for run in found:
         if runs and runs[-1][2:] == run[2:]:
@@ -241,21 +247,57 @@ def _leaves_by_array(chunk: Chunk) -> Iterator[tuple[int, int]]:
     return zip(leave.tolist(), n_flushes[:entries].tolist())
 
 
-def follow(
-    summaries: Sequence[tuple[int, int, Sequence[Run]]],
-) -> Iterator[tuple[int, int, int]]:
-    """Chain chunk summaries ``(chunk, idle_entry, runs)`` given in order.
+@dataclass(frozen=True)
+class Map:
+    """Where entries of a stretch leave it; ``idle`` stands for all older ones."""
 
-    Yields ``(chunk, entry, flushes_before)``.  The history starts with an empty
-    buffer and a clock at tick 0, which is the entry just before chunk 0.
-    """
-    expected, entry, done = 0, 0, 0
-    for chunk, idle, runs in summaries:
-        if chunk != expected or entry < idle:
-            entry = idle
-        yield chunk, entry, done
-        for low, high, leave, n_flushes, shift in runs:
-            if low <= entry <= high:
-                entry, done = entry + leave if shift else leave, done + n_flushes
-                break
-        expected = chunk + 1
+    idle: int
+    runs: Sequence[Run]
+
+    def __post_init__(self):
+        object.__setattr__(self, "_lows", [run[0] for run in self.runs])
+
+    def at(self, entry: int) -> int:
+        """Position of the run that an entry belongs to."""
+        return bisect_right(self._lows, max(entry, self.idle)) - 1
+
+    def __call__(self, entry: int) -> tuple[int, int]:
+        """Where an entry leaves, and the flushes until then."""
+        entry = max(entry, self.idle)
+        _, _, leave, n_flushes, shift = self.runs[self.at(entry)]
+        return (entry + leave if shift else leave), n_flushes
+
+
+def compose(first: Map, second: Map) -> Map:
+    """The map of two stretches that follow each other."""
+    return Map(first.idle, _merged(_composed(first, second)))
+
+
+def _composed(first: Map, second: Map) -> Iterator[Run]:
+    for low, high, leave, n, shift in first.runs:
+        if not shift:
+            leave, more = second(leave)
+            yield low, high, leave, n + more, False
+            continue
+        # Entries that leave side by side are cut where the second map changes.
+        while low <= high:
+            run_low, run_high, further, more, moves = second.runs[second.at(low + leave)]
+            top = min(high, max(run_high, second.idle) - leave)
+            if moves and low + leave < second.idle:
+                # Whatever is older leaves like the idle entry.
+                top = min(high, second.idle - leave)
+                yield low, top, second.idle + further, n + more, False
+            elif moves:
+                yield low, top, leave + further, n + more, True
+            else:
+                yield low, top, further, n + more, False
+            low = top + 1
+
+
+def follow(maps: Iterable[tuple[int, Map]], entry: int, done: int) -> Iterator[tuple[int, int, int]]:
+    """Go through numbered maps in order; yields ``(number, entry, flushes_before)``."""
+    for number, one in maps:
+        entry = max(entry, one.idle)
+        yield number, entry, done
+        entry, more = one(entry)
+        done += more

@@ -54,6 +54,13 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def materialised(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder, for what is read more than once."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _hadoop(spark: SparkSession, path: str):
     """File system and path object, so that every folder Spark can use works."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import time
+from functools import reduce
 
 import pytest
 from hypothesis import given, settings
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import batching as B
 from millrace.operators import flush_kernel
-from millrace.operators.flush_kernel import Chunk, flushes, follow, summarise
+from millrace.operators.flush_kernel import Chunk, Map, compose, flushes, follow, summarise
 
 
 def poll_by_poll(counts: dict[int, int], size: int, every: int, freq: int, polls: int):
@@ -40,8 +42,8 @@ def chunked(counts: dict[int, int], size: int, every: int, freq: int, width: int
         for c, m in members.items()
     }
     out = []
-    summaries = [(c, chunks[c].idle, summarise(chunks[c])) for c in sorted(chunks)]
-    for c, entry, done in follow(summaries):
+    maps = [(c, Map(chunks[c].idle, summarise(chunks[c]))) for c in sorted(chunks)]
+    for c, entry, done in follow(maps, 0, 0):
         assert done == len(out)
         out += [(at, sum(chunks[c].counts[b:e]), full) for at, b, e, full in flushes(chunks[c], entry)]
     return out
@@ -64,6 +66,38 @@ def test_chunked_fold_equals_the_poll_loop(counts, size, every, freq, width):
             assert [flush for flush in found if flush[0] <= 400] == want
 
 
+@settings(max_examples=200, deadline=None)
+@given(
+    counts=st.dictionaries(st.integers(1, 150), st.integers(1, 9), min_size=1, max_size=60),
+    size=st.integers(1, 25),
+    interval=st.integers(1, 60),
+    width=st.sampled_from([1, 4, 13, 50]),
+    cut=st.integers(0, 40),
+)
+def test_composed_maps_equal_one_after_the_other(counts, size, interval, width, cut):
+    width = max(width, interval)
+    members: dict[int, list] = {}
+    for k, n in sorted(counts.items()):
+        c = (k - 1) // width
+        members.setdefault(c, []).append((k, n))
+        if k > (c + 1) * width - interval + 1:
+            members.setdefault(c + 1, []).append((k, n))
+    maps = []
+    for c, m in sorted(members.items()):
+        chunk = Chunk([k for k, _ in m], [n for _, n in m], c * width + 1, (c + 1) * width, size, interval)
+        maps.append(Map(chunk.idle, summarise(chunk)))
+    cut = 1 + cut % len(maps)
+    # However the maps are bracketed, and for every entry.
+    left = reduce(compose, maps[:cut])
+    whole = compose(left, reduce(compose, maps[cut:])) if maps[cut:] else left
+    for entry in range(maps[0].idle - 2, maps[0].idle + interval + 1):
+        at, n = entry, 0
+        for one in maps:
+            at, more = one(at)
+            n += more
+        assert whole(entry) == (at, n)
+
+
 def test_long_intervals_cost_nothing():
     began = time.perf_counter()
     for interval in (10**9, 2**60):
@@ -127,6 +161,51 @@ def test_golden_schedules(golden, chunk_ticks):
         assert [r["batch_id"] for r in mine] == list(range(1, len(mine) + 1)), name
 
 
+@pytest.mark.parametrize("chunk_ticks, map_rows", [(8, 100), (64, 2_000)])
+def test_trees_of_any_depth_equal_the_poll_loop(spark, monkeypatch, chunk_ticks, map_rows):
+    """Intervals below, at and far beyond a chunk; bursts, gaps, buffers of any size."""
+    monkeypatch.setattr(B, "MAP_ROWS", map_rows)
+    monkeypatch.setattr(B, "MOST_MAPS", 5)
+    rng = random.Random(chunk_ticks)
+    polls, period = 600, 10
+    sizes, intervals = [0, 1, 7, 40, 10**6], [0, 20, 70, 640, 2_500, 10**7, 2**62]
+    routes = [(i, period, *pair) for i, pair in enumerate((s, e) for s in sizes for e in intervals)]
+    ticks, counts = [], {}
+    for i, *_ in routes:
+        at = sorted(rng.sample(range(1, polls), rng.choice([3, 40, 300])))
+        if i % 3 == 0:  # a long gap
+            at = [k for k in at if not 100 < k < 400]
+        counts[i] = {k: rng.choice([1, 1, 2, 30]) for k in at}
+        ticks += [(i, k * period, n) for k, n in counts[i].items()]
+    folded = B.fold_ticks(
+        spark.createDataFrame(ticks, "route_id long, tick long, n long").repartition(3),
+        spark.createDataFrame(
+            routes, "route_id long, polling_frequency_ms long, buffer_size long, flush_interval_ms long"
+        ),
+        (polls + 50) * period,
+        chunk_ticks,
+    )
+    found = B.flush_schedule(folded).orderBy("route_id", "batch_id").collect()
+    for i, _, size, every in routes:
+        want = poll_by_poll(counts[i], size, every, period, polls + 50)
+        mine = [r for r in found if r["route_id"] == i]
+        assert [(r["flush_at"] // period, r["n_entries"], r["reason"] == B.BUFFER_FULL) for r in mine] == want
+        assert [r["batch_id"] for r in mine] == list(range(1, len(mine) + 1))
+
+
+def test_no_group_grows_with_the_interval(spark):
+    """A long history and an endless interval: chunks stay chunks."""
+    ticks = spark.range(1, 40_001).selectExpr("0L AS route_id", "id * 250 AS tick", "1L AS n")
+    routes = spark.createDataFrame(
+        [(0, 250, 100, 2**62)],
+        "route_id long, polling_frequency_ms long, buffer_size long, flush_interval_ms long",
+    )
+    placed = ticks.join(B._settings(routes, 1_000), "route_id").withColumn("k", F.expr("tick div period"))
+    chunks = B._long_chunks(placed, 1_000).groupBy("chunk").count().collect()
+    assert len(chunks) == 40 and max(r["count"] for r in chunks) <= 2_000
+    assert B.flush_schedule(B.fold_ticks(ticks, routes, None, chunk_ticks=1_000)).count() == 400
+
+
 def test_lines_at_the_start_are_skipped_and_the_rest_may_stay_pending(golden):
     lines, routes = golden
     early = lines.withColumn("arrival_us", F.lit(0).cast("bigint"))
