@@ -50,12 +50,13 @@ def ship_table(
     host: str | None = None,
     tag: str = DEFAULT_TAG,
     zone: str = "UTC",
+    ordered: bool = False,
 ) -> DataFrame:
     """Ship a whole line table; returns the outcomes of the network requests.
 
     Lines that are not valid UTF-8 are set aside in ``work_dir/quarantine``.
     ``host`` (default: this machine's name), ``tag`` and ``zone`` go into syslog
-    messages.
+    messages.  ``ordered`` sends the batches of a route one after the other.
 
     The batches are written once below ``work_dir``, which both the file routes
     and the network requests then read.  A job that was interrupted can be
@@ -76,4 +77,4 @@ def ship_table(
     host = socket.gethostname() if host is None else host
     network = ready.filter("destination.type <> 'file'")
     requests = build_requests(stored, network, ship_ts, host, tag, zone)
-    return deliver(spark, requests, transport, f"{work_dir}/outcomes", on_failure)
+    return deliver(spark, requests, transport, f"{work_dir}/outcomes", on_failure, ordered=ordered)

@@ -252,6 +252,14 @@ ORACLES["tick_counts"] = _tick_query("SELECT route_id, tick, n FROM ticks")
 ORACLES["flush_schedule"] = _batch_query(
     "SELECT route_id, batch_id, flush_at, n_entries, reason FROM flushes"
 )
+_ENDLESS = f"""{_ROUTES.replace("routes(", "given(", 1)},
+routes AS (
+  SELECT route_id, path, freq, size,
+    CASE WHEN route_id % 2 = 1 THEN {2**62} ELSE every END AS every FROM given)"""
+ORACLES["flush_schedule_unbounded"] = (
+    f"WITH RECURSIVE {','.join([_LINES, _ENDLESS, _ROUTED, _TICKED, _FLUSHES])} "
+    "SELECT route_id, batch_id, flush_at, n_entries, reason FROM flushes"
+)
 ORACLES["flush_log"] = _batch_query(
     """SELECT route_id, reason, count(*) AS n_flushes, CAST(sum(n_entries) AS BIGINT) AS n_entries,
   max(n_entries) AS largest FROM flushes GROUP BY route_id, reason"""
@@ -464,6 +472,7 @@ def _job_query(select: str, *parts: str) -> str:
 
 ORACLES["ship_table_outcomes"] = _job_query(_OUTCOMES, _DESTINATIONS)
 ORACLES["ship_table_files"] = _job_query("SELECT path, line FROM entries WHERE route_id = 4")
+ORACLES["file_targets"] = _batch_query("SELECT route_id, path, line FROM entries")
 ORACLES["ship_table_quarantine"] = _event_query(
     """SELECT path, "offset", CAST(strlen(line) + 1 AS BIGINT) AS n_bytes FROM lines
 WHERE "offset" % 11 = 3"""

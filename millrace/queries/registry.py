@@ -33,7 +33,7 @@ from millrace.queries.tables import (
 )
 from millrace.session import scratch_dir
 from millrace.sinks.delivery import check_bulk_response, deliver
-from millrace.sinks.files import write_entries
+from millrace.sinks.files import prepare_file_routes, write_entries, write_file_routes
 from millrace.sinks.requests import build_requests, decode_payload, request_headers
 from millrace.sources.scan import advance_cursor, plan_scan, resume_lines
 from millrace.sources.text import flag_invalid, read_lines
@@ -237,6 +237,15 @@ def flush_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.flush_schedule(_folded(spark, sf_dir))
 
 
+@query
+def flush_schedule_unbounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with routes of which every other flushes by size only."""
+    endless = F.when(F.col("route_id") % 2 == 1, F.lit(2**62)).otherwise(F.col("flush_interval_ms"))
+    routes = event_routes(spark).withColumn("flush_interval_ms", endless)
+    ticks = B.tick_counts(B.tick_slices(B.with_ticks(_routed(spark, sf_dir))))
+    return B.flush_schedule(B.fold_ticks(ticks, routes, HORIZON_MS))
+
+
 @query
 def flush_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.flush_log(flush_schedule(spark, sf_dir))
@@ -570,6 +579,23 @@ def ship_table_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("path string, line string").json(f"{work}/target")
 
 
+@query
+def file_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every route appends to a target of its own, in one job; a replay appends nothing."""
+    work = scratch_dir(spark, "targets")
+    destination = F.col("destination").withField("type", F.lit("file"))
+    target = F.concat(F.lit(f"{work}/out/target="), F.col("route_id").cast("string"))
+    routes = event_routes(spark).withColumn("destination", destination.withField("path", target))
+    batches = plan_batches(event_lines(spark, sf_dir), routes, HORIZON_MS)
+    batches.write.partitionBy("route_id").parquet(f"{work}/batches")
+    stored = spark.read.schema(batches.schema).parquet(f"{work}/batches")
+    prepare_file_routes(spark, routes)
+    for _ in range(2):
+        write_file_routes(stored, routes, f"{work}/log")
+    read_back = spark.read.schema("path string, line string, target bigint").json(f"{work}/out")
+    return read_back.withColumnRenamed("target", "route_id")
+
+
 @query
 def ship_table_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the job set aside."""

@@ -67,6 +67,39 @@ def _hadoop(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with scheme and host, as any process of the cluster can use it."""
+    filesystem, place = _hadoop(spark, path)
+    uri = filesystem.makeQualified(place).toUri().toString()
+    return uri.replace("file:/", "file:///", 1) if not uri.startswith("file:///") else uri
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    filesystem, place = _hadoop(spark, path)
+    filesystem.mkdirs(place)
+
+
+def move_files(spark: SparkSession, source: str, target: str, prefix: str) -> int:
+    """Move the part files of a folder into another one of the same store.
+
+    They come under ``prefix`` and their own names, each at once.  What was moved
+    before is no longer there, so an interrupted move can be repeated.
+    """
+    filesystem, place = _hadoop(spark, source)
+    if not filesystem.exists(place):
+        return 0
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    moved = 0
+    for status in filesystem.listStatus(place):
+        name = status.getPath().getName()
+        if name.startswith(("_", ".")):
+            continue
+        if not filesystem.rename(status.getPath(), hadoop(f"{target}/{prefix}-{name}")):
+            raise OSError(f"cannot move {status.getPath()} to {target}")
+        moved += 1
+    return moved
+
+
 def is_written(spark: SparkSession, table: str) -> bool:
     """Whether a table folder holds a completed write."""
     filesystem, place = _hadoop(spark, f"{table}/_SUCCESS")

@@ -5,8 +5,9 @@ returns ``(status, body)`` and raises on I/O errors.  A failed batch is dropped
 by default: its outcome row says so and the others go on.
 
 Delivery is a side effect.  Evaluating :func:`send` twice sends twice, so jobs
-go through :func:`deliver`, which sends while writing the outcome table and
-skips requests that an earlier, interrupted run has already settled.
+go through :func:`deliver`, which sends while writing the outcome table, notes
+each response in a journal at once, and skips requests that an earlier,
+interrupted run or task has already sent.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.encoding import parsed_json
+from millrace.session import drop_folder, folder_names
+from millrace.sinks.journal import Journal
 
 Transport = Callable[[dict[str, Any], str], tuple[int, str]]
 
@@ -33,11 +36,12 @@ _SENT = (
 _KEYS = ["request_id", "route_id", "batch_id", "part", "n_entries", "type", "url"]
 
 
-def send(requests: DataFrame, transport: Transport) -> DataFrame:
+def send(requests: DataFrame, transport: Transport, journal: Journal | None = None) -> DataFrame:
     """Send every request; returns the raw response per request.
 
     The payloads of a request go out in order and the first I/O error abandons
     the rest of them.  A transport that has ``close`` is closed with its task.
+    With a journal, a repeated task returns what it has noted and sends the rest.
     """
 
     def send_one(request: dict[str, Any]) -> tuple:
@@ -50,15 +54,29 @@ def send(requests: DataFrame, transport: Transport) -> DataFrame:
         return status, body, None
 
     def send_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        notes = None if journal is None else journal.open()
+
+        def sent_once(request: dict[str, Any]) -> tuple:
+            if notes is None:
+                return send_one(request)
+            noted = notes.known.get(request["request_id"])
+            if noted is not None:
+                return noted["status"], noted["body"], noted["io_error"]
+            answer = send_one(request)
+            notes.add(request, *answer)
+            return answer
+
         for pdf in frames:
             rows = pdf.to_dict("records")
             for row in rows:
                 row["headers"] = dict(row["headers"])
             answers = pd.DataFrame(
-                [send_one(row) for row in rows], columns=["status", "body", "io_error"]
+                [sent_once(row) for row in rows], columns=["status", "body", "io_error"]
             ).astype({"status": "Int32"})
             yield pd.concat([pdf[_KEYS].reset_index(drop=True), answers], axis=1)
         getattr(transport, "close", lambda: None)()
+        if notes is not None:
+            notes.close()
 
     return requests.mapInPandas(send_all, _SENT)
 
@@ -140,12 +158,15 @@ def deliver(
     on_failure: str = "drop",
     groups: int = 1,
     ordered: bool = False,
+    journal: bool = True,
 ) -> DataFrame:
     """Send the requests and write their outcomes to ``outcomes_path``.
 
     Requests with an outcome there are not sent again, so an interrupted job can
-    be repeated.  They are sent in ``groups``, and the outcomes of a group are
-    stored before the next one starts.  With ``on_failure="fail"`` all outcomes
+    be repeated.  Tasks note each response in :func:`journal_path` as it comes,
+    and a repeated job first settles what it finds there.  Where tasks
+    cannot write to that store, or without ``journal``, outcomes are durable by
+    ``groups``: those of a group are stored before the next one starts.  With ``on_failure="fail"`` all outcomes
     are stored before the job fails, and a repeated job sends again only what
     has not succeeded.  ``ordered`` sends the batches of a route one after the
     other, each route in one task.  Speculative task copies would send twice and
@@ -155,6 +176,9 @@ def deliver(
         raise ValueError("on_failure must be 'drop' or 'fail'")
     if spark.conf.get("spark.speculation", "false").lower() == "true":
         raise RuntimeError("switch spark.speculation off for delivery jobs")
+    notes = journal_path(outcomes_path)
+    _settle_journal(spark, notes, outcomes_path)
+    keep = Journal.at(spark, notes) if journal else None
     settled = _existing(spark, outcomes_path)
     if settled is not None and on_failure == "fail":
         settled = settled.filter("ok")
@@ -166,7 +190,8 @@ def deliver(
         if ordered:
             order = ("route_id", "batch_id", "part")
             part = part.repartition("route_id").sortWithinPartitions(*order)
-        settle(send(part, transport)).write.mode("append").parquet(outcomes_path)
+        settle(send(part, transport, keep)).write.mode("append").parquet(outcomes_path)
+    drop_folder(spark, notes)
     outcomes = spark.read.parquet(outcomes_path)
     if on_failure == "drop":
         return outcomes
@@ -179,6 +204,25 @@ def deliver(
     return outcomes
 
 
+def journal_path(outcomes_path: str) -> str:
+    """Beside the outcomes and hidden from their readers."""
+    folder, _, name = outcomes_path.rstrip("/").rpartition("/")
+    return f"{folder}/_journal-{name}"
+
+
+def _settle_journal(spark: SparkSession, notes: str, outcomes_path: str) -> None:
+    """Outcomes of what an interrupted run has sent, from its journals."""
+    if not folder_names(spark, notes):
+        return
+    # A line that was cut short has no request.
+    sent = spark.read.schema(_SENT).json(notes).filter("request_id is not null")
+    settled = _existing(spark, outcomes_path)
+    if settled is not None:
+        sent = sent.join(settled.select("request_id"), "request_id", "left_anti")
+    settle(sent.dropDuplicates(["request_id"])).write.mode("append").parquet(outcomes_path)
+    drop_folder(spark, notes)
+
+
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)

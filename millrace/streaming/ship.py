@@ -117,6 +117,7 @@ def start_shipping(
     host: str | None = None,
     tag: str = DEFAULT_TAG,
     zone: str = "UTC",
+    ordered: bool = False,
     **source_options,
 ) -> StreamingQuery:
     """Start one query for all valid routes.
@@ -133,7 +134,7 @@ def start_shipping(
     in ``work_dir/quarantine/epoch=N``.
 
     ``host`` (default: this machine's name), ``tag`` and ``zone`` go into syslog
-    messages.
+    messages.  ``ordered`` sends the batches of a route one after the other.
     """
     if buffer not in ("table", "state"):
         raise ValueError("buffer must be 'table' or 'state'")
@@ -158,7 +159,8 @@ def start_shipping(
         if stored.isEmpty():
             return
         requests = build_requests(stored, network, ship_ts, host, tag, zone)
-        deliver(spark, requests, transport, f"{work_dir}/outcomes/epoch={epoch}", on_failure)
+        outcomes = f"{work_dir}/outcomes/epoch={epoch}"
+        deliver(spark, requests, transport, outcomes, on_failure, ordered=ordered)
         write_file_routes(stored, ready, f"{work_dir}/files/epoch={epoch}")
 
     if buffer == "state":

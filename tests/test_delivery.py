@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import urllib.error
 
 import pytest
@@ -10,8 +11,11 @@ from pyspark.sql import functions as F
 from millrace.plans.routes import normalize_routes, routes_table
 from millrace.plans.shipping import ship_table
 from millrace.sinks import transports
-from millrace.sinks.delivery import check_bulk_response, deliver, send, settle
-from millrace.sinks.files import prepare_file_routes
+from millrace.session import is_marked, move_files
+from millrace.sinks import files
+from millrace.sinks.delivery import check_bulk_response, deliver, journal_path, send, settle
+from millrace.sinks.files import prepare_file_routes, write_file_routes
+from millrace.sinks.journal import Journal, TaskJournal
 from millrace.sinks.requests import build_requests
 
 BATCHES = (
@@ -235,3 +239,129 @@ def test_a_job_that_fails_has_stored_every_outcome_and_repeats_only_failures(spa
     assert {f.name: len(f.read_text()) for f in sent.iterdir()} == {
         f"r-{i}": 2 if i == 3 else 1 for i in range(1, 9)
     }
+
+
+def numbered_requests(spark, n):
+    one = requests_for(spark, HTTP)
+    return (
+        one.limit(1)
+        .drop("batch_id", "request_id")
+        .crossJoin(spark.range(1, n + 1).selectExpr("id as batch_id", "concat('r-', id) as request_id"))
+        .select(one.columns)
+    )
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_a_killed_job_repeats_only_what_was_under_way(spark, tmp_path, ordered):
+    sent = tmp_path / "sent"
+    sent.mkdir()
+
+    def dying(request, payload):
+        with open(f"{sent}/{request['request_id']}", "a") as handle:
+            handle.write("x")
+        if request["batch_id"] == 7 and not os.path.exists(f"{tmp_path}/died"):
+            open(f"{tmp_path}/died", "w").close()
+            os._exit(1)  # the worker is gone, as when an executor is lost
+        return (500, "no") if request["batch_id"] == 4 else (200, "{}")
+
+    requests = numbered_requests(spark, 12).coalesce(1).sortWithinPartitions("batch_id")
+    out = str(tmp_path / "outcomes")
+    with pytest.raises(Exception):  # noqa: B017 - a lost worker shows in many ways
+        deliver(spark, requests, dying, out, ordered=ordered)
+    before = {f.name for f in sent.iterdir()}
+    assert "r-7" in before and len(before) < 12
+    outcomes = deliver(spark, requests, dying, out, ordered=ordered)
+    assert {r["request_id"]: r["ok"] for r in outcomes.collect()} == {f"r-{i}": i != 4 for i in range(1, 13)}
+    assert outcomes.count() == 12
+    times = {f.name: len(f.read_text()) for f in sent.iterdir()}
+    assert times == {f"r-{i}": 2 if i == 7 else 1 for i in range(1, 13)}
+    assert not os.path.exists(journal_path(out))
+
+
+def test_a_repeated_task_goes_on_behind_its_journal(spark, tmp_path):
+    journal = Journal.at(spark, str(tmp_path / "notes"))
+    row = dict(zip(["request_id", "route_id", "batch_id", "part", "n_entries", "type", "url"],
+                   ["a", 1, 2, 0, 3, "http", "http://e"]))
+    first = TaskJournal(journal, 5, 0)
+    first.add(row, 200, "ok", None)
+    first.add({**row, "request_id": "b"}, None, None, "TimeoutError: late")
+    # Not closed, and the last line cut short.
+    (name,) = (tmp_path / "notes").iterdir()
+    with open(name, "a") as handle:
+        handle.write('{"request_id": "c", "sta')
+    again = TaskJournal(journal, 5, 1)
+    assert set(again.known) == {"a", "b"} and again.known["b"]["io_error"] == "TimeoutError: late"
+    assert TaskJournal(journal, 6, 0).known == {}
+    assert TaskJournal(Journal(journal.uri), 5, 0).known == {}  # another run
+
+
+def test_stores_without_a_known_client_have_no_journal(spark, tmp_path):
+    assert Journal.at(spark, "viewfs:///nowhere") is None
+    requests = numbered_requests(spark, 3)
+    outcomes = deliver(spark, requests, answer(200), str(tmp_path / "plain"), journal=False)
+    assert outcomes.count() == 3
+
+
+def file_batches(spark, tmp_path, n_routes=6):
+    entries = [{"path": f"/p{i}", "line": f"{i}"} for i in range(3)]
+    rows = [(r, b, 0, 3, [{**e, "line": f"{r}-{b}-{e['line']}"} for e in entries]) for r in range(n_routes) for b in (2, 1)]
+    table = str(tmp_path / "batches")
+    spark.createDataFrame(rows, BATCHES).repartition(3).write.partitionBy("route_id").parquet(table)
+    targets = [{"type": "file", "path": str(tmp_path / "out" / str(r // 2))} for r in range(n_routes)]
+    return spark.read.schema(BATCHES).parquet(table), routes_of(spark, *targets)
+
+
+def lines_of(spark, tmp_path, target):
+    got = spark.read.schema("path string, line string").json(str(tmp_path / "out" / str(target)))
+    return sorted(r["line"] for r in got.collect())
+
+
+def expected_lines(target, times=1):
+    return sorted(f"{r}-{b}-{i}" for r in (2 * target, 2 * target + 1) for b in (1, 2) for i in range(3)) * times
+
+
+def test_all_file_routes_are_one_job_and_a_replay_appends_nothing(spark, tmp_path):
+    batches, routes = file_batches(spark, tmp_path)
+    prepare_file_routes(spark, routes)
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    spark.sparkContext.setJobGroup("append", "append")
+    write_file_routes(batches, routes, str(tmp_path / "log" / "epoch=0"))
+    jobs = tracker.getJobIdsForGroup("append")
+    spark.sparkContext.setJobGroup("other", "other")
+    assert len(jobs) <= 2  # the routes, and the entries
+    for _ in range(2):
+        write_file_routes(batches, routes, str(tmp_path / "log" / "epoch=0"))
+        for target in range(3):
+            assert lines_of(spark, tmp_path, target) == expected_lines(target)
+    write_file_routes(batches, routes, str(tmp_path / "log" / "epoch=1"))
+    assert lines_of(spark, tmp_path, 0) == sorted(expected_lines(0, 2))
+    assert not [d for d in (tmp_path / "out").rglob("_staged*")]
+    # Lines of a batch follow each other, and batches their numbers.
+    for file in (tmp_path / "out" / "0").glob("*.json"):
+        found = [json.loads(x)["line"] for x in file.read_text().splitlines()]
+        assert found == sorted(found)
+
+
+@pytest.mark.parametrize("moves", [0, 1, 4, 10**6])
+def test_an_append_interrupted_anywhere_is_finished_by_the_next(spark, tmp_path, monkeypatch, moves):
+    batches, routes = file_batches(spark, tmp_path)
+    prepare_file_routes(spark, routes)
+    log, done = str(tmp_path / "log" / "epoch=0"), []
+
+    def interrupted(*arguments):
+        if len(done) >= moves:
+            raise KeyboardInterrupt
+        done.append(move_files(*arguments))
+
+    with monkeypatch.context() as patch:
+        patch.setattr(files, "move_files", interrupted)
+        if moves == 10**6:  # everything is moved, but the log entry is missing
+            patch.setattr(files, "mark", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            write_file_routes(batches, routes, log)
+    if moves == 0:  # readers see nothing of what is staged
+        assert lines_of(spark, tmp_path, 0) == []
+    write_file_routes(batches, routes, log)
+    assert is_marked(spark, f"{log}/{files.COMMITTED}")
+    for target in range(3):
+        assert lines_of(spark, tmp_path, target) == expected_lines(target)
