@@ -27,8 +27,8 @@ from millrace.session import join_checked, materialised
 BUFFER_FULL = "buffer full"
 TIME_ELAPSED = "time elapsed"
 
-# Offsets per slice: at most this many lines share a join or collection key.
-SLICE_SPAN = 1 << 18
+# Offsets per slice: at most this many lines share a join key.
+SLICE_SPAN = 1 << 14
 
 # Poll ticks per fold task, with up to as many of the chunk before; a task holds
 # a (tick, count) pair per slice of each.
@@ -45,8 +45,8 @@ LONGEST_MS = 1 << 61
 MAX_PART_LINES = 100_000
 
 _TICK_BATCHES = (
-    "route_id bigint, tick bigint, n bigint, batch_id bigint, flush_at bigint, "
-    "n_entries bigint, full boolean, opens boolean"
+    "route_id bigint, tick bigint, slice bigint, n bigint, batch_id bigint, flush_at bigint, "
+    "n_entries bigint, before bigint, full boolean, opens boolean"
 )
 _MAPS = (
     "route_id bigint, node bigint, fan bigint, idle bigint, low bigint, high bigint, "
@@ -96,9 +96,10 @@ def fold_ticks(
 ) -> DataFrame:
     """Assign every non-empty tick to the flush that carries it.
 
-    ``ticks`` has ``(route_id, tick, n)``, several rows per tick allowed.
-    Returns ``(route_id, tick, n, batch_id, flush_at, n_entries, reason,
-    opens)`` with one row per tick; ``opens`` marks the first tick of a batch.
+    ``ticks`` has ``(route_id, tick, n)``, several rows per tick allowed, and
+    may have ``slice``.  Returns ``(route_id, tick, slice, n, batch_id, flush_at,
+    n_entries, before, reason, opens)`` with one row per tick and slice; ``before``
+    counts the lines of the batch in earlier ticks and slices, ``opens`` marks the first row of a batch.
     With ``horizon_ms`` the routes stop there: later ticks disappear and ticks
     still buffered have no batch.
 
@@ -127,6 +128,8 @@ def _fold(
         F.max(F.col("interval") > chunk_ticks).alias("long"),
         F.max(F.ceil(F.log(chunk_count) / F.log("fan") - 1e-9)).alias("levels"),
     ).first()
+    if "slice" not in ticks.columns:
+        ticks = ticks.withColumn("slice", F.lit(0).cast("bigint"))
     placed = join_checked(ticks, settings, ["route_id"], spread=["tick"], small=small).withColumn(
         "k", F.call_function("div", F.col("tick"), F.col("period"))
     )
@@ -180,6 +183,7 @@ def _short_chunks(placed: DataFrame, chunk_ticks: int) -> DataFrame:
         "route_id",
         F.explode(chunk_ids).alias("chunk"),
         "k",
+        "slice",
         F.col("n").cast("bigint").alias("n"),
         *_TICK,
     ).select(
@@ -238,6 +242,7 @@ def _long_chunks(placed: DataFrame, chunk_ticks: int) -> DataFrame:
         "route_id",
         "chunk",
         "k",
+        "slice",
         F.col("n").cast("bigint").alias("n"),
         *_TICK,
         "first",
@@ -265,18 +270,22 @@ def _entries(maps: DataFrame, levels: int) -> DataFrame:
     return found
 
 
-def _to_chunk(pdf: pd.DataFrame) -> Chunk:
+def _to_chunk(pdf: pd.DataFrame) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk, and the slices of its ticks: where each tick's begin, their numbers and lines."""
     head = pdf.iloc[0]
-    k, n = pdf["k"].to_numpy(), pdf["n"].to_numpy()
-    order = np.argsort(k, kind="stable")
-    ticks, starts = np.unique(k[order], return_index=True)
-    counts = np.add.reduceat(n[order], starts)
+    k, slices, n = (pdf[name].to_numpy() for name in ("k", "slice", "n"))
+    order = np.lexsort((slices, k))
+    k, slices, n = k[order], slices[order], n[order]
+    rows = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (slices[1:] != slices[:-1])))
+    k, slices, n = k[rows], slices[rows], np.add.reduceat(n, rows)
+    ticks, starts = np.unique(k, return_index=True)
+    counts = np.add.reduceat(n, starts)
     first, buffer_size = int(head["first"]), int(head["buffer_size"])
     # No flush lies before lines that would have filled the buffer by now.
     back = int(np.searchsorted(ticks, first))
     since = np.cumsum(counts[:back][::-1])
     kept = back - int(np.searchsorted(since, buffer_size))
-    return Chunk(
+    chunk = Chunk(
         ticks=ticks[kept:].tolist(),
         counts=counts[kept:].tolist(),
         first=first,
@@ -284,6 +293,7 @@ def _to_chunk(pdf: pd.DataFrame) -> Chunk:
         buffer_size=buffer_size,
         interval=int(head["interval"]),
     )
+    return chunk, np.append(starts, len(n))[kept:], slices, n
 
 
 def _rows_of(key: int, node: int, fan: int, one: Map) -> pd.DataFrame:
@@ -303,7 +313,7 @@ def _maps_of(pdf: pd.DataFrame) -> list[tuple[int, Map]]:
 
 
 def _summarise_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    chunk = _to_chunk(pdf)
+    chunk, *_ = _to_chunk(pdf)
     return _rows_of(*key, int(pdf["fan"].iloc[0]), Map(chunk.idle, summarise(chunk)))
 
 
@@ -320,27 +330,31 @@ def _enter_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _replay_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    chunk, head = _to_chunk(pdf), pdf.iloc[0]
+    (chunk, starts, slices, n), head = _to_chunk(pdf), pdf.iloc[0]
     period = int(head["period"])
     fired = np.array(list(flushes(chunk, int(head["entry"]))), dtype=np.int64).reshape(-1, 4)
     at, begin, end, full = fired.T
-    lengths = end - begin
     # Ticks carried by the flushes of this chunk, in order and without gaps.
-    carried = slice(begin[0], end[-1]) if len(fired) else slice(0, 0)
-    counts = np.asarray(chunk.counts, dtype=np.int64)[carried]
-    starts = np.cumsum(lengths) - lengths
+    ticks = slice(begin[0], end[-1]) if len(fired) else slice(0, 0)
+    carried = slice(starts[ticks.start], starts[ticks.stop])
+    counts, lengths = n[carried], starts[end] - starts[begin]
+    opening = np.cumsum(lengths) - lengths
     opens = np.zeros(len(counts), dtype=bool)
-    opens[starts] = True
+    opens[opening] = True
     numbers = int(head["flushes_before"]) + 1 + np.arange(len(fired))
-    sizes = np.add.reduceat(counts, starts) if len(fired) else counts
+    sizes = np.add.reduceat(counts, opening) if len(fired) else counts
+    before = np.cumsum(counts) - counts
+    per_tick = np.diff(starts[ticks.start : ticks.stop + 1])
     return pd.DataFrame(
         {
             "route_id": key[0],
-            "tick": np.asarray(chunk.ticks, dtype=np.int64)[carried] * period,
+            "tick": np.repeat(np.asarray(chunk.ticks, dtype=np.int64)[ticks], per_tick) * period,
+            "slice": slices[carried],
             "n": counts,
             "batch_id": np.repeat(numbers, lengths),
             "flush_at": np.repeat(at * period, lengths),
             "n_entries": np.repeat(sizes, lengths),
+            "before": before - np.repeat(before[opening], lengths),
             "full": np.repeat(full.astype(bool), lengths),
             "opens": opens,
         }
@@ -352,8 +366,9 @@ def _within_horizon(folded: DataFrame, horizon_ms: int | None) -> DataFrame:
     return folded.select(
         "route_id",
         "tick",
+        "slice",
         "n",
-        *[F.when(shipped, F.col(c)).alias(c) for c in ("batch_id", "flush_at", "n_entries")],
+        *[F.when(shipped, F.col(c)).alias(c) for c in ("batch_id", "flush_at", "n_entries", "before")],
         F.when(shipped, _reason(F.col("full"))).alias("reason"),
         (shipped & F.col("opens")).alias("opens"),
     )
@@ -379,24 +394,18 @@ def flush_log(schedule: DataFrame) -> DataFrame:
     )
 
 
-def assign_batches(
-    ticked: DataFrame, slices: DataFrame, folded: DataFrame
-) -> DataFrame:
-    """Attach the batch columns of its tick to every line.
+def assign_batches(ticked: DataFrame, folded: DataFrame) -> DataFrame:
+    """Attach the batch columns of its tick and slice to every line.
 
     The batch columns are NULL for lines that were still buffered at the
     horizon.  The join key includes the slice, so no key exceeds the slice span;
     whether the counts side is small enough to broadcast is left to the run-time
     statistics.
     """
-    # Asking for the count keeps this the same aggregate as the one the fold
-    # reads, so that its shuffle is reused and the lines are not counted twice.
-    counted = slices.filter(F.col("n") > 0).select("route_id", "tick", "slice")
-    batch_of_slice = counted.join(
-        folded.select("route_id", "tick", "batch_id", "flush_at", "n_entries", "reason"),
-        ["route_id", "tick"],
+    of_slice = folded.select(
+        "route_id", "tick", "slice", "batch_id", "flush_at", "n_entries", "before", "reason"
     )
-    return ticked.join(batch_of_slice, ["route_id", "tick", "slice"])
+    return ticked.join(of_slice, ["route_id", "tick", "slice"])
 
 
 def batch_lines(
@@ -409,10 +418,9 @@ def batch_lines(
 ) -> DataFrame:
     """Routed lines with ``tick``, ``slice`` and the columns of their batch."""
     ticked = with_ticks(routed, slice_span, horizon_ms)
-    slices = tick_slices(ticked)
     # The fold adds up the slices of a tick itself, which saves a shuffle.
-    folded = _fold(slices, routes, horizon_ms, chunk_ticks, small)
-    return assign_batches(ticked, slices, folded)
+    folded = _fold(tick_slices(ticked), routes, horizon_ms, chunk_ticks, small)
+    return assign_batches(ticked, folded)
 
 
 def pending_lines(assigned: DataFrame) -> DataFrame:
@@ -420,20 +428,33 @@ def pending_lines(assigned: DataFrame) -> DataFrame:
     return assigned.filter(F.col("batch_id").isNull())
 
 
+def part_of(n_entries: Column, before: Column, max_part_lines: int, slice_span: int) -> Column:
+    """The part that a slice of a batch is in.
+
+    ``before`` counts the batch's lines in earlier slices.  A slice holds
+    ``slice_span`` lines at most, so parts that slices may begin in for that many lines less
+    never hold more than ``max_part_lines``.
+    """
+    room = max(1, max_part_lines - slice_span + 1)
+    whole = n_entries <= max_part_lines
+    return F.when(whole, F.lit(0)).otherwise(F.call_function("div", before, F.lit(room)))
+
+
 def collect_batches(
     assigned: DataFrame,
     routes: DataFrame,
     max_part_lines: int = MAX_PART_LINES,
     small: bool | None = None,
+    slice_span: int = SLICE_SPAN,
 ) -> DataFrame:
     """Gather each batch's entries in file order.
 
     Returns ``(route_id, path, batch_id, part, flush_at, reason, n_entries,
     entries)``.  A batch of up to ``max_part_lines`` lines is one row with part
-    0.  A larger one, which a burst within one poll can produce, is cut along
-    its offset slices into parts that follow each other in order.
+    0.  A larger one, which a burst within one poll can produce, is cut between
+    its slices into parts that follow each other in order, see :func:`part_of`.
     """
-    part = F.when(F.col("n_entries") <= max_part_lines, F.lit(0)).otherwise(F.col("slice"))
+    part = part_of(F.col("n_entries"), F.col("before"), max_part_lines, slice_span)
     gathered = (
         assigned.filter(F.col("batch_id").isNotNull())
         .select(

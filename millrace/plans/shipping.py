@@ -35,7 +35,7 @@ def plan_batches(
     small = is_small(routes)
     routed = ship_lines(lines, routes, small)
     assigned = batch_lines(routed, routes, horizon_ms, slice_span, chunk_ticks, small)
-    return collect_batches(assigned, routes, max_part_lines, small)
+    return collect_batches(assigned, routes, max_part_lines, small, slice_span)
 
 
 def ship_table(

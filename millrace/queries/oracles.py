@@ -277,10 +277,14 @@ SELECT route_id, 1::BIGINT AS batch_id, part, flush_at, reason, count(*) AS n_en
   arg_min(line, "offset") AS first_line, arg_max(line, "offset") AS last_line
 FROM (
   SELECT route_id, line, "offset",
-    CASE WHEN n <= 500 THEN 0 ELSE "offset" // 1000 END AS part,
+    CASE WHEN n <= 500 THEN 0 ELSE before // 401 END AS part,
     CASE WHEN n >= size THEN freq ELSE greatest(freq, ((every + freq - 1) // freq) * freq) END AS flush_at,
     CASE WHEN n >= size THEN 'buffer full' ELSE 'time elapsed' END AS reason
-  FROM (SELECT *, count(*) OVER (PARTITION BY route_id) AS n FROM routed))
+  FROM (
+    SELECT *, count(*) OVER (PARTITION BY route_id) AS n,
+      count(*) OVER (PARTITION BY route_id ORDER BY "offset" // 100
+        RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+    FROM routed))
 GROUP BY ALL"""
 )
 

@@ -289,7 +289,7 @@ def burst_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines arrive within one poll: one batch per route, cut into parts."""
     burst = event_lines(spark, sf_dir).withColumn("arrival_us", F.lit(1).cast("bigint"))
     batches = plan_batches(
-        burst, event_routes(spark), HORIZON_MS, slice_span=1000, max_part_lines=500
+        burst, event_routes(spark), HORIZON_MS, slice_span=100, max_part_lines=500
     )
     return batches.select(
         "route_id",

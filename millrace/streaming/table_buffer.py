@@ -16,7 +16,7 @@ micro-batch finds its decision already written and takes the same one again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.batching import (
@@ -24,6 +24,7 @@ from millrace.operators.batching import (
     MAX_PART_LINES,
     SLICE_SPAN,
     TIME_ELAPSED,
+    part_of,
 )
 from millrace.session import drop_folder, folder_names, is_small, is_written, join_checked
 
@@ -33,9 +34,6 @@ CLOCK_SCHEMA = (
     "flushes bigint, first_epoch bigint, flushed boolean, reason string, flush_at bigint, n_entries bigint, from_epoch bigint"
 )
 
-# Slices per micro-batch in the numbering of parts.
-_PART_STRIDE = 1 << 40
-
 
 class TableBuffer:
     """Buffers routed lines below ``work_dir``, which all executors can reach."""
@@ -123,11 +121,7 @@ class TableBuffer:
         return state.select(*[c.cast(types[name]).alias(name) for name, c in columns.items()])
 
     def _gather(self, due: DataFrame, first: dict[int, int], epoch: int) -> DataFrame:
-        whole = F.col("n_entries") <= self.max_part_lines
         slice_no = F.call_function("div", F.col("offset"), F.lit(self.slice_span))
-        part = F.when(whole, 0).otherwise(
-            (F.col("epoch") - F.col("from_epoch")) * _PART_STRIDE + slice_no
-        )
         buffered = join_checked(
             self._lines(list(range(min(first.values()), epoch + 1)), list(first)),
             due.select(
@@ -138,8 +132,22 @@ class TableBuffer:
             spread=["epoch", "offset"],
             small=self.small,
         ).filter(F.col("epoch") >= F.col("from_epoch"))
+        sliced = buffered.withColumn("slice", slice_no)
+        if due.filter(F.col("n_entries") > self.max_part_lines).isEmpty():
+            parted = sliced.withColumn("part", F.lit(0).cast("bigint"))
+        else:
+            # Lines per slice, and those before them: a row per slice of what flushes.
+            earlier = Window.partitionBy("route_id").orderBy("epoch", "slice")
+            counts = sliced.groupBy("route_id", "epoch", "slice").agg(F.count(F.lit(1)).alias("n"))
+            before = counts.withColumn("before", F.sum("n").over(earlier) - F.col("n")).drop("n")
+            part = part_of(
+                F.col("n_entries"), F.col("before"), self.max_part_lines, self.slice_span
+            )
+            parted = sliced.join(before, ["route_id", "epoch", "slice"]).withColumn(
+                "part", part.cast("bigint")
+            )
         gathered = (
-            buffered.withColumn("part", part.cast("bigint"))
+            parted
             .groupBy("route_id", "batch_id", "part")
             .agg(
                 F.first("path").alias("path"),

@@ -195,7 +195,7 @@ def test_trees_of_any_depth_equal_the_poll_loop(spark, monkeypatch, chunk_ticks,
 
 def test_no_group_grows_with_the_interval(spark):
     """A long history and an endless interval: chunks stay chunks."""
-    ticks = spark.range(1, 40_001).selectExpr("0L AS route_id", "id * 250 AS tick", "1L AS n")
+    ticks = spark.range(1, 40_001).selectExpr("0L AS route_id", "id * 250 AS tick", "0L AS slice", "1L AS n")
     routes = spark.createDataFrame(
         [(0, 250, 100, 2**62)],
         "route_id long, polling_frequency_ms long, buffer_size long, flush_interval_ms long",
@@ -231,6 +231,27 @@ def test_every_line_is_in_one_batch_in_order(golden, slice_span):
 def test_an_oversized_batch_is_cut_into_ordered_parts(golden):
     lines, routes = golden
     assigned = B.batch_lines(lines.filter("route_id = 2"), routes, 30_000, slice_span=5)
-    rows = B.collect_batches(assigned, routes, max_part_lines=5).orderBy("part").collect()
+    rows = B.collect_batches(assigned, routes, max_part_lines=5, slice_span=5).orderBy("part").collect()
     assert [r["n_entries"] for r in rows] == [5, 5, 2]
     assert [e["line"] for r in rows for e in r["entries"]] == [f"line {n}" for n in range(12)]
+
+
+def test_parts_follow_ticks_and_slices_and_keep_the_limit(spark):
+    """Offsets that start again in a later poll, dense and sparse ones."""
+    lines = [(tick, offset) for tick, start in ((100, 0), (200, 5_000), (300, 0)) for offset in range(start, start + 700)]
+    lines += [(400, offset * 97) for offset in range(300)]
+    df = spark.createDataFrame(
+        [(0, 100, offset, tick * 1000, f"{tick} {offset}") for tick, offset in lines],
+        "route_id long, polling_frequency_ms long, offset long, arrival_us long, line string",
+    ).repartition(3)
+    routes = spark.createDataFrame(
+        [(0, "/p", 100, 10**6, 1_000)],
+        "route_id long, path string, polling_frequency_ms long, buffer_size long, flush_interval_ms long",
+    )
+    batches = B.collect_batches(
+        B.batch_lines(df, routes, 10_000, slice_span=40), routes, max_part_lines=100, slice_span=40
+    )
+    rows = batches.orderBy("batch_id", "part").collect()
+    assert len({r["batch_id"] for r in rows}) == 1 and len(rows) > 2_400 / 100
+    assert max(r["n_entries"] for r in rows) <= 100
+    assert [e["line"] for r in rows for e in r["entries"]] == [f"{t} {o}" for t, o in lines]
