@@ -485,10 +485,10 @@ WHERE "offset" % 11 = 3"""
 # -- streams ------------------------------------------------------------------
 
 ORACLES["stream_dual_trigger"] = _route_query(
-    f"""SELECT route_id, count(*) AS n_lines, count(*) AS n_labelled,
+    """SELECT route_id, count(*) AS n_lines, count(*) AS n_labelled,
   count(DISTINCT line) AS n_distinct, CAST(sum(strlen(line)) AS BIGINT) AS n_bytes,
   true AS several, true AS gapless, true AS reasons_right
-FROM routed WHERE arrival_us > 0 AND arrival_us <= {1000 * HORIZON_MS} GROUP BY route_id"""
+FROM routed GROUP BY route_id"""
 )
 
 # The same buffer with a tenth of the horizon as every route's poll period.
@@ -496,7 +496,17 @@ _STREAM_ROUTES = f"""{_ROUTES.replace("routes(", "given(", 1)},
 routes AS (
   SELECT route_id, path, {HORIZON_MS // 10}::BIGINT AS freq,
     (150 * (1 + route_id % 4))::BIGINT AS size, 600000000::BIGINT AS every FROM given)"""
-_STREAM_CTES = ",".join([_LINES, _STREAM_ROUTES, _ROUTED, _TICKED, _FLUSHES, _ASSIGNED])
+# What is there before the first poll comes with it, and polls go on until all lines have come.
+_STREAM_TICKED = _TICKED.replace("arrival_us + freq", "greatest(arrival_us, 1) + freq").replace(
+    " WHERE arrival_us > 0", ""
+)
+_STREAM_FLUSHES = _FLUSHES.replace(
+    f"flush_at <= {HORIZON_MS}",
+    f"flush_at <= greatest({HORIZON_MS}, (SELECT max(tick) FROM ticks))",
+)
+_STREAM_CTES = ",".join(
+    [_LINES, _STREAM_ROUTES, _ROUTED, _STREAM_TICKED, _STREAM_FLUSHES, _ASSIGNED]
+)
 ORACLES["stream_table_buffer"] = f"""WITH RECURSIVE {_STREAM_CTES}
 SELECT route_id, batch_id, any_value(flush_at) AS flush_at, any_value(reason) AS reason,
   count(*) AS n_entries, md5(string_agg(line, chr(10) ORDER BY tick, "offset")) AS lines_md5

@@ -31,7 +31,7 @@ from millrace.queries.tables import (
     read,
     supplier_routes,
 )
-from millrace.session import scratch_dir
+from millrace.session import is_written, make_folder, move_files, scratch_dir
 from millrace.sinks.delivery import check_bulk_response, deliver
 from millrace.sinks.files import prepare_file_routes, write_entries, write_file_routes
 from millrace.sinks.requests import build_requests, decode_payload, request_headers
@@ -639,25 +639,34 @@ def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("path string, line string").parquet(f"{out}/data")
 
 
-# Stream queries get the event lines as so many files, one per micro-batch.
-STREAM_POLLS = 10
-STREAM_PERIOD_MS = HORIZON_MS // STREAM_POLLS
+# Stream queries poll with a tenth of the horizon, until every line has arrived.
+STREAM_PERIOD_MS = HORIZON_MS // 10
 STREAM_INTERVAL_MS = 600_000_000
+STREAM_SCHEMA = "route_id bigint, offset bigint, line string"
 
 
-def _line_stream(spark: SparkSession, sf_dir: str, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Routed event lines, and the same as a stream of one file per virtual poll."""
+def _line_polls(spark: SparkSession, sf_dir: str, folder: str) -> tuple[DataFrame, int]:
+    """Routed event lines, staged by the virtual poll that sees them, and the number of polls.
+
+    What was there before the first poll comes with it.
+    """
     routed = ship_lines(event_lines(spark, sf_dir), event_routes(spark))
-    first = F.lit(1000 * STREAM_PERIOD_MS)
-    poll = F.call_function("div", F.col("arrival_us") - 1, first)
-    kept = routed.filter((F.col("arrival_us") > 0) & (poll < STREAM_POLLS))
-    for number in range(STREAM_POLLS):
-        # Streams take files in the order in which they were written.
-        part = kept.filter(poll == number).select("route_id", "offset", "line")
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/lines")
-    schema = "route_id bigint, offset bigint, line string"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-    return kept, stream.parquet(f"{folder}/lines")
+    arrival = F.greatest(F.col("arrival_us"), F.lit(1))
+    polled = routed.select(
+        "route_id",
+        "offset",
+        "line",
+        F.call_function("div", arrival - 1, F.lit(1000 * STREAM_PERIOD_MS)).alias("poll"),
+    )
+    polled.write.partitionBy("poll").parquet(f"{folder}/staged")
+    staged = spark.read.schema(f"{STREAM_SCHEMA}, poll bigint").parquet(f"{folder}/staged")
+    make_folder(spark, f"{folder}/lines")
+    return staged, max(HORIZON_MS // STREAM_PERIOD_MS, 1 + (staged.agg(F.max("poll")).first()[0] or 0))
+
+
+def _arrive(spark: SparkSession, folder: str, poll: int) -> None:
+    """The lines of a poll arrive: whole files, as many as there are."""
+    move_files(spark, f"{folder}/staged/poll={poll}", f"{folder}/lines", f"poll-{poll}")
 
 
 @query
@@ -669,7 +678,9 @@ def stream_dual_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     "buffer full" for those that reach the size and for no others.
     """
     out, size = scratch_dir(spark, "buffered"), 20
-    kept, lines = _line_stream(spark, sf_dir, out)
+    staged, n_polls = _line_polls(spark, sf_dir, out)
+    n_lines = staged.count()
+    lines = spark.readStream.schema(STREAM_SCHEMA).parquet(f"{out}/lines")
     settings = {
         route_id: BufferSettings(s.path, 100, size, 500)
         for route_id, s in buffer_settings(event_routes(spark)).items()
@@ -684,7 +695,13 @@ def stream_dual_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
         .option("path", f"{out}/batches"),
         keys=len(settings),
     )
-    _stop_after(stream, f"{out}/batches", kept.count())
+    try:
+        for poll in range(n_polls):
+            _arrive(spark, out, poll)
+            time.sleep(0.5)
+        _await_lines(stream, f"{out}/batches", n_lines)
+    finally:
+        stream.stop()
     batches = spark.read.schema(BATCH_SCHEMA).parquet(f"{out}/batches")
     full = (F.col("reason") == "buffer full") == (F.col("n_entries") >= size)
     checks = batches.groupBy("route_id").agg(
@@ -706,7 +723,8 @@ def stream_dual_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_table_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The buffer over written tables, one micro-batch per virtual poll."""
     out = scratch_dir(spark, "tabled")
-    _, lines = _line_stream(spark, sf_dir, out)
+    _, n_polls = _line_polls(spark, sf_dir, out)
+    lines = spark.readStream.schema(STREAM_SCHEMA).parquet(f"{out}/lines")
     routes = event_routes(spark).withColumns(
         {
             "polling_frequency_ms": F.lit(STREAM_PERIOD_MS).cast("bigint"),
@@ -716,20 +734,26 @@ def stream_table_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     tables = TableBuffer(spark, routes, f"{out}/buffer", started_ms=0)
 
-    def poll(kept: DataFrame, epoch: int) -> None:
-        flushed = tables.poll(kept, epoch, STREAM_PERIOD_MS * (epoch + 1))
-        if flushed is not None:
-            flushed.write.mode("overwrite").parquet(f"{out}/batches/epoch={epoch}")
-
-    stream = (
-        lines.writeStream.foreachBatch(poll)
-        .option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    stream.awaitTermination()
-    if stream.exception() is not None:
-        raise stream.exception()
+    for number in range(n_polls):
+        now = STREAM_PERIOD_MS * (number + 1)
+
+        def poll(kept: DataFrame, epoch: int, now: int = now, number: int = number) -> None:
+            flushed = tables.poll(kept, number, now)
+            if flushed is not None:
+                flushed.write.mode("overwrite").parquet(f"{out}/batches/epoch={number}")
+
+        _arrive(spark, out, number)
+        # Each start goes on from the checkpoint and takes in what has arrived.
+        stream = (
+            lines.writeStream.foreachBatch(poll)
+            .option("checkpointLocation", f"{out}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        stream.awaitTermination()
+        if not is_written(spark, f"{out}/buffer/clock/epoch={number}"):
+            # Nothing arrived: the stream had no micro-batch, but the poll took place.
+            poll(spark.createDataFrame([], STREAM_SCHEMA), number)
     batches = spark.read.schema(f"{BATCH_SCHEMA}, epoch bigint").parquet(f"{out}/batches")
     text = F.array_join(F.transform("entries", lambda e: e["line"]), "\n")
     return batches.select(
@@ -737,20 +761,15 @@ def stream_table_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _stop_after(stream, path: str, n_lines: int, limit_s: float = 300) -> None:
-    """Stop a stateful stream once all lines have been written."""
-    spark, began = SparkSession.active(), time.time()
-    try:
-        while time.time() - began < limit_s:
-            time.sleep(0.3)
-            if stream.exception() is not None:
-                raise stream.exception()
-            progress = stream.lastProgress
-            if progress is None or progress["batchId"] < 1:
-                continue
-            batches = spark.read.schema(BATCH_SCHEMA).parquet(path)
-            if batches.agg(F.sum("n_entries")).first()[0] == n_lines:
-                return
-        raise TimeoutError(f"the stream did not write {n_lines} lines")
-    finally:
-        stream.stop()
+def _await_lines(stream, path: str, n_lines: int) -> None:
+    """Return once a running stream has written all lines."""
+    spark = SparkSession.active()
+    while stream.isActive:
+        time.sleep(0.3)
+        progress = stream.lastProgress
+        if progress is None or progress["batchId"] < 1:
+            continue
+        batches = spark.read.schema(BATCH_SCHEMA).parquet(path)
+        if (batches.agg(F.sum("n_entries")).first()[0] or 0) == n_lines:
+            return
+    raise stream.exception() or RuntimeError("the stream was stopped from outside")
