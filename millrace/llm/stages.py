@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontamination, jaccard, pieces, repeats, toxicity
-from millrace.llm.common import table, written
+from millrace.llm.common import stored, table, written
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,12 +26,27 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents the one with the smallest id, once."""
-    linked = jaccard.link(docs).select("doc_id", "component_id")
-    goes = linked.filter("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(goes, "doc_id", "left_anti")
-    # Rows of one id with equal text are one document.
-    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """Of linked documents the one with the smallest id, once.
+
+    Rows are linked by their own texts: rows that share an id but no text stay
+    apart, equal rows are linked.  Rows without text or id are linked with nothing.
+    """
+    row = _unused("row", docs)
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    known = numbered.filter("doc_id is not null")
+    linked = jaccard.link(known.select(row, "text"), id_col=row).select(row, "component_id")
+    least = F.min(F.struct("doc_id", row))[row].alias(row)
+    first = known.select(row, "doc_id").join(linked, row).groupBy("component_id").agg(least)
+    kept = known.join(first.select(row), row, "left_semi")
+    return kept.unionByName(numbered.filter("doc_id is null")).select(*docs.columns)
+
+
+def _unused(name: str, docs: DataFrame) -> str:
+    """A column name that the documents do not have."""
+    taken = {column.lower() for column in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

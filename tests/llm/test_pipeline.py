@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from millrace.llm import pieces
+from pyspark.sql import functions as F
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -50,3 +51,36 @@ def test_stages_keep_the_columns(spark, folder):
         assert out.count() == 0
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == COLUMNS
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark, folder):
+    path, _, _ = folder
+    one, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    near = one.replace("a39", "x")
+    rows = [(5, one, 1), (9, one, 2), (9, other, 3), (9, other, 4), (3, near, 5), (None, one, 6), (None, one, 7)]
+    rows += [(8, None, 8), (8, None, 9), (8, "", 10), (7, "word " * 60_000, 11), (6, "word " * 60_000, 12)]
+    schema = "doc_id bigint, text string, component_id bigint"
+    docs = spark.createDataFrame(rows, schema).withColumn("row", F.lit("r")).withColumn("n_shingles", F.lit(1))
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard"]
+    out = stage(spark, docs, path)
+    assert out.columns == docs.columns
+    kept = sorted(r["component_id"] for r in out.collect())
+    # Of the first group id 3 stays, of the second one of two equal rows.
+    assert kept in ([x, 5, 6, 7, 8, 9, 10, 12] for x in (3, 4))
+
+
+@pytest.mark.parametrize("name", ["toxicity", "ngram_jaccard", "suffix_dedup", "decontamination", "pieces"])
+def test_stages_take_nulls_repeats_and_clashing_names(spark, folder, name):
+    path, _, _ = folder
+    long = "wort " * 40_000 + "ende"
+    rows = [(1, None), (2, ""), (3, long), (4, " \n\t "), (5, "a short text"), (5, "a short text"), (None, "no id at all")]
+    clash = ["component_id", "predicted", "kept", "contaminated", "row", "_row", "score", "n_items"]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for column in clash:
+        docs = docs.withColumn(column, F.lit("own"))
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, path)
+    found = out.collect()
+    assert {r["doc_id"] for r in found} == {1, 2, 3, 4, 5, None}
+    if name != "pieces":
+        assert out.columns == docs.columns
+        assert len(found) == (6 if name == "ngram_jaccard" else 7)
