@@ -40,7 +40,8 @@ def add_columns(
     """Add the columns ``ddl`` to every row.
 
     ``task()`` is called once per task and gives the function that computes
-    the new columns of a slice of rows.  With ``bounded``, the name of a text
+    the new columns of a slice of rows; if that has ``close``, it is called
+    when the task is through.  With ``bounded``, the name of a text
     column, slices are cut at ``size`` bytes of it instead of by rows.
     """
     added = StructType.fromDDL(ddl)
@@ -56,6 +57,7 @@ def add_columns(
             columns = [batch.column(i) for i in kept] + work(batch)
             yield pa.RecordBatch.from_arrays(columns, names=names)
             del columns
+        getattr(work, "close", lambda: None)()
         # The worker lives on; what the allocator keeps for it counts as used.
         pa.default_memory_pool().release_unused()
 

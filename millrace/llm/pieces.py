@@ -251,6 +251,11 @@ class Transducer:
         words = _WORD.findall(self.normalised(text))
         return b"".join([self._solve(word) for word in words])
 
+    def forget(self) -> None:
+        """Drop what was remembered of texts; the model stays."""
+        self._solved.clear()
+        self._parts.clear()
+
     def decode(self, ids: bytes) -> str:
         """The text of little-endian 32-bit ids; bytes that are no text become U+FFFD."""
         outputs = self._outputs
@@ -302,6 +307,8 @@ def encode(
                 columns.append(pa.array([transducer.decode(row) for row in rows], pa.string()))
             return columns
 
+        # The worker lives on and goes to other stages.
+        work.close = transducer.forget
         return work
 
     added = "ids array<int>, n_tokens bigint"
