@@ -159,6 +159,7 @@ def deliver(
     groups: int = 1,
     ordered: bool = False,
     journal: bool = True,
+    sending_tasks: int | None = None,
 ) -> DataFrame:
     """Send the requests and write their outcomes to ``outcomes_path``.
 
@@ -169,8 +170,8 @@ def deliver(
     ``groups``: those of a group are stored before the next one starts.  With ``on_failure="fail"`` all outcomes
     are stored before the job fails, and a repeated job sends again only what
     has not succeeded.  ``ordered`` sends the batches of a route one after the
-    other, each route in one task.  Speculative task copies would send twice and
-    are refused.
+    other, each route in one task.  No more than ``sending_tasks`` tasks send at
+    a time.  Speculative task copies would send twice and are refused.
     """
     if on_failure not in ("drop", "fail"):
         raise ValueError("on_failure must be 'drop' or 'fail'")
@@ -189,7 +190,14 @@ def deliver(
         part = requests if groups == 1 else requests.filter(spread == group)
         if ordered:
             order = ("route_id", "batch_id", "part")
-            part = part.repartition("route_id").sortWithinPartitions(*order)
+            spread_by_route = (
+                part.repartition("route_id")
+                if sending_tasks is None
+                else part.repartition(sending_tasks, "route_id")
+            )
+            part = spread_by_route.sortWithinPartitions(*order)
+        elif sending_tasks is not None:
+            part = part.coalesce(sending_tasks)
         settle(send(part, transport, keep)).write.mode("append").parquet(outcomes_path)
     drop_folder(spark, notes)
     outcomes = spark.read.parquet(outcomes_path)

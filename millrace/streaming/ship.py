@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import socket
 import time
 from collections.abc import Sequence
@@ -16,7 +17,7 @@ from millrace.operators.routing import ship_lines
 from millrace.plans.routes import ready_routes
 from millrace.sinks.delivery import Transport, deliver
 from millrace.sinks.files import prepare_file_routes, write_file_routes
-from millrace.sinks.requests import build_requests
+from millrace.sinks.requests import build_requests, request_url
 from millrace.sources.tail import SOURCE_NAME, register, tail_options
 from millrace.streaming.buffer import SET_ASIDE, STATE_PROVIDER, BufferSettings, buffer_stream
 from millrace.streaming.table_buffer import TableBuffer
@@ -27,6 +28,7 @@ LOST_RANGE = "lost range"
 
 _PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
 _PARTITIONS_CONF = "spark.sql.shuffle.partitions"
+_POOL = "spark.scheduler.pool"
 
 
 def tail_lines(spark: SparkSession, paths: Sequence[str], **options) -> DataFrame:
@@ -118,6 +120,7 @@ def start_shipping(
     tag: str = DEFAULT_TAG,
     zone: str = "UTC",
     ordered: bool = False,
+    sending_tasks: int | None = None,
     **source_options,
 ) -> StreamingQuery:
     """Start one query for all valid routes.
@@ -134,7 +137,11 @@ def start_shipping(
     in ``work_dir/quarantine/epoch=N``.
 
     ``host`` (default: this machine's name), ``tag`` and ``zone`` go into syslog
-    messages.  ``ordered`` sends the batches of a route one after the other.
+    messages.  ``ordered`` sends the batches of a route one after the other, and
+    no more than ``sending_tasks`` tasks send at a time.
+
+    A micro-batch ends when all its requests have been answered, so a slow
+    destination delays every route of the query; see :func:`start_isolated`.
     """
     if buffer not in ("table", "state"):
         raise ValueError("buffer must be 'table' or 'state'")
@@ -160,7 +167,10 @@ def start_shipping(
             return
         requests = build_requests(stored, network, ship_ts, host, tag, zone)
         outcomes = f"{work_dir}/outcomes/epoch={epoch}"
-        deliver(spark, requests, transport, outcomes, on_failure, ordered=ordered)
+        deliver(
+            spark, requests, transport, outcomes, on_failure,
+            ordered=ordered, sending_tasks=sending_tasks,
+        )
         write_file_routes(stored, ready, f"{work_dir}/files/epoch={epoch}")
 
     if buffer == "state":
@@ -198,6 +208,72 @@ def start_shipping(
     return writer.start()
 
 
+def destination_group(destination: Column) -> Column:
+    """What routes share that wait for each other: a host and port, or the file store."""
+    url = request_url(destination)
+    place = F.lower(F.regexp_extract(url, r"^([^:/?#]+://)(?:[^/?#@]*@)?([^/?#]*)", 2))
+    scheme = F.lower(F.regexp_extract(url, r"^([^:/?#]+://)", 1))
+    return F.when(destination["type"] == "file", F.lit("file")).otherwise(F.concat(scheme, place))
+
+
+def start_isolated(
+    spark: SparkSession,
+    routes: DataFrame,
+    work_dir: str,
+    transport: Transport,
+    sending_tasks: int | None = None,
+    **options,
+) -> dict[str, StreamingQuery]:
+    """Start a query for each destination; returns them by destination group.
+
+    A destination that is slow or does not answer delays its own routes only.
+    Each query has its own work folder ``work_dir/group=…``, with checkpoint,
+    buffer, batches and outcomes, named by its destination alone, so that other
+    destinations come and go without touching it.  It tails the files of its
+    routes itself: a file that goes to two destinations is read at the pace of
+    each, and a stalled one holds nothing back and nothing in memory.
+
+    Queries run in scheduler pools of their own (fair where the session sets
+    ``spark.scheduler.mode`` to ``FAIR``).  At most ``sending_tasks`` tasks of a
+    query send at a time, by default so many that all queries together leave
+    half of the cores free, and one at least.  Queries beyond the cores of a
+    session still wait for each other.
+
+    ``options`` are those of :func:`start_shipping`.
+    """
+    ready = ready_routes(spark, routes).withColumn("_group", destination_group(F.col("destination")))
+    groups = sorted(row[0] for row in ready.select("_group").distinct().collect())
+    context = spark.sparkContext
+    if sending_tasks is None:
+        sending_tasks = max(1, context.defaultParallelism // (2 * max(1, len(groups))))
+    before = context.getLocalProperty(_POOL)
+    queries: dict[str, StreamingQuery] = {}
+    try:
+        for group in groups:
+            name = group_folder(group)
+            context.setLocalProperty(_POOL, name)
+            queries[group] = start_shipping(
+                spark,
+                ready.filter(F.col("_group") == group).drop("_group"),
+                f"{work_dir}/group={name}",
+                transport,
+                sending_tasks=sending_tasks,
+                **options,
+            )
+    except BaseException:
+        for query in queries.values():
+            query.stop()
+        raise
+    finally:
+        context.setLocalProperty(_POOL, before)
+    return queries
+
+
+def group_folder(group: str) -> str:
+    """Folder name of a destination group; any text may stand in an address."""
+    return hashlib.sha256(group.encode()).hexdigest()[:16]
+
+
 def _now_ms() -> int:
     return time.time_ns() // 1_000_000
 

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import http.client
 import io
 import json
 import os
+import pickle
+import socket
 import urllib.error
 
 import pytest
@@ -163,25 +166,113 @@ def test_file_routes_exist_before_anything_ships(spark, tmp_path):
     assert spark.read.schema("path string, line string").json(str(target)).isEmpty()
 
 
-def test_http_transport(monkeypatch):
-    seen = {}
+class FakeConnection:
+    """Answers by path; ``log`` holds every request with the number of its connection."""
 
+    log: list = []
+    opened = 0
+
+    def __init__(self, host, port=None, timeout=None):
+        FakeConnection.opened += 1
+        self.number, self.host, self.port, self.sock = FakeConnection.opened, host, port, None
+
+    def request(self, method, target, body=None, headers=None):
+        if self.sock is None:
+            self.sock, self.far = socket.socketpair()
+        self.log.append((self.number, method, self.host, target, body, headers))
+        self.target = target
+
+    def getresponse(self):
+        if self.target == "/cut":
+            raise http.client.RemoteDisconnected("gone")
+        status, body, location = {
+            "/in?x=1": (201, "done", None),
+            "/bad": (503, "later", None),
+            "/moved": (307, "", "http://other:81/in?x=1"),
+            "/see": (303, "", "/in?x=1"),
+            "/round": (308, "", "/round"),
+        }.get(self.target, (200, "", None))
+        answer = io.BytesIO(body.encode())
+        answer.status, answer.will_close = status, self.target == "/last"
+        answer.getheader = lambda name: location
+        return answer
+
+    def close(self):
+        if self.sock is not None:
+            self.sock.close()
+            self.far.close()
+
+
+@pytest.fixture
+def http_log(monkeypatch):
+    monkeypatch.setattr(transports.http.client, "HTTPConnection", FakeConnection)
+    monkeypatch.setattr(transports.urllib.request, "getproxies", dict)
+    FakeConnection.log, FakeConnection.opened = [], 0
+    return FakeConnection.log
+
+
+def http_request(path: str) -> dict:
+    headers = {"Authorization": "Bearer k", "Content-Type": "application/json"}
+    return {"type": "http", "url": f"http://e{path}", "headers": headers}
+
+
+def test_http_transport(http_log):
+    ship = transports.DefaultTransport()
+    assert ship(http_request("/in?x=1"), "[é]") == (201, "done")
+    assert ship(http_request("/bad"), "[]") == (503, "later")
+    number, method, host, target, body, headers = http_log[0]
+    assert (method, host, target, body) == ("POST", "e", "/in?x=1", "[é]".encode())
+    assert headers["Authorization"] == "Bearer k"
+    ship.close()
+
+
+def test_http_connections_are_kept_and_replaced(http_log):
+    ship = transports.HttpTransport()
+    for path in ("/a", "/b", "/last", "/c"):
+        ship(http_request(path), "[]")
+    assert [entry[0] for entry in http_log] == [1, 1, 1, 2]  # "/last" was the last of its connection
+    with pytest.raises(http.client.RemoteDisconnected):
+        ship(http_request("/cut"), "[]")
+    ship(http_request("/d"), "[]")
+    # A failed request is not made again; the next one has a new connection.
+    assert [(entry[0], entry[3]) for entry in http_log[4:]] == [(2, "/cut"), (3, "/d")]
+    (kept,) = ship._kept.values()
+    kept.far.close()  # the other end closes an idle connection
+    ship(http_request("/e"), "[]")
+    assert http_log[-1][0] == 4
+    assert pickle.loads(pickle.dumps(ship))._kept == {}
+    ship.close()
+    assert not ship._kept
+
+
+def test_http_redirects(http_log):
+    ship = transports.HttpTransport()
+    assert ship(http_request("/moved"), "[1]") == (201, "done")
+    assert http_log[-1][1:5] == ("POST", "other", "/in?x=1", b"[1]")
+    assert "Authorization" not in http_log[-1][5]
+    assert ship(http_request("/see"), "[1]") == (201, "done")
+    assert http_log[-1][1:5] == ("GET", "e", "/in?x=1", None)
+    with pytest.raises(OSError):
+        ship(http_request("/round"), "[1]")
+    ship.close()
+
+
+def test_http_through_a_proxy(http_log, monkeypatch):
     class Response(io.BytesIO):
-        status = 201
+        status = 200
 
     def urlopen(post):
-        seen.update(url=post.full_url, data=post.data, headers=dict(post.headers), method=post.method)
         if post.full_url.endswith("bad"):
             raise urllib.error.HTTPError(post.full_url, 503, "busy", {}, io.BytesIO(b"later"))
-        return Response(b"done")
+        return Response(b"proxied")
 
+    monkeypatch.setattr(transports.urllib.request, "getproxies", lambda: {"http": "http://p"})
+    monkeypatch.setattr(transports.urllib.request, "proxy_bypass", lambda host: False)
     monkeypatch.setattr(transports.urllib.request, "urlopen", urlopen)
-    ship = transports.DefaultTransport()
-    request = {"type": "http", "url": "http://e/in", "headers": {"Authorization": "Bearer k"}}
-    assert ship(request, "[é]") == (201, "done")
-    assert seen["data"] == "[é]".encode() and seen["method"] == "POST"
-    assert seen["headers"]["Authorization"] == "Bearer k"
-    assert ship({**request, "url": "http://e/bad"}, "[]") == (503, "later")
+    ship = transports.HttpTransport()
+    assert ship(http_request("/in"), "[]") == (200, "proxied")
+    assert ship(http_request("/bad"), "[]") == (503, "later")
+    assert http_log == []
 
 
 def test_syslog_transport(monkeypatch):

@@ -10,7 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.plans.routes import normalize_routes, routes_table
-from millrace.streaming.ship import start_shipping
+from millrace.streaming import ship
+from millrace.streaming.ship import (
+    destination_group,
+    group_folder,
+    start_isolated,
+    start_shipping,
+)
 from millrace.streaming.table_buffer import TableBuffer
 from test_flush_fold import GOLDEN
 
@@ -233,3 +239,89 @@ def test_what_cannot_be_shipped_is_set_aside(spark, tmp_path, buffer):
     (row,) = spark.read.parquet(f"{out}/quarantine").collect()
     line = row["line"] if buffer == "table" else bytes.fromhex(row["line"])
     assert (row["path"], bytes(line)) == (str(log), b"bad \xff")
+
+
+def test_destination_groups(spark):
+    destinations = [
+        {"type": "http", "endpoint": "http://Host:8000/a"},
+        {"type": "http", "endpoint": "http://u:p@host:8000/b?c"},
+        {"type": "http", "endpoint": "https://host:8000/a"},
+        {"type": "elasticsearch", "url": "http://host:8000", "index": "i"},
+        {"type": "syslog", "host": "host"},
+        {"type": "file", "path": "/x"},
+        {"type": "file", "path": "/y"},
+    ]
+    rows = [
+        {"route_id": i, "path": "/l", "polling_frequency_ms": 1, "destination": d}
+        for i, d in enumerate(destinations)
+    ]
+    routes = normalize_routes(routes_table(spark, rows))
+    found = routes.select("route_id", destination_group(F.col("destination"))).collect()
+    assert [group for _, group in sorted(map(tuple, found))] == [
+        "http://host:8000", "http://host:8000", "https://host:8000", "http://host:8000",
+        "udp://host:514", "file", "file",
+    ]
+
+
+def test_a_blocked_destination_delays_its_own_routes_only(spark, tmp_path, monkeypatch):
+    log, received, gate = tmp_path / "app.log", tmp_path / "received", str(tmp_path / "open")
+    log.write_text("")
+    received.mkdir()
+    out = str(tmp_path / "out")
+    record = recording(str(received))
+
+    def transport(request, payload):
+        if request["url"] == "http://stuck":
+            while not os.path.exists(gate):
+                time.sleep(0.05)
+        return record(request, payload)
+
+    rows = [
+        {"destination": {"type": "http", "endpoint": "http://stuck"}},
+        {"destination": {"type": "http", "endpoint": "http://quick/a"}},
+        {"destination": {"type": "file", "path": out}},
+    ]
+    rows = [
+        {"route_id": i, "path": str(log), "polling_frequency_ms": 200, "buffer_size": 1, **row}
+        for i, row in enumerate(rows)
+    ]
+    routes = normalize_routes(routes_table(spark, rows))
+    pools = set()
+
+    def delivered(session, *args, **kwargs):
+        pools.add(session.sparkContext.getLocalProperty("spark.scheduler.pool"))
+        return deliver(session, *args, **kwargs)
+
+    deliver = ship.deliver
+    monkeypatch.setattr(ship, "deliver", delivered)
+    work = str(tmp_path / "work")
+    queries = start_isolated(spark, routes, work, transport)
+    assert set(queries) == {"http://stuck", "http://quick", "file"}
+
+    def sent(route_id):
+        return sum(batches_of(received, route_id), [])
+
+    def in_file():
+        rows = spark.read.schema("path string, line string").json(out).collect()
+        return sorted(r["line"] for r in rows)
+
+    try:
+        for query in queries.values():
+            assert wait_for(lambda: query.lastProgress is not None, query)
+        for n in range(3):
+            with open(log, "a") as handle:
+                handle.write(f"line {n}\n")
+            want = [f"line {i}" for i in range(n + 1)]
+            # Poll after poll goes out while the first request to the other waits.
+            assert wait_for(lambda: sent(1) == want, queries["http://quick"])
+            assert wait_for(lambda: in_file() == want, queries["file"])
+        assert sent(0) == []
+        open(gate, "w").close()
+        assert wait_for(lambda: sent(0) == want, queries["http://stuck"])
+    finally:
+        open(gate, "w").close()
+        for query in queries.values():
+            query.stop()
+    assert sorted(os.listdir(work)) == sorted(f"group={group_folder(g)}" for g in queries)
+    assert pools == {group_folder(g) for g in queries}
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
