@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import os
 import random
+import re
 import struct
+import time
 import zlib
 
 import brute
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from millrace.llm import html_text, language, pieces, quality, queries, repair, topk
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -255,6 +260,59 @@ def test_pages_table(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
-def test_stretch():
-    assert html_text.stretch([0, 0, 5, 0, 7, 0, 0, 0, 0, 0, 3], window=3) == (2, 5)
-    assert html_text.stretch([0, 0]) == (0, 0) and html_text.stretch([]) == (0, 0)
+def test_stretches():
+    lengths = [0, 0, 5, 0, 7, 0, 0, 0, 0, 0, 3]
+    assert html_text.stretches(lengths, window=3) == [(2, 5), (10, 11)]
+    assert html_text.stretches([4], window=3) == [(0, 1)]
+    assert html_text.stretches([0, 0]) == [] and html_text.stretches([]) == []
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.integers(0, 3), max_size=40), st.integers(1, 6))
+def test_stretches_by_brute_force(lengths, window):
+    inside = {i for first, end in html_text.stretches(lengths, window) for i in range(first, end)}
+    weighty = [i for i, n in enumerate(lengths) if n]
+    want = set(weighty)
+    for a, b in zip(weighty, weighty[1:]):
+        if b - a <= window:  # fewer lines of no weight between them than a window has
+            want.update(range(a, b))
+    assert inside == want
+
+
+LINKS = "".join(f"<li><a href={i}>Page number {i}</a>" for i in range(6))
+BY_SUMS = [
+    # No stretch is too light, and no line of text too short.
+    (f"<div>{LONG * 3}</div>{'<div>ab</div>' * 6}<div>{LONG * 9}</div>",
+     "\n".join([LONG * 3, *["ab"] * 6, LONG * 9])),
+    (f"<div>Intro.</div><ul>{LINKS}</ul><div>{LONG}</div>", f"Intro.\n{LONG}"),
+    # Links before and after the text, and a window full of them, marked article or not.
+    (f"<main><ul><li><a>Home</a><li><a>News</a></ul><p>{LONG}</p><ul>{LINKS}</ul></main>", LONG),
+    (f"<article><p>{LONG}</p><ul>{LINKS}</ul><p>The end.</p></article>", f"{LONG}\nThe end."),
+    # Some links amid text are text.
+    (f"<div><p>{LONG}</p><ul><li><a>One</a><li><a>Two</a></ul><p>End.</p></div>", f"{LONG}\nOne\nTwo\nEnd."),
+    (f"<h1><a href=x>Title</a></h1><p>{LONG}</p>", f"Title\n{LONG}"),
+    (f"<p>{LONG}</p><p><a href=1>Home</a> <a href=2>News</a></p>", LONG),
+    ("<article><p><a href=1>One</a> <a href=2>Two</a></p></article>", "One Two"),
+    ("<p><a href=1>One</a> <a href=2>Two</a></p>", ""),
+]
+
+
+@pytest.mark.parametrize("page, text", BY_SUMS)
+def test_sums_decide_on_links_only(page, text):
+    assert html_text.main_text(page) == text
+
+
+@needs_data
+def test_pages_without_their_article_tags():
+    pages = pq.read_table(f"{SF_DIR}/pages.parquet", columns=["html"])["html"].to_pylist()
+    with_tags = [html_text.main_text(page) for page in pages]
+    without = [html_text.main_text(re.sub(r"</?(?:article|main)\b[^>]*>", "", page)) for page in pages]
+    assert sum(a == b for a, b in zip(with_tags, without)) >= 0.99 * len(pages)
+    assert all(len(a) <= len(b) for a, b in zip(with_tags, without))
+
+
+@pytest.mark.parametrize("tag", ["<div>", "<div class=sidebar>x", "<nav><article>", "<b>", "<aside>x<article>"])
+def test_time_follows_the_length(tag):
+    began = time.process_time()
+    html_text.main_text(tag * 100_000 + "<p>Text</p>" + "</i>" * 100_000)
+    assert time.process_time() - began < 5
