@@ -1,16 +1,18 @@
 """Token ids in grammar-compressed shards (Re-Pair).
 
 Texts are encoded with a byte-level merge vocabulary, each ends with an end id,
-and the ids of consecutive documents form shards of about ``SHARD_IDS`` ids.
-In a shard, frequent pairs of neighbouring ids are replaced by nonterminals,
-again and again; the shard stores the rules, the sequence that is left, and how
-many ids each nonterminal stands for, so that any range of ids is decoded from
-the symbols that cover it.  A pair never goes on over an end of a document.
+and the ids of consecutive documents form shards of about ``SHARD_IDS`` ids; a
+document is never divided, so a longer one is a shard of its own.  In a shard, pairs
+of neighbouring ids are counted exactly, frequent ones are replaced by nonterminals,
+and so on until no pair occurs ``LEAST_COUNT`` times.  The shard stores the rules,
+how many ids each nonterminal stands for, and the sequence that is left, so that any
+range of ids is decoded from the symbols that cover it (:func:`read_range`).  A
+pair never goes on over an end of a document.
 
 A shard is one row of a table, and the table is the file: its Parquet files
-hold ``part, shard, doc_ids, lengths, rules, rounds, sequence``.  Documents
-follow each other by ascending id; NULL texts are empty, and an empty text is
-its end id alone.  Rows that occur twice are two documents.
+hold ``part, shard, doc_ids, lengths, rules, sizes, sequence``, by ascending part and
+shard.  Documents follow each other by ascending id; NULL texts are empty, and an
+empty text is its end id alone.  Rows that occur twice are two documents.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from operator import not_
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import slices, written
@@ -35,13 +37,12 @@ from millrace.session import is_small
 
 END_ID = 0
 SHARD_IDS = 1 << 20
-ROUNDS = 6
+# Pairs that occur so often are replaced.
 LEAST_COUNT = 8
-# Pairs are counted in so many slots; each slot counts one pair per round.
-SLOT_BITS = 18
-SLOTS = 1 << SLOT_BITS
-# A round that shortens a shard by less is the last.
-LEAST_GAIN = 0.02
+# Nonterminals of so many ids are written out whole, longer ones step by step.
+SHORT = 64
+# Places of the table that finds the rank of a pair.
+_SLOT_BITS = 18
 MAX_CACHED = 900_000
 
 # Stands for an id of NULL.
@@ -49,7 +50,7 @@ NO_ID = -(2**63)
 
 _SHARD = (
     "part int, shard int, first_id bigint, n_ids bigint, doc_ids binary, lengths binary, "
-    "rules binary, rounds binary, sequence binary"
+    "rules binary, sizes binary, sequence binary"
 )
 # Letters and then signs, apart from the apostrophe: always separate tokens.
 _LETTERS_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-^{-~]+)")
@@ -57,106 +58,157 @@ _LETTERS_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-^{-~]+
 
 @dataclass(frozen=True)
 class Grammar:
-    """``rules[i]`` are the two symbols of nonterminal ``base + i``.
+    """``rules[i]`` are the two symbols of nonterminal ``base + i``, ``sizes[i]`` its ids.
 
-    ``rounds`` are the numbers of rules after each round; a rule uses symbols
-    of earlier rounds only.
+    A rule uses ids and earlier rules only.
     """
 
     base: int
     rules: np.ndarray
-    rounds: np.ndarray
+    sizes: np.ndarray
     sequence: np.ndarray
 
-    def sizes(self) -> np.ndarray:
-        """Ids that each nonterminal stands for."""
-        out = np.ones(len(self.rules), dtype=np.int64)
-        first = 0
-        for last in self.rounds.tolist():
-            parts = self.rules[first:last].astype(np.int64) - self.base
-            known = np.where(parts >= 0, out[np.maximum(parts, 0)], 1)
-            out[first:last] = known.sum(axis=1)
-            first = last
+    def lengths(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids that each symbol stands for."""
+        out = np.ones(len(symbols), dtype=np.int64)
+        of_rules = symbols >= self.base
+        out[of_rules] = self.sizes[symbols[of_rules] - np.uint32(self.base)]
         return out
 
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """Symbols as ids, one round after the other undone."""
-        bounds = [0, *self.rounds.tolist()]
-        for first, last in list(zip(bounds, bounds[1:]))[::-1]:
-            chosen = symbols >= self.base + first
+    def _unfold(self, symbols: np.ndarray, longer: int) -> np.ndarray:
+        """Replace nonterminals of more than ``longer`` ids, until none is left."""
+        while True:
+            chosen = self.lengths(symbols) > longer
             if not chosen.any():
-                continue
+                return symbols
             at = np.arange(len(symbols)) + np.cumsum(chosen) - chosen
             out = np.empty(len(symbols) + int(chosen.sum()), dtype=symbols.dtype)
             out[at] = symbols
             pairs = self.rules[symbols[chosen] - np.uint32(self.base)]
             out[at[chosen]], out[at[chosen] + 1] = pairs[:, 0], pairs[:, 1]
             symbols = out
-        return symbols
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """Symbols as ids."""
+        symbols = self._unfold(symbols, SHORT)
+        # Each symbol that occurs is written out once and then copied.
+        which, place = np.unique(symbols, return_inverse=True)
+        whole, sizes = self._unfold(which, 1), self.lengths(which)
+        begins = np.cumsum(sizes) - sizes
+        each = sizes[place]
+        ends = np.cumsum(each)
+        if not len(ends):
+            return symbols
+        return whole[np.repeat(begins[place] - ends + each, each) + np.arange(ends[-1])]
 
     def decode(self, start: int, end: int) -> np.ndarray:
         """The ids ``[start, end)``, from the symbols that cover them."""
         if start >= end:
             return self.sequence[:0]
-        sizes, symbols = self.sizes(), self.sequence.astype(np.int64) - self.base
-        each = np.ones(len(symbols), dtype=np.int64)
-        each[symbols >= 0] = sizes[symbols[symbols >= 0]]
-        ends = np.cumsum(each)
+        ends = np.cumsum(self.lengths(self.sequence))
         first = int(np.searchsorted(ends, start, side="right"))
         last = int(np.searchsorted(ends, end, side="left")) + 1
         skipped = int(ends[first - 1]) if first else 0
         return self.expand(self.sequence[first:last])[start - skipped : end - skipped]
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS) -> Grammar:
-    """Replace frequent pairs, round by round.
+def _frequent(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that occur ``LEAST_COUNT`` times, ascending, and their counts."""
+    ordered = np.sort(pairs)
+    at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    counts = np.diff(np.append(at, len(ordered)))
+    often = counts >= LEAST_COUNT
+    return ordered[at[often]], counts[often]
+
+
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    mixed = pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
+def _ranks(pairs: np.ndarray, chosen: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The rank of each pair; ``len(chosen)`` where it is not among ``chosen``, which ascend."""
+    none = len(chosen)
+    slots = _slot(chosen)
+    table = np.full(1 << _SLOT_BITS, none, dtype=np.int64)
+    table[slots] = np.arange(none)
+    shared = np.zeros(1 << _SLOT_BITS, dtype=bool)
+    shared[slots[table[slots] != np.arange(none)]] = True
+    slots = _slot(pairs)
+    found = table[slots]
+    # Where several chosen pairs have one place, they are told apart by search.
+    search = np.flatnonzero(shared[slots])
+    found[search] = np.minimum(np.searchsorted(chosen, pairs[search]), none - 1)
+    found[np.append(chosen, -1)[found] != pairs] = none
+    return np.append(rank, none)[found]
+
+
+def _ends(symbols: np.ndarray, closing: np.ndarray, base: int, end_id: int) -> np.ndarray:
+    """Whether a document ends with the symbol."""
+    out = symbols == end_id
+    of_rules = np.flatnonzero(symbols >= base)
+    out[of_rules] = closing[symbols[of_rules] - symbols.dtype.type(base)]
+    return out
+
+
+def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> Grammar:
+    """Replace frequent pairs, round by round, until none is left.
 
     A round takes the frequent pairs by their counts.  Where two of them
-    overlap, the more frequent one goes first; of a run, the first.
+    overlap, the more frequent one goes first; of a run of equal ids, every other pair.
+    The most frequent pair is replaced in at least half of its places, so rounds end.
+
+    Replacing makes new pairs with new symbols only, and makes the others rarer.  After the
+    first round it is enough to count pairs with a symbol of the last round, and those
+    that were frequent before.
     """
     sequence = ids.astype(np.uint32)
-    rules: list[np.ndarray] = []
-    ends: list[int] = []
+    rules, sizes = [np.zeros((0, 2), dtype=np.uint32)], np.zeros(0, dtype=np.int64)
+    closing = np.zeros(0, dtype=bool)  # nonterminals at whose end a document ends
     n_rules = 0
-    for _ in range(rounds):
-        if len(sequence) < 2:
+    counted = sequence[:-1] != end_id
+    while True:
+        at = np.flatnonzero(counted)
+        pairs = (sequence[at].astype(np.int64) << 32) | sequence[at + 1]
+        chosen, counts = _frequent(pairs) if len(at) else (pairs, pairs)
+        none = len(chosen)
+        if not none:
             break
-        left, right = sequence[:-1], sequence[1:]
-        slot = ((left * np.uint32(2654435761)) ^ (right * np.uint32(2246822519))) >> np.uint32(32 - SLOT_BITS)
-        pairs = (left.astype(np.int64) << 32) | right
-        kept = np.zeros(SLOTS, dtype=np.int64)
-        kept[slot] = pairs
-        counted = (kept[slot] == pairs) & (left != END_ID)
-        counts = np.bincount(slot[counted], minlength=SLOTS)
-        chosen = np.flatnonzero(counts >= LEAST_COUNT)
-        if not len(chosen):
-            break
-        rank = np.full(SLOTS, SLOTS, dtype=np.int32)
-        rank[chosen[np.argsort(-counts[chosen], kind="stable")]] = np.arange(len(chosen))
-        padded = np.full(len(slot) + 2, SLOTS, dtype=np.int32)
-        ranks = padded[1:-1]
-        np.copyto(ranks, rank[slot], where=counted)
-        # What is not chosen has the highest rank and never comes before another.
-        at = np.flatnonzero((ranks < padded[:-2]) & (ranks <= padded[2:]))
-        ranks = ranks[at]
-        worth = np.bincount(ranks, minlength=len(chosen)) >= LEAST_COUNT // 2
-        at, ranks = at[worth[ranks]], ranks[worth[ranks]]
-        if len(at) < LEAST_GAIN * len(sequence):
-            break
-        number = np.cumsum(worth) - 1 + n_rules
-        by_rank = np.empty(len(chosen), dtype=np.int64)
-        by_rank[rank[chosen]] = kept[chosen]
+        rank = np.empty(none, dtype=np.int64)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(none)
+        ranks = _ranks(pairs, chosen, rank)
+        at, ranks = at[ranks < none], ranks[ranks < none]
+        # Where the places next to each other are, and runs of them with one rank.
+        touch = np.append(np.diff(at) == 1, False)
+        before = np.where(np.roll(touch, 1), np.roll(ranks, 1), none)
+        after = np.where(touch, np.roll(ranks, -1), none)
+        index = np.arange(len(at))
+        offset = index - np.maximum.accumulate(np.where(before != ranks, index, 0))
+        goes = (offset % 2 == 0) & (ranks <= after) & ((offset > 0) | (ranks < before))
+        worth = np.bincount(ranks[goes], minlength=none) >= LEAST_COUNT // 2
+        goes &= worth[ranks]
+        by_rank = np.empty(none, dtype=np.int64)
+        by_rank[rank] = chosen
         new = by_rank[worth]
-        rules.append(np.column_stack((new >> 32, new & 0xFFFFFFFF)).astype(np.uint32))
-        n_rules += len(new)
-        ends.append(n_rules)
+        parts = np.column_stack((new >> 32, new & 0xFFFFFFFF))
+        lengths = np.where(parts < base, 1, np.append(sizes, 1)[np.maximum(parts, base) - base])
+        rules.append(parts.astype(np.uint32))
+        sizes = np.concatenate((sizes, lengths.sum(axis=1)))
+        ends = _ends(parts[:, 1], closing, base, end_id)
+        closing = np.concatenate((closing, ends))
+        number = np.cumsum(worth) - 1 + n_rules
+        kept = np.zeros(len(sequence), dtype=bool)
+        kept[at[~goes]] = True
+        sequence[at[goes]] = base + number[ranks[goes]]
         stays = np.ones(len(sequence), dtype=bool)
-        stays[at + 1] = False
-        sequence = sequence.copy()
-        sequence[at] = base + number[ranks]
-        sequence = sequence[stays]
-    table = np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
-    return Grammar(base, table, np.array(ends, dtype=np.int64), sequence)
+        stays[at[goes] + 1] = False
+        sequence, kept = sequence[stays], kept[stays]
+        fresh = sequence >= base + n_rules
+        n_rules += len(new)
+        # A pair that has lost a symbol to a replacement has a new one in its place.
+        counted = fresh[:-1] | fresh[1:] | kept[:-1]
+        counted &= ~_ends(sequence[:-1], closing, base, end_id)
+    return Grammar(base, np.concatenate(rules), sizes, sequence)
 
 
 class Encoder:
@@ -275,10 +327,10 @@ def shards(
                 rows.append(ids + end)
                 size += len(rows[-1]) // 4
                 if size >= shard_ids:
-                    yield _shard_row(part, shard, doc_ids, rows, encode.base)
+                    yield _shard_row(part, shard, doc_ids, rows, encode.base, end_id)
                     doc_ids, rows, size, shard = [], [], 0, shard + 1
         if rows:
-            yield _shard_row(part, shard, doc_ids, rows, encode.base)
+            yield _shard_row(part, shard, doc_ids, rows, encode.base, end_id)
 
     ordered = (
         docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
@@ -288,8 +340,11 @@ def shards(
     return ordered.mapInArrow(run, _SHARD)
 
 
-def _shard_row(part: int, shard: int, doc_ids: list, rows: list[bytes], base: int):
-    grammar = compress(np.frombuffer(b"".join(rows), dtype="<u4"), base)
+def _shard_row(
+    part: int, shard: int, doc_ids: list, rows: list[bytes], base: int, end_id: int
+) -> pa.RecordBatch:
+    base = max(base, end_id + 1)
+    grammar = compress(np.frombuffer(b"".join(rows), dtype="<u4"), base, end_id)
     lengths = np.array([len(row) // 4 for row in rows], dtype="<i8")
     ids = np.array([NO_ID if i is None else i for i in doc_ids], dtype="<i8")
     values = [
@@ -300,21 +355,21 @@ def _shard_row(part: int, shard: int, doc_ids: list, rows: list[bytes], base: in
         [ids.tobytes()],
         [lengths.tobytes()],
         [np.concatenate((grammar.rules, np.full((1, 2), base, np.uint32))).astype("<u4").tobytes()],
-        [grammar.rounds.astype("<i8").tobytes()],
+        [grammar.sizes.astype("<i8").tobytes()],
         [grammar.sequence.astype("<u4").tobytes()],
     ]
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
-    names = ["part", "shard", "first_id", "n_ids", "doc_ids", "lengths", "rules", "rounds", "sequence"]
+    names = ["part", "shard", "first_id", "n_ids", "doc_ids", "lengths", "rules", "sizes", "sequence"]
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=names)
 
 
-def grammar_of(rules: bytes, rounds: bytes, sequence: bytes) -> Grammar:
+def grammar_of(rules: bytes, sizes: bytes, sequence: bytes) -> Grammar:
     """The grammar of a stored shard; its last rule names the first nonterminal."""
     table = np.frombuffer(rules, dtype="<u4").reshape(-1, 2)
     return Grammar(
         int(table[-1, 0]),
         table[:-1],
-        np.frombuffer(rounds, dtype="<i8"),
+        np.frombuffer(sizes, dtype="<i8"),
         np.frombuffer(sequence, dtype="<u4"),
     )
 
@@ -325,20 +380,64 @@ def with_starts(stored: DataFrame) -> DataFrame:
     Totals of parts are few and run up on one task; shards run up within
     their part.
     """
-    from pyspark.sql import Window
+    starts = _starts(stored)
+    # A row of two numbers per shard; the shards themselves should not move.
+    return stored.join(F.broadcast(starts) if is_small(starts) else starts, ["part", "shard"])
+
 
+def _starts(stored: DataFrame) -> DataFrame:
+    """``part, shard, n_ids, start`` of every shard; the grammars are not read."""
     parts = stored.groupBy("part").agg(F.min("first_id").alias("first"), F.sum("n_ids").alias("n"))
     before = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     part_start = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_part"))
-    starts = (
+    return (
         stored.select("part", "shard", "n_ids")
         .withColumn("_inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
         .join(part_start, "part")
         .select("part", "shard", (F.col("_part") + F.col("_inside")).alias("start"))
     )
-    # A row of two numbers per shard; the shards themselves should not move.
-    return stored.join(F.broadcast(starts) if is_small(starts) else starts, ["part", "shard"])
+
+
+def read_range(stored: DataFrame, start: int, end: int) -> DataFrame:
+    """The ids ``[start, end)`` of the whole table: ``start, n_ids, ids`` by shard.
+
+    ``start`` counts from the beginning of the table, ``ids`` are little-endian
+    32-bit integers.  Parts and shards ascend with positions, so those of the range lie
+    between two of them, which the scan is told: files outside are not opened.  Of a
+    shard, only the symbols that cover the range are expanded.  A range that is empty
+    or beyond the table gives no rows; one that begins or ends there is cut to it.
+    """
+    spark, ddl = stored.sparkSession, "start bigint, n_ids bigint, ids binary"
+    starts = stored.select("part", "shard", "n_ids").join(_starts(stored), ["part", "shard"])
+    hit = starts.filter((F.col("start") < end) & (F.col("start") + F.col("n_ids") > start))
+    place = F.struct("part", "shard")
+    first, last = hit.agg(F.min(place), F.max(place)).first()
+    if start >= end or first is None:
+        return spark.createDataFrame([], ddl)
+    part, shard = F.col("part"), F.col("shard")
+    between = (
+        part.between(first["part"], last["part"])
+        & ((part > first["part"]) | (shard >= first["shard"]))
+        & ((part < last["part"]) | (shard <= last["shard"]))
+    )
+    shards_of = stored.filter(between).select("part", "shard", "n_ids", "rules", "sizes", "sequence")
+    places = hit.select("part", "shard", "start")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                grammar = grammar_of(row["rules"], row["sizes"], row["sequence"])
+                low, high = max(start, row["start"]), min(end, row["start"] + row["n_ids"])
+                ids = grammar.decode(low - row["start"], high - row["start"])
+                values = ([low], [high - low], [ids.astype("<u4").tobytes()])
+                kinds = (pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v, k) for v, k in zip(values, kinds)], names=["start", "n_ids", "ids"]
+                )
+
+    chosen = shards_of.join(F.broadcast(places) if is_small(places) else places, ["part", "shard"])
+    return chosen.mapInArrow(run, ddl)
 
 
 def read_documents(stored: DataFrame, digest: bool = False) -> DataFrame:
@@ -352,7 +451,7 @@ def read_documents(stored: DataFrame, digest: bool = False) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                grammar = grammar_of(row["rules"], row["rounds"], row["sequence"])
+                grammar = grammar_of(row["rules"], row["sizes"], row["sequence"])
                 data = memoryview(grammar.expand(grammar.sequence).astype("<u4")).cast("B")
                 lengths = np.frombuffer(row["lengths"], dtype="<i8")
                 ends = np.cumsum(lengths)

@@ -8,6 +8,7 @@ import re
 import struct
 import time
 import zlib
+from collections import Counter
 
 import brute
 import duckdb
@@ -60,16 +61,62 @@ def test_encoder_equals_the_library():
     assert [np.frombuffer(ids, "<u4").tolist() for ids in ours(texts)] == expected
 
 
-def test_grammar_gives_ids_back():
-    rng = np.random.default_rng(1)
-    for ids in (rng.zipf(1.3, 20_000) % 500, np.zeros(1000), np.full(999, 7), np.arange(3), np.zeros(0)):
-        ids = ids.astype(np.uint32)
-        grammar = repair.compress(ids, 500)
-        assert (grammar.expand(grammar.sequence) == ids).all()
-        for _ in range(20):
-            a, b = sorted(rng.integers(0, len(ids) + 1, 2).tolist())
-            assert (grammar.decode(a, b) == ids[a:b]).all()
-    assert len(repair.compress(np.tile(np.arange(1, 9, dtype=np.uint32), 500), 500).sequence) < 2000
+IDS = [
+    np.random.default_rng(1).zipf(1.3, 20_000) % 500,
+    np.random.default_rng(2).integers(0, 4, 5000),
+    np.tile(np.append(np.arange(1, 200), 0), 30),
+    np.zeros(1000),
+    np.full(999, 7),
+    np.tile([5, 5, 6], 300),
+    np.arange(3),
+    np.zeros(0),
+]
+
+
+@pytest.mark.parametrize("ids", IDS)
+def test_grammar(ids):
+    rng = np.random.default_rng(3)
+    ids = ids.astype(np.uint32)
+    grammar = repair.compress(ids, 500)
+    assert (grammar.expand(grammar.sequence) == ids).all() and len(grammar.expand(grammar.sequence)) == len(ids)
+    for _ in range(20):
+        a, b = sorted(rng.integers(0, len(ids) + 1, 2).tolist())
+        assert (grammar.decode(a, b) == ids[a:b]).all()
+    # Stored lengths are those of the rules written out, and no rule crosses an end.
+    for i, size in enumerate(grammar.sizes.tolist()):
+        whole = grammar.expand(np.array([500 + i], dtype=np.uint32))
+        assert len(whole) == size and not (whole[:-1] == 0).any()
+    # No pair is frequent any more, counted plainly.
+    ends = {0, *(500 + i for i in range(len(grammar.rules)) if grammar.expand(np.array([500 + i], dtype=np.uint32))[-1] == 0)}
+    left = grammar.sequence.tolist()
+    pairs = Counter(pair for pair in zip(left, left[1:]) if pair[0] not in ends)
+    assert max(pairs.values(), default=0) < repair.LEAST_COUNT
+
+
+def test_ranks_of_pairs_that_share_a_place(monkeypatch):
+    monkeypatch.setattr(repair, "_SLOT_BITS", 2)
+    pairs = np.random.default_rng(4).integers(0, 50, 2000)
+    chosen = np.arange(0, 50, 3)
+    rank = np.random.default_rng(5).permutation(len(chosen))
+    want = [rank[p // 3] if p % 3 == 0 else len(chosen) for p in pairs.tolist()]
+    assert repair._ranks(pairs, chosen, rank).tolist() == want
+
+
+def test_range_of_ids(corpus_df, no_docs):
+    stored = repair.write(corpus_df, MERGES, shard_ids=500)
+    rows = repair.read_documents(stored).orderBy("start").collect()
+    whole = np.frombuffer(b"".join(bytes(r["ids"]) for r in rows), "<u4")
+    for start, end in [(0, 1), (3, 2000), (499, 501), (len(whole) - 2, len(whole) + 50), (-5, len(whole))]:
+        found = repair.read_range(stored, start, end).orderBy("start").collect()
+        assert found[0]["start"] == max(0, start)
+        assert [r["start"] + r["n_ids"] for r in found][:-1] == [r["start"] for r in found][1:]
+        got = np.frombuffer(b"".join(bytes(r["ids"]) for r in found), "<u4")
+        assert (got == whole[max(0, start) : end]).all() and len(got) == min(end, len(whole)) - max(0, start)
+    for start, end in [(5, 5), (9, 3), (len(whole), len(whole) + 1)]:
+        assert repair.read_range(stored, start, end).count() == 0
+    assert repair.read_range(repair.write(no_docs, MERGES), 0, 10).count() == 0
+    plan = repair.read_range(stored, 3, 4)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(part," in plan and "LessThanOrEqual(part," in plan
 
 
 def test_token_shards(spark, corpus, corpus_df):
