@@ -6,7 +6,8 @@ those letters (``i`` and ``l`` are one letter, since 1 stands for both).  The
 lexicon holds words and word beginnings with weights; a match inside an
 exception phrase does not count.  Phrases are learned with the weights: a
 lexicon word and the words next to it, where clean documents have them in
-several surroundings and toxic ones never.  The weights found, alone and per word of the
+several surroundings, too often by the error of the counts for a term of the lexicon.
+The weights found, alone and per word of the
 text, go through a logistic curve to a score between 0 and 1.
 
 NULL and empty texts have no matches and get the score of a text without any.
@@ -188,11 +189,11 @@ def _count_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _weights(counts: np.ndarray, sizes: tuple[int, int]) -> np.ndarray:
-    """Log odds of terms in toxic against clean documents, less their error."""
+def _weights(counts: np.ndarray, sizes: tuple[int, int], errors: int = -1) -> np.ndarray:
+    """Log odds of terms in toxic against clean documents, less their error (or more)."""
     toxic, clean = counts[:, 0] + 0.5, counts[:, 1] + 0.5
     odds = np.log(toxic / (sizes[0] + 1)) - np.log(clean / (sizes[1] + 1))
-    return odds - np.sqrt(1 / toxic + 1 / clean)
+    return odds + errors * np.sqrt(1 / toxic + 1 / clean)
 
 
 def learn(sample: DataFrame, exceptions: Iterable[str] = ()) -> Lexicon:
@@ -244,7 +245,7 @@ def learn(sample: DataFrame, exceptions: Iterable[str] = ()) -> Lexicon:
 
     by_half = [weights(counts[:, half], sizes[half], MIN_CONTEXTS // 2) for half in (0, 1)]
     whole = weights(counts.sum(axis=1), sizes.sum(axis=0), MIN_CONTEXTS)
-    learned = _exceptions(halves, {*whole, *by_half[0], *by_half[1]})
+    learned = _exceptions(halves, {*whole, *by_half[0], *by_half[1]}, sizes)
     of_halves = [
         Lexicon(of_half, (*given, *phrases)) for of_half, phrases in zip(by_half, learned[:2])
     ]
@@ -262,11 +263,16 @@ def phrases(folded: str, patterns: set[str]) -> Iterator[tuple[str, str]]:
                     yield f" {' '.join(words[first:end])} ", around
 
 
-def _exceptions(halves: DataFrame, patterns: set[str]) -> tuple[list[str], list[str], list[str]]:
+def _exceptions(
+    halves: DataFrame, patterns: set[str], sizes: np.ndarray
+) -> tuple[list[str], list[str], list[str]]:
     """Exception phrases of each half of the sample, and of the whole.
 
-    As with terms, different surroundings count, one per document, so that a
-    clean text that was copied often excuses nothing.
+    A term enters the lexicon where its log odds less their error reach
+    ``MIN_WEIGHT``; a phrase around it excuses it where the log odds of the phrase do not
+    reach that even with their error added, and clean texts have it in two surroundings.
+    As with terms, different surroundings count, one per document, so that a clean text
+    that was copied often excuses nothing.
     """
     if not patterns:
         return [], [], []
@@ -277,48 +283,40 @@ def _exceptions(halves: DataFrame, patterns: set[str]) -> tuple[list[str], list[
             columns = (batch.column(name).to_pylist() for name in ("text", "label", "half"))
             for text, label, half in zip(*columns):
                 in_text = dict(phrases(folder(text), patterns))
-                if label == 1:
-                    found.update((phrase, half, None) for phrase in in_text)
-                else:
-                    found.update((phrase, half, around) for phrase, around in in_text.items())
+                found.update((phrase, half, label == 1, around) for phrase, around in in_text.items())
         rows = list(found)
         for start in range(0, len(rows), 20_000):
             columns = zip(*rows[start : start + 20_000])
-            kinds = (pa.string(), pa.int32(), pa.string())
+            kinds = (pa.string(), pa.int32(), pa.bool_(), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(column, kind) for column, kind in zip(columns, kinds)],
-                names=["phrase", "half", "around"],
+                names=["phrase", "half", "toxic", "around"],
             )
 
-    # Toxic documents have no surroundings here.
-    toxic = F.max(F.col("around").isNull().cast("int"))
     rows = (
-        halves.mapInArrow(run, "phrase string, half int, around string")
-        .groupBy("phrase", "half")
-        .agg(F.countDistinct("around").alias("clean"), toxic.alias("toxic"))
+        halves.mapInArrow(run, "phrase string, half int, toxic boolean, around string")
         .groupBy("phrase")
         .agg(
             *[
-                F.sum(F.when(F.col("half") == half, F.col(c)).otherwise(0)).alias(f"{c}{half}")
-                for half in (0, 1)
-                for c in ("clean", "toxic")
+                F.countDistinct(F.when(F.col("half").isin(halves_of) & toxic, F.col("around")))
+                for halves_of in ([0], [1], [0, 1])
+                for toxic in (F.col("toxic"), ~F.col("toxic"))
             ]
         )
-        .filter(
-            F.greatest(
-                F.when(F.col("toxic0") == 0, F.col("clean0")),
-                F.when(F.col("toxic1") == 0, F.col("clean1")),
-            )
-            >= MIN_CONTEXTS // 2
-        )
+        .toDF("phrase", "toxic0", "clean0", "toxic1", "clean1", "toxic", "clean")
+        .filter("clean >= 2")
         .orderBy("phrase")
         .collect()
     )
-    return (
-        [r["phrase"] for r in rows if not r["toxic0"] and r["clean0"] >= MIN_CONTEXTS // 2],
-        [r["phrase"] for r in rows if not r["toxic1"] and r["clean1"] >= MIN_CONTEXTS // 2],
-        [r["phrase"] for r in rows if not r["toxic0"] + r["toxic1"] and r["clean0"] + r["clean1"] >= MIN_CONTEXTS],
-    )
+    names = [row["phrase"] for row in rows]
+    counts = np.array([[*row][1:] for row in rows], dtype=np.float64).reshape(-1, 3, 2)
+
+    def chosen(of: np.ndarray, n_docs: np.ndarray) -> list[str]:
+        excused = (_weights(of, tuple(n_docs.tolist()), 1) < MIN_WEIGHT) & (of[:, 1] >= 2)
+        return [names[i] for i in np.flatnonzero(excused)]
+
+    of_sizes = (sizes[0], sizes[1], sizes.sum(axis=0))
+    return tuple(chosen(counts[:, i], n_docs) for i, n_docs in enumerate(of_sizes))
 
 
 def _curve(halves: DataFrame, lexicons: list[Lexicon]) -> tuple[float, float, float]:
@@ -341,7 +339,9 @@ def _curve(halves: DataFrame, lexicons: list[Lexicon]) -> tuple[float, float, fl
             )
 
     measured = halves.mapInArrow(run, "weight double, density double, label double")
-    rows = measured.orderBy("weight", "density", "label").toPandas().to_numpy()
+    # At most as many rows as the sample; in order, so that sums come out the same.
+    rows = measured.toPandas().to_numpy()
+    rows = rows[np.lexsort(rows.T[::-1])]
     if len(rows) == 0 or len(np.unique(rows[:, 2])) < 2:
         return Lexicon({}).curve
     return tuple(logistic(rows[:, :2], rows[:, 2]).tolist())

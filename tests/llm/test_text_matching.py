@@ -205,6 +205,11 @@ def test_exceptions_are_learned(spark):
     word, phrase = folder("idiot"), folder("village idiot")
     assert word in lexicon.weights and phrase in lexicon.exceptions
     assert folder("copied idiot") not in lexicon.exceptions and folder("you idiot") not in lexicon.exceptions
+    # A toxic text with the phrase does not undo it, as many do.
+    for n, learned in ((1, True), (40, False)):
+        rows = [(1000 + i, around("village idiot fair"), 1) for i in range(n)]
+        more = sample.union(spark.createDataFrame(rows, sample.schema))
+        assert (phrase in toxicity.learn(more).exceptions) == learned
     said = [(1, "the village idiot fair"), (2, "you idiot"), (3, "the village idiot, you idiot")]
     found = toxicity.score(spark.createDataFrame(said, "doc_id bigint, text string"), lexicon)
     got = {r["doc_id"]: (r["n_matches"], r["predicted"]) for r in found.collect()}
