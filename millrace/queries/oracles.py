@@ -511,3 +511,8 @@ ORACLES["stream_table_buffer"] = f"""WITH RECURSIVE {_STREAM_CTES}
 SELECT route_id, batch_id, any_value(flush_at) AS flush_at, any_value(reason) AS reason,
   count(*) AS n_entries, md5(string_agg(line, chr(10) ORDER BY tick, "offset")) AS lines_md5
 FROM entries GROUP BY route_id, batch_id"""
+ORACLES["stream_pending_lines"] = f"""WITH RECURSIVE {_STREAM_CTES}
+SELECT route_id, "offset", line FROM assigned WHERE batch_id IS NULL"""
+ORACLES["stream_flush_log"] = f"""WITH RECURSIVE {_STREAM_CTES}
+SELECT route_id, reason, count(*) AS n_flushes, CAST(sum(n_entries) AS BIGINT) AS n_entries,
+  max(n_entries) AS largest FROM flushes GROUP BY route_id, reason"""

@@ -719,9 +719,11 @@ def stream_dual_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.join(checks, "route_id")
 
 
-@query
-def stream_table_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The buffer over written tables, one micro-batch per virtual poll."""
+def _table_buffered(spark: SparkSession, sf_dir: str) -> tuple[TableBuffer, str]:
+    """All lines through the buffer over written tables, one micro-batch per virtual poll.
+
+    Gives the buffer of the stopped stream and the folder of its batches.
+    """
     out = scratch_dir(spark, "tabled")
     _, n_polls = _line_polls(spark, sf_dir, out)
     lines = spark.readStream.schema(STREAM_SCHEMA).parquet(f"{out}/lines")
@@ -754,13 +756,34 @@ def stream_table_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
         if not is_written(spark, f"{out}/buffer/clock/epoch={number}"):
             # Nothing arrived: the stream had no micro-batch, but the poll took place.
             poll(spark.createDataFrame([], STREAM_SCHEMA), number)
-    batches = spark.read.schema(f"{BATCH_SCHEMA}, epoch bigint").parquet(f"{out}/batches")
+    return tables, f"{out}/batches"
+
+
+@query
+def stream_table_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the buffer flushed."""
+    _, folder = _table_buffered(spark, sf_dir)
+    batches = spark.read.schema(f"{BATCH_SCHEMA}, epoch bigint").parquet(folder)
     text = F.array_join(F.transform("entries", lambda e: e["line"]), "\n")
     return batches.select(
         "route_id", "batch_id", "flush_at", "reason", "n_entries", F.md5(text).alias("lines_md5")
     )
 
 
+@query
+def stream_pending_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the buffer of a stopped stream still holds."""
+    tables, _ = _table_buffered(spark, sf_dir)
+    return tables.pending_lines().drop("epoch")
+
+
+@query
+def stream_flush_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flushes of a stopped stream by route and reason."""
+    tables, _ = _table_buffered(spark, sf_dir)
+    return tables.flush_log()
+
+
 def _await_lines(stream, path: str, n_lines: int) -> None:
     """Return once a running stream has written all lines."""
     spark = SparkSession.active()

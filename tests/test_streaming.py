@@ -159,6 +159,40 @@ def test_table_buffer_follows_the_golden_schedules(spark, tmp_path):
     assert len(os.listdir(tmp_path / "lines")) <= 2
 
 
+def test_table_buffer_merges_what_waits(spark, tmp_path):
+    """A quiet route among busy ones: few segments, and every line once, in order."""
+    size, interval, busy = 1000, 5000, [{0, 1}, {0}, {0}]
+    rows = [
+        {"route_id": i, "path": f"/log/{i}", "polling_frequency_ms": 500, "buffer_size": b,
+         "flush_interval_ms": interval, "destination": {"type": "file", "path": "/o"}}
+        for i, b in enumerate([size, 2])
+    ]
+    tables = TableBuffer(spark, routes_table(spark, rows), str(tmp_path), started_ms=0, fan=2)
+    assert tables.pending_lines().count() == tables.flush_log().count() == 0
+    got, most, n_polls = {0: [], 1: []}, 0, 10
+    for epoch in range(n_polls):
+        lines = [(r, epoch, f"{r}: {epoch}") for r in busy[epoch % 3]]
+        routed = spark.createDataFrame(lines, "route_id long, offset long, line string")
+        for repeat in range(2 if epoch % 4 == 3 else 1):  # a repeated micro-batch changes nothing
+            batches = tables.poll(routed, epoch, 500 * (epoch + 1) + repeat)
+            found = batches.collect() if batches is not None else []
+        for row in found:
+            got[row["route_id"]].append([e["line"] for e in row["entries"]])
+        most = max(most, len(os.listdir(tmp_path / "lines")))
+        if epoch == n_polls - 2:
+            held = {(r["route_id"], r["line"]) for r in tables.pending_lines().collect()}
+            assert held == {(0, f"0: {e}") for e in range(n_polls - 1)} | {(1, "1: 6")}
+    assert got[0] == [[f"0: {e}" for e in range(n_polls)]]
+    assert sum(got[1], []) == [f"1: {e}" for e in range(0, n_polls, 3)]
+    # One or two segments of each of three levels, and that of this poll.
+    assert most <= 2 * 3 + 1
+    log = {(r["route_id"], r["reason"]): r[2:] for r in tables.flush_log().collect()}
+    assert log == {
+        (0, "time elapsed"): (1, n_polls, n_polls),
+        (1, "buffer full"): (2, 4, 2),
+    }
+
+
 def test_table_buffer_cuts_large_batches_into_ordered_parts(spark, tmp_path):
     tables = TableBuffer(
         spark, routes_for(spark, ["seven lines"]), str(tmp_path), 0, max_part_lines=4, slice_span=3
