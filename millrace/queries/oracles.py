@@ -146,6 +146,7 @@ ORACLES["frame_lines"] = f"WITH {_DOC_LINES} SELECT doc_id, line_no, line FROM d
 _PATH_LINES = _event_query("SELECT path, line FROM lines")
 ORACLES["scan_text_files"] = _PATH_LINES
 ORACLES["scan_tail_files"] = _PATH_LINES
+ORACLES["scan_tail_ranges"] = _PATH_LINES
 ORACLES["stream_tail"] = _PATH_LINES
 
 ORACLES["utf8_quarantine"] = f"""

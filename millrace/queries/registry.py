@@ -74,6 +74,22 @@ def scan_tail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(_log_path(F.col("path")).alias("path"), "line")
 
 
+@query
+def scan_tail_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files in three reads by offset, each of which opens its byte ranges only."""
+    files = spark.read.text(_written_lines(spark, sf_dir)).inputFiles()
+    begin, middle, end = (
+        read_tail(spark, files, partitionBytes=256 * 1024, **bounds)
+        for bounds in (
+            {"untilOffset": 10_000},
+            {"fromOffset": 10_000, "untilOffset": 50_000},
+            {"fromOffset": 50_000},
+        )
+    )
+    ranges = begin.unionByName(middle).unionByName(end)
+    return ranges.select(_log_path(F.col("path")).alias("path"), "line")
+
+
 @query
 def utf8_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First lines of every seventh document get a byte that is not UTF-8."""

@@ -17,9 +17,16 @@ Options
     partitionBytes      bytes per read task, default 64 MiB
     heartbeat           ``true`` makes every poll a micro-batch, even without
                         new lines, so that time triggers run
-    cursorPath          file that remembers the planned offsets, so that the
-                        byte limit and the cursors of missing files also hold
-                        for the first micro-batch after a restart
+    startCursor         the offset planned last, as JSON, so that the byte limit
+                        and the cursors of missing files also hold for the first
+                        micro-batch after a restart; see ``last_offset``
+    cursorPath          a file that remembers it instead, where no checkpoint
+                        can be read
+    fromOffset, untilOffset
+                        a batch read opens only the byte ranges that hold the
+                        records that start in ``[fromOffset, untilOffset)``.  (Spark
+                        can push filters into such a source, but 4.1 keeps those of one
+                        plan for the other plans of a frame, which loses rows.)
 
 Rows are ``(path, inode, offset, arrival, line, lost)``.  Each task reads one
 byte range.  If the file is gone, unreadable or another one by then, a row without
@@ -39,7 +46,7 @@ import time
 import uuid
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +94,23 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(LogTailSource)
 
 
+def last_offset(spark: SparkSession, checkpoint: str) -> str | None:
+    """The offset that a stream with one source planned last, from its checkpoint.
+
+    The checkpoint may be on any file system that Spark can use.
+    """
+    # Only the driver gets here; the workers that get this module by value have no package.
+    from millrace.session import folder_names
+
+    numbers = [int(name) for name in folder_names(spark, f"{checkpoint}/offsets") if name.isdigit()]
+    if not numbers:
+        return None
+    log = spark.read.text(f"{checkpoint}/offsets/{max(numbers)}", wholetext=True).first()
+    # Fixed format of the log: version, metadata, an offset per source.
+    lines = log[0].split("\n") if log else []
+    return lines[2] if len(lines) > 2 and lines[0] == "v1" and lines[2].startswith("{") else None
+
+
 def tail_options(paths: Sequence[str], **options) -> dict[str, str]:
     """Options for ``readStream.options(**…)``."""
     return {"paths": json.dumps(list(paths)), **{k: str(v) for k, v in options.items()}}
@@ -163,7 +187,7 @@ def complete_size(path: str, low: int, high: int) -> int:
 def byte_ranges(
     path: str, inode: int, start: int, end: int, partition_bytes: int, arrival_us: int
 ) -> list[ByteRange]:
-    """Cut ``[start, end)`` into read tasks."""
+    """Cut ``[start, end)``, where records begin and end, into read tasks."""
     return [
         ByteRange(
             path, inode, at, min(at + partition_bytes, end), end, at == start, arrival_us
@@ -172,6 +196,16 @@ def byte_ranges(
     ]
 
 
+def clipped(parts: Sequence[ByteRange], low: int, high: int) -> list[ByteRange]:
+    """What of the ranges holds the records that start in ``[low, high)``."""
+    out = []
+    for part in parts:
+        start, stop = max(part.start, low), min(part.stop, high)
+        if start < stop:
+            out.append(replace(part, start=start, stop=stop, first=part.first and start == part.start))
+    return out
+
+
 def stat_files(paths: Sequence[str]) -> list[tuple[int, int] | None]:
     """:func:`stat_file` of many paths at once."""
     with ThreadPoolExecutor(max_workers=min(32, max(1, len(paths)))) as pool:
@@ -285,20 +319,25 @@ class TailBatchReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = json.loads(options["paths"])
         self.partition_bytes = int(options.get("partitionBytes", DEFAULT_PARTITION_BYTES))
+        # Where the wanted records start.
+        self.low = int(options.get("fromOffset", 0))
+        self.high = int(options.get("untilOffset", sys.maxsize))
 
     def partitions(self) -> Sequence[ByteRange]:
         now = time.time_ns() // 1000
         paths = list(dict.fromkeys(self.paths))
         found = zip(paths, stat_files(paths))
-        return [
+        parts = [
             part
             for path, stat in found
             if stat is not None
             for part in byte_ranges(path, stat[0], 0, stat[1], self.partition_bytes, now)
         ]
+        return clipped(parts, self.low, self.high)
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        return read_range(partition)
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        # Without any range, Spark reads one partition that is none.
+        return iter(()) if partition is None else read_range(partition)
 
 
 class TailStreamReader(DataSourceStreamReader):
@@ -314,6 +353,9 @@ class TailStreamReader(DataSourceStreamReader):
         self.heartbeat = str(options.get("heartbeat", "false")).lower() == "true"
         self.cursor_path = options.get("cursorPath")
         self.cursor: dict[str, dict] | None = self._load_cursor()
+        if "startCursor" in options:
+            self.cursor = json.loads(options["startCursor"])
+            self.cursor.pop(_HEARTBEAT, None)
         self.unnamed: set[str] = set()  # known, but not in the last offset
 
     def initialOffset(self) -> dict:

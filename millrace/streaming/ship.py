@@ -18,7 +18,7 @@ from millrace.plans.routes import ready_routes
 from millrace.sinks.delivery import Transport, deliver
 from millrace.sinks.files import prepare_file_routes, write_file_routes
 from millrace.sinks.requests import build_requests, request_url
-from millrace.sources.tail import SOURCE_NAME, register, tail_options
+from millrace.sources.tail import SOURCE_NAME, last_offset, register, tail_options
 from millrace.streaming.buffer import SET_ASIDE, STATE_PROVIDER, BufferSettings, buffer_stream
 from millrace.streaming.table_buffer import TableBuffer
 
@@ -134,7 +134,8 @@ def start_shipping(
     outcomes of the requests follow in ``work_dir/outcomes/epoch=N``, and a
     repeated micro-batch does not send requests again that have one.  Lines that
     are not valid UTF-8, and ranges of files that could not be read, are set aside
-    in ``work_dir/quarantine/epoch=N``.
+    in ``work_dir/quarantine/epoch=N``.  A restart goes on from the checkpoint, which
+    like everything in ``work_dir`` may be on any file system that Spark can use.
 
     ``host`` (default: this machine's name), ``tag`` and ``zone`` go into syslog
     messages.  ``ordered`` sends the batches of a route one after the other, and
@@ -150,8 +151,9 @@ def start_shipping(
     network = ready.filter("destination.type <> 'file'")
     paths = [r["path"] for r in ready.select("path").distinct().collect()]
     host = socket.gethostname() if host is None else host
-    if "://" not in work_dir or work_dir.startswith("file:"):
-        source_options.setdefault("cursorPath", f"{work_dir}/cursor.json")
+    planned = last_offset(spark, f"{work_dir}/checkpoint")
+    if planned is not None:
+        source_options.setdefault("startCursor", planned)
     source_options.setdefault("heartbeat", buffer == "table")
     lines = tail_lines(spark, paths, **source_options)
 

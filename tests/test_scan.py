@@ -8,7 +8,14 @@ import os
 import pytest
 
 from millrace.sources.scan import advance_cursor, plan_scan, resume_lines
-from millrace.sources.tail import TailStreamReader, read_range, tail_options
+from millrace.sources.tail import (
+    TailBatchReader,
+    TailStreamReader,
+    last_offset,
+    read_range,
+    register,
+    tail_options,
+)
 from millrace.sources.text import frame_lines, read_lines, split_valid
 from millrace.streaming.ship import read_tail
 
@@ -325,3 +332,55 @@ def test_batch_read_has_byte_offsets(spark, tmp_path):
     rows = read_tail(spark, [str(path), str(tmp_path / "none")]).orderBy("offset").collect()
     assert [(r["offset"], r["line"]) for r in rows] == [(0, "é"), (3, "bb"), (6, ""), (7, "c")]
     assert {r["inode"] for r in rows} == {os.stat(path).st_ino}
+
+
+@pytest.mark.parametrize("low", range(0, 30, 3))
+@pytest.mark.parametrize("partition_bytes", [2, 1000])
+def test_offset_ranges_open_their_bytes_only(tmp_path, low, partition_bytes):
+    data = b"a\n\nbb\nccc\r\n\nlong record here\nx"
+    path = tmp_path / "a.log"
+    append(path, data)
+    at = [0, *(i + 1 for i, byte in enumerate(data) if byte == 10)]
+    for high in range(low, 34, 2):
+        options = {"partitionBytes": partition_bytes, "fromOffset": low, "untilOffset": high}
+        parts = TailBatchReader(tail_options([str(path)], **options)).partitions()
+        assert all(low <= part.start < part.stop <= high for part in parts)
+        found = [o for part in parts for batch in read_range(part) for o in batch["offset"].to_pylist()]
+        assert found == [o for o in at if low <= o < high]
+
+
+def test_frames_with_different_filters_share_nothing(spark, tmp_path):
+    path = tmp_path / "a.log"
+    append(path, b"".join(b"line %d\n" % i for i in range(100)))
+    rows = read_tail(spark, [str(path)], partitionBytes=16)
+    assert rows.filter("offset < 70").unionByName(rows.filter("offset >= 70")).count() == 100
+    assert rows.filter("offset >= 70 and offset <= 84").count() == 2 and rows.count() == 100
+    assert read_tail(spark, [str(path)], fromOffset=5000).count() == 0
+    assert read_tail(spark, [str(tmp_path / "none")]).count() == 0
+
+
+def test_the_checkpoint_gives_the_offset_planned_last(spark, tmp_path):
+    path, away, work = tmp_path / "a.log", tmp_path / "away.log", tmp_path / "work"
+    append(path, b"one\ntwo\nthree\n")
+    append(away, b"x\n")
+    checkpoint = f"file://{work}/checkpoint"
+    assert last_offset(spark, checkpoint) is None
+    register(spark)
+    options = tail_options([str(path), str(away)], startingOffsets="earliest", maxBytesPerTrigger=4)
+
+    def run():
+        stream = spark.readStream.format("logtail").options(**options).load().writeStream
+        stream = stream.format("noop").option("checkpointLocation", checkpoint).start()
+        try:
+            stream.processAllAvailable()
+        finally:
+            stream.stop()
+
+    run()
+    planned = json.loads(last_offset(spark, checkpoint))
+    assert planned[str(path)]["position"] == 14 and planned[str(away)]["position"] == 2
+    os.rename(away, tmp_path / "hidden")
+    append(path, b"four\nfive\n")
+    resumed = TailStreamReader({**options, "startCursor": json.dumps(planned)})
+    after = resumed.latestOffset()
+    assert after[str(path)]["position"] == 19 and after[str(away)] == planned[str(away)]
