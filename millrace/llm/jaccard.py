@@ -33,7 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import add_columns, groups, mix, shared_rows, slices, written
+from millrace.llm.common import (
+    BYTES_AT_ONCE,
+    ROWS_AT_ONCE,
+    add_columns,
+    groups,
+    mix,
+    pass_through,
+    shared_rows,
+    slices,
+    slices_by_size,
+    written,
+)
 from millrace.llm.components import components
 from millrace.llm.shingles import shingle_sets
 
@@ -151,14 +162,14 @@ def describe_sets(docs: DataFrame, text_col: str) -> DataFrame:
 
         return work
 
-    return add_columns(docs, "n_shingles bigint, digest binary, sketch binary", task)
+    return add_columns(docs, "n_shingles bigint, digest binary, sketch binary", task, text_col)
 
 
 def _key_rows(docs: DataFrame, percent: int) -> DataFrame:
     """``(key, doc, need)`` for every kept block of every ``(doc, text)``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices_by_size(batches, "text", BYTES_AT_ONCE, ROWS_AT_ONCE):
             keys, ids, needs = [], [], []
             docs_of = batch.column("doc").to_pylist()
             for doc, tokens in zip(docs_of, shingle_sets(batch.column("text"))):
@@ -176,7 +187,7 @@ def _key_rows(docs: DataFrame, percent: int) -> DataFrame:
                     names=["key", "doc", "need"],
                 )
 
-    return docs.mapInArrow(run, "key bigint, doc bigint, need int")
+    return pass_through(docs, run, "key bigint, doc bigint, need int")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -184,7 +195,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sides = [list(shingle_sets(batch.column(c))) for c in ("text_a", "text_b")]
+            sides = [shingle_sets(batch.column(c)) for c in ("text_a", "text_b")]
             keep = []
             for one, other in zip(*sides):
                 shared = len(np.intersect1d(one, other, assume_unique=True))
@@ -195,7 +206,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     for side in ("a", "b"):
         texts = docs.select(F.col("doc").alias(side), F.col("text").alias(f"text_{side}"))
         pairs = pairs.join(texts, side)
-    return pairs.mapInArrow(run, "a bigint, b bigint").distinct()
+    return pass_through(pairs, run, "a bigint, b bigint").distinct()
 
 
 def _star_pairs(members: DataFrame) -> DataFrame:
@@ -246,7 +257,7 @@ def _open_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> DataFr
         )
     )
     ordered = placed.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return ordered.mapInArrow(_compare(percent), "a bigint, b bigint").distinct()
+    return pass_through(ordered, _compare(percent), "a bigint, b bigint").distinct()
 
 
 def _compare(percent: int) -> Callable:

@@ -16,7 +16,8 @@ import pyarrow as pa
 from millrace.llm.common import flat_bytes, mix
 
 SIZE = 5
-_STEP = 4 * 1024 * 1024
+# Bytes of text worked on at once; arrays of some thirty times as many are made of them.
+_STEP = 512 * 1024
 
 _LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
 _SPACE = np.zeros(256, dtype=bool)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import brute
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
-from millrace.llm import column_bwt, decontamination, jaccard, queries, repeats, toxicity
+from millrace.llm import column_bwt, decontamination, jaccard, queries, repeats, shingles, toxicity
 from millrace.llm.anchors import anchors, gram_hashes
 from millrace.llm.components import components
 
@@ -222,3 +224,16 @@ def test_toxicity_of_edges(edge_docs, no_docs):
     assert {r["doc_id"] for r in scored.filter("n_matches > 0").collect()} == {3, 4}
     empty = toxicity.learn(toxicity.labelled_sample(no_docs, no_docs.selectExpr("doc_id", "1 as toxic"), "toxic"))
     assert empty.weights == {}
+
+
+def test_shingles_take_a_fixed_number_of_bytes_at_once():
+    words = [f"w{i * 7919 % 100_003}" for i in range(40_000)]
+    texts = [" ".join(words[i * 500 :]) for i in range(40)] + [None, "", "one two"]
+    column = pa.array(texts)
+    alone = [next(shingles.shingle_sets(pa.array([text], pa.string()))) for text in texts]
+    tracemalloc.start()
+    for got, want in zip(shingles.shingle_sets(column), alone, strict=True):
+        assert np.array_equal(got, want)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert column.nbytes > 6 << 20 and peak < 64 << 20
