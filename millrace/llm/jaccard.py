@@ -17,8 +17,11 @@ sizes ``a`` and ``b`` with a Jaccard similarity of 3/4 have at most
 
 Equal sets are joined first and stand for one another.  Members of a block
 group are linked to its smallest member; after that only pairs that are not
-yet connected are compared, so that large groups of near copies do not become
-all their pairs, and no link between different components is lost.
+yet connected are compared.  The smallest member need not be the one that the
+others are copies of, so a group with more close pairs than members first has
+each member's nearest ones verified only, and then all pairs that these links
+leave unconnected: large groups of near copies do not become all their pairs, and
+no link between different components is lost.
 
 NULL texts, and texts without words, have empty sets and are linked to nothing.
 Rows that occur twice are equal sets.  Rows without an id stay alone.
@@ -37,7 +40,7 @@ from millrace.llm.common import (
     BYTES_AT_ONCE,
     ROWS_AT_ONCE,
     add_columns,
-    groups,
+    flat_bytes,
     mix,
     pass_through,
     shared_rows,
@@ -47,6 +50,7 @@ from millrace.llm.common import (
 )
 from millrace.llm.components import components
 from millrace.llm.shingles import shingle_sets
+from millrace.session import is_small
 
 PERCENT = 75
 # Sizes of a band go from a power of this number to below the next.
@@ -57,6 +61,12 @@ LEAST_BLOCKS = 16
 SEEDS = 16
 # Members of a block group that one task compares with as many others.
 TILE = 2048
+# Rows of block groups that are compared at once; a group is never cut.
+GROUPED_ROWS = 4096
+# Texts of so many documents are picked out before they are shuffled.
+NEEDED_ROWS = 200_000
+# Pairs that a task remembers, so as not to give them again.
+MAX_SEEN = 200_000
 
 _BITS_MOST, _BITS_LEAST = 2048, 64
 
@@ -195,9 +205,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sides = [shingle_sets(batch.column(c)) for c in ("text_a", "text_b")]
+            # Texts are in many pairs; each is taken apart once.
+            both = pa.concat_arrays([batch.column("text_a"), batch.column("text_b")])
+            which = both.fill_null("").dictionary_encode()
+            sets = list(shingle_sets(which.dictionary))
+            sides = which.indices.to_numpy().reshape(2, -1).tolist()
             keep = []
-            for one, other in zip(*sides):
+            for one, other in zip(*([sets[i] for i in side] for side in sides)):
                 shared = len(np.intersect1d(one, other, assume_unique=True))
                 union = len(one) + len(other) - shared
                 keep.append(shared > 0 and 100 * shared >= percent * union)
@@ -205,10 +219,35 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     for side in ("a", "b"):
         texts = docs.select(F.col("doc").alias(side), F.col("text").alias(f"text_{side}"))
+        needed = pairs.select(side).distinct()
+        if is_small(needed, NEEDED_ROWS):
+            texts = texts.join(F.broadcast(needed), side, "left_semi")
         pairs = pairs.join(texts, side)
     return pass_through(pairs, run, "a bigint, b bigint").distinct()
 
 
+def _close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose sizes and sketches let them be similar."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, GROUPED_ROWS):
+            if not batch.num_rows:
+                continue
+            size = np.stack([batch.column(f"n_shingles_{c}").to_numpy() for c in ("a", "b")])
+            both = pa.chunked_array([batch.column("sketch_a"), batch.column("sketch_b")])
+            row, swapped = np.arange(batch.num_rows), size[0] > size[1]
+            known = _Sketches(both, np.arange(2 * len(row)))
+            apart = known.differing(row + len(row) * swapped, row + len(row) * ~swapped)
+            near = apart <= size.sum(axis=0) * (100 - percent) // (100 + percent)
+            near &= size.max(axis=0) <= size.min(axis=0) * 100 // percent
+            yield batch.filter(pa.array(near)).select(["a", "b"])
+
+    for side in ("a", "b"):
+        of_side = [F.col(c).alias(f"{c}_{side}") for c in ("n_shingles", "sketch")]
+        pairs = pairs.join(sketches.select(F.col("doc").alias(side), *of_side), side)
+    return pass_through(pairs, run, "a bigint, b bigint")
+
+
 def _star_pairs(members: DataFrame) -> DataFrame:
     """Every set with the smallest set of its groups that it meets most often."""
     least = members.groupBy("key").agg(F.min("doc").alias("b"))
@@ -222,11 +261,12 @@ def _star_pairs(members: DataFrame) -> DataFrame:
     return met.groupBy("doc").agg(top).select(F.col("doc").alias("a"), (-F.col("top.b")).alias("b"))
 
 
-def _open_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(members: DataFrame, sketches: DataFrame, percent: int, every: bool) -> DataFrame:
     """Pairs of a group that are not connected yet and whose sketches are close.
 
     ``members(key, doc, component)``.  A group goes to one task per pair of
-    tiles, so that none has more than two tiles of it at once.
+    tiles, so that none has more than two tiles of it at once.  Unless it is to be
+    ``every`` pair, a crowded group gives the nearest ones of each member and its ``key``.
     """
     groups = (
         members.groupBy("key")
@@ -257,55 +297,158 @@ def _open_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> DataFr
         )
     )
     ordered = placed.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return pass_through(ordered, _compare(percent), "a bigint, b bigint").distinct()
-
-
-def _compare(percent: int) -> Callable:
-    def pairs(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        size = rows.column("n_shingles").to_numpy()
-        order = np.argsort(size, kind="stable")
-        size, doc = size[order], rows.column("doc").to_numpy()[order]
-        component = rows.column("component").to_numpy()[order]
-        tile = rows.column("tile").to_numpy()[order]
-        crossing = rows.column("low")[0].as_py() != rows.column("high")[0].as_py()
-        raw = rows.column("sketch").to_pylist()
-        words = np.array([len(raw[i]) // 8 for i in order])
-        by_width = {}
-        for width in np.unique(words).tolist():
-            wide = np.flatnonzero(words >= width)
-            matrix = np.array(
-                [folded(np.frombuffer(raw[order[i]], np.uint64)[None, :], width)[0] for i in wide]
-            )
-            by_width[width] = (wide[0], matrix)
-        ends = np.searchsorted(size, size * 100 // percent, side="right")
-        for i in range(len(size)):
-            rest = slice(i + 1, int(ends[i]))
-            if rest.start >= rest.stop:
+    return pass_through(ordered, _compare(percent, every), "a bigint, b bigint, key bigint").distinct()
+
+
+def _whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Some thousand rows at a time, with the number of each row's group."""
+    parts: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, GROUPED_ROWS):
+            parts.append(batch.slice(start, GROUPED_ROWS))
+            n += parts[-1].num_rows
+            if n >= GROUPED_ROWS:
+                rows = pa.Table.from_batches(parts)
+                group = _numbered(rows)
+                done = int(np.searchsorted(group, group[-1]))
+                if done:
+                    yield rows.slice(0, done), group[:done]
+                parts = rows.slice(done).to_batches()
+                # A longer group is looked at again after as many rows more.
+                n = n - done if done else 0
+    if parts:
+        rows = pa.Table.from_batches(parts)
+        yield rows, _numbered(rows)
+
+
+def _numbered(rows: pa.Table) -> np.ndarray:
+    changed = np.zeros(rows.num_rows, dtype=bool)
+    for name in ("key", "low", "high"):
+        column = rows.column(name).to_numpy()
+        changed[1:] |= column[1:] != column[:-1]
+    return np.cumsum(changed)
+
+
+class _Sketches:
+    """Bit sketches of some rows, folded to each width that is asked for."""
+
+    def __init__(self, column: pa.ChunkedArray, order: np.ndarray):
+        data, ends = flat_bytes(column.combine_chunks())
+        self._data = np.frombuffer(data.tobytes(), dtype=np.uint64)
+        self._starts = ends[:-1][order] // 8
+        self.words = np.diff(ends)[order] // 8
+        self._folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _of_width(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of that width at least, and where each row is among them."""
+        if width not in self._folded:
+            place = np.cumsum(self.words >= width) - 1
+            matrix = np.empty((int(place[-1]) + 1, width), dtype=np.uint64)
+            for words in np.unique(self.words[self.words >= width]).tolist():
+                rows = np.flatnonzero(self.words == words)
+                raw = self._data[self._starts[rows][:, None] + np.arange(words)]
+                matrix[place[rows]] = folded(raw, width)
+            self._folded[width] = matrix, place
+        return self._folded[width]
+
+    def differing(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Bits in which rows differ from others that are not narrower."""
+        out = np.empty(len(one), dtype=np.int64)
+        width = self.words[one]
+        for words in np.unique(width).tolist():
+            at = np.flatnonzero(width == words)
+            matrix, place = self._of_width(words)
+            far = matrix[place[one[at]]] ^ matrix[place[other[at]]]
+            out[at] = np.bitwise_count(far).sum(axis=1)
+        return out
+
+
+def _compare(percent: int, every: bool) -> Callable:
+    def pairs(rows: pa.Table, group: np.ndarray) -> Iterator[tuple]:
+        """Members of all groups side by side: each with the next one, the one after that, ..."""
+        size, doc = rows.column("n_shingles").to_numpy(), rows.column("doc").to_numpy()
+        order = np.lexsort((doc, size, group))
+        size, doc, group = size[order], doc[order], group[order]
+        key, low, high, tile, component = (
+            rows.column(c).to_numpy()[order] for c in ("key", "low", "high", "tile", "component")
+        )
+        crossing, sketches = low != high, _Sketches(rows.column("sketch"), order)
+        widest = int(size.max()) * 100 // percent + 1
+        ends = np.searchsorted(group * widest + size, group * widest + size * 100 // percent, side="right")
+        members = np.bincount(group)
+        found, crowded = np.zeros(len(members), dtype=np.int64), np.zeros(len(members), dtype=bool)
+        spare = np.full((2, len(doc)), -1, dtype=np.int64)  # of the nearest member before and after
+        nearest = np.zeros((2, len(doc)), dtype=np.int64)
+        few: list[np.ndarray] = []
+        left, step = np.arange(len(doc)), 0
+        while True:
+            step += 1
+            left = left[left + step < ends[left]]
+            if not len(left):
+                break
+            one, other = left, left + step
+            open_ = component[one] != component[other]
+            open_ &= ~crossing[one] | (tile[one] != tile[other])
+            one, other = one[open_], other[open_]
+            limit = (size[one] + size[other]) * (100 - percent) // (100 + percent)
+            room = limit - sketches.differing(one, other)
+            near = room >= 0
+            one, other, room = one[near], other[near], room[near]
+            if every:
+                if len(one):
+                    yield doc[one], doc[other], None
                 continue
-            first, matrix = by_width[int(words[i])]
-            far = matrix[rest.start - first : rest.stop - first] ^ matrix[i - first]
-            limit = (size[rest] + size[i]) * (100 - percent) // (100 + percent)
-            near = np.bitwise_count(far).sum(axis=1) <= limit
-            near &= component[rest] != component[i]
-            if crossing:
-                near &= tile[rest] != tile[i]
-            found = np.flatnonzero(near) + i + 1
-            if len(found):
-                yield np.full(len(found), doc[i]), doc[found]
+            found += np.bincount(group[one], minlength=len(found))
+            crowded = found > members
+            few.append(np.stack((one, other))[:, ~crowded[group[one]]])
+            for side, (mine, its) in enumerate(((other, one), (one, other))):
+                better = room > spare[side, mine]
+                spare[side, mine[better]] = room[better]
+                nearest[side, mine[better]] = its[better]
+        if every:
+            return
+        kept = np.concatenate([np.zeros((2, 0), dtype=np.int64), *few], axis=1)
+        kept = kept[:, ~crowded[group[kept[0]]]]
+        which = (spare >= 0) & crowded[group]
+        mine = np.concatenate([np.flatnonzero(w) for w in which])
+        its = nearest[which]
+        one, other = np.concatenate((kept[0], mine)), np.concatenate((kept[1], its))
+        yield doc[one], doc[other], None
+        yield doc[:0], doc[:0], key[np.searchsorted(group, np.flatnonzero(crowded))]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, ["key", "low", "high"]):
-            if group.num_rows < 2:
-                continue
-            for one, other in pairs(group):
+        # A pair is found in each group that both are in; most of that ends here.
+        seen: set[tuple[int, int]] = set()
+        for rows, group in _whole_groups(batches):
+            for one, other, keys in pairs(rows, group):
+                found = set(zip(np.maximum(one, other).tolist(), np.minimum(one, other).tolist()))
+                found -= seen
+                if len(seen) + len(found) > MAX_SEEN:
+                    seen.clear()
+                seen |= found
+                crowded = [] if keys is None else keys.tolist()
+                none = [None] * len(crowded)
+                columns = [
+                    [a for a, _ in found] + none,
+                    [b for _, b in found] + none,
+                    [None] * len(found) + crowded,
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.maximum(one, other)), pa.array(np.minimum(one, other))],
-                    names=["a", "b"],
+                    [pa.array(c, pa.int64()) for c in columns], names=["a", "b", "key"]
                 )
 
     return run
 
 
+def placed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` with the component that the links give each."""
+    of_node = components(links).withColumnRenamed("node", "doc")
+    return members.join(of_node, "doc", "left").select(
+        "key", "doc", F.coalesce("component", "doc").alias("component")
+    )
+
+
 def link(
     docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -332,17 +475,20 @@ def link(
         .distinct(),
         "members",
     )
-    links = written(_verified(_star_pairs(members), texts, percent), "star-links")
-    first = components(links)
-    placed = members.join(first.withColumnRenamed("node", "doc"), "doc", "left").select(
-        "key", "doc", F.coalesce("component", "doc").alias("component")
-    )
     sketches = alone.select("doc", "n_shingles", "sketch")
-    more = written(
-        _verified(written(_open_pairs(placed, sketches, percent), "open-pairs"), texts, percent),
-        "open-links",
-    )
-    final = components(links.unionByName(more))
+    near = written(_close(_star_pairs(members), sketches, percent), "star-pairs")
+    links = written(_verified(near, texts, percent), "star-links")
+    near = written(_open_pairs(placed(members, links), sketches, percent, False), "open-pairs")
+    tried = near.filter("key is null").select("a", "b")
+    links = links.unionByName(written(_verified(tried, texts, percent), "open-links"))
+    crowded = near.filter("key is not null").select("key").distinct()
+    if not crowded.isEmpty():
+        rest = placed(members.join(crowded, "key", "left_semi"), links)
+        left = _open_pairs(rest, sketches, percent, True).join(tried, ["a", "b"], "left_anti")
+        left = written(left.select("a", "b"), "open-pairs")
+        if not left.isEmpty():
+            links = links.unionByName(written(_verified(left, texts, percent), "open-links"))
+    final = components(links)
     of_set = (
         stands.join(final.withColumnRenamed("node", "stand"), "stand", "left")
         .select("digest", F.coalesce("component", "stand").alias("_component"))

@@ -152,6 +152,45 @@ def test_sketches_bound_the_difference():
         assert len(shared) >= jaccard.shared_blocks(band)
 
 
+def test_jaccard_crowded_groups_give_few_pairs():
+    """Members of two groups that are all close: nearest ones, not all pairs, and each pair once."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 2**63, 200, dtype=np.uint64)
+    sets = [np.unique(np.append(base[rng.random(200) > 0.03], rng.integers(1, 2**63, 3, dtype=np.uint64))) for _ in range(120)]
+    order = sorted(range(120), key=lambda i: len(sets[i]))
+    members = [(key, 0, 0, 0, i, i, len(sets[i]), jaccard.bit_sketch(sets[i])) for key in (5, 6) for i in order]
+    members += [(7, 0, 0, 0, i, i, len(sets[i]), jaccard.bit_sketch(sets[i])) for i in order[:2]]
+    names = ["key", "low", "high", "tile", "doc", "component", "n_shingles", "sketch"]
+    rows = pa.Table.from_pylist([dict(zip(names, m)) for m in members])
+
+    def made(every):
+        run = jaccard._compare(75, every)
+        return [r for b in run(iter(rows.to_batches(max_chunksize=50))) for r in b.to_pylist()]
+
+    nearest, every = made(False), made(True)
+    pairs = {(r["a"], r["b"]) for r in every}
+    assert len(every) == len(pairs) == 120 * 119 // 2
+    assert len(nearest) <= 2 * 120 + 2
+    assert {r["key"] for r in nearest if r["a"] is None} == {5, 6}
+    found = {(r["a"], r["b"]) for r in nearest if r["key"] is None}
+    assert found < pairs and {i for pair in found for i in pair} == set(range(120))
+
+
+def test_jaccard_hub_is_not_the_smallest(spark):
+    """Copies of the text with the largest id, which resemble each other less than 75 percent."""
+    rng = random.Random(5)
+    hub = [f"w{i}" for i in range(300)]
+    docs = [(1000, " ".join(hub))]
+    for i in range(60):
+        words = list(hub)
+        for at in rng.sample(range(60), 7):
+            words[5 * at] = f"x{i}"
+        docs.append((i, " ".join(words)))
+    docs += [(2000 + i, " ".join(f"y{i}x{n}" for n in range(80))) for i in range(5)]
+    found = rows(jaccard.link(spark.createDataFrame(docs, "doc_id bigint, text string")), "doc_id", "component_id")
+    assert found == sorted([(i, 0 if i <= 1000 else i) for i, _ in docs], key=repr)
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
