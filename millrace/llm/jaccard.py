@@ -217,9 +217,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 keep.append(shared > 0 and 100 * shared >= percent * union)
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
+    ids = pairs
     for side in ("a", "b"):
         texts = docs.select(F.col("doc").alias(side), F.col("text").alias(f"text_{side}"))
-        needed = pairs.select(side).distinct()
+        needed = ids.select(side).distinct()
         if is_small(needed, NEEDED_ROWS):
             texts = texts.join(F.broadcast(needed), side, "left_semi")
         pairs = pairs.join(texts, side)
