@@ -6,8 +6,10 @@ import brute
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from millrace.llm import pieces
+from millrace.llm.common import BATCH_BYTES, pass_through
 from pyspark.sql import functions as F
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -84,3 +86,17 @@ def test_stages_take_nulls_repeats_and_clashing_names(spark, folder, name):
     if name != "pieces":
         assert out.columns == docs.columns
         assert len(found) == (6 if name == "ngram_jaccard" else 7)
+
+
+def test_batches_of_long_texts_are_bounded_by_bytes(spark):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    apart = spark.newSession()
+    texts = apart.range(0, 4000, 1, 1).select(F.repeat(F.lit("text "), 2000).alias("text"))
+    most = max(r["n"] for r in pass_through(texts, run, "n bigint").collect())
+    assert most < 2 * BATCH_BYTES
+    # A bound that the session has already stays.
+    apart.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 18))
+    assert max(r["n"] for r in pass_through(texts, run, "n bigint").collect()) < 1 << 19
