@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.anchors import GRAM, anchors
 from millrace.llm.column_bwt import ABSENT, repeated
-from millrace.llm.common import add_columns, shared_rows, slices, text_bytes, written
+from millrace.llm.common import add_columns, flat_bytes, shared_rows, slices, text_bytes, written
 from millrace.session import is_small
 
 SPAN = 50
@@ -127,8 +127,35 @@ def joined(spans: np.ndarray) -> np.ndarray:
     return np.column_stack((spans[first, 0], reach[last]))
 
 
+def _runs(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, begin, end)`` of the runs of true values in each row."""
+    edges = np.zeros((len(marked), marked.shape[1] + 2), dtype=bool)
+    edges[:, 1:-1] = marked
+    changes = np.flatnonzero((edges[:, 1:] != edges[:, :-1]).ravel()).reshape(-1, 2)
+    row, begin = np.divmod(changes[:, 0], marked.shape[1] + 1)
+    return row, begin, changes[:, 1] - row * (marked.shape[1] + 1)
+
+
+def _joined_rows(docs: np.ndarray, text_keys: np.ndarray, spans: np.ndarray) -> pa.RecordBatch:
+    """A row per text with its spans, overlapping and touching ones joined."""
+    order = np.lexsort((spans[:, 0], text_keys, docs))
+    docs, text_keys, spans = docs[order], text_keys[order], spans[order]
+    new = np.concatenate(([True], (docs[1:] != docs[:-1]) | (text_keys[1:] != text_keys[:-1])))
+    # Texts behind each other, too far apart to touch.
+    shift = (np.cumsum(new) * (spans.max() + 2))[:, None]
+    whole = joined(spans + shift)
+    text = np.searchsorted(whole[:, 0], shift[new][:, 0])
+    whole -= np.repeat(shift[new], np.diff(np.append(text, len(whole))), axis=0)
+    offsets = (np.append(text, len(whole)) * 16).astype(np.int32)
+    data = np.ascontiguousarray(whole.astype("<i8"))
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data)]
+    packed = pa.Array.from_buffers(pa.binary(), len(text), buffers)
+    arrays = [pa.array(docs[new]), pa.array(text_keys[new]), packed]
+    return pa.RecordBatch.from_arrays(arrays, names=["doc", "text_key", "spans"])
+
+
 def _strings(candidates: DataFrame, span: int, gram: int) -> DataFrame:
-    """Strings around the anchors ``keys`` of each text; windows of the ``hot`` ones."""
+    """Strings around the anchors ``keys`` of each text; windows of those in ``hot``."""
     column = span - gram
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,10 +164,8 @@ def _strings(candidates: DataFrame, span: int, gram: int) -> DataFrame:
             columns = [batch.column(c).to_pylist() for c in ("doc", "text_key")]
             keys, hots = batch.column("keys"), batch.column("hot")
             for row, (doc, text_key, text) in enumerate(zip(*columns, text_bytes(batch.column("text")))):
-                wanted = keys[row].values.to_numpy().view(np.uint64)
-                order = np.argsort(wanted)
-                wanted = wanted[order]
-                hot = hots[row].values.to_numpy(zero_copy_only=False)[order]
+                wanted = np.sort(keys[row].values.to_numpy().view(np.uint64))
+                hot = np.isin(wanted, hots[row].values.to_numpy().view(np.uint64))
                 key, place, first, last = anchors(np.frombuffer(text, np.uint8), span, gram)
                 at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
                 chosen = np.flatnonzero(wanted[at] == key)
@@ -174,30 +199,25 @@ def _collections(strings: DataFrame, span: int, gram: int) -> DataFrame:
     columns = span - gram + 1
     width = columns + span - 1
 
-    def collection(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        strings = table.column("string").to_pylist()
-        left = table.column("left").to_numpy()
-        sizes = np.array([len(s) for s in strings])
-        symbols = np.full((len(strings), width), ABSENT, dtype=np.uint16)
-        flat = np.frombuffer(b"".join(strings), dtype=np.uint8)
-        row = np.repeat(np.arange(len(strings)), sizes)
-        begin = np.cumsum(sizes) - sizes
-        symbols[row, left[row] + np.arange(len(flat)) - begin[row]] = flat
-        owners = table.column("doc").to_numpy()
+    def collection(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        flat, ends = flat_bytes(batch.column("string"))
+        left, sizes = batch.column("left").to_numpy(), np.diff(ends)
+        symbols = np.full((batch.num_rows, width), ABSENT, dtype=np.uint16)
+        shift = np.arange(batch.num_rows) * width + left - ends[:-1]
+        symbols.ravel()[np.repeat(shift, sizes) + np.arange(len(flat))] = flat
+        owners = batch.column("doc").to_numpy()
         found = repeated(symbols, owners, span, columns)
-        starts = table.column("starts").to_pylist()
-        text_keys = table.column("text_key").to_numpy()
-        out: list[tuple] = []
-        for i in np.flatnonzero(found.any(axis=1)).tolist():
-            marked = np.flatnonzero(np.diff(found[i].astype(np.int8), prepend=0, append=0))
-            runs = np.column_stack((marked[::2], marked[1::2] - 1 + span)) - left[i]
-            at = np.frombuffer(starts[i], dtype="<i8")
-            spans = (at[:, None, None] + runs[None, :, :]).reshape(-1, 2)
-            out.append((int(owners[i]), int(text_keys[i]), _packed(spans)))
-        if out:
-            kinds = (pa.int64(), pa.int64(), pa.binary())
-            arrays = [pa.array(column, kind) for column, kind in zip(zip(*out), kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "text_key", "spans"])
+        # Runs of marked starts, each at all places of its string.
+        row, begin, end = _runs(found)
+        begin, end = begin - left[row], end - 1 + span - left[row]
+        places, at = flat_bytes(batch.column("starts"))
+        starts, first, n = places.view("<i8"), at[:-1] // 8, np.diff(at) // 8
+        which = np.repeat(np.arange(len(row)), n[row])
+        of_run = np.cumsum(n[row]) - n[row]
+        start = starts[first[row[which]] + np.arange(len(which)) - of_run[which]]
+        spans = np.column_stack((start + begin[which], start + end[which]))
+        if len(spans):
+            yield _joined_rows(owners[row[which]], batch.column("text_key").to_numpy()[row[which]], spans)
 
     def whole(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """Groups that are complete; single strings have nothing to repeat."""
@@ -205,7 +225,7 @@ def _collections(strings: DataFrame, span: int, gram: int) -> DataFrame:
         new = np.concatenate(([True], keys[1:] != keys[:-1], [True]))
         shared = np.flatnonzero(~(new[:-1] & new[1:]))
         if len(shared):
-            yield from collection(pa.Table.from_batches([batch.take(pa.array(shared))]))
+            yield from collection(batch.take(pa.array(shared)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: pa.RecordBatch | None = None
@@ -241,8 +261,7 @@ def repeated_spans(texts: DataFrame, span: int = SPAN, gram: int = GRAM) -> Data
         shared.filter("doc is not null")
         .join(F.broadcast(hot) if is_small(hot) else hot, "key", "left")
         .groupBy("doc")
-        .agg(F.collect_set(F.struct("key", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("_of"))
-        .select("doc", F.col("_of.key").alias("keys"), F.col("_of.hot").alias("hot"))
+        .agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot"))
     )
     return _collections(_strings(texts.join(wanted, "doc"), span, gram), span, gram)
 

@@ -124,6 +124,26 @@ def test_repeats_of_edges(edge_docs, no_docs):
     assert repeats.remove_repeats(no_docs).count() == 0
 
 
+def test_repeats_of_a_batch_are_one_row_per_text():
+    first, second = bytes(range(60, 130)), bytes(range(150, 220))
+    strings = [(1, 1, 7, 5, first, [5]), (1, 2, 7, 5, first, [3, 200]), (1, 2, 8, 5, first, [0])]
+    strings += [(2, 1, 7, 5, second, [400]), (2, 2, 7, 5, second, [230]), (3, 2, 7, 5, second, [900])]
+    names = ["key", "doc", "text_key", "left", "string", "starts", "spans"]
+    kinds = [*[pa.int64()] * 3, pa.int32(), *[pa.binary()] * 3]
+    columns = zip(*((*row[:5], np.array(row[5], dtype="<i8").tobytes(), None) for row in strings))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    class Rows:
+        repartition = sortWithinPartitions = lambda self, *_: self
+
+        def mapInArrow(self, run, ddl):
+            return [row for out in run(iter([batch])) for row in out.to_pylist()]
+
+    found = repeats._collections(Rows(), 50, 20)
+    spans = {(r["doc"], r["text_key"]): np.frombuffer(r["spans"], "<i8").tolist() for r in found}
+    assert spans == {(2, 7): [3, 73, 200, 300], (2, 8): [0, 70]} and len(found) == 2
+
+
 @pytest.mark.parametrize("tile", [2048, 4])
 def test_links(monkeypatch, corpus, corpus_df, tile):
     monkeypatch.setattr(jaccard, "TILE", tile)
