@@ -39,8 +39,6 @@ END_ID = 0
 SHARD_IDS = 1 << 20
 # Pairs that occur so often are replaced.
 LEAST_COUNT = 8
-# Nonterminals of so many ids are written out whole, longer ones step by step.
-SHORT = 64
 # Places of the table that finds the rank of a pair.
 _SLOT_BITS = 18
 MAX_CACHED = 900_000
@@ -75,10 +73,10 @@ class Grammar:
         out[of_rules] = self.sizes[symbols[of_rules] - np.uint32(self.base)]
         return out
 
-    def _unfold(self, symbols: np.ndarray, longer: int) -> np.ndarray:
-        """Replace nonterminals of more than ``longer`` ids, until none is left."""
+    def _unfold(self, symbols: np.ndarray) -> np.ndarray:
+        """Replace nonterminals until none is left."""
         while True:
-            chosen = self.lengths(symbols) > longer
+            chosen = symbols >= self.base
             if not chosen.any():
                 return symbols
             at = np.arange(len(symbols)) + np.cumsum(chosen) - chosen
@@ -90,15 +88,18 @@ class Grammar:
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """Symbols as ids."""
-        symbols = self._unfold(symbols, SHORT)
-        # Each symbol that occurs is written out once and then copied.
-        which, place = np.unique(symbols, return_inverse=True)
-        whole, sizes = self._unfold(which, 1), self.lengths(which)
+        if not len(symbols):
+            return symbols
+        # Each symbol that occurs is written out once and then copied; together they are
+        # no longer than the result.
+        occurs = np.zeros(int(symbols.max()) + 1, dtype=bool)
+        occurs[symbols] = True
+        which = np.flatnonzero(occurs).astype(symbols.dtype)
+        place = (np.cumsum(occurs) - 1)[symbols]
+        whole, sizes = self._unfold(which), self.lengths(which)
         begins = np.cumsum(sizes) - sizes
         each = sizes[place]
         ends = np.cumsum(each)
-        if not len(ends):
-            return symbols
         return whole[np.repeat(begins[place] - ends + each, each) + np.arange(ends[-1])]
 
     def decode(self, start: int, end: int) -> np.ndarray:
@@ -130,7 +131,7 @@ def _ranks(pairs: np.ndarray, chosen: np.ndarray, rank: np.ndarray) -> np.ndarra
     """The rank of each pair; ``len(chosen)`` where it is not among ``chosen``, which ascend."""
     none = len(chosen)
     slots = _slot(chosen)
-    table = np.full(1 << _SLOT_BITS, none, dtype=np.int64)
+    table = np.full(1 << _SLOT_BITS, none, dtype=np.int32)
     table[slots] = np.arange(none)
     shared = np.zeros(1 << _SLOT_BITS, dtype=bool)
     shared[slots[table[slots] != np.arange(none)]] = True
@@ -143,14 +144,6 @@ def _ranks(pairs: np.ndarray, chosen: np.ndarray, rank: np.ndarray) -> np.ndarra
     return np.append(rank, none)[found]
 
 
-def _ends(symbols: np.ndarray, closing: np.ndarray, base: int, end_id: int) -> np.ndarray:
-    """Whether a document ends with the symbol."""
-    out = symbols == end_id
-    of_rules = np.flatnonzero(symbols >= base)
-    out[of_rules] = closing[symbols[of_rules] - symbols.dtype.type(base)]
-    return out
-
-
 def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> Grammar:
     """Replace frequent pairs, round by round, until none is left.
 
@@ -164,9 +157,9 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> Grammar:
     """
     sequence = ids.astype(np.uint32)
     rules, sizes = [np.zeros((0, 2), dtype=np.uint32)], np.zeros(0, dtype=np.int64)
-    closing = np.zeros(0, dtype=bool)  # nonterminals at whose end a document ends
+    closes = sequence == end_id  # symbols at whose end a document ends
     n_rules = 0
-    counted = sequence[:-1] != end_id
+    counted = ~closes[:-1]
     while True:
         at = np.flatnonzero(counted)
         pairs = (sequence[at].astype(np.int64) << 32) | sequence[at + 1]
@@ -194,20 +187,21 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> Grammar:
         lengths = np.where(parts < base, 1, np.append(sizes, 1)[np.maximum(parts, base) - base])
         rules.append(parts.astype(np.uint32))
         sizes = np.concatenate((sizes, lengths.sum(axis=1)))
-        ends = _ends(parts[:, 1], closing, base, end_id)
-        closing = np.concatenate((closing, ends))
         number = np.cumsum(worth) - 1 + n_rules
         kept = np.zeros(len(sequence), dtype=bool)
         kept[at[~goes]] = True
-        sequence[at[goes]] = base + number[ranks[goes]]
+        places = at[goes]
+        sequence[places] = base + number[ranks[goes]]
+        closes[places] = closes[places + 1]
         stays = np.ones(len(sequence), dtype=bool)
-        stays[at[goes] + 1] = False
-        sequence, kept = sequence[stays], kept[stays]
+        stays[places + 1] = False
+        stays = np.flatnonzero(stays)
+        sequence, kept, closes = sequence[stays], kept[stays], closes[stays]
         fresh = sequence >= base + n_rules
         n_rules += len(new)
         # A pair that has lost a symbol to a replacement has a new one in its place.
         counted = fresh[:-1] | fresh[1:] | kept[:-1]
-        counted &= ~_ends(sequence[:-1], closing, base, end_id)
+        counted &= ~closes[:-1]
     return Grammar(base, np.concatenate(rules), sizes, sequence)
 
 

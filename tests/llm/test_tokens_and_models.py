@@ -164,6 +164,14 @@ def test_grammar(ids):
     assert max(pairs.values(), default=0) < repair.LEAST_COUNT
 
 
+def test_symbols_of_a_shard_are_taken_apart_once_each(monkeypatch):
+    ids = np.tile(np.arange(1, 60, dtype=np.uint32), 400)
+    grammar, seen, unfold = repair.compress(ids, 100), [], repair.Grammar._unfold
+    monkeypatch.setattr(repair.Grammar, "_unfold", lambda self, x, *a: seen.append(len(x)) or unfold(self, x, *a))
+    assert np.array_equal(grammar.expand(np.tile(grammar.sequence, 3)), np.tile(ids, 3))
+    assert max(seen) <= len(np.unique(grammar.sequence))
+
+
 def test_ranks_of_pairs_that_share_a_place(monkeypatch):
     monkeypatch.setattr(repair, "_SLOT_BITS", 2)
     pairs = np.random.default_rng(4).integers(0, 50, 2000)
