@@ -14,6 +14,7 @@ import brute
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
@@ -132,6 +133,30 @@ def test_encoder_equals_the_library():
     assert [np.frombuffer(ids, "<u4").tolist() for ids in ours(texts)] == expected
 
 
+def test_encoder_gives_the_library_each_segment_once(monkeypatch):
+    ours, library, given = repair.Encoder(MERGES), Tokenizer.from_file(MERGES), []
+    encoded = ours._encoded
+    monkeypatch.setattr(ours, "_encoded", lambda texts: given.extend(texts) or encoded(texts))
+    words = [f"W{a}rt{b}ß" for a in "abcdefgh" for b in "abcdefgh"]
+    texts = [f"{a}{sign}\n{b} {a}{sign}" for a in words for b in words for sign in (".", "!)")]
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in ours(texts)] == expected
+    assert sum(map(len, given)) < 3 * sum(map(len, words))
+
+
+def test_encoder_where_segments_meet():
+    ours, library, rng = repair.Encoder(MERGES), Tokenizer.from_file(MERGES), random.Random(8)
+    parts = [*"  \n\n\t\r\x0b\x1f\x85\xa0\u2003\u2028\u3000\u200b", *"as1éß×÷ɏɐж中😀'’_`-.(~", "'s", "re", "<|endoftext|>"]
+    texts = [None, ""] + ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(5000)]
+    expected = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for some in (texts, texts[::-1]):
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in ours(some)] == expected
+        expected.reverse()
+    part = pa.array(texts, pa.large_string()).slice(7, 50)
+    ids, lengths = ours.ids(part)
+    assert ids.tolist() == sum(expected[7:57], []) and lengths.tolist() == [len(x) for x in expected[7:57]]
+
+
 IDS = [
     np.random.default_rng(1).zipf(1.3, 20_000) % 500,
     np.random.default_rng(2).integers(0, 4, 5000),
