@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import flat_bytes, slices_by_size, written
+from millrace.llm.common import BYTES_AT_ONCE, flat_bytes, pass_through, slices_by_size, written
 from millrace.session import is_small
 
 END_ID = 0
@@ -39,12 +39,14 @@ LEAST_COUNT = 8
 # Places of the table that finds the rank of a pair.
 _SLOT_BITS = 18
 # Segments that an encoder remembers, and bytes of them.
-MAX_CACHED = 900_000
+MAX_CACHED = 1_500_000
 MAX_CACHED_BYTES = 1 << 26
 # Segments that go to the library in one text.
-JOINED = 512
-# Bytes of text that are encoded at once.
-ENCODED_BYTES = 1 << 22
+JOINED = 64
+# Texts that go to the library at once.
+ENCODED = 64
+# Bytes of text whose segments are numbered at once.
+NUMBERED_BYTES = 1 << 23
 
 # Stands for an id of NULL.
 NO_ID = -(2**63)
@@ -233,8 +235,8 @@ def _kinds(data: np.ndarray) -> np.ndarray:
     The first byte of a character that may be white space, and the later bytes of all but the
     Latin letters, are ``_UNKNOWN``.
     """
-    kinds = _KIND_OF[data]
-    latin = np.flatnonzero((data >= 0xC3) & (data <= 0xC8))
+    kinds = np.frombuffer(bytearray(data.tobytes().translate(_KIND_OF.tobytes())), dtype=np.uint8)
+    latin = np.flatnonzero(data - np.uint8(0xC3) <= 0xC8 - 0xC3)
     kinds[latin] = kinds[latin + 1] = _LETTER
     # Signs for times and divided by stand between the letters.
     signs = latin[(data[latin] == 0xC3) & ((data[latin + 1] & 0xDF) == 0x97)]
@@ -249,13 +251,13 @@ def _segments(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     meet, and on both sides of a line feed that is the only white space there.
     """
     kinds = _kinds(data)
-    after = np.append(kinds[1:], _UNKNOWN)
     filled = np.flatnonzero(np.diff(ends))
-    after[ends[filled + 1] - 1] = _UNKNOWN
-    line = kinds == _LINE
-    line[1:] &= kinds[:-1] >= _GRAPHIC
-    line &= after >= _GRAPHIC
-    begins = ((kinds == _BLANK) & (after >= _GRAPHIC)) | line
+    graphic = kinds >= _GRAPHIC
+    before = np.append(graphic[1:], False)
+    before[ends[filled + 1] - 1] = False
+    line = (kinds == _LINE) & before
+    line[1:] &= graphic[:-1]
+    begins = ((kinds == _BLANK) & before) | line
     begins[1:] |= line[:-1]
     # Of the kinds, only a sign and a letter differ in one bit and are that high.
     begins[1:] |= (kinds[1:] ^ kinds[:-1] == _SIGN ^ _LETTER) & (kinds[1:] >= _SIGN)
@@ -268,10 +270,10 @@ class Encoder:
 
     Texts are cut where a token always begins (:func:`_segments`), and the library encodes each
     different segment once, by itself or with many others in one text.
-    Texts with the name of a special token are one segment.
+    Texts with the name of a special token are one segment.  With ``end_id``, each text ends with it.
     """
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, end_id: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -282,17 +284,22 @@ class Encoder:
         self._sizes = np.zeros(self.base, dtype=np.int64)
         for token, token_id in self._tokenizer.get_vocab().items():
             self._sizes[token_id] = len(token)
+        self._end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         self._forget()
 
     def _forget(self) -> None:
-        self._known = pa.array([], pa.large_binary())
-        # The ids of known segments are [begins, begins + counts) of these.
-        self._ids = np.zeros(0, dtype="<u4")
-        self._begins, self._counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        # Known segments and the bytes of their ids; the empty one stands at the end of a text.
+        self._known = pa.array([b""], pa.large_binary())
+        self._coded = pa.array([self._end], pa.large_binary())
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4") for e in found]
+        out: list[np.ndarray] = []
+        # What the library returns takes many times the room of its ids.
+        for start in range(0, len(texts), ENCODED):
+            part = texts[start : start + ENCODED]
+            found = self._tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            out += [np.array(e.ids, dtype="<u4") for e in found]
+        return out
 
     def _learn(self, segments: pa.Array) -> None:
         data, ends = flat_bytes(segments)
@@ -303,26 +310,21 @@ class Encoder:
         blank = np.flatnonzero(closed & second & (kinds[first] == _BLANK))
         bare = np.flatnonzero(closed & (kinds[first] >= _GRAPHIC))
         alone = np.ones(len(segments), dtype=bool)
-        begins, counts = np.zeros((2, len(segments)), dtype=np.int64)
-        ids, size = [self._ids], len(self._ids)
+        order, coded = [], []
         for which, mark in ((blank, b""), (bare, b"\n")):
             found = self._joined(segments.take(pa.array(which)), mark)
             if found is not None:
-                ids.append(found[0])
-                begins[which], counts[which], alone[which] = size + found[1], found[2], False
-                size += len(found[0])
-        which = np.flatnonzero(alone)
-        found = self._encoded(segments.take(pa.array(which)).cast(pa.large_string()).to_pylist())
-        counts[which] = [len(x) for x in found]
-        begins[which] = size + np.cumsum(counts[which]) - counts[which]
-        self._ids = np.concatenate(ids + found)
-        self._begins = np.concatenate((self._begins, begins))
-        self._counts = np.concatenate((self._counts, counts))
-
-    def _joined(
-        self, segments: pa.Array, mark: bytes
-    ) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """Ids of segments, many in one text with ``mark`` behind each, and which are whose."""
+                order.append(which)
+                coded.append(found)
+                alone[which] = False
+        order.append(np.flatnonzero(alone))
+        texts = segments.take(pa.array(order[-1])).cast(pa.large_string()).to_pylist()
+        coded.append(pa.array([x.tobytes() for x in self._encoded(texts)], pa.large_binary()))
+        new = pa.concat_arrays(coded).take(pa.array(np.argsort(np.concatenate(order))))
+        self._coded = pa.concat_arrays([self._coded, new])
+
+    def _joined(self, segments: pa.Array, mark: bytes) -> pa.Array | None:
+        """Ids of segments, many in one text with ``mark`` behind each."""
         if mark:
             behind = [pa.scalar(x, segments.type) for x in (mark, b"")]
             segments = pc.binary_join_element_wise(segments, *behind)
@@ -332,52 +334,59 @@ class Encoder:
         if any(special in text for special in self._special for text in texts):
             return None
         ids = np.concatenate([np.zeros(0, dtype="<u4"), *self._encoded(texts)])
-        # Segments are told apart by their bytes.
-        token_ends = np.cumsum(self._sizes[ids])
-        begins = np.searchsorted(token_ends, ends[:-1], side="right")
-        stops = np.searchsorted(token_ends, ends[1:] - len(mark), side="right")
-        return ids, begins, stops - begins
-
-    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts behind each other, and how many each text has."""
-        if len(self._known) > MAX_CACHED or self._known.nbytes > MAX_CACHED_BYTES:
-            self._forget()
+        # Segments and marks are told apart by their bytes.
+        ends = np.append(np.column_stack((ends[:-1], ends[1:] - len(mark))), len(data))
+        cuts = 4 * np.searchsorted(np.cumsum(self._sizes[ids]), ends, side="right")
+        buffers = [None, pa.py_buffer(cuts), pa.py_buffer(ids)]
+        both = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, buffers)
+        return both.take(pa.array(np.arange(0, len(both), 2)))
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The segments of all texts behind each other, and where those of each text end."""
         data, ends = flat_bytes(texts)
-        if not len(data):
-            return np.zeros(0, dtype="<u4"), np.zeros(len(texts), dtype=np.int64)
-        begins = _segments(data, ends)
+        begins = _segments(data, ends) if len(data) else np.zeros(0, dtype=bool)
         for special in self._special:
             for i in np.flatnonzero(pc.match_substring(texts, special).fill_null(False)).tolist():
                 begins[ends[i] + 1 : ends[i + 1]] = False
         begins = np.flatnonzero(begins)
         buffers = [None, pa.py_buffer(np.append(begins, len(data))), pa.py_buffer(data)]
         segments = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), buffers)
+        return segments, np.searchsorted(begins, ends[1:])
+
+    def ids(self, columns: list[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each column, the ids of its texts behind each other and how many each text has."""
+        if len(self._known) > MAX_CACHED or self._known.nbytes > MAX_CACHED_BYTES:
+            self._forget()
+        cut = [self._cut(texts) for texts in columns]
         # Known segments keep their numbers, new ones come behind them.
-        numbered = pa.chunked_array([self._known, segments]).dictionary_encode().chunks[-1]
-        n_known, self._known = len(self._known), numbered.dictionary
-        self._learn(self._known.slice(n_known))
-        segment = numbered.indices.to_numpy()
-        counts = self._counts[segment]
-        stops = np.cumsum(counts)
-        places = np.repeat(self._begins[segment] - stops + counts, counts)
-        places += np.arange(len(places))
-        return self._ids[places], np.diff(np.append(0, stops)[np.searchsorted(begins, ends)])
+        start, arrays = len(self._known), [self._known, *(segments for segments, _ in cut)]
+        numbered = pa.chunked_array(arrays).dictionary_encode().chunks
+        self._known = numbered[0].dictionary
+        self._learn(self._known.slice(start))
+        numbers = np.concatenate([x.indices for x in numbered])
+        for segments, ends in cut:
+            segment = np.insert(numbers[start : start + len(segments)], ends, 0)
+            start += len(segments)
+            data, begins = flat_bytes(self._coded.take(pa.array(segment)))
+            begins = begins[np.append(0, ends + np.arange(1, len(ends) + 1))]
+            yield data.view("<u4"), np.diff(begins) // 4
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        ids, lengths = self.ids(pa.array(texts, pa.large_string()))
+        ids, lengths = next(self.ids([pa.array(texts, pa.large_string())]))
         ends = np.cumsum(lengths)
         return [ids[a:b].tobytes() for a, b in zip((ends - lengths).tolist(), ends.tolist())]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(tokenizer_file: str) -> Encoder:
+def encoder(tokenizer_file: str, end_id: int) -> Encoder:
     """One per Python worker."""
-    if tokenizer_file not in _encoders:
-        _encoders[tokenizer_file] = Encoder(tokenizer_file)
-    return _encoders[tokenizer_file]
+    key = (tokenizer_file, end_id)
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 def shards(
@@ -390,25 +399,26 @@ def shards(
 ) -> DataFrame:
     """Encode and compress; one row per shard, documents by ascending id."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, shard = encoder(tokenizer_file), TaskContext.get().partitionId(), 0
+        encode, part, shard = encoder(tokenizer_file, end_id), TaskContext.get().partitionId(), 0
         # Doc ids, lengths and ids of the documents of the open shard.
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
-        for batch in slices_by_size(batches, "text", ENCODED_BYTES):
-            doc_ids = batch.column("id").fill_null(NO_ID).to_numpy()
-            ids, lengths = encode.ids(batch.column("text"))
-            ids = np.insert(ids, np.cumsum(lengths), end_id)
-            lengths += 1
-            ends, first, start = np.cumsum(lengths), 0, 0
-            while first < len(ends):
-                last = int(np.searchsorted(ends, start + shard_ids - size)) + 1
-                end = int(ends[min(last, len(ends)) - 1])
-                held.append((doc_ids[first:last], lengths[first:last], ids[start:end]))
-                size += end - start
-                first, start = last, end
-                if size >= shard_ids:
-                    yield _shard_row(part, shard, held, encode.base, end_id)
-                    held, size, shard = [], 0, shard + 1
+        for group in _groups(batches):
+            found = list(encode.ids([batch.column("text") for batch in group]))
+            numbers = [batch.column("id").fill_null(NO_ID).to_numpy() for batch in group]
+            del group
+            while found:
+                (ids, lengths), doc_ids = found.pop(0), numbers.pop(0)
+                ends, first, start = np.cumsum(lengths), 0, 0
+                while first < len(ends):
+                    last = int(np.searchsorted(ends, start + shard_ids - size)) + 1
+                    end = int(ends[min(last, len(ends)) - 1])
+                    held.append((doc_ids[first:last], lengths[first:last], ids[start:end]))
+                    size += end - start
+                    first, start = last, end
+                    if size >= shard_ids:
+                        yield _shard_row(part, shard, held, encode.base, end_id)
+                        held, size, shard = [], 0, shard + 1
         if held:
             yield _shard_row(part, shard, held, encode.base, end_id)
 
@@ -417,7 +427,20 @@ def shards(
         .repartitionByRange("id")
         .sortWithinPartitions("id", "text")
     )
-    return ordered.mapInArrow(run, _SHARD)
+    return pass_through(ordered, run, _SHARD)
+
+
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches of bounded text, together about ``NUMBERED_BYTES``."""
+    group, size = [], 0
+    for batch in slices_by_size(batches, "text", BYTES_AT_ONCE):
+        group.append(batch)
+        size += batch.column("text").nbytes
+        if size >= NUMBERED_BYTES:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 def _shard_row(
@@ -550,9 +573,8 @@ def read_documents(stored: DataFrame, digest: bool = False) -> DataFrame:
         ]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", last[0]])
 
-    return with_starts(stored).mapInArrow(
-        run, f"doc_id bigint, start bigint, n_tokens bigint, {last[0]} {last[2]}"
-    )
+    ddl = f"doc_id bigint, start bigint, n_tokens bigint, {last[0]} {last[2]}"
+    return pass_through(with_starts(stored), run, ddl)
 
 
 def write(docs: DataFrame, tokenizer_file: str, **options) -> DataFrame:

@@ -152,9 +152,11 @@ def test_encoder_where_segments_meet():
     for some in (texts, texts[::-1]):
         assert [np.frombuffer(ids, "<u4").tolist() for ids in ours(some)] == expected
         expected.reverse()
-    part = pa.array(texts, pa.large_string()).slice(7, 50)
-    ids, lengths = ours.ids(part)
-    assert ids.tolist() == sum(expected[7:57], []) and lengths.tolist() == [len(x) for x in expected[7:57]]
+    column = pa.array(texts, pa.large_string())
+    slices = [slice(7, 57), slice(2, 2), slice(1, 2), slice(30, 900)]
+    found = ours.ids([column[x] for x in slices])
+    for (ids, lengths), x in zip(found, slices, strict=True):
+        assert ids.tolist() == sum(expected[x], []) and lengths.tolist() == list(map(len, expected[x]))
 
 
 IDS = [
